@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bpe, simhash
+from lexiscope.llm import bpe, line_dedup, quality_rules, records, sharding, simhash
 from lexiscope.session import table
 
 
@@ -17,6 +17,30 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_byte_bpe": op9_byte_bpe}
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-ORACLES: dict[str, str] = {}
+
+def op7_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_sharding(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"), n=24)
+
+
+def op10_records(spark, sf_dir):
+    return records.round_trip(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_sharding": op8_sharding,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_records": op10_records,
+}
+
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.oracle()}
