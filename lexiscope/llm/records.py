@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records.
 
 A record is: payload length (8 bytes, little-endian), its masked CRC-32 (4), the payload, the payload's
-masked CRC-32 (4). The payload is a flag byte (1: there is a doc_id), the doc_id (8) and the ids (4
-each). Beside each data file lies an index of (offset, length) pairs of 8 bytes each, so a reader can
+masked CRC-32 (4). The payload is a flag byte (1: there is a doc_id; 2: all ids are below 65,536), the
+doc_id (8) and the ids (2 bytes each with flag 2, else 4). Beside each data file lies an index of (offset, length) pairs of 8 bytes each, so a reader can
 seek to any record in any order.
 
 Spark deals the documents out by ranges of doc_id and sorts each range, so files in the order of
@@ -101,12 +101,16 @@ def frame(payload: bytes) -> bytes:
 
 
 def pack(doc_id: int | None, ids: bytes) -> bytes:
-    return struct.pack("<Bq", doc_id is not None, doc_id or 0) + ids
+    """ids are little-endian unsigned 32-bit integers."""
+    wide = np.frombuffer(ids, "<u4")
+    small = bool(len(wide) == 0 or wide.max() < 1 << 16)
+    return struct.pack("<Bq", (doc_id is not None) | small << 1, doc_id or 0) + (wide.astype("<u2").tobytes() if small else ids)
 
 
 def unpack(payload: bytes) -> tuple[int | None, bytes]:
-    known, doc_id = struct.unpack_from("<Bq", payload)
-    return doc_id if known else None, payload[9:]
+    flags, doc_id = struct.unpack_from("<Bq", payload)
+    ids = np.frombuffer(payload, "<u2" if flags & 2 else "<u4", offset=9)
+    return doc_id if flags & 1 else None, ids.astype("<u4").tobytes()
 
 
 def read_record(data: bytes, offset: int) -> bytes:
