@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bpe, line_dedup, quality_rules, records, sharding, simhash
+from lexiscope.llm import bpe, decontam, licenses, line_dedup, quality_model, quality_rules, records, sharding, simhash, toxicity
 from lexiscope.session import table
 
 
@@ -17,10 +17,26 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_model(spark, sf_dir):
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -36,7 +52,11 @@ def op10_records(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality_model": op6_quality_model,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
