@@ -1,4 +1,11 @@
 """All registered queries and their oracles, by name."""
 
+from __future__ import annotations
+
+from lexiscope.plans import evaluation, style
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _area in (style, evaluation):
+    QUERIES |= _area.QUERIES
+    ORACLES |= _area.ORACLES
