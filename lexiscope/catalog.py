@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiscope.plans import evaluation, style
+from lexiscope.plans import evaluation, style, verdicts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in (style, evaluation):
+for _area in (style, evaluation, verdicts):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
