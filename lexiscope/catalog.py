@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiscope.plans import evaluation, style, verdicts
+from lexiscope.plans import evaluation, events, style, verdicts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in (style, evaluation, verdicts):
+for _area in (style, evaluation, verdicts, events):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
