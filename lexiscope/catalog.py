@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiscope.plans import curation, evaluation, events, style, verdicts
+from lexiscope.plans import curation, evaluation, events, pairs, style, verdicts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _area in (style, evaluation, verdicts, events, curation):
+for _area in (style, evaluation, verdicts, events, curation, pairs):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
