@@ -11,28 +11,30 @@ from __future__ import annotations
 
 import math
 import re
-from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import materialise, per_document
+from lexiscope.llm.common import materialise, per_document, slices
+from lexiscope.session import prepare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Rules: a statistic is too high from a cutoff on. Ratios are compared on this grid.
+#: Rules: a statistic, (count, divided by a count, and by a number), is too high from a cutoff on.
 RULES = {
-    "symbol_ratio": "n_symbols / n_words",
-    "repeat_ratio": "n_repeat_words / n_words",
-    "dup_line_ratio": "n_dup_lines / n_lines",
-    "shout_ratio": "n_shout_words / n_words",
-    "stutter_ratio": "n_stutter_words / n_words",
-    "word_length": "word_chars / n_words / 40",
+    "symbol_ratio": ("n_symbols", "n_words", 1.0),
+    "repeat_ratio": ("n_repeat_words", "n_words", 1.0),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 1.0),
+    "shout_ratio": ("n_shout_words", "n_words", 1.0),
+    "stutter_ratio": ("n_stutter_words", "n_words", 1.0),
+    "word_length": ("word_chars", "n_words", 40.0),
 }
 CUTOFFS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)
 RISK, DELTA = 0.02, 0.05
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_shout_words long, n_stutter_words long"
+NAMES = [x.split()[0] for x in COUNTS.split(", ")]
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -60,20 +62,19 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def measured(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, the counts, and any extra columns asked for."""
-    names = [x.split()[0] for x in COUNTS.split(", ")]
     extra = extra or []
     kinds = dict(docs.dtypes)
 
     def run(i, t, *more):
         rows = [measure(x) for x in t]
-        return {"doc_id": i} | {n: [r[k] for r in rows] for k, n in enumerate(names)} | dict(zip(extra, more, strict=True))
+        return {"doc_id": i} | {n: [r[k] for r in rows] for k, n in enumerate(NAMES)} | dict(zip(extra, more, strict=True))
 
     return per_document(docs, ["doc_id", "text", *extra], run, f"doc_id long, {COUNTS}" + "".join(f", {c} {kinds[c]}" for c in extra))
 
 
 def with_ratios(df: DataFrame) -> DataFrame:
     """Adds each rule's statistic; no words or lines: zero."""
-    return df.withColumns({name: F.expr(f"coalesce(try_divide({e.split(' / ', 1)[0]}, ({e.split(' / ', 1)[1].split(' / ')[0]})){' / 40' if e.endswith('/ 40') else ''}, 0d)") for name, e in RULES.items()})
+    return df.withColumns({name: F.coalesce(F.try_divide(F.col(a).cast("double"), b) / d, F.lit(0.0)) for name, (a, b, d) in RULES.items()})
 
 
 def base_failed() -> F.Column:
@@ -133,6 +134,18 @@ def calibrate(holdout: DataFrame, risk: float = RISK, delta: float = DELTA, cuto
     return out
 
 
+def certified(docs: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> tuple[DataFrame, list[dict]]:
+    """(doc_id, __stratum, counts, statistics and base_failed of every document; the certified cutoffs)."""
+    rows = materialise(with_ratios(measured(docs.withColumn("__stratum", stratum_of(stratum)), ["__stratum"])).withColumn("base_failed", base_failed()))
+    known = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.max("quality") == 1).alias("good"))
+    holdout = rows.filter("not base_failed").dropDuplicates(["doc_id"]).join(known, F.col("doc_id") == F.col("__id")).withColumn("stratum", F.col("__stratum"))
+    return rows, calibrate(holdout, risk, delta)
+
+
+def stratum_of(column: str) -> F.Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """docs(doc_id, text, stratum) and labels(doc_id, quality) -> a row per document: doc_id, the counts, base_failed, kept, rejected_by.
 
@@ -141,21 +154,36 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     documents for any bound has the base rules alone, as has a table without labels. A null text has
     no words and fails. Labels that repeat a doc_id count once, and as good if any says so. Repeated
     documents and null doc_ids stay; other columns are ignored."""
-    rows = materialise(with_ratios(measured(docs.withColumn("__stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))), ["__stratum"])).withColumn("base_failed", base_failed()))
-    known = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.max("quality") == 1).alias("good"))
-    holdout = rows.filter("not base_failed").dropDuplicates(["doc_id"]).join(known, F.col("doc_id") == F.col("__id")).withColumn("stratum", F.col("__stratum"))
-    rejects = [F.when((F.col("__stratum") == c["stratum"]) & (F.col(c["rule"]) >= c["cutoff"]), F.lit(c["rule"])) for c in calibrate(holdout, risk, delta)]
+    rows, cuts = certified(docs, labels, stratum, risk, delta)
+    rejects = [F.when((F.col("__stratum") == c["stratum"]) & (F.col(c["rule"]) >= c["cutoff"]), F.lit(c["rule"])) for c in cuts]
     out = rows.withColumn("rejected_by", F.array_compact(F.array(*rejects)) if rejects else F.expr("cast(array() as array<string>)"))
-    names = [x.split()[0] for x in COUNTS.split(", ")]
-    return out.select("doc_id", *names, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
+    return out.select("doc_id", *NAMES, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
+
+
+def passes(text: str | None, stratum: str, cuts: dict[str, list[tuple[str, float]]]) -> bool:
+    """The verdict on one text, as judge() gives it."""
+    got = dict(zip(NAMES, measure(text), strict=True))
+    if got["n_words"] < 50 or 100 * got["n_repeat_words"] > 50 * got["n_words"]:
+        return False
+    return all(got[RULES[r][0]] / got[RULES[r][1]] / RULES[r][2] < cut for r, cut in cuts.get(stratum, ()))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The documents that judge() keeps, with all their columns, those without a doc_id included.
+
+    Texts are measured once for the cutoffs and again where they are kept or dropped, so no text is shuffled."""
+    cuts: dict[str, list[tuple[str, float]]] = {}
+    for c in certified(docs, labels, stratum, risk, delta)[1]:
+        cuts.setdefault(c["stratum"], []).append((c["rule"], c["cutoff"]))
 
+    columns = docs.columns
 
-def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The documents that judge() keeps, with all their columns.
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                texts, strata = part.column("__text").to_pylist(), part.column("__stratum").to_pylist()
+                kept = [passes(t, s, cuts) for t, s in zip(texts, strata, strict=True)]
+                yield part.filter(pa.array(kept, pa.bool_())).select(columns)
 
-    Rows are matched by doc_id: where rows repeat one, they stay only if each of them is kept. Rows
-    without a doc_id are judged by the base rules alone, in the same pass over the text."""
-    bad = judge(docs, labels, stratum).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.filter("doc_id is not null").join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
-    words = F.array_compact(F.split("text", r"[\x20\x09-\x0D]+"))
-    return named.unionByName(docs.filter(F.col("doc_id").isNull() & (F.size(F.filter(words, lambda w: w != "")) >= 50)))
+    prepare(docs.sparkSession)
+    return docs.withColumn("__text", F.col("text")).withColumn("__stratum", stratum_of(stratum)).mapInArrow(run, docs.schema)

@@ -267,6 +267,8 @@ def test_rules_are_certified_and_reject(spark):
     assert all(r["kept"] for r in quality_rules.judge(frame(spark, texts), labels, risk=0.001).collect())  # too few labels for the bound
     kept = quality_rules.keep_good(frame(spark, texts + ["short", None]), labels)
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and kept.count() == 80
+    again = quality_rules.keep_good(frame(spark, texts + ["short", None]), labels, risk=0.99, delta=0.5)
+    assert sorted(r["doc_id"] for r in again.collect()) == list(range(40))
 
 
 # --- 5 ---------------------------------------------------------------------------------------
