@@ -140,6 +140,8 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, share: float = S
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = K, share: float = SHARE) -> DataFrame:
-    """The documents in which no item is found, with all their columns; those without a doc_id stay."""
-    found = contaminated(docs, items, k, share).select(F.col("doc_id").alias("__id")).distinct()
+    """The documents in which no item is found, with all their columns; those without a doc_id stay.
+
+    The ids of the others are written first, so that their size is known when the join with the texts is planned."""
+    found = materialise(contaminated(docs, items, k, share).select(F.col("doc_id").alias("__id")).distinct())
     return docs.join(found, docs.doc_id == found["__id"], "left_anti")
