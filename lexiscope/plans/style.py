@@ -169,7 +169,7 @@ select doc_id, md5(array_to_string(case when coalesce(colon, 0) > 0 and len(plai
 select doc_id, case when regexp_matches(s, '(^|[._/-])k[ro]([._/-]|$)|korean') then 'ko' when regexp_matches(s, '(^|[._/-])ja([._/-]|$)|japanese') then 'ja' when regexp_matches(s, '(^|[._/-])zh([._/-]|$)|chinese') then 'zh' when en >= 80 and en > 2 * (ko + ja + zh) then 'en' when ko >= 8 and ko >= ja and ko >= zh then 'ko' when ja >= 8 then 'ja' when zh >= 8 then 'zh' else 'en' end as detected from c""",
     "n11_zero_width": r"select doc_id, length(regexp_replace(text, '\s+', '', 'g')) // 4 as n_marks from documents",
     "n12_homoglyph": f"select doc_id, md5(translate(text, '{T.HOMOGLYPHS[0]}', '{T.HOMOGLYPHS[1]}')) as digest from documents",
-    "n14_strip_punct": r"select doc_id, md5(regexp_replace(text, '[.,!?;:()\[\]{}""''…—–\-。！？、]', '', 'g')) as digest from documents".replace('""', '"'),
+    "n14_strip_punct": r"select doc_id, md5(regexp_replace(text, '[.,!?;:()\[\]{}" + '"' + r"''…—–\-。！？、]', '', 'g')) as digest from documents",
     "n15_repeat_sentences": rf"select doc_id, coalesce(list_sum(list_transform({PIECES}, lambda p: length(p) * case when regexp_matches(p, '[^.!?\s]') then 2 else 1 end)), 0)::bigint as n_chars2 from documents",
     "n16_text_hash": "select doc_id, 'sha256:' || sha256(text) as text_hash from documents",
     "n17_redact": f"select doc_id, md5({SECRET_SQL}) as digest from documents",

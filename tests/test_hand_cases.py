@@ -198,6 +198,15 @@ def test_diffs(spark):
     assert (r["i"], r["first"], r["last"]) == (0, 0, 1)
 
 
+def test_cohesion_of_groups(spark):
+    rng = random.Random(7)
+    rows = [(i, int(i < 12), [rng.gauss(1.0 if i < 12 and j == 0 else 0.0, 0.4) for j in range(5)]) for i in range(40)] + [(40, 0, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    groups = {r["g"]: r["cohesion"] for r in X.cohesion(df, "v", ["g"]).collect()}
+    r = X.cohesion_test(df, "v", F.col("g") == 1, "id", 20).first()
+    assert (r["inside"], r["outside"]) == (groups[1], groups[0]) and r["p"] == pytest.approx(1 / 21)
+
+
 def test_pick_winner(spark):
     df = spark.createDataFrame([(1, "A", 20.0, 60.0, 90.0, 0.1), (1, "B", 30.0, 90.0, 90.0, 0.3), (1, "C", 30.0, 95.0, 90.0, 0.2)], "item int, config string, score double, mps double, fidelity double, churn double")
     assert P.pick_winner(df, "item").first()["config"] == "C"
