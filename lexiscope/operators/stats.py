@@ -77,17 +77,17 @@ def cohesion_test(df: DataFrame, vector: str, group: Column, key: str, iteration
     A replicate draws as many keys as the group has by the order of a hash. Only keys are ranked; the drawn
     ones then meet their vectors, and the outside is the total less the inside."""
     base = unit_vectors(df, vector).select(F.col(key).alias("k"), group.alias("g"), "has", "u")
-    all_ = base.agg(F.count("*").alias("N"), F.count_if("has").alias("K"), F.count_if("g").alias("n"))  # one row
+    all_ = base.agg(F.count("*").alias("rows"), F.count_if("has").alias("longs"), F.count_if("g").alias("size"))  # one row
     reps = base.select("k", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("rep"))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("k", "rep", F.lit(seed)), "k"))
-    drawn = reps.withColumn("r", rank).crossJoin(F.broadcast(all_)).filter("r <= n").select("k", "rep")
+    drawn = reps.withColumn("r", rank).crossJoin(F.broadcast(all_)).filter("r <= size").select("k", "rep")
     members = drawn.unionByName(base.filter("g").select("k", F.lit(0).alias("rep")))
     long = base.select("k", "has", F.posexplode("u").alias("i", "x"))
     inside = members.join(long, "k").groupBy("rep", "i").agg(F.sum("x").alias("s"), F.count_if("has").alias("kin"), F.count("*").alias("nin"))
     total = long.groupBy("i").agg(F.sum("x").alias("t"))
     q = inside.join(total, "i").groupBy("rep").agg(F.sum(F.col("s") * F.col("s")).alias("qi"), F.sum((F.col("t") - F.col("s")) * (F.col("t") - F.col("s"))).alias("qo"), F.max("kin").alias("kin"), F.max("nin").alias("nin")).crossJoin(F.broadcast(all_))
     mean = lambda q2, has, n: F.when(n >= 2, r6((q2 - has) / (n * (n - 1)), 5))
-    every = q.select("rep", mean(F.col("qi"), F.col("kin"), F.col("nin")).alias("inside"), mean(F.col("qo"), F.col("K") - F.col("kin"), F.col("N") - F.col("nin")).alias("outside")).withColumn("gap", F.col("inside") - F.col("outside"))
+    every = q.select("rep", mean(F.col("qi"), F.col("kin"), F.col("nin")).alias("inside"), mean(F.col("qo"), F.col("longs") - F.col("kin"), F.col("rows") - F.col("nin")).alias("outside")).withColumn("gap", F.col("inside") - F.col("outside"))
     real = every.filter("rep = 0").select("inside", "outside", "gap")
     return every.filter("rep > 0").select(F.col("gap").alias("other")).crossJoin(F.broadcast(real)).groupBy("inside", "outside", "gap").agg(((F.count_if(F.col("other") >= F.col("gap")) + 1) / (F.count("*") + 1)).alias("p"))
 
