@@ -379,7 +379,7 @@ def select_iteration(df: DataFrame, item: str, target: float = 30.0, plateau: fl
     x = df.withColumn("__prev", F.lag("combined").over(w))
     reason = (
         F.when(F.col("fidelity") < floor, "fidelity-floor").when(F.col("mps").isNull(), "mps-failure").when(F.col("mps") < floor, "mps-floor").when(F.col("after") <= target, "target")
-        .when(F.col("__prev") - F.col("combined") < 0, "regression").when(F.col("before") - F.col("after") <= plateau, "plateau").when(F.col("iteration") >= most, "max-iterations")
+        .when(F.round(F.col("__prev") - F.col("combined"), 6) < 0, "regression").when(F.col("before") - F.col("after") <= plateau, "plateau").when(F.col("iteration") >= most, "max-iterations")
     )
     x = x.withColumn("reason", reason).withColumn("stop", F.min(F.when(F.col("reason").isNotNull(), F.col("iteration"))).over(Window.partitionBy(item)))
     x = x.filter(F.col("stop").isNull() | (F.col("iteration") <= F.col("stop")))

@@ -213,7 +213,7 @@ select doc_id, dropped, negation_delta, {r6('ratio', 4)} as ratio, recall, true
     "p19_ab_summary": f"with {ENT}, b as (select item, score as base from en where config = (select min(config) from en)), g as (select config, count(*) as n, {r6('avg(score)', 4)} as score, {r6('avg(churn)', 4)} as churn, {r6('avg(score - base)', 4)} as delta from en left join b using (item) group by config), w as (select config, count(*) as wins from wn group by config) select g.*, coalesce(wins, 0) as wins from g left join w using (config)",
     "p20_select_iteration": """with x as (select l_orderkey as item, l_linenumber as iteration, 100.0 - 12 * l_linenumber + l_partkey % 9 as after, l_suppkey % 40 + 64 as fidelity, case when l_partkey % 17 <> 0 then l_partkey % 40 + 65 end as mps from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey from lineitem group by all)),
 y as (select *, after + 5 - item % 5 as before, after * 0.6 + (100 - fidelity) * 0.4 as combined from x), z as (select *, lag(combined) over (partition by item order by iteration) as pv from y),
-r as (select *, case when fidelity < 70 then 'fidelity-floor' when mps is null then 'mps-failure' when mps < 70 then 'mps-floor' when after <= 30 then 'target' when pv - combined < 0 then 'regression' when before - after <= 2 then 'plateau' when iteration >= 5 then 'max-iterations' end as reason from z),
+r as (select *, case when fidelity < 70 then 'fidelity-floor' when mps is null then 'mps-failure' when mps < 70 then 'mps-floor' when after <= 30 then 'target' when round(pv - combined, 6) < 0 then 'regression' when before - after <= 2 then 'plateau' when iteration >= 5 then 'max-iterations' end as reason from z),
 s as (select *, min(case when reason is not null then iteration end) over (partition by item) as stop from r), k as (select * from s where stop is null or iteration <= stop),
 a as (select item, max(stop) as stop, arg_max(reason, iteration) filter (where stop is not null and iteration = stop) as reason, arg_min(before, iteration) as start, min(struct_pack(a := after, i := iteration)) filter (where coalesce(reason, '') not in ('fidelity-floor', 'mps-failure', 'mps-floor', 'regression')) as best from k group by item)
 select item, stop, coalesce(reason, 'completed') as reason, case when coalesce(best.a < start, false) then best.a else start end::double as score, case when coalesce(best.a < start, false) then best.i else 0 end as iteration from a""",
