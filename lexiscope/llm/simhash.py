@@ -254,8 +254,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, bits: int = BITS) -> D
     Rows that repeat a doc_id count as one document, so one of them stays. Rows without a doc_id
     can't be told apart and all stay. At four bits or fewer the estimated cosine of two
     shingle sets is 0.98 or more, so every group is above the similarity of 0.8."""
-    marked = near_duplicates(docs, words, bits).filter("doc_id = component_id")
-    keep = materialise(marked.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
+    return keep_first(docs, near_duplicates(docs, words, bits))
+
+
+def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs without the documents that marked(doc_id, component_id) places under another id; a repeated doc_id stays once."""
+    keep = materialise(marked.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
     again = keep.filter("__n > 1")
     out = docs.join(keep.filter("__n = 1"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.filter("doc_id is null"))
     if not again.isEmpty():

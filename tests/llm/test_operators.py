@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bpe, decontam, licenses, line_dedup, quality_model, quality_rules, records, sharding, simhash, toxicity
+from lexiscope.llm import bpe, decontam, licenses, line_dedup, minhash, quality_model, quality_rules, records, sharding, simhash, toxicity
 from lexiscope.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -125,6 +125,59 @@ def test_drop_near_duplicates_keeps_one_of_each(spark):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect()) == [-1, 0, 3, 4]
 
 
+def edited(rng, n=60):
+    """Texts with copies that have one word in 25 to 100 changed, chains of such copies, and texts that share a half."""
+    texts = [prose(rng, rng.randint(60, 400)) for _ in range(n)]
+    for t in list(texts):
+        for _ in range(rng.choice((1, 1, 2, 6))):
+            w = t.split()
+            step = rng.choice((25, 35, 50, 100))
+            for i in range(rng.randrange(step), len(w), step):
+                w[i] = "changed%d" % rng.randrange(10**6)
+            texts.append(" ".join(w))
+            t = rng.choice((t, texts[-1]))
+    half = prose(rng, 150)
+    return texts + [f"{half} {prose(rng, 100)}" for _ in range(6)] + ["", None, "a b", "A  b", "a b c"]
+
+
+def groups_of_sets(texts, words=5, share=0.8):
+    """(component of each text, pairs at `share` or more) by brute force over sets of word tuples."""
+    cut = lambda t: (t or "").encode().lower().split()
+    sets = [{tuple(w[i : i + min(words, len(w))]) for i in range(len(w) - min(words, len(w)) + 1)} if w else {()} for w in map(cut, texts)]
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= share]
+    root = list(range(len(texts)))
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root, pairs
+
+
+@pytest.mark.parametrize("block", [2000, minhash.BLOCK])
+def test_shingle_near_duplicates_match_brute_force(spark, block):
+    texts = edited(random.Random(21))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, texts), block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == groups_of_sets(texts)[0]
+
+
+def test_pipeline_stage_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    texts = edited(random.Random(22), 20)
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups_of_sets(texts)[0]))
+
+
+def test_buckets_are_searched_whole():
+    rng = random.Random(23)
+    texts = list(dict.fromkeys(t for t in edited(rng, 12) if t and len(t) > 9))
+    sets = [minhash.shingles(t, 5, licenses.Words()) for t in texts]
+    a, b = minhash.stars(np.arange(len(texts)), sets, 0.8)
+    root = list(range(len(texts)))
+    for x, y in zip(a, b, strict=True):
+        root[y] = x
+    assert root == groups_of_sets(texts)[0]
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(200, 260)] + [(5, 900), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
