@@ -32,13 +32,13 @@ PLAIN, NUM, UNIT, END = 0, 1, 2, 4
 
 
 class Memo:
-    """White-space chunk -> (hash of its bare lower-case word, class, capitalised); bounded, as it starts anew when full."""
+    """White-space chunk -> (hash of its bare lower-case word, class, capitalised, ends a sentence, has a word); bounded, as it starts anew when full."""
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple[int, int, bool, bool]] = []
+        self.rows: list[tuple[int, int, bool, bool, bool]] = []
         self.hash, self.kind = np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        self.cap = self.end = np.zeros(0, bool)
+        self.cap = self.end = self.word = np.zeros(0, bool)
 
     def look(self, chunks: list[str]) -> np.ndarray:
         from xxhash import xxh64_intdigest
@@ -53,19 +53,25 @@ class Memo:
             bare = BARE.sub("", c)
             word = bare.lower()
             kind = NUM if NUMBER.fullmatch(word) else UNIT if word in UNITS else PLAIN
-            self.rows.append((xxh64_intdigest(word.encode()), kind, bare[:1].isupper() and len(bare) > 1, c[-1:] in ".!?:;"))
+            self.rows.append((xxh64_intdigest(word.encode()), kind, bare[:1].isupper() and len(bare) > 1, c[-1:] in ".!?:;", bool(bare)))
         if fresh:
             new = self.rows[len(self.hash) :]
-            cols = [np.array([r[j] for r in new], t) for j, t in enumerate((np.uint64, np.int8, bool, bool))]
-            self.hash, self.kind, self.cap, self.end = (np.concatenate(x) for x in zip((self.hash, self.kind, self.cap, self.end), cols, strict=True))
+            cols = [np.array([r[j] for r in new], t) for j, t in enumerate((np.uint64, np.int8, bool, bool, bool))]
+            self.hash, self.kind, self.cap, self.end, self.word = (np.concatenate(x) for x in zip((self.hash, self.kind, self.cap, self.end, self.word), cols, strict=True))
         return np.fromiter(map(ids.__getitem__, chunks), np.int64, len(chunks))
 
 
 def canonical(text: str | None, memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word as written, of each word as template, whether it is a slot); chunks without a word are left out."""
+    """(hash of each word as written, of each word as template, whether it is a slot); chunks without a word are left out, but end the sentence of the word before."""
     chunks = (text or "").split()
     at = memo.look(chunks)
-    plain, kind, cap, end = memo.hash[at], memo.kind[at], memo.cap[at], memo.end[at]
+    end, word = memo.end[at], memo.word[at]
+    if not word.all():
+        ends = np.cumsum(word)[end] - 1
+        at = at[word]
+        end = np.zeros(len(at), bool)
+        end[ends[ends >= 0]] = True
+    plain, kind, cap = memo.hash[at], memo.kind[at], memo.cap[at]
     inside = np.concatenate([[False], ~end[:-1]]) if len(at) else np.zeros(0, bool)
     slot = (kind != PLAIN) | (cap & inside)
     template = np.where(kind == NUM, np.uint64(1), np.where(kind == UNIT, np.uint64(2), np.where(slot, np.uint64(3), plain)))

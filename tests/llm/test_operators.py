@@ -349,6 +349,16 @@ def test_reparameterised_copies_need_consistent_slots(spark):
     assert got == {0: "reparameterised", 2: "verbatim"}
 
 
+def test_decontamination_passes_over_lone_marks(spark):
+    item = "When the first train, full of guests, left town: nobody stayed. Was it late, or early? The old guard, alone, knew; he said nothing, and slept."
+    spaced = re.sub(r"([.,;:!?])", r" \1 ", item)
+    dashed = " - ".join(item.split()) + " *"
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["share"]) for r in decontam.contaminated(frame(spark, [spaced, dashed, item]), items_of(spark, [item, spaced])).collect()}
+    assert got == {(d, i): ("verbatim", 1.0) for d in range(3) for i in range(2)}
+    for a, b in zip(decontam.canonical(item, decontam.Memo()), decontam.canonical(". " + spaced, decontam.Memo()), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, items = frame(spark, ["a b c d e f g h"]), items_of(spark, ["a b c d e f g h"])
     assert decontam.contaminated(docs.limit(0), items).count() == 0
