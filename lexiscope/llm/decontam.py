@@ -3,8 +3,9 @@
 Words of documents and items become typed placeholders where they can be swapped without changing the
 question: numbers, units, and names (capitalised inside a sentence). Windows of K words are hashed twice,
 as written and as templates, and joined to the windows of the items. An item is found where enough of
-its windows are; if only its templates are, the slots must also be consistent: each value of the item
-stands for one value in the document and the other way round, as in a re-parameterised copy.
+its windows are; if only its templates are, the slots must also be consistent within one occurrence: each
+value of the item stands for one value in the document, as in a re-parameterised copy. Occurrences are told
+apart by the offset of a hit in the document against its place in the item; a document may hold many.
 
 A bitmap of fixed size spares windows that are in no item from the join, so nothing that grows with the
 benchmark is broadcast, and the join itself is an ordinary one of hits with item windows."""
@@ -14,12 +15,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.llm.common import in_bitmap, key_bitmap, materialise, per_document, rolling
 
-K, SHARE, LITERALS = 6, 0.4, 3
+K, SHARE, LITERALS, SLACK = 6, 0.4, 3, 4
 BARE = re.compile(r"^\W+|\W+$")
 NUMBER = re.compile(r"[+-]?[\d.,:/]*\d[\d.,:/]*(?:st|nd|rd|th)?|zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million")
 #: Measures and currencies, any of which can stand in a slot.
@@ -109,7 +110,8 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, share: float = S
     doc_id, item_id, share (of the item's windows), kind (verbatim or reparameterised), first_word, last_word.
 
     An item is found if at least `share` of its windows, and two, are in the document: as
-    written, or with consistent slots as templates. Items of fewer than k words have no window and
+    written, or in one occurrence as templates with consistent slots; first_word and last_word
+    span what was found. Items of fewer than k words have no window and
     can't be found; neither can null or empty texts. Items that repeat are found each. Rows
     without a doc_id are left out; rows that repeat one count as one document. Other columns are
     ignored; an empty table on either side gives an empty result."""
@@ -134,15 +136,25 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, share: float = S
 
     hits = per_document(docs.filter("doc_id is not null"), ["doc_id", "text"], run, "doc_id long, hits array<struct<p:int,shaped:boolean,w:long,vals:array<long>>>")
     hits = hits.filter(F.size("hits") > 0).select("doc_id", F.inline("hits"))
-    met = materialise(hits.join(windows.withColumnRenamed("vals", "wants"), ["w", "shaped"]))
-    counted = met.groupBy("doc_id", "item_id", "total").agg(F.count_distinct(F.when(~F.col("shaped"), F.col("pos"))).alias("plain"), F.count_distinct("pos").alias("any"), F.min("p").alias("first_word"), (F.max("p") + k - 1).alias("last_word"))
-    pairs = met.filter("shaped").select("doc_id", "item_id", F.explode(F.arrays_zip("wants", "vals")).alias("s")).filter("s.wants <> 0")
-    slots = pairs.groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("both"), F.count_distinct("s.wants").alias("wants"), F.count_distinct("s.vals").alias("has"))
-    joined = counted.join(slots, ["doc_id", "item_id"], "left")
+    met = materialise(hits.join(windows.withColumnRenamed("vals", "wants"), ["w", "shaped"]).withColumn("lane", F.col("p") - F.col("pos")))
+    # occurrences: the whole document, runs of lanes no further apart than the item is long or than a few words, and each lane alone
+    order = Window.partitionBy("doc_id", "item_id").orderBy("lane")
+    gap = F.col("lane") - F.lag("lane").over(order)
+    lanes = met.select("doc_id", "item_id", "total", "lane").distinct().withColumn("far", F.coalesce(gap > F.col("total"), F.lit(False)).cast("int")).withColumn("apart", F.coalesce(gap > SLACK, F.lit(False)).cast("int"))
+    runs = F.array(*[F.struct(F.lit(n).alias("level"), c.cast("long").alias("run")) for n, c in enumerate((F.lit(0), F.sum("far").over(order), F.sum("apart").over(order), F.col("lane")))])
+    lanes = lanes.select("doc_id", "item_id", "lane", runs.alias("runs"))
+    met = met.join(lanes, ["doc_id", "item_id", "lane"]).select("*", F.inline("runs"))
+    place = ["doc_id", "item_id", "level", "run"]
+    counted = met.groupBy(*place, "total").agg(F.count_distinct(F.when(~F.col("shaped"), F.col("pos"))).alias("plain"), F.count_distinct("pos").alias("any"), F.min("p").alias("first_word"), (F.max("p") + k - 1).alias("last_word"))
+    pairs = met.filter("shaped").select(*place, F.explode(F.arrays_zip("wants", "vals")).alias("s")).filter("s.wants <> 0")
+    slots = pairs.groupBy(*place).agg(F.count_distinct("s").alias("both"), F.count_distinct("s.wants").alias("wants"))
+    joined = counted.join(slots, place, "left")
     enough = lambda c: (F.col(c) >= 2) & (F.col(c) >= share * F.col("total")) | (F.col(c) == F.col("total"))
-    consistent = (F.col("both") == F.col("wants")) & (F.col("both") == F.col("has"))
-    kind = F.when(enough("plain"), "verbatim").when(enough("any") & F.coalesce(consistent, F.lit(True)), "reparameterised")
-    return joined.withColumn("kind", kind).filter("kind is not null").select("doc_id", "item_id", (F.when(F.col("kind") == "verbatim", F.col("plain")).otherwise(F.col("any")) / F.col("total")).alias("share"), "kind", "first_word", "last_word")
+    verbatim = (F.col("level") == 0) & enough("plain")
+    rows = joined.withColumn("verbatim", verbatim).filter(F.col("verbatim") | enough("any") & F.coalesce(F.col("both") == F.col("wants"), F.lit(True)))
+    best = F.max(F.struct("verbatim", (F.when(F.col("verbatim"), F.col("plain")).otherwise(F.col("any")) / F.col("total")).alias("share")))
+    found = rows.groupBy("doc_id", "item_id").agg(best.alias("best"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+    return found.select("doc_id", "item_id", "best.share", F.when(F.col("best.verbatim"), "verbatim").otherwise("reparameterised").alias("kind"), "first_word", "last_word")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = K, share: float = SHARE) -> DataFrame:

@@ -349,6 +349,24 @@ def test_reparameterised_copies_need_consistent_slots(spark):
     assert got == {0: "reparameterised", 2: "verbatim"}
 
 
+def test_slots_are_consistent_within_an_occurrence(spark):
+    item = "A train with 12 cars leaves the station and meets Alice after 30 minutes while 12 people wait for Alice at the other end of town"
+    one, two = item.replace("12", "99").replace("Alice", "Robert"), item.replace("12", "7").replace("30", "45")
+    inserted = two.replace("minutes while", "minutes of very slow and quite boring travel while")
+    far = prose(random.Random(12), 400)
+    docs = [
+        f"{one}. {two}.",
+        f"{far} {one} {far} {two} {far}",
+        f"{one} {far} a train with 12 cars leaves the station",
+        item.replace("12", "7").replace("30", "7"),
+        f"{inserted} {far} meets Alice after 31 minutes while 13 people wait for Bob",
+        item.replace("12", "99", 1).replace("30", "45"),
+        f"{far} a train with 12 cars leaves the station {far}",
+    ]
+    got = {r["doc_id"]: r["kind"] for r in decontam.contaminated(frame(spark, docs), items_of(spark, [item]), share=0.6).collect()}
+    assert got == dict.fromkeys(range(5), "reparameterised")
+
+
 def test_decontamination_passes_over_lone_marks(spark):
     item = "When the first train, full of guests, left town: nobody stayed. Was it late, or early? The old guard, alone, knew; he said nothing, and slept."
     spaced = re.sub(r"([.,;:!?])", r" \1 ", item)
