@@ -20,6 +20,7 @@ from lexiscope.llm.fitting import platt, remainder, sample, sigmoid
 
 BITS, DIM = 17, 8
 PER_CLASS = 2000
+LONG = 40
 WORD = re.compile(r"[^\W_](?:[\w'@$*!+-]*[^\W_])?")
 
 
@@ -27,13 +28,18 @@ def grams(word: str) -> list[int]:
     """Bucket numbers of a word's n-grams, the whole word first."""
     from xxhash import xxh32_intdigest
 
-    b = f"<{word[:40]}>"
+    b = f"<{word}>"
     parts = [b] + [b[i : i + n] for n in (3, 4, 5) for i in range(len(b) - n + 1) if n < len(b)]
     return [xxh32_intdigest(p) >> (32 - BITS) for p in parts]
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    """Distinct words; a longer run is cut into overlapping pieces that together have each of its n-grams."""
+    words = set(WORD.findall((text or "").lower()))
+    for w in [w for w in words if len(w) > LONG]:
+        words.remove(w)
+        words.update(w[i : i + LONG] for i in range(0, len(w) - 4, LONG - 4))
+    return words
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:

@@ -227,6 +227,17 @@ def test_quality_model_held_out(spark):
     assert all((r["score"] >= 0.3) == r["predicted"] for r in out)
 
 
+def test_toxicity_takes_the_whole_of_long_words():
+    for n in (39, 40, 41, 76, 77, 80, 81, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(run)
+        assert max(map(len, pieces)) <= toxicity.LONG
+        assert all(any(run[i : i + 5] in p for p in pieces) for i in range(n - 4))
+    inner = set(toxicity.grams("罵倒罵倒罵")) - set(toxicity.grams("罵倒罵倒罵")[:1])
+    inner = {g for g in inner if g in toxicity.grams("字罵倒罵倒罵字")}
+    assert len(inner) >= 3 and inner <= set(toxicity.bag("字" * 50 + "罵倒罵倒罵" + "字" * 5)[0].tolist())
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality_model, "quality")])
 def test_classifiers_take_odd_rows(spark, module, label):
     docs = frame(spark, [None, "", "x", " "]).unionByName(spark.createDataFrame([(None, "y", "en", "s", 1), (1, "", "en", "s", 0)], SCHEMA)).withColumn("score", F.lit("clash"))
