@@ -17,14 +17,14 @@ def remainder(doc_id: str, mod: int) -> F.Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Column, bound: int) -> tuple[DataFrame, dict[int, float]]:
     """About `bound` training rows of each class as (doc_id, text, y), drawn by a hash, and the share drawn of each class.
 
-    labels(doc_id, label) count where the label is 0 or 1; a doc_id with both counts as 1. The drawn
-    ids are at most a few thousand, whatever the size of the tables, so they are broadcast."""
+    labels(doc_id, label) count where the label is 0 or 1; a doc_id with both counts as 1. The draw bounds
+    the ids by itself, whatever the size of the tables: about `bound` of each class, so they are broadcast."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(train).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rates = {y: min(1.0, bound / n) for y, n in counts.items()}
     drawn = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(GRAIN))
     chosen = known.filter(F.expr("false") if not rates else F.coalesce(*[F.when(F.col("y") == y, drawn < int(r * GRAIN)) for y, r in rates.items()]))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.limit(4 * bound)), F.col("doc_id") == F.col("__id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     return rows.select("doc_id", "text", F.col("y").cast("int").alias("y")), rates
 
 
