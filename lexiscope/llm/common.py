@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +17,31 @@ from lexiscope.session import prepare
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that setting is absent (tests)."""
+    """A new folder below spark.checkpoint.dir, as a whole URI. Where that setting is absent, a local session (as in tests) gets a temporary one and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/lexiscope-shared"
-    return f"{base.rstrip('/')}/lexiscope/{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = own_dir()
+    return whole_uri(spark, f"{base.rstrip('/')}/lexiscope/{uuid.uuid4().hex}")
+
+
+def whole_uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers and writers take it, with the scheme of the default file system where it has none."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
+@cache
+def own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def open_fs(uri: str):
+    """The file system of a whole URI and the path in it; a scheme the workers' library knows (file, hdfs, s3, gs)."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -28,6 +51,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many marks before it as it takes to be none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def per_document(docs: DataFrame, columns: list[str], f: Callable[..., Iterator[dict]], schema: str) -> DataFrame:
     """Run f over slices of the named columns, given as Python lists; f returns one list for each column of the schema."""
     from pyspark.sql.types import StructType
@@ -108,18 +142,20 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """edges(a, b) -> (node, root) for every node with an edge; root is the smallest node of its component.
 
-    Large-star and small-star rounds. Each takes minima by partial aggregation and joins them
-    back, so a hub's neighbours never have to meet in one task. Rounds end when nothing changes."""
+    Large-star and small-star rounds. Each takes minima by partial aggregation, writes them, and joins
+    them back; as both sides of that join are plain shuffles, Spark can split the neighbours of a hub
+    between tasks. Rounds end when nothing changes."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = materialise(e)
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # a node without larger neighbours still hangs on its own minimum
         large = large.unionByName(low.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large)
+        low2 = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.unionByName(low2.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         # settled when every node has one edge and no root hangs on another node

@@ -2,9 +2,10 @@
 
 Documents come in batches of ascending doc_id. The lines of a batch are hashed; those already in a run
 belong to an earlier document and go; of the others, the smallest doc_id of the batch owns each hash.
-The batch then adds its owned hashes as a new run. A run is a table bucketed and sorted by hash, so a
-merge join reads it without a shuffle. When a level has FAN runs they are merged into one of the next
-level, so the number of runs a batch meets grows with the logarithm of the number of batches.
+The batch then adds its owned hashes as a new run. A run is a table bucketed by hash, each bucket one
+sorted file, and so is the table of a batch's hashes: joins between them are merge joins of files as they
+lie, without shuffle or sort. When a level has FAN runs they are merged, bucket by bucket, into
+one of the next level, so the number of runs a batch meets grows with the logarithm of the number of batches.
 
 DataFrame operations only. A frequent line is first reduced to one row per document and then, by
 partial aggregation, to one row per task before any shuffle by hash; the way back to its documents is
@@ -13,15 +14,19 @@ a sort-merge join, whose large partitions Spark splits."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import materialise
+from lexiscope.llm.common import materialise, unused
 
 FAN = 3
 MIN_CHARS = 10
+#: Lines of a batch and of a bucket, which set the number of both; the least and the most of each.
+BATCH_LINES, BATCHES = 50_000_000, (5, 64)
+BUCKET_LINES, BUCKETS = 2_000_000, (8, 20_000)
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,49 +49,91 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "pos", "k.h", "k.g")
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Bucketed tables are read bucket by bucket, and a bucket of one file in its order."""
+    keys = ("spark.sql.legacy.bucketedTableScan.outputOrdering", "spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("true", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
 class Runs:
     """The runs of a corpus so far: level -> tables of (h, g, owner)."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 16):
+    def __init__(self, spark: SparkSession, buckets: int = BUCKETS[0]):
         self.spark, self.buckets = spark, buckets
         self.levels: dict[int, list[str]] = {}
+        self.merges = 0
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for runs in self.levels.values() for name in runs]
 
     def write(self, rows: DataFrame) -> str:
+        """A table in buckets of one sorted file each, if the rows come in the partitions of the buckets."""
         name = f"lexiscope_run_{uuid.uuid4().hex}"
-        # one file for each bucket, in order of the hash
-        dealt = rows.repartition(self.buckets, "h").sortWithinPartitions("h", "g")
-        dealt.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        rows.write.format("parquet").bucketBy(self.buckets, "h", "g").sortBy("h", "g").saveAsTable(name)
         return name
 
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"drop table if exists {name}")
+
+    def hashes(self, lines: DataFrame) -> str:
+        """The table of a batch's hashes: h, g, the smallest doc_id as owner, and whether there are many."""
+        found = lines.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), (F.min("doc_id") != F.max("doc_id")).alias("many"))
+        return self.write(found.repartition(self.buckets, "h", "g"))
+
+    def fresh(self, found: DataFrame) -> DataFrame:
+        """The rows of a table of hashes that are in no run."""
+        return reduce(lambda x, run: x.join(run.hint("merge"), ["h", "g"], "left_anti"), self.tables(), found)
+
+    def seen(self, found: DataFrame) -> list[DataFrame]:
+        """(h, g, owner) of those that are in one, run by run."""
+        return [found.select("h", "g").join(run.hint("merge"), ["h", "g"]).select("h", "g", "owner") for run in self.tables()]
+
     def add(self, rows: DataFrame, level: int = 0) -> None:
-        """A new run; a full level is merged into the next. Hashes are in one run only, so merging is a union."""
-        self.levels.setdefault(level, []).append(self.write(rows))
+        """A new run; a full level is merged into the next. A hash is in one run only, so an outer join on it merges runs in their order."""
+        with sorted_buckets(self.spark):
+            name = self.write(rows.select("h", "g", "owner"))
+        self.levels.setdefault(level, []).append(name)
         if len(self.levels[level]) >= FAN:
-            merged, self.levels[level] = self.levels[level], []
-            self.add(reduce(DataFrame.unionByName, map(self.spark.table, merged)), level + 1)
-            for name in merged:
-                self.spark.sql(f"drop table {name}")
+            old, self.levels[level] = self.levels[level], []
+            self.merges += 1
+            self.add(merged([self.spark.table(name) for name in old]), level + 1)
+            self.drop(*old)
 
-    def known(self) -> DataFrame | None:
-        every = self.tables()
-        return reduce(DataFrame.unionByName, every) if every else None
+    def close(self) -> None:
+        self.drop(*[name for runs in self.levels.values() for name in runs])
+        self.levels = {}
 
 
-def owned(lines: DataFrame, runs: Runs) -> tuple[DataFrame, DataFrame]:
-    """The lines of one batch -> (its new owners, all its hashes with more than one document or an earlier owner).
+def merged(runs: list[DataFrame]) -> DataFrame:
+    def both(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b.withColumnRenamed("owner", "other"), ["h", "g"], "full").select("h", "g", F.coalesce("owner", "other").alias("owner"))
+
+    return reduce(both, runs)
+
+
+def drops(lines: DataFrame, runs: Runs) -> DataFrame:
+    """The lines of one batch -> (doc_id, th, drop) with the places that go; the batch's own hashes become a run.
 
     The hashes of the batch are joined with the runs only, never with other documents."""
-    found = materialise(lines.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), (F.min("doc_id") != F.max("doc_id")).alias("many")))
-    new, seen = found.select("h", "g", "owner"), []
-    for run in runs.tables():
-        new = new.join(run, ["h", "g"], "left_anti")
-        seen.append(found.select("h", "g").join(run, ["h", "g"]).select("h", "g", "owner"))
-    # every owner of an earlier run is smaller, so a document of this batch never equals it
-    shared = reduce(DataFrame.unionByName, seen, found.filter("many").select("h", "g", "owner"))
-    return new, shared.groupBy("h", "g").agg(F.min("owner").alias("owner"))
+    spark = lines.sparkSession
+    name = runs.hashes(lines)
+    found = spark.table(name)
+    with sorted_buckets(spark):
+        # an owner in a run is smaller than any doc_id of this batch
+        shared = materialise(reduce(DataFrame.unionByName, runs.seen(found), runs.fresh(found).filter("many").select("h", "g", "owner")))
+    runs.add(runs.fresh(found))
+    runs.drop(name)
+    lost = lines.join(shared, ["h", "g"]).filter("doc_id <> owner")
+    return materialise(lost.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")))
 
 
 def bounds(docs: DataFrame, batches: int) -> list[int]:
@@ -97,39 +144,40 @@ def bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(at or []))
 
 
-def dedup_lines(docs: DataFrame, batches: int = 3, buckets: int = 16) -> DataFrame:
-    """docs(doc_id, text) -> docs with all its columns, the text without its dropped lines, and n_lines, n_dropped.
+def by_volume(lines: int, size: int, limits: tuple[int, int]) -> int:
+    return min(limits[1], max(limits[0], lines // size + 1))
+
+
+def dedup_lines(docs: DataFrame, batches: int | None = None, buckets: int | None = None, counts: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> docs with all its columns, the text without its dropped lines, and n_lines, n_dropped if `counts`.
 
     A line's key of ten code points or more that is in two documents or more stays only in the
     smallest doc_id that holds it, there at every place. Shorter keys always stay. A null or empty
     text is one empty line and becomes an empty text. Rows that repeat a doc_id are one document; a
-    null doc_id is larger than any other. Extra columns stay, but for some
-    named n_lines or n_dropped, which are replaced. An empty table gives an empty result."""
+    null doc_id is larger than any other. Extra columns stay, whatever their names; with `counts`, those
+    named n_lines or n_dropped are replaced. An empty table gives an empty result."""
     spark = docs.sparkSession
     last = F.lit((1 << 63) - 1)
-    work = docs.select(F.coalesce("doc_id", last).alias("doc_id"), "text")
-    cuts = bounds(work, batches)
-    runs, drops = Runs(spark, buckets), []
+    every = materialise(lines_of(docs.select(F.coalesce("doc_id", last).alias("doc_id"), "text")))
+    n = every.count()
+    runs, gone = Runs(spark, buckets or by_volume(n, BUCKET_LINES, BUCKETS)), []
+    cuts = bounds(every, by_volume(n, BATCH_LINES, BATCHES) if batches is None else batches)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = work
+        batch = every
         if low is not None:
             batch = batch.filter(F.col("doc_id") > low)
         if high is not None:
             batch = batch.filter(F.col("doc_id") <= high)
-        lines = materialise(lines_of(batch))
-        new, shared = owned(lines, runs)
-        lost = lines.join(shared, ["h", "g"]).filter("doc_id <> owner")
-        drops.append(materialise(lost.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__drop"))))
-        if high is not None:
-            runs.add(new)
-    gone = reduce(DataFrame.unionByName, drops).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__drop")
-    joined = docs.join(gone, (F.coalesce(docs.doc_id, last) == gone["__id"]) & (F.xxhash64(docs.text) == gone["__th"]), "left")
+        gone.append(drops(batch, runs))
+    runs.close()
+    at, th, drop, lost, kept = unused(docs, "at", "th", "drop", "lost", "kept")
+    rest = reduce(DataFrame.unionByName, gone).select(F.col("doc_id").alias(at), F.col("th").alias(th), F.col("drop").alias(drop))
+    joined = docs.join(rest, (F.coalesce("doc_id", last) == F.col(at)) & (F.xxhash64("text") == F.col(th)), "left")
     lines = lines_in("text")
-    lost = F.map_from_arrays("__drop", "__drop")
-    held = F.filter(lines, lambda x, i: F.element_at("__lost", i).isNull())
-    out = joined.withColumn("__lost", lost).withColumn("__kept", F.when(F.col("__id").isNull(), lines).otherwise(held))
-    new = {"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size("__kept")).cast("long"), "text": F.array_join("__kept", "\n")}
-    return out.select(*[new["text"].alias("text") if c == "text" else c for c in docs.columns if c not in ("n_lines", "n_dropped")], new["n_lines"].alias("n_lines"), new["n_dropped"].alias("n_dropped"))
+    held = F.filter(lines, lambda x, i: F.element_at(lost, i).isNull())
+    out = joined.withColumn(lost, F.map_from_arrays(drop, drop)).withColumn(kept, F.when(F.col(at).isNull(), lines).otherwise(held))
+    new = {"n_lines": F.size(lines).cast("long"), "n_dropped": (F.size(lines) - F.size(kept)).cast("long")} if counts else {}
+    return out.select(*[F.array_join(kept, "\n").alias("text") if c == "text" else c for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])
 
 
 def oracle(table: str = "documents") -> str:
