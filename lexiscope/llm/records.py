@@ -5,12 +5,13 @@ masked CRC-32 (4). The payload is a flag byte (1: there is a doc_id; 2: all ids
 doc_id (8) and the ids (2 bytes each with flag 2, else 4). Beside each data file lies an index of (offset, length) pairs of 8 bytes each, so a reader can
 seek to any record in any order.
 
-Spark deals the documents out by ranges of doc_id and sorts each range, so files in the order of
-(part, seq) hold ascending doc_ids. Files are written under the name of the attempt and then
-moved, so a task that is run again replaces its file as a whole."""
+Texts are encoded where they lie; only ids are shuffled. Spark deals them out by ranges of doc_id and
+sorts each range, so files in the order of (part, seq) hold ascending doc_ids. Files are written under the
+name of the attempt and then moved, so a task that is run again replaces its file as a whole."""
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -23,57 +24,120 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.llm.bpe import SPACE
-from lexiscope.llm.common import materialise, shared_dir, slices
+from lexiscope.llm.common import materialise, open_fs, per_document, shared_dir, whole_uri
 from lexiscope.session import prepare
 
 END = 1
-FILE_BYTES = 8 << 20
+FILE_BYTES = 512 << 20
+#: Bytes of ids in a range: the least and the most; between them a range holds one in RANGES of all.
+LEAST, MOST, RANGES = 16 << 20, 512 << 20, 2000
 CHUNK = re.compile(f"[^{SPACE}]+")
-TAIL = ".,;!?"
+#: What str.split() takes for white space and Unicode doesn't.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+TAIL = ".,;:!?%&*#$@()=+-/"
 KEPT = 400_000
+#: How the public tokenizer cuts text, on which the memo of chunks rests.
+CUTS = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+GAP, GAP_ID = "<|endoftext|>", 49407
+
+
+def cuts_of(path: str) -> tuple[list[str], str]:
+    """The kinds of a tokenizer file's normalizers and its first split pattern."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    steps = (whole.get("normalizer") or {}).get("normalizers", [])
+    split = next(iter((whole.get("pre_tokenizer") or {}).get("pretokenizers", [])), {})
+    return [x["type"] for x in steps], (split.get("pattern") or {}).get("Regex", "")
+
+
+class Memo(dict):
+    """Chunk -> ids. What is in the older half moves over when it is asked for; what is in neither is noted in `fresh`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.fresh: set[str] = set()
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        x = self.older.get(chunk)
+        if x is None:
+            self.fresh.add(chunk)
+        else:
+            self[chunk] = x
+        return x
+
+    def turn(self) -> None:
+        """Let the older half go, and make this one the older."""
+        if len(self) >= KEPT:
+            self.older = dict(self)
+            self.clear()
 
 
 class WordCoder:
     """The tokenizers library behind a memo of white-space chunks.
 
-    The tokenizer's merges never cross white space, so a text's ids are those of its chunks in turn. A
+    The public tokenizer's merges never cross white space, so a text's ids are those of its chunks in turn. A
     chunk is lower-cased in ASCII, as the tokenizer does anyway, and one that ends in a letter and then
-    marks is looked up in two parts, as a run of marks is always a word of its own."""
+    marks is looked up in two parts, as a run of marks is always a word of its own. Chunks not met
+    before are encoded together, with the tokenizer's own mark for an end between them. A tokenizer
+    that cuts text in another way gets whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def look_up(self, c: str) -> bytes:
-        x = self.older.get(c)
-        if x is None:
+        self.chunked = cuts_of(path) == CUTS and self.tokenizer.token_to_id(GAP) == GAP_ID
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.type = "<u4" if self.wide else "<u2"
+        self.memo = Memo()
+
+    def raw(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, self.type)
+
+    def learn(self, fresh: set[str]) -> None:
+        """Put the ids of chunks into the memo."""
+        memo, halves, new = self.memo, [], set()
+        for c in fresh:
             core = c.rstrip(TAIL)
             if core != c and core and core[-1].lower().isalpha():
                 tail = c[len(core) :]
-                head = self.cache.get(core)
-                end = self.cache.get(tail)
-                x = (self.look_up(core) if head is None else head) + (self.look_up(tail) if end is None else end)
+                halves.append((c, core, tail))
+                for part in (core, tail):
+                    if memo[part] is None:
+                        new.add(part)
             else:
-                x = self.ids(c)
-        if len(c) <= 64:
-            if len(self.cache) >= KEPT:
-                self.older, self.cache = self.cache, {}
-            self.cache[c] = x
-        return x
-
-    def encode(self, text: str | None) -> bytes:
-        out = []
-        for c in CHUNK.findall((text or "").encode().lower().decode()):
-            x = self.cache.get(c)
-            out.append(self.look_up(c) if x is None else x)
-        return b"".join(out)
+                new.add(c)
+        alone = [c for c in new if GAP in c]
+        for c, ids in zip(alone, self.raw(alone), strict=True):
+            memo[c] = ids.tobytes()
+        rest = list(new.difference(alone))
+        groups = [rest[i : i + 1000] for i in range(0, len(rest), 1000)]
+        for group, ids in zip(groups, self.raw([GAP.join(g) for g in groups]), strict=True):
+            data, start, size = ids.tobytes(), 0, ids.itemsize
+            for c, end in zip(group, [*(np.flatnonzero(ids == GAP_ID) * size).tolist(), len(data)], strict=True):
+                memo[c] = data[start:end]
+                start = end + size
+        for c, core, tail in halves:
+            memo[c] = memo[core] + memo[tail]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, little-endian, of two bytes each where the vocabulary allows, else four."""
+        if not self.chunked:
+            return [x.tobytes() for x in self.raw([t or "" for t in texts])]
+        memo = self.memo
+        memo.turn()
+        chunks = []
+        for t in texts:
+            low = (t or "").encode().lower().decode()
+            chunks.append(CHUNK.findall(low) if any(c in low for c in SEPARATORS) else low.split())
+        found = [list(map(memo.__getitem__, c)) for c in chunks]
+        if memo.fresh:
+            fresh, memo.fresh = memo.fresh, set()
+            self.learn(fresh)
+            memo.fresh = set()
+            found = [[memo[c] if x is None else x for c, x in zip(own, xs, strict=True)] if None in xs else xs for own, xs in zip(chunks, found, strict=True)]
+        return [b"".join(x) for x in found]
 
 
 @cache
@@ -100,11 +164,9 @@ def frame(payload: bytes) -> bytes:
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
 
 
-def pack(doc_id: int | None, ids: bytes) -> bytes:
-    """ids are little-endian unsigned 32-bit integers."""
-    wide = np.frombuffer(ids, "<u4")
-    small = bool(len(wide) == 0 or wide.max() < 1 << 16)
-    return struct.pack("<Bq", (doc_id is not None) | small << 1, doc_id or 0) + (wide.astype("<u2").tobytes() if small else ids)
+def pack(doc_id: int | None, ids: np.ndarray) -> bytes:
+    small = bool(len(ids) == 0 or ids.max() < 1 << 16)
+    return struct.pack("<Bq", (doc_id is not None) | small << 1, doc_id or 0) + ids.astype("<u2" if small else "<u4", copy=False).tobytes()
 
 
 def unpack(payload: bytes) -> tuple[int | None, bytes]:
@@ -124,13 +186,6 @@ def read_record(data: bytes, offset: int) -> bytes:
     return payload
 
 
-def open_fs(uri: str):
-    """The file system of a path and the path in it; a scheme the workers' library knows (file, hdfs, s3, gs)."""
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 class Writer:
     """One data file and its index, moved into place when whole."""
 
@@ -141,15 +196,19 @@ class Writer:
         self.files = {kind: self.fs.open_output_stream(a) for kind, (a, _) in self.ends.items()}
         self.size = self.records = self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         data = frame(pack(doc_id, ids))
         self.files["idx"].write(struct.pack("<QQ", self.size, len(data)))
         self.files["rec"].write(data)
-        self.size, self.records, self.tokens = self.size + len(data), self.records + 1, self.tokens + len(ids) // 4
+        self.size, self.records, self.tokens = self.size + len(data), self.records + 1, self.tokens + len(ids)
 
     def close(self) -> None:
+        from pyarrow.fs import FileType
+
         for kind, (a, b) in self.ends.items():
             self.files[kind].close()
+            if self.fs.get_file_info(b).type != FileType.NotFound:  # of an attempt that was lost
+                self.fs.delete_file(b)
             self.fs.move(a, b)
 
 
@@ -168,44 +227,70 @@ def read_file(folder: str, name: str, order: np.ndarray | None = None) -> Iterat
 # --- jobs ------------------------------------------------------------------------------------
 
 
-def write_records(docs: DataFrame, folder: str, path: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+def splitters(keyed: DataFrame, ranges: int, per_range: int = 20) -> np.ndarray:
+    """Boundaries of `ranges` ranges of rows by (doc_id, tie, row), from a sample of about per_range rows for each."""
+    n = keyed.count()
+    drawn = keyed.filter(F.pmod(F.xxhash64("doc_id", "tie", "row"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, ranges * per_range / max(n, 1))))
+    got = drawn.select(F.col("doc_id").isNotNull().cast("long").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", "row").toPandas().to_numpy(np.int64).reshape(-1, 4)
+    got = got[np.lexsort(got.T[::-1])]
+    return got[[len(got) * i // ranges for i in range(1, ranges)]] if len(got) else got
+
+
+def write_records(docs: DataFrame, folder: str, path: str | None = None, file_bytes: int = FILE_BYTES, least: int = LEAST) -> DataFrame:
     """Encode docs(doc_id, text), write the files to `folder`, and return what was written: part, seq, name, records, tokens.
 
     Each document ends with id 1; a null or empty text is that id alone. Null doc_ids come first.
-    Repeated rows are written as often as they are there; other columns are ignored."""
-    prepare(docs.sparkSession)
+    Repeated rows are written as often as they are there; other columns are ignored. The number of
+    ranges follows the bytes of the texts; rows that repeat a doc_id can be cut between ranges. What
+    comes to the driver is some rows of (doc_id, hash, number) for each range."""
+    from bisect import bisect_right
+
+    spark = prepare(docs.sparkSession)
+    folder = whole_uri(spark, folder)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    ranges = int(total // min(max(total / RANGES, least), MOST)) + 1
+    cuts = spark.sparkContext.broadcast(splitters(keyed, ranges))
+
+    def encode(i, t, tie, row):
+        c = word_coder(path)
+        end = np.array([END], c.type).tobytes()
+        bounds = [tuple(x) for x in cuts.value.tolist()]
+        part = [bisect_right(bounds, (int(d is not None), d or 0, h, r)) for d, h, r in zip(i, tie, row, strict=True)]
+        return {"doc_id": i, "wide": [c.wide] * len(i), "ids": [x + end for x in c.encode(t)], "tie": tie, "row": row, "part": part}
 
     def write(batches):
         from pyspark import TaskContext
 
-        c, task, end = word_coder(path), TaskContext.get(), struct.pack("<I", END)
-        seq, w, rows = 0, None, []
+        attempt = TaskContext.get().taskAttemptId()
+        at, seq, w, rows = None, 0, None, []
 
         def done():
             w.close()
-            rows.append((task.partitionId(), seq, name, w.records, w.tokens))
+            rows.append((at, seq, name, w.records, w.tokens))
 
         for batch in batches:
-            for part in slices(batch):
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if w is None:
-                        name = f"part-{task.partitionId():05d}-{seq:05d}"
-                        w = Writer(folder, name, f"{task.taskAttemptId()}")
-                    w.add(doc_id, c.encode(text) + end)
-                    if w.size >= file_bytes:
-                        done()
-                        seq, w = seq + 1, None
+            for part, doc_id, wide, ids in zip(*(batch.column(n).to_pylist() for n in range(3)), batch.column(3), strict=True):
+                if w is not None and (part != at or w.size >= file_bytes):
+                    done()
+                    seq, w = (seq + 1 if part == at else 0), None
+                if w is None:
+                    at, name = part, f"part-{part:05d}-{seq:05d}"
+                    w = Writer(folder, name, f"{attempt}")
+                w.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"))
         if w is not None:
             done()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "seq", "name", "records", "tokens"])
 
-    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return materialise(dealt.select("doc_id", "text").mapInArrow(write, "part int, seq int, name string, records long, tokens long"))
+    ids = per_document(keyed, ["doc_id", "text", "tie", "row"], encode, "doc_id long, wide boolean, ids binary, tie long, row long, part int")
+    dealt = ids.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "doc_id", "tie", "row")
+    return materialise(dealt.select("part", "doc_id", "wide", "ids").mapInArrow(write, "part int, seq int, name string, records long, tokens long"))
 
 
 def read_records(written: DataFrame, folder: str) -> DataFrame:
-    """The records of the files: doc_id, start (ids of all documents before), n_tokens, ids (binary)."""
+    """The records of the files: doc_id, start (ids of all documents before), n_tokens, ids (binary, four bytes each); a task for each file."""
+    folder = whole_uri(written.sparkSession, folder)
 
     def read(batches):
         for batch in batches:
@@ -228,7 +313,7 @@ def read_records(written: DataFrame, folder: str) -> DataFrame:
     # one row for each file of some megabytes: few enough for a running sum
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = written.select("name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long").alias("start"))
-    return files.repartition(F.col("name")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.repartition(max(1, written.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
