@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +23,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once for each row, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def trim(c: str | Column) -> Column:
     return F.regexp_replace(col(c), rf"^{WS}+|{WS}+$", "")
 
@@ -46,9 +53,17 @@ def split_lines(c: str | Column) -> Column:
 
 def strip_list_blocks(c: str | Column) -> Column:
     """A paragraph without its list lines, and without the plain lines that a line ending in a colon introduces if there are two or more."""
-    plain = F.filter(split_lines(c), lambda x: ~x.rlike(LIST_LINE))
-    at = F.array_position(F.transform(plain, lambda x: F.endswith(trim(x), F.lit(":"))), True)
-    return F.array_join(F.when((at > 0) & (F.size(plain) - at >= 2), F.slice(plain, F.lit(1), F.greatest(at, F.lit(1)).cast("int"))).otherwise(plain), "\n")
+
+    def cut(plain: Column) -> Column:
+        colon = F.array_position(F.transform(plain, lambda x: F.endswith(trim(x), F.lit(":"))), True)
+        return bind(colon, lambda at: F.array_join(F.when((at > 0) & (F.size(plain) - at >= 2), F.slice(plain, F.lit(1), F.greatest(at, F.lit(1)).cast("int"))).otherwise(plain), "\n"))
+
+    return bind(F.filter(split_lines(c), lambda x: ~x.rlike(LIST_LINE)), cut)
+
+
+def strip_lists(c: str | Column) -> Column:
+    """A whole text without its lists: each of its paragraphs for itself, as a blank line ends what a colon introduces."""
+    return F.array_join(non_empty(F.transform(split_paragraphs(c), strip_list_blocks)), "\n\n")
 
 
 def split_sentences(c: str | Column) -> Column:

@@ -54,6 +54,30 @@ def suffix_of(word: Column) -> Column:
     return F.regexp_extract(word, rf"^.+?({alternation(s for g in SUFFIXES.values() for s in g)})$", 1)
 
 
+def class_diversity(c: str | Column) -> Column:
+    """Classes of known suffixes for each eojeol that ends in one; null without any."""
+    classes = F.create_map(*[F.lit(x) for g, words in SUFFIXES.items() for w in words for x in (w, g)])
+    kinds = F.filter(F.transform(eojeols(c), lambda w: F.element_at(classes, suffix_of(w))), lambda k: k.isNotNull())
+    return T.bind(kinds, lambda k: F.try_divide(F.size(F.array_distinct(k)), F.size(k)))
+
+
+def register_ratios(sentences: str | Column) -> tuple[Column, Column]:
+    """(plain, polite and formal) shares of classified sentence ends: to two digits over three or more Korean ones, else of all sentences' last words."""
+    kinds = F.transform(F.transform(T.col(sentences), lambda s: F.try_element_at(eojeols(s), F.lit(-1))), kind_of)
+    words = F.transform(F.transform(T.col(sentences), lambda s: F.element_at(F.split(F.regexp_replace(T.trim(s), LAST_MARKS, ""), rf"{T.WS}+", -1), -1)), kind_of)
+    named = F.struct(F.filter(kinds, lambda k: k.isNotNull()).alias("k"), F.filter(words, lambda k: k.isNotNull()).alias("w"))
+    many = lambda a, *names: F.size(F.filter(a, lambda v: v.isin(*names)))
+
+    def both(x: Column) -> Column:
+        k, w = x["k"], x["w"]
+        two = lambda name: r6(F.try_divide(many(k, name), F.size(k)), 2)
+        exact = lambda *names: F.coalesce(F.try_divide(many(w, *names), F.size(w)), F.lit(0.0))
+        return F.when(F.size(k) >= 3, F.struct(two("plain").alias("plain"), (two("polite") + two("formal")).alias("polite"))).otherwise(F.struct(exact("plain").alias("plain"), exact("polite", "formal").alias("polite")))
+
+    out = T.bind(named, both)
+    return out["plain"], out["polite"]
+
+
 def suffix_profile(u: DataFrame) -> DataFrame:
     """Adds how many eojeols end in a known suffix and the diversity of its classes and forms."""
     found = F.filter(F.transform(eojeols("text"), suffix_of), lambda s: s != "")
@@ -100,11 +124,27 @@ def ending_monotony(u: DataFrame) -> DataFrame:
     return x.withColumn("ending_hot", F.coalesce(hot, F.lit(False)))
 
 
+LAST_MARKS = r"[.!?…\"'」』)\]]+$"
+
+
+def kind_of(w: Column) -> Column:
+    """The register that a sentence's last word tells: formal, polite, plain or null."""
+    return F.when(w.rlike("(?:니다|니까)$"), "formal").when(w.rlike("[요죠]$"), "polite").when(w.rlike("다$"), "plain")
+
+
+def signals(u: DataFrame) -> DataFrame:
+    """Adds diagnostic_hot, diagnostic_strength and ending_hot to units with their cv; texts of other languages are not looked at."""
+    ko = F.col("lang") == "ko"
+    x = u.withColumns({"__text": F.col("text"), "__sentences": F.col("sentences"), "text": F.when(ko, F.col("text")), "sentences": F.when(ko, F.col("sentences"))})
+    x = ending_monotony(diagnostics(x))
+    x = x.withColumns({"text": F.col("__text"), "sentences": F.col("__sentences"), "diagnostic_hot": F.coalesce("diagnostic_hot", F.lit(False)), "diagnostic_strength": F.coalesce("diagnostic_strength", F.lit(0.0))})
+    return x.select(*u.columns, "diagnostic_hot", "diagnostic_strength", "ending_hot")
+
+
 def register(u: DataFrame) -> DataFrame:
     """doc_id, classified, register: formal, polite or plain if six of ten classified endings agree, else mixed; null under three."""
     last = F.transform("sentences", lambda s: F.try_element_at(eojeols(s), F.lit(-1)))
-    kind = lambda w: F.when(w.rlike("(?:니다|니까)$"), "formal").when(w.rlike("[요죠]$"), "polite").when(w.rlike("다$"), "plain")
-    x = u.withColumn("__k", F.filter(F.transform(last, kind), lambda k: k.isNotNull()))
+    x = u.withColumn("__k", F.filter(F.transform(last, kind_of), lambda k: k.isNotNull()))
     n = F.size("__k")
     def many(name: str) -> Column:
         return F.size(F.filter("__k", lambda v: v == name)) >= 0.6 * n

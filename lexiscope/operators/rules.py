@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions import text as T
 from lexiscope.functions.text import round_half_up as r6
+from lexiscope.session import materialise
 
 B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"  # ASCII word borders
 
@@ -29,14 +30,17 @@ DASHES = r"^[ \t]*(?:-[ \t]*){3,}$"
 NO_PARENT = r"^[ \t]*(?:[-*+][ \t]|\d+[.)][ \t]|>)"
 
 
+def leaks(c: str | Column) -> Column:
+    """(rule, m: its matches) of each leakage rule that fires; one that needs company counts only beside another."""
+    text = F.coalesce(T.col(c), F.lit(""))
+    found = F.array(*[F.struct(F.lit(i).alias("rule"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m"), F.lit(company).alias("company")) for i, p, company in LEAKAGE])
+    fired = F.filter(found, lambda h: F.size(h["m"]) > 0)
+    return T.bind(fired, lambda f: F.filter(f, lambda h: ~h["company"] | F.exists(f, lambda o: ~o["company"])))
+
+
 def markup_leakage(docs: DataFrame, samples: int = 3) -> DataFrame:
     """doc_id, leaked, n_rules, n_hits, rules, samples (the first distinct ones); a rule that needs company counts only beside another."""
-    found = {i: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(0)) for i, p, _ in LEAKAGE}
-    rows = docs.select("doc_id", *[x.alias(i) for i, x in found.items()])
-    alone = F.greatest(*[F.size(F.col(f"`{i}`")) for i, _, c in LEAKAGE if not c]) > 0
-    none = F.expr("cast(array() as array<string>)")
-    hits = F.array(*[F.struct(F.lit(i).alias("rule"), (F.when(alone, F.col(f"`{i}`")).otherwise(none) if c else F.col(f"`{i}`")).alias("m")) for i, _, c in LEAKAGE])
-    rows = rows.select("doc_id", F.filter(hits, lambda h: F.size(h["m"]) > 0).alias("h"))
+    rows = docs.select("doc_id", leaks("text").alias("h"))
     return rows.select(
         "doc_id", (F.size("h") > 0).alias("leaked"), F.size("h").alias("n_rules"), F.aggregate("h", F.lit(0), lambda a, h: a + F.size(h["m"])).alias("n_hits"),
         F.array_join(F.transform("h", lambda h: h["rule"]), ",").alias("rules"), sample_hits(F.flatten(F.transform("h", lambda h: h["m"])), samples).alias("samples"),
@@ -56,24 +60,44 @@ def candour(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", candour_count(F.coalesce("text", F.lit(""))).alias("count")).withColumn("hot", F.col("count") >= CANDOUR_MIN)
 
 
+def break_counts(c: str | Column) -> Column:
+    """(count, before_heading) of divider lines that underline no heading and fence no front matter; each row for itself."""
+    none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("before_heading"))
+    blank = lambda x: T.trim(x) == ""
+    line = lambda ls, i: F.coalesce(F.get(ls, i), F.lit(""))
+
+    def front_of(ls: Column) -> Column:
+        """The line that ends the front matter; -1 without any."""
+        opens = F.get(ls, F.lit(0)).rlike(r"^---[ \t]*$") & line(ls, F.lit(1)).rlike(r"^[ \t]*(?:[A-Za-z0-9_.$-]+[ \t]*:(?:\s|$)|- )")
+        ends = F.filter(F.sequence(F.lit(2), F.greatest(F.size(ls) - 1, F.lit(2))), lambda j: line(ls, j).rlike(r"^(?:---|\.\.\.)[ \t]*$"))
+        return F.when(opens, F.coalesce(F.array_min(ends), F.lit(-1))).otherwise(-1)
+
+    def count(x: Column) -> Column:
+        ls, full = x["ls"], x["full"]
+
+        def kept(y: Column) -> Column:
+            prev = F.when(y["i"] > 0, line(ls, y["i"] - 1)).otherwise("")
+            underline = y["t"].rlike(DASHES) & ~blank(prev) & ~prev.rlike(HEADING) & ~prev.rlike(BREAK_LINE) & ~prev.rlike(NO_PARENT)
+            return y["t"].rlike(BREAK_LINE) & (y["i"] > x["front"]) & ~underline
+
+        # a divider is not blank, so the next line with text is its neighbour here
+        hits = F.filter(F.transform(full, lambda y, n: F.when(kept(y), line_after(full, n))), lambda h: h.isNotNull())
+        return T.bind(hits, lambda h: F.struct(F.size(h).cast("long").alias("count"), F.size(F.filter(h, lambda t: t.rlike(HEADING))).cast("long").alias("before_heading")))
+
+    def line_after(full: Column, n: Column) -> Column:
+        return F.coalesce(F.get(full, n + 1)["t"], F.lit(""))
+
+    def look(ls: Column) -> Column:
+        full = F.filter(F.transform(ls, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda y: ~blank(y["t"]))
+        parts = F.struct(ls.alias("ls"), full.alias("full"), front_of(ls).alias("front"))
+        return F.when(F.exists(ls, lambda t: t.rlike(BREAK_LINE)), T.bind(parts, count)).otherwise(none)
+
+    return T.bind(T.split_lines(c), look)
+
+
 def thematic_breaks(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, count, before_heading, hot: divider lines that underline no heading and fence no front matter."""
-    lines = T.split_lines("text")
-    some = df.filter(F.exists(lines, lambda x: x.rlike(BREAK_LINE))).select(*keys, lines.alias("ls"))
-    ends = F.filter(F.sequence(F.lit(2), F.greatest(F.size("ls") - 1, F.lit(2))), lambda j: F.coalesce(F.get("ls", j), F.lit("")).rlike(r"^(?:---|\.\.\.)[ \t]*$"))
-    opens = F.get("ls", F.lit(0)).rlike(r"^---[ \t]*$") & F.coalesce(F.get("ls", F.lit(1)), F.lit("")).rlike(r"^[ \t]*(?:[A-Za-z0-9_.$-]+[ \t]*:(?:\s|$)|- )")
-    some = some.withColumn("front", F.when(opens, F.coalesce(F.array_min(ends), F.lit(-1))).otherwise(-1))
-    rows = some.select(*keys, "front", F.posexplode("ls").alias("i", "line"))
-    order = Window.partitionBy(*keys).orderBy("i")
-    blank = lambda c: T.trim(c) == ""
-    prev = F.coalesce(F.lag("line").over(order), F.lit(""))
-    following = F.first(F.when(~blank(F.col("line")), F.col("line")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumns({"prev": prev, "following": following})
-    underline = F.col("line").rlike(DASHES) & ~blank(F.col("prev")) & ~F.col("prev").rlike(HEADING) & ~F.col("prev").rlike(BREAK_LINE) & ~F.col("prev").rlike(NO_PARENT)
-    kept = rows.filter((F.col("i") > F.col("front")) & F.col("line").rlike(BREAK_LINE) & ~underline)
-    got = kept.groupBy(*keys).agg(F.count("*").alias("count"), F.count_if(F.coalesce(F.col("following").rlike(HEADING), F.lit(False))).alias("before_heading"))
-    out = df.select(*keys).join(got, keys, "left").na.fill(0, ["count", "before_heading"])
-    return out.withColumn("hot", F.col("count") >= BREAK_MIN)
+    return df.select(*keys, break_counts("text").alias("b")).select(*keys, "b.*", (F.col("b.count") >= BREAK_MIN).alias("hot"))
 
 
 def divider_only(c: str | Column) -> Column:
@@ -126,34 +150,59 @@ def phrase_regex(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(escaped, r"\s+", r"\\s+"), "~", r"[\\s\\S]{0,40}")
 
 
-def match_terms(u: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, entry: each lexicon entry at most once per unit. lexicon(lang, kind: strict or phrase, entry).
+#: Words of a language that a row can hold as a list; a lexicon with more goes by a join.
+LISTED = 2000
+
 
-    Single words go by a hash join on (lang, token), with -s and -ing forms outside Chinese, Japanese
-    and Korean. Phrases, entries of several words, and entries of those languages are tested by
-    pattern, one list of patterns per language, so the join is on the language alone and its other side
-    has a row for each language."""
+def matched(u: DataFrame, lexicon: DataFrame, keys: list[str], name: str = "entries", listed: int = LISTED) -> DataFrame:
+    """u with the distinct lexicon entries of each unit, each at most once. lexicon(lang, kind: strict or phrase, entry).
+
+    Single words match by token, with -s and -ing forms outside Chinese, Japanese and Korean. Phrases,
+    entries of several words, and entries of those languages are tested by pattern. A lexicon of
+    editorial size meets the units as one row of lists for each language, and nothing is shuffled; a larger
+    one meets their tokens in a hash join on (lang, token)."""
     cjk = F.col("lang").isin("ko", "zh", "ja")
     word = (F.col("kind") == "strict") & ~cjk & ~F.col("entry").rlike(r"[^\p{L}\p{N}]")
     low = F.lower("entry")
-    forms = lexicon.filter(word).select("lang", "entry", F.explode(F.array(low, F.concat(low, F.lit("s")), F.concat(low, F.lit("ing")))).alias("token"))
-    tokens = u.select(*keys, "lang", F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("token"))
-    single = tokens.join(forms, ["lang", "token"]).select(*keys, "entry")
     quoted = F.regexp_replace(F.regexp_replace(low, r"([.*+?^$\{\}()|\[\]\\\\])", r"\\$1"), r"\s+", r"\\s+")
     pattern = F.when(F.col("kind") == "phrase", phrase_regex(F.col("entry"))).when(cjk, quoted).otherwise(F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")))
-    lists = lexicon.filter(~word).groupBy("lang").agg(F.collect_list(F.struct("entry", pattern.alias("p"))).alias("ps"))
+    forms = F.array(low, F.concat(low, F.lit("s")), F.concat(low, F.lit("ing")))
+    lexicon = lexicon.distinct().withColumns({"forms": F.when(word, forms), "p": F.when(~word, pattern)})
+    lists = materialise(lexicon.groupBy("lang").agg(
+        F.collect_list(F.when(F.col("forms").isNotNull(), F.struct("entry", "forms"))).alias("words"), F.collect_list(F.when(F.col("p").isNotNull(), F.struct("entry", "p"))).alias("ps")
+    ).withColumn("every", F.array_distinct(F.flatten("words.forms"))))
+    large = (lists.agg(F.max(F.size("words"))).first()[0] or 0) > listed
+    tokens = F.array_distinct(F.transform("tokens", F.lower))
     text = F.lower("text")
-    many = u.join(lists, "lang").select(*keys, F.explode(F.filter("ps", lambda p: F.regexp_like(text, p["p"]))).alias("p")).select(*keys, "p.entry")
-    return single.unionByName(many).distinct()
+    rows = u.join(lists if not large else lists.withColumns({"words": F.slice("words", 1, 0), "every": F.slice("every", 1, 0)}), "lang", "left")
+    single = T.bind(F.array_intersect(tokens, "every"), lambda hit: F.when(F.size(hit) > 0, F.transform(F.filter("words", lambda w: F.arrays_overlap(w["forms"], hit)), lambda w: w["entry"])).otherwise(F.expr("cast(array() as array<string>)")))
+    many = F.transform(F.filter("ps", lambda p: F.regexp_like(text, p["p"])), lambda p: p["entry"])
+    found = F.coalesce(F.array_union(single, many), F.expr("cast(array() as array<string>)"))
+    if not large:
+        return rows.withColumn(name, found).select(*u.columns, name)
+    by_token = lexicon.filter("forms is not null").select("lang", "entry", F.explode("forms").alias("token"))
+    hits = u.select(*keys, "lang", F.explode(tokens).alias("token")).join(by_token, ["lang", "token"]).groupBy(*keys).agg(F.collect_set("entry").alias("__hits"))
+    rows = rows.withColumn(name, found).select(*u.columns, name).join(hits, keys, "left")
+    return rows.withColumn(name, F.array_union(name, F.coalesce("__hits", F.expr("cast(array() as array<string>)")))).select(*u.columns, name)
+
+
+def match_terms(u: DataFrame, lexicon: DataFrame, keys: list[str], listed: int = LISTED) -> DataFrame:
+    """keys, entry: a row for each entry of each unit."""
+    return matched(u, lexicon, keys, "entries", listed).select(*keys, F.explode("entries").alias("entry"))
+
+
+def density_of(matches: Column, tokens: Column, threshold: float = 3.0) -> tuple[Column, Column]:
+    """(matches for 1,000 tokens, hot: over the threshold with one match, two for Chinese, Japanese, Korean)."""
+    density = F.coalesce(F.try_divide(matches * 1000.0, tokens), F.lit(0.0))
+    least = F.when(F.col("lang").isin("ko", "zh", "ja"), 2).otherwise(1)
+    return r6(density), (matches >= least) & (density > threshold)
 
 
 def lexicon_density(u: DataFrame, lexicon: DataFrame, keys: list[str], threshold: float = 3.0) -> DataFrame:
     """keys, matches, density (per 1,000 tokens), lexicon_hot: over the threshold with one match, two for Chinese, Japanese, Korean."""
-    hits = match_terms(u, lexicon, keys).groupBy(*keys).agg(F.count("*").alias("matches"))
-    j = u.select(*keys, "lang", F.size("tokens").alias("n")).join(hits, keys, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
-    density = F.coalesce(F.try_divide(F.col("matches") * 1000.0, "n"), F.lit(0.0))
-    least = F.when(F.col("lang").isin("ko", "zh", "ja"), 2).otherwise(1)
-    return j.select(*keys, "matches", r6(density).alias("density"), ((F.col("matches") >= least) & (density > threshold)).alias("lexicon_hot"))
+    j = matched(u, lexicon, keys).withColumn("matches", F.size("entries").cast("long"))
+    density, hot = density_of(F.col("matches"), F.size("tokens"), threshold)
+    return j.select(*keys, "matches", density.alias("density"), hot.alias("lexicon_hot"))
 
 
 def watch_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:

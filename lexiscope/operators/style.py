@@ -10,19 +10,34 @@ from lexiscope.functions import text as T
 CV_LOW, CV_HIGH, MATTR_LOW, MATTR_HIGH = 0.30, 0.50, 0.55, 0.70
 
 
-def units(docs: DataFrame, unit: str = "paragraph") -> DataFrame:
-    """doc_id, lang, source, para_idx (from 1), text, sentences, counts (tokens of each sentence), tokens."""
-    base = docs.select("doc_id", "lang", "source", F.posexplode(T.split_paragraphs("text", unit)).alias("i", "text"))
-    cut = base.select("doc_id", "lang", "source", (F.col("i") + 1).alias("para_idx"), "text", T.prose_sentences("text").alias("sentences"))
-    tok = cut.select("*", F.transform("sentences", lambda s: T.tokenize(s, F.col("lang"))).alias("st"))
-    return tok.select("doc_id", "lang", "source", "para_idx", "text", "sentences", F.transform("st", F.size).alias("counts"), F.flatten("st").alias("tokens"))
+UNIT = ("doc_id", "lang", "source")
+
+
+def cut(base: DataFrame, keep: list[str], sentences: Column) -> DataFrame:
+    """keep, sentences, counts (tokens of each), tokens."""
+    x = base.select(*keep, sentences.alias("sentences"))
+    x = x.select("*", F.transform("sentences", lambda s: T.tokenize(s, F.col("lang"))).alias("st"))
+    return x.select(*keep, "sentences", F.transform("st", F.size).alias("counts"), F.flatten("st").alias("tokens"))
+
+
+def units(docs: DataFrame, unit: str = "paragraph", keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """doc_id, lang, source, columns to keep, para_idx (from 1), text, sentences, counts (tokens of each sentence), tokens.
+
+    With `outer` a text without paragraphs has one row, whose para_idx is null."""
+    explode = F.posexplode_outer if outer else F.posexplode
+    base = docs.select(*UNIT, *keep, explode(T.split_paragraphs("text", unit)).alias("i", "text"))
+    base = base.select(*UNIT, *keep, (F.col("i") + 1).alias("para_idx"), "text")
+    return cut(base, [*UNIT, *keep, "para_idx", "text"], T.prose_sentences(F.coalesce("text", F.lit("")) if outer else "text"))
+
+
+def document_sentences(c: str | Column) -> Column:
+    """Sentences of all paragraphs in order."""
+    return F.flatten(F.transform(T.split_paragraphs(c), T.prose_sentences))
 
 
 def document_units(docs: DataFrame) -> DataFrame:
     """A document as one unit: sentences of all its paragraphs in order."""
-    cut = docs.select("doc_id", "lang", "source", "text", F.flatten(F.transform(T.split_paragraphs("text"), T.prose_sentences)).alias("sentences"))
-    tok = cut.select("*", F.transform("sentences", lambda s: T.tokenize(s, F.col("lang"))).alias("st"))
-    return tok.select("doc_id", "lang", "source", "text", "sentences", F.transform("st", F.size).alias("counts"), F.flatten("st").alias("tokens"))
+    return cut(docs, [*UNIT, "text"], document_sentences("text"))
 
 
 def total(c: str | Column) -> Column:
@@ -48,18 +63,42 @@ def burstiness(u: DataFrame) -> DataFrame:
     return out.withColumn("cv_band", F.when(F.col("n_sentences") >= 3, band(F.col("cv"), CV_LOW, CV_HIGH)))
 
 
-def mattr(u: DataFrame, keys: list[str], window: int = 50) -> DataFrame:
-    """keys, n_tokens, mattr: the mean share of types over all windows, from one lag per token.
+def moving_types(tokens: str | Column, window: int) -> Column:
+    """The mean share of types over all windows of lower-case tokens, over all of them if they are fewer; null for none.
+
+    A token adds its type to the windows that hold it and not the place before where the type was; the
+    places before come from one sort of the row's own tokens."""
+    placed = F.array_sort(F.transform(T.col(tokens), lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i"))))
+
+    def mean(s: Column) -> Column:
+        n = F.size(s)
+        start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(-1).alias("i"), F.lit(0).cast("long").alias("adds"), F.lit(0).cast("long").alias("types"))
+
+        def step(a: Column, x: Column) -> Column:
+            before = F.when(x["t"] == a["t"], a["i"]).otherwise(F.lit(-1))
+            first = F.greatest(F.lit(0), x["i"] - window + 1, before + 1)
+            adds = F.greatest(F.lit(0), F.least(x["i"], n - window) - first + 1)
+            return F.struct(x["t"].alias("t"), x["i"].alias("i"), (a["adds"] + adds).alias("adds"), (a["types"] + (before == -1).cast("long")).alias("types"))
+
+        return F.aggregate(s, start, step, lambda a: F.when(n >= window, a["adds"] / (F.lit(window) * (n - window + 1))).otherwise(F.try_divide(a["types"], n)))
+
+    return T.bind(placed, mean)
+
 
-    A token adds its type to the windows that hold it and not the place before where the type was."""
-    rows = u.select(*keys, F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    last = F.lag("i").over(Window.partitionBy(*keys, F.lower("token")).orderBy("i"))
-    rows = rows.withColumn("p", F.coalesce(last, F.lit(-1)))
-    first = F.greatest(F.lit(0), F.col("i") - window + 1, F.col("p") + 1)
-    adds = F.greatest(F.lit(0), F.least(F.col("i"), F.col("n") - window) - first + 1)
-    out = rows.groupBy(*keys, "n").agg(F.sum(adds).alias("s"), F.count_if(F.col("p") == -1).alias("types"))
-    value = F.when(F.col("n") >= window, F.col("s") / (F.lit(window) * (F.col("n") - window + 1))).otherwise(F.col("types") / F.col("n"))
-    return out.select(*keys, F.col("n").alias("n_tokens"), T.round_half_up(value).alias("mattr"))
+def hapax(tokens: str | Column) -> Column:
+    """How many types an array has once."""
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("run"), F.lit(0).alias("once"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = F.coalesce(x == a["t"], F.lit(False))
+        return F.struct(x.alias("t"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), (a["once"] + (~same & (a["run"] == 1)).cast("int")).alias("once"))
+
+    return F.aggregate(F.array_sort(T.col(tokens)), start, step, lambda a: a["once"] + (a["run"] == 1).cast("int"))
+
+
+def mattr(u: DataFrame, keys: list[str], window: int = 50) -> DataFrame:
+    """keys, n_tokens, mattr of units with tokens; each row for itself."""
+    return u.filter(F.size("tokens") > 0).select(*keys, F.size("tokens").alias("n_tokens"), T.round_half_up(moving_types("tokens", window)).alias("mattr"))
 
 
 def comma_density(d: DataFrame) -> DataFrame:
@@ -80,24 +119,21 @@ def structural_features(docs: DataFrame, window: int = 40) -> DataFrame:
     lens = F.filter("counts", lambda x: x > 0)
     ends = T.non_empty(F.transform("sentences", lambda s: F.right(F.regexp_replace(F.right(T.trim(s), F.lit(3)), "[.!?]", ""), F.lit(2))))
     base = d.select(
-        "doc_id", "tokens", lens.alias("lens"), F.size("sentences").alias("ns"), F.size(F.array_distinct(ends)).alias("ends"), F.char_length(compact).alias("chars"),
-        F.regexp_count(compact, F.lit(r"[.,!?;:·…\"'()\[\]{}—\-~]")).alias("punct"), F.regexp_count(compact, F.lit("[0-9]")).alias("digits"), F.regexp_count("text", F.lit("[,，]")).alias("commas"),
+        "doc_id", "tokens", lens.alias("lens"), F.size("sentences").alias("ns"), F.size(F.array_distinct(ends)).alias("ends"), F.col("text"), compact.alias("compact"),
+        F.size(F.array_distinct("tokens")).alias("types"), hapax("tokens").alias("hapax"), T.round_half_up(moving_types("tokens", window)).alias("mattr"),
     )
-    freq = base.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("c"))
-    types = freq.groupBy("doc_id").agg(F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("hapax"))
-    moving = mattr(base, ["doc_id"], window).select("doc_id", "mattr")
-    joined = base.join(types, "doc_id", "left").join(moving, "doc_id", "left")
     n, k = F.size("tokens"), F.size("lens")
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     deviation = F.sqrt((k * squares("lens") - total("lens") * total("lens")).cast("double")) / k
+    chars, marks = F.char_length("compact"), F.regexp_count("compact", F.lit(r"[.,!?;:·…\"'()\[\]{}—\-~]"))
     values = {
         "burstiness_cv": F.coalesce(cv("lens"), F.lit(0.0)), "mean_sent_len": share(total("lens"), k), "std_sent_len": F.when(k >= 2, deviation).otherwise(0.0),
         "ttr": share(F.col("types"), n), "mattr": F.coalesce("mattr", F.lit(0.0)), "hapax_ratio": share(F.col("hapax"), F.col("types")),
-        "mean_tok_len": share(F.aggregate("tokens", F.lit(0), lambda a, t: a + F.char_length(t)), n), "comma_per_sent": share(F.col("commas"), F.col("ns")),
-        "punct_ratio": share(F.col("punct"), F.col("chars")), "ending_diversity": share(F.col("ends"), F.col("ns")),
-        "connective_ratio": share(F.size(F.filter("tokens", lambda t: t.isin(*CONNECTIVES))), n), "digit_ratio": share(F.col("digits"), F.col("chars")),
+        "mean_tok_len": share(F.aggregate("tokens", F.lit(0), lambda a, t: a + F.char_length(t)), n), "comma_per_sent": share(F.regexp_count("text", F.lit("[,，]")), F.col("ns")),
+        "punct_ratio": share(marks, chars), "ending_diversity": share(F.col("ends"), F.col("ns")),
+        "connective_ratio": share(F.size(F.filter("tokens", lambda t: t.isin(*CONNECTIVES))), n), "digit_ratio": share(F.regexp_count("compact", F.lit("[0-9]")), chars),
     }
-    return joined.select("doc_id", *[T.round_half_up(values[f]).alias(f) for f in FEATURES])
+    return base.select("doc_id", *[T.round_half_up(values[f]).alias(f) for f in FEATURES])
 
 
 def longest_run(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
@@ -136,18 +172,38 @@ def style_vector(docs: DataFrame) -> DataFrame:
 
 
 def opener_diversity(u: DataFrame) -> DataFrame:
-    openers = F.transform("sentences", lambda s: F.element_at(F.split(T.trim(s), rf"{T.WS}+", -1), 1))
-    return u.withColumn("opener_diversity", T.round_half_up(F.coalesce(F.try_divide(F.size(F.array_distinct(openers)), F.size(openers)), F.lit(0.0))))
-
-
-def persona_features(docs: DataFrame, window: int = 50, unit: str = "paragraph") -> DataFrame:
-    """doc_id and the language-neutral persona features: means over paragraphs and sentence measures."""
-    u = units(docs, unit)
-    b = burstiness(u).groupBy("doc_id").agg(F.avg("cv").alias("burstiness_cv"))
-    m = mattr(u, ["doc_id", "para_idx"], window).groupBy("doc_id").agg(F.avg("mattr").alias("mattr"))
-    o = comma_density(opener_diversity(document_units(docs))).select("doc_id", F.col("opener_diversity").alias("sentence_opener_diversity"), F.col("per_sentence").alias("comma_per_sentence"))
-    joined = o.join(b, "doc_id", "left").join(m, "doc_id", "left")
-    return joined.select("doc_id", *[T.round_half_up(F.coalesce(c, F.lit(0.0)), 5).alias(c) for c in ("burstiness_cv", "mattr", "sentence_opener_diversity", "comma_per_sentence")])
+    return u.withColumn("opener_diversity", T.round_half_up(openers("sentences")))
+
+
+def openers(sentences: str | Column) -> Column:
+    first = F.transform(T.col(sentences), lambda s: F.element_at(F.split(T.trim(s), rf"{T.WS}+", -1), 1))
+    return T.bind(first, lambda o: F.coalesce(F.try_divide(F.size(F.array_distinct(o)), F.size(o)), F.lit(0.0)))
+
+
+PERSONA = ("burstiness_cv", "mattr", "sentence_opener_diversity", "comma_per_sentence", "suffix_class_diversity", "ko_register_plain_ratio", "ko_register_polite_ratio", "lexicon_density_preferred", "lexicon_density_avoid")
+
+
+def persona_features(docs: DataFrame, prefer: list[str] = (), avoid: list[str] = (), window: int = 50, unit: str = "paragraph") -> DataFrame:
+    """doc_id and the nine persona features, 0 where one can't be worked out.
+
+    Burstiness and moving types are means over paragraphs; openers, commas and Korean registers are of the document's
+    sentences; suffix classes of its Korean words; the densities count places of preferred and avoided
+    phrases for 1,000 tokens."""
+    from lexiscope.operators import korean as K
+
+    text = F.coalesce("text", F.lit(""))
+    d = docs.withColumn("text", text).withColumn("s", document_sentences("text"))
+    places = lambda words: sum((F.size(F.split("text", f"\\Q{w}\\E", -1)) - 1 for w in words if w), F.lit(0))
+    density = lambda words: F.try_divide(places(words) * 1000.0, F.greatest(F.size(T.tokenize("text", F.col("lang"))), F.lit(1)))
+    plain, polite = K.register_ratios("s")
+    whole = {
+        "sentence_opener_diversity": openers("s"), "comma_per_sentence": F.try_divide(F.regexp_count("text", F.lit("[,，]")), F.size("s")), "suffix_class_diversity": K.class_diversity("text"),
+        "ko_register_plain_ratio": plain, "ko_register_polite_ratio": polite, "lexicon_density_preferred": density(prefer), "lexicon_density_avoid": density(avoid),
+    }
+    u = units(d.select(*UNIT, "text", *[c.alias(n) for n, c in whole.items()]), unit, tuple(whole), outer=True)
+    parts = u.select("doc_id", *whole, T.round_half_up(cv("counts")).alias("cv"), T.round_half_up(moving_types("tokens", window)).alias("m"))
+    means = parts.groupBy("doc_id").agg(F.avg("cv").alias("burstiness_cv"), F.avg("m").alias("mattr"), *[F.first(n).alias(n) for n in whole])
+    return means.select("doc_id", *[T.round_half_up(F.coalesce(n, F.lit(0.0)), 5).alias(n) for n in PERSONA])
 
 
 def trigger_counts(paras: DataFrame) -> DataFrame:

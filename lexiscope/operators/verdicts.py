@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import round_half_up as r6
+from lexiscope.operators import korean as K
 from lexiscope.operators import rules as R
 from lexiscope.operators import style as S
 
@@ -14,26 +15,40 @@ LEAK_FLOOR, MODEL_FLOOR = 90.0, 70.0
 BANDS = ((15, "human"), (30, "mostly-human"), (50, "mixed"), (70, "ai-like"), (100, "ai"))
 
 
-def paragraph_verdicts(docs: DataFrame, lexicon: DataFrame, unit: str = "paragraph", window: int = 50) -> DataFrame:
-    """A row per paragraph with every signal, whether it is hot, and how deep it lies in its strongest signal."""
-    u = S.units(docs, unit)
-    keys = ["doc_id", "para_idx"]
-    b = S.burstiness(u).select(*keys, "lang", "text", "n_sentences", F.size("tokens").alias("n_tokens"), "cv", "cv_band")
-    m = S.mattr(u, keys, window).select(*keys, "mattr")
-    x = R.lexicon_density(u, lexicon, keys)
-    doc = R.candour(docs).select("doc_id", F.col("hot").alias("candour_doc")).join(R.thematic_breaks(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", F.col("hot").alias("break_doc")), "doc_id")
-    breaks = R.thematic_breaks(u.select(*keys, "text"), keys).select(*keys, F.col("count").alias("n_breaks"))
-    j = b.join(m, keys, "left").join(x, keys).join(breaks, keys).join(doc, "doc_id")
-    j = j.withColumns({"mattr_band": S.band(F.col("mattr"), S.MATTR_LOW, S.MATTR_HIGH), "n_candour": R.candour_count("text"), "divider": R.divider_only("text")})
-    j = j.withColumns({"candour_hot": F.col("candour_doc") & (F.col("n_candour") >= 1), "break_hot": F.col("break_doc") & (F.col("n_breaks") >= 1)})
+VERDICT = (
+    "doc_id", "para_idx", "lang", "n_sentences", "n_tokens", "cv", "cv_band", "mattr", "mattr_band", "matches", "density", "lexicon_hot", "candour_hot", "break_hot", "diagnostic_hot", "ending_hot", "divider", "hot", "strength",
+)
+
+
+def paragraph_rows(docs: DataFrame, lexicon: DataFrame, unit: str = "paragraph", window: int = 50) -> DataFrame:
+    """The rows of paragraph_verdicts(), with source and leaked, and one with a null para_idx for a text without paragraphs.
+
+    Each text is read and cut once; what a document tells of all its paragraphs is worked out before it is cut."""
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select(*S.UNIT, "text", R.leaks("text").alias("leak"), (R.candour_count(text) >= R.CANDOUR_MIN).alias("candour_doc"), (R.break_counts(text)["count"] >= R.BREAK_MIN).alias("break_doc"))
+    whole = whole.withColumn("leaked", F.size("leak") > 0).drop("leak")
+    u = S.units(whole, unit, ("leaked", "candour_doc", "break_doc"), outer=True)
+    u = R.matched(u, lexicon, ["doc_id", "para_idx"])
+    u = K.signals(S.burstiness(u))
+    j = u.select(
+        "*", F.size("tokens").alias("n_tokens"), r6(S.moving_types("tokens", window)).alias("mattr"), F.size("entries").cast("long").alias("matches"),
+        R.candour_count("text").alias("n_candour"), R.break_counts("text")["count"].alias("n_breaks"), R.divider_only("text").alias("divider"),
+    )
+    density, lexicon_hot = R.density_of(F.col("matches"), F.col("n_tokens"))
+    j = j.withColumns({"density": density, "lexicon_hot": lexicon_hot, "mattr_band": S.band(F.col("mattr"), S.MATTR_LOW, S.MATTR_HIGH), "candour_hot": F.col("candour_doc") & (F.col("n_candour") >= 1), "break_hot": F.col("break_doc") & (F.col("n_breaks") >= 1)})
     low = lambda c: F.coalesce(F.col(c) == "low", F.lit(False))
-    j = j.withColumn("hot", low("cv_band") | low("mattr_band") | F.col("lexicon_hot") | F.col("candour_hot") | F.col("break_hot"))
+    j = j.withColumn("hot", low("cv_band") | low("mattr_band") | F.col("lexicon_hot") | F.col("candour_hot") | F.col("break_hot") | F.col("diagnostic_hot") | F.col("ending_hot"))
     part = lambda on, v: F.when(on, F.greatest(F.lit(0.0), F.least(F.lit(100.0), v))).otherwise(0.0)
     strength = F.greatest(
         part(low("cv_band"), (1 - F.col("cv") / S.CV_LOW) * 100), part(low("mattr_band"), (1 - F.col("mattr") / S.MATTR_LOW) * 100), part(F.col("lexicon_hot"), (F.col("density") - 3) / 3 * 100),
-        part(F.col("candour_hot"), F.col("n_candour") * 100.0 / R.CANDOUR_MIN), part(F.col("break_hot"), F.col("n_breaks") * 100.0 / R.BREAK_MIN),
+        F.col("diagnostic_strength"), part(F.col("candour_hot"), F.col("n_candour") * 100.0 / R.CANDOUR_MIN), part(F.col("break_hot"), F.col("n_breaks") * 100.0 / R.BREAK_MIN),
     )
-    return j.select(*keys, "lang", "n_sentences", "n_tokens", "cv", "cv_band", "mattr", "mattr_band", "matches", "density", "lexicon_hot", "candour_hot", "break_hot", "divider", "hot", r6(strength, 4).alias("strength"))
+    return j.withColumn("strength", r6(strength, 4)).select("source", "leaked", *VERDICT)
+
+
+def paragraph_verdicts(docs: DataFrame, lexicon: DataFrame, unit: str = "paragraph", window: int = 50) -> DataFrame:
+    """A row per paragraph with all seven signals, whether it is hot, and how deep it lies in its strongest signal."""
+    return paragraph_rows(docs, lexicon, unit, window).filter("para_idx is not null").select(*VERDICT)
 
 
 def interpret(c: Column) -> Column:
@@ -47,17 +62,19 @@ def skip_reason(paragraphs: Column, sentences: Column) -> Column:
     return F.when(paragraphs <= 2, "paragraphs<=2").when(sentences <= 2, "sentences<=2")
 
 
-def document_scores(docs: DataFrame, paras: DataFrame, model: DataFrame | None = None) -> DataFrame:
-    """A row per document: counts, hot, hot ratio, floors, overall score and its band, mean signal strength.
+def document_scores(rows: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """rows of paragraph_rows() -> a row per document: counts, hot, hot ratio, floors, overall score and its band, mean signal strength.
 
     model(doc_id, model_hot, model_score) is optional; null marks a document without a model."""
-    g = paras.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum("n_sentences").alias("n_sentences"), F.count_if("hot").alias("n_hot"), r6(F.avg("strength"), 1).alias("signal_score"))
-    x = docs.select("doc_id", "lang", "source").join(g, "doc_id", "left").na.fill(0, ["n_paragraphs", "n_sentences", "n_hot", "signal_score"])
-    x = x.join(R.markup_leakage(docs).select("doc_id", "leaked"), "doc_id")
+    there = F.col("para_idx").isNotNull()
+    g = rows.groupBy("doc_id").agg(
+        F.first("lang").alias("lang"), F.first("source").alias("source"), F.first("leaked").alias("leaked"), F.count_if(there).alias("n_paragraphs"), F.coalesce(F.sum(F.when(there, F.col("n_sentences"))), F.lit(0)).alias("n_sentences"),
+        F.count_if(there & F.col("hot")).alias("n_hot"), F.coalesce(r6(F.avg(F.when(there, F.col("strength"))), 1), F.lit(0.0)).alias("signal_score"),
+    )
     if model is None:
-        x = x.withColumns({"model_hot": F.lit(None).cast("boolean"), "model_score": F.lit(None).cast("double")})
+        x = g.withColumns({"model_hot": F.lit(None).cast("boolean"), "model_score": F.lit(None).cast("double")})
     else:
-        x = x.join(model.select("doc_id", "model_hot", "model_score"), "doc_id", "left")
+        x = g.join(model.select("doc_id", "model_hot", "model_score"), "doc_id", "left")
     ratio = r6(F.coalesce(F.try_divide(F.col("n_hot") * 100.0, "n_paragraphs"), F.lit(0.0)), 1)
     floor = F.greatest(F.when(F.col("leaked"), LEAK_FLOOR).otherwise(0.0), F.when(F.coalesce("model_hot", F.lit(False)), F.greatest(F.lit(MODEL_FLOOR), r6(F.col("model_score") * 100, 1))).otherwise(0.0))
     x = x.withColumns({"hot_ratio": ratio, "evidence_floor": floor, "hot": F.col("leaked") | F.coalesce("model_hot", F.lit(False)) | (F.col("n_hot") > 0), "skip_reason": skip_reason(F.col("n_paragraphs"), F.col("n_sentences"))})
@@ -65,11 +82,11 @@ def document_scores(docs: DataFrame, paras: DataFrame, model: DataFrame | None =
     return x.select("doc_id", "lang", "source", "n_paragraphs", "n_sentences", "n_hot", "hot", "hot_ratio", "evidence_floor", "overall", interpret(F.col("overall")).alias("interpretation"), "signal_score", "skip_reason")
 
 
-def prose_gate(docs: DataFrame, paras: DataFrame, gate: float = 30.0) -> DataFrame:
-    """doc_id, score over paragraphs that are more than a divider, ranked score over all, floored by leakage, and whether it is over the gate."""
-    prose = ~F.col("divider")
-    g = paras.groupBy("doc_id").agg(F.count_if(prose).alias("n_prose"), F.count_if(prose & F.col("hot")).alias("n_hot"), F.count("*").alias("n"), F.count_if("hot").alias("all_hot"))
-    x = docs.select("doc_id").join(g, "doc_id", "left").na.fill(0).join(R.markup_leakage(docs).select("doc_id", "leaked"), "doc_id")
+def prose_gate(rows: DataFrame, gate: float = 30.0) -> DataFrame:
+    """rows of paragraph_rows() -> doc_id, score over paragraphs that are more than a divider, ranked score over all, floored by leakage, and whether it is over the gate."""
+    there = F.col("para_idx").isNotNull()
+    prose = there & ~F.col("divider")
+    x = rows.groupBy("doc_id").agg(F.first("leaked").alias("leaked"), F.count_if(prose).alias("n_prose"), F.count_if(prose & F.col("hot")).alias("n_hot"), F.count_if(there).alias("n"), F.count_if(there & F.col("hot")).alias("all_hot"))
     pct = lambda a, b: F.coalesce(F.try_divide(F.col(a) * 100.0, b), F.lit(0.0))
     ranked = F.greatest(pct("n_hot", "n_prose"), pct("all_hot", "n"))
     return x.select("doc_id", "n_prose", "n_hot", r6(pct("n_hot", "n_prose"), 4).alias("score"), r6(F.when(F.col("leaked"), F.greatest(ranked, F.lit(LEAK_FLOOR))).otherwise(ranked), 4).alias("ranked_score"), (pct("n_hot", "n_prose") > gate).alias("over_gate"))
@@ -156,7 +173,7 @@ def floors(df: DataFrame, bounds: dict[str, float]) -> DataFrame:
 
 def audit_rows(docs: DataFrame, paras: DataFrame) -> DataFrame:
     """doc_id, signal, severity, n, samples: one row for each signal that fired in a document."""
-    signals = {"burstiness": F.col("cv_band") == "low", "mattr": F.col("mattr_band") == "low", "lexicon": F.col("lexicon_hot"), "candour": F.col("candour_hot"), "breaks": F.col("break_hot")}
+    signals = {"burstiness": F.col("cv_band") == "low", "mattr": F.col("mattr_band") == "low", "lexicon": F.col("lexicon_hot"), "candour": F.col("candour_hot"), "breaks": F.col("break_hot"), "diagnostics": F.col("diagnostic_hot"), "endings": F.col("ending_hot")}
     cells = F.array(*[F.struct(F.lit(n).alias("signal"), F.coalesce(c, F.lit(False)).alias("on")) for n, c in signals.items()])
     rows = paras.select("doc_id", "para_idx", F.inline(cells)).filter("on").groupBy("doc_id", "signal").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("para_idx")), 1, 4), ",").alias("samples"))
     leaks = R.markup_leakage(docs).filter("leaked").select("doc_id", F.lit("leakage").alias("signal"), F.col("n_hits").cast("long").alias("n"), F.array_join(F.slice("samples", 1, 4), ",").alias("samples"))
@@ -177,10 +194,16 @@ def audit_weights(emitted: DataFrame, config: DataFrame, tolerance: float = 0.00
     return j.select("category", r6(F.col("emitted")).alias("emitted"), r6(F.col("configured")).alias("configured"), status.alias("status"))
 
 
+#: Upper ends of the badge's bands, inclusive, their texts and colours.
+BADGES = ((30, "human-ish", "brightgreen"), (50, "mixed", "yellow"), (None, "ai-like", "red"))
+
+
 def corpus_status(scores: DataFrame, gate: float = 30.0) -> DataFrame:
-    """One row: files, failed ones, the highest score, and the badge's colour."""
+    """One row: files, failed ones, the highest score, and the badge's text and colour."""
     g = scores.agg(F.count("*").alias("files"), F.count_if(F.col("score") > gate).alias("failed"), F.max("score").alias("max_score"))
-    return g.withColumn("badge", F.when(F.col("max_score") <= 15, "brightgreen").when(F.col("max_score") <= 30, "green").when(F.col("max_score") <= 50, "yellow").otherwise("red"))
+    top = F.coalesce("max_score", F.lit(0.0))
+    pick = lambda n: F.when(top <= BADGES[0][0], BADGES[0][n]).when(top <= BADGES[1][0], BADGES[1][n]).otherwise(BADGES[2][n])
+    return g.withColumns({"message": F.concat(F.floor(top + 0.5).cast("string"), F.lit("% · "), pick(1)), "badge": pick(2)})
 
 
 def already_clean(scores: DataFrame, paragraphs: int = 3, signal: float = 10.0) -> DataFrame:

@@ -12,6 +12,9 @@ from lexiscope.session import table
 RULES = [("plain", r"[aeiouáéíóú]$"), ("closed", r"[ndrst]$"), ("mark", r"[^a-zA-Z]$")]
 
 
+WORDS = (["the ", "tion"], ["and", "ing "])  # preferred and avoided phrases
+
+
 def docs(spark, d):
     return table(spark, d, "documents")
 
@@ -73,7 +76,7 @@ QUERIES = {
     "a14_dominant_class": dominant,
     "a15_style_vector": lambda s, d: S.style_vector(docs(s, d)),
     "a16_opener_diversity": lambda s, d: S.opener_diversity(lines(s, d)).select("doc_id", "para_idx", "opener_diversity"),
-    "a17_persona_features": lambda s, d: S.persona_features(docs(s, d)),
+    "a17_persona_features": lambda s, d: S.persona_features(docs(s, d), *WORDS),
     "a19_sentence_zoom": zoom,
     "a20_bigram_redundancy": lambda s, d: S.ngram_redundancy(lines(s, d), 2).select("doc_id", "para_idx", "redundancy"),
     "a20_trigram_redundancy": lambda s, d: S.ngram_redundancy(lines(s, d), 3).select("doc_id", "para_idx", "redundancy"),
@@ -82,7 +85,7 @@ QUERIES = {
     "n4_strip_esm": column("digest", lambda: F.md5(T.strip_esm("text").cast("binary"))),
     "n5_paragraphs": listed(lambda: T.split_paragraphs("text")),
     "n5_lines": listed(lambda: T.split_paragraphs("text", "line")),
-    "n6_strip_list_blocks": column("digest", lambda: F.md5(T.strip_list_blocks("text").cast("binary"))),
+    "n6_strip_list_blocks": column("digest", lambda: F.md5(T.strip_lists("text").cast("binary"))),
     "n7_sentences": listed(lambda: T.split_sentences("text")),
     "n8_tokens": listed(lambda: T.tokenize("text", F.col("lang"))),
     "n9_detect_language": column("detected", lambda: T.detect_language("text", "source")),
@@ -109,6 +112,10 @@ g as (select doc_id, para_idx, case when len(tokens) >= {n} then list_transform(
 select doc_id, para_idx, {R("1 - len(list_distinct(g))::double / nullif(len(g), 0)")} as redundancy from g"""
 
 
+def places(words):
+    return " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)}" for w in words)
+
+
 NOSPACE = r"length(regexp_replace(text, '\s+', '', 'g'))"
 PIECES = r"regexp_extract_all(text, '[^.!?]*[.!?]+\s*|[^.!?]+$')"
 SECRET_SQL = "text"
@@ -149,8 +156,10 @@ select doc_id, {R('list_sum(counts)::double / len(counts) / 100')} as mean_len,
  {R("len(regexp_extract_all(text, '[;:—–]'))::double / length(text) * 100")} as marks, {R('list_sum(list_transform(t, lambda v: length(v)))::double / n / 10')} as token_len from y""",
     "a16_opener_diversity": rf"with {Q.units()}, o as (select doc_id, para_idx, list_transform(sentences, lambda s: string_split_regex({Q.trim('s')}, '\s+')[1]) as o from u) select doc_id, para_idx, {R('coalesce(len(list_distinct(o))::double / nullif(len(o), 0), 0)')} as opener_diversity from o",
     "a17_persona_features": rf"""with {Q.whole()}, {Q.mattr('u', 'doc_id, para_idx', 50)}, b as (select doc_id, avg({R(Q.CV)}) as cv from u group by doc_id), m9 as (select doc_id, avg(mattr) as mattr from m group by doc_id),
-o as (select doc_id, list_transform(sentences, lambda s: string_split_regex({Q.trim('s')}, '\s+')[1]) as o, {R("(length(text) - length(replace(replace(text, ',', ''), '，', '')))::double / nullif(len(sentences), 0)")} as c from d)
-select doc_id, {R('coalesce(b.cv, 0)', 5)} as burstiness_cv, {R('coalesce(m9.mattr, 0)', 5)} as mattr, {R(R('coalesce(len(list_distinct(o))::double / nullif(len(o), 0), 0)'), 5)} as sentence_opener_diversity, {R('coalesce(c, 0)', 5)} as comma_per_sentence from o left join b using (doc_id) left join m9 using (doc_id)""",
+o as (select doc_id, text, len({Q.tokens('text')}) as nt, list_transform(sentences, lambda s: string_split_regex({Q.trim('s')}, '\s+')[1]) as o, (length(text) - length(replace(replace(text, ',', ''), '，', '')))::double / nullif(len(sentences), 0) as c from d)
+select doc_id, {R('coalesce(b.cv, 0)', 5)} as burstiness_cv, {R('coalesce(m9.mattr, 0)', 5)} as mattr, {R('coalesce(len(list_distinct(o))::double / nullif(len(o), 0), 0)', 5)} as sentence_opener_diversity, {R('coalesce(c, 0)', 5)} as comma_per_sentence,
+ 0.0 as suffix_class_diversity, 0.0 as ko_register_plain_ratio, 0.0 as ko_register_polite_ratio, {R(f'({places(WORDS[0])}) * 1000.0 / greatest(nt, 1)', 5)} as lexicon_density_preferred, {R(f'({places(WORDS[1])}) * 1000.0 / greatest(nt, 1)', 5)} as lexicon_density_avoid
+from o left join b using (doc_id) left join m9 using (doc_id)""",
     "a19_sentence_zoom": f"""with {Q.units()}, r as (select doc_id, para_idx, generate_subscripts(counts, 1) as i, unnest(counts) as n from u where len(counts) >= 3),
 l as (select *, lag(n) over (partition by doc_id, para_idx order by i) as b from r),
 g as (select *, sum(case when coalesce(abs(n - b) < 0.2 * least(n, b), false) then 0 else 1 end) over (partition by doc_id, para_idx order by i) as g from l),
@@ -160,9 +169,7 @@ k as (select doc_id, para_idx, g, min(i) as a, max(i) as b from g group by all)
     "n1_nfc": "select doc_id, md5(nfc_normalize(text)) as digest from documents",
     "n5_paragraphs": list_sql(rf"list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: {Q.trim('x')}), lambda x: x <> '')"),
     "n5_lines": list_sql(rf"list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: {Q.trim('x')}), lambda x: x <> '')"),
-    "n6_strip_list_blocks": rf"""with a as (select doc_id, list_filter(string_split_regex(text, '\r?\n'), lambda x: not regexp_matches(x, '{Q.LIST}')) as plain from documents),
-b as (select *, list_position(list_transform(plain, lambda x: ends_with({Q.trim('x')}, ':')), true) as colon from a)
-select doc_id, md5(array_to_string(case when coalesce(colon, 0) > 0 and len(plain) - colon >= 2 then list_slice(plain, 1, colon) else plain end, chr(10))) as digest from b""",
+    "n6_strip_list_blocks": f"with {Q.units('paragraph')}, s as (select doc_id, string_agg(prose, chr(10) || chr(10) order by para_idx) as t from p4 where prose <> '' group by doc_id) select doc_id, md5(coalesce(t, '')) as digest from documents left join s using (doc_id)",
     "n7_sentences": list_sql(Q.sentences("text")),
     "n8_tokens": list_sql(Q.tokens("text")),
     "n9_detect_language": r"""with c as (select doc_id, len(regexp_extract_all(left(text, 12000), '[가-힯]')) as ko, len(regexp_extract_all(left(text, 12000), '[぀-ヿ]')) as ja, len(regexp_extract_all(left(text, 12000), '[一-鿿]')) as zh, len(regexp_extract_all(left(text, 12000), '[A-Za-z]')) as en, lower(source) as s from documents)

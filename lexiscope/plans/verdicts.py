@@ -11,7 +11,7 @@ from lexiscope.operators import style as S
 from lexiscope.operators import verdicts as V
 from lexiscope.plans import sql as Q
 from lexiscope.plans.evaluation import SCORED, scored
-from lexiscope.session import table
+from lexiscope.session import materialise, table
 
 r6 = Q.r6
 PHRASES = [("en", "of ~ that"), ("en", "in the"), ("fr", "la ~ des"), ("de", "der und"), ("es", "de ~ la")]
@@ -30,15 +30,19 @@ def lexicon(spark, d):
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "entry"))
     strict = n.withColumn("r", rank).filter("r between 31 and 60").select("lang", F.lit("strict").alias("kind"), "entry")
     more = spark.createDataFrame([(a, "phrase", b) for a, b in PHRASES] + [(a, "strict", b) for a, b in SECOND], "lang string, kind string, entry string")
-    return strict.unionByName(more)
+    return materialise(strict.unionByName(more))
 
 
 def paras(spark, d):
     return V.paragraph_verdicts(docs(spark, d), lexicon(spark, d), "line", 20)
 
 
+def rows(spark, d):
+    return V.paragraph_rows(docs(spark, d), lexicon(spark, d), "line", 20)
+
+
 def scores(spark, d):
-    return V.document_scores(docs(spark, d), paras(spark, d))
+    return V.document_scores(rows(spark, d))
 
 
 def reconciled(spark, d):
@@ -100,7 +104,7 @@ def watch(spark, d):
 
 def coverage(spark, d):
     terms = lexicon(spark, d).filter("kind = 'strict'").select("lang", F.col("entry").alias("term"))
-    return R.term_coverage(docs(spark, d).select("lang", F.substring("text", 1, 40).alias("phrase")), terms)
+    return R.term_coverage(docs(spark, d).select("lang", F.col("text").alias("phrase")), terms)
 
 
 def lifted(spark, d):
@@ -137,7 +141,7 @@ QUERIES = {
     "v4_document_scores": scores,
     "v5_short_form_floor": lambda s, d: R.short_form_tell(docs(s, d), limit=2000, most=20).select("doc_id", V.short_form_floor(F.col("dashes") + F.col("doc_id") % 4).alias("floor")),
     "v8_reconcile": reconciled,
-    "v9_prose_gate": lambda s, d: V.prose_gate(docs(s, d), paras(s, d)),
+    "v9_prose_gate": lambda s, d: V.prose_gate(rows(s, d)),
     "v10_category_scores": categories,
     "v11_apply_policy": policy_applied,
     "v12_combined": combined,
@@ -147,7 +151,7 @@ QUERIES = {
     "v16_audit_rows": lambda s, d: V.audit_rows(docs(s, d), paras(s, d)),
     "v17_panel_verdict": lambda s, d: V.panel_verdict(scored(s, d)),
     "v18_audit_weights": weights_audit,
-    "k5_corpus_status": lambda s, d: V.corpus_status(V.prose_gate(docs(s, d), paras(s, d))),
+    "k5_corpus_status": lambda s, d: V.corpus_status(V.prose_gate(rows(s, d))),
     "f6_skip_reason": lambda s, d: scores(s, d).groupBy(F.coalesce("skip_reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n")),
     "f10_already_clean": lambda s, d: V.already_clean(scores(s, d)).select("doc_id", "n_paragraphs", "signal_score"),
 }
@@ -204,10 +208,10 @@ ORACLES = {
     "l1_lexicon_hits": f"with {BASE} select * from h",
     "l3_lexicon_density": f"with {BASE}, {DENSITY} select * from dn",
     "l4_watch_hits": f"with {Q.whole()}, {LEX}, t as (select distinct lang, lower(entry) as term from lex where kind = 'strict'), h as (select doc_id, count(*) as hits from documents join t using (lang) where contains(lower(text), term) group by doc_id) select doc_id, coalesce(hits, 0) as hits from documents left join h using (doc_id)",
-    "l5_term_coverage": f"with {Q.whole()}, {LEX}, t as (select distinct lang, lower(entry) as term from lex where kind = 'strict'), x as (select doc_id, lang, lower(left(text, 40)) as p from documents), c as (select distinct doc_id from x join t using (lang) where term = p or (length(term) >= 3 and contains(p, term))) select lang, count(*) as n, count(c.doc_id) as covered from x left join c using (doc_id) group by lang",
+    "l5_term_coverage": f"with {Q.whole()}, {LEX}, t as (select distinct lang, lower(entry) as term from lex where kind = 'strict'), x as (select doc_id, lang, lower(text) as p from documents), c as (select distinct doc_id from x join t using (lang) where term = p or (length(term) >= 3 and contains(p, term))) select lang, count(*) as n, count(c.doc_id) as covered from x left join c using (doc_id) group by lang",
     "l6_lexicon_lift": f"with {Q.whole()}, x as (select d.*, quality = 0 as hot from d join labels using (doc_id)), tt as (select count(*) filter (where hot) as hh, count(*) filter (where not hot) as cc from x), tk as (select doc_id, hot, unnest(list_distinct(list_transform(tokens, lambda t: lower(t)))) as entry from x), g as (select entry, count(*) filter (where hot) as hot_docs, count(*) filter (where not hot) as cold_docs from tk group by entry having count(*) >= 5), l as (select entry, hot_docs, cold_docs, case when cold_docs > 0 then {r6('(hot_docs::double / hh) / (cold_docs::double / cc)', 4)} end as lift, coalesce(cold_docs::double / cc, 0) as cold from g, tt) select entry, hot_docs, cold_docs, lift, hot_docs > 0 and (lift is null or lift >= 4) and cold <= 0.05 as keep from l",
     "l6_lift_readiness": "with x as (select d.source, quality = 0 as hot from documents d join labels using (doc_id)), g as (select count(*) filter (where hot) as hot_docs, count(*) filter (where not hot) as cold_docs, count(distinct case when hot then source end) as hot_registers, count(distinct case when not hot then source end) as cold_registers from x) select *, least(hot_docs, cold_docs) >= 25 and least(hot_registers, cold_registers) >= 2 as ready from g",
-    "v1_paragraph_verdicts": f"with {PARAS} select doc_id, para_idx, lang, n_sentences, n_tokens, cv, cv_band, mattr, mattr_band, matches, density, lexicon_hot, candour_hot, break_hot, divider, hot, strength from pv",
+    "v1_paragraph_verdicts": f"with {PARAS} select doc_id, para_idx, lang, n_sentences, n_tokens, cv, cv_band, mattr, mattr_band, matches, density, lexicon_hot, candour_hot, break_hot, false as diagnostic_hot, false as ending_hot, divider, hot, strength from pv",
     "a18_trigger_counts": f"with {PARAS} select doc_id, count(*) as n_paragraphs, count(*) filter (where hot) as n_hot, count(*) filter (where cv_band = 'low') as cv_low, count(*) filter (where cv_band = 'high') as cv_high, count(*) filter (where mattr_band = 'low') as mattr_low, count(*) filter (where mattr_band = 'high') as mattr_high, count(*) filter (where lexicon_hot) as lexicon_hot from pv group by doc_id",
     "v4_document_scores": f"with {SCORES} select * from sc",
     "v5_short_form_floor": f"select doc_id, least(3, 1.5 * ({DASH} + doc_id % 4)) / 27.0 * 100 * 0.18 as floor from documents",
@@ -226,7 +230,7 @@ select doc_id, count(*) as categories, {r6('max(score)', 4)} as top_score, {r6('
     "v16_audit_rows": f"with {PARAS}, x as (" + " union all ".join(f"select doc_id, para_idx, '{n}' as signal from pv where {c}" for n, c in (("burstiness", "cv_band = 'low'"), ("mattr", "mattr_band = 'low'"), ("lexicon", "lexicon_hot"), ("candour", "candour_hot"))) + ") select doc_id, signal, count(*) as n, array_to_string(list(para_idx order by para_idx)[1:4], ',') as samples, case when count(*) >= 6 then 3 when count(*) >= 3 then 2 else 1 end as severity from x group by all",
     "v17_panel_verdict": f"with {SCORED}, g as (select count(*) as n, {r6('avg(((score >= 35) = expected)::int)', 5)} as accuracy, {r6('count(*) filter (where score >= 35 and expected)::double / nullif(count(*) filter (where expected), 0)', 5)} as tpr, {r6('count(*) filter (where score >= 35 and not expected)::double / nullif(count(*) filter (where not expected), 0)', 5)} as fpr from s) select *, coalesce(accuracy >= 0.85, false) as passes from g",
     "v18_audit_weights": f"with e as (select l_returnflag || l_linestatus as category, count(*) / 1000.0 as emitted from lineitem group by 1), c as (select * from (values {', '.join(f'''('{c}', {w})''' for c, w in [*WEIGHTS, ('PIGEON', 0.1)])}) t(category, configured)) select category, {r6('emitted')} as emitted, {r6('configured')} as configured, case when emitted is null then 'missing' when configured is null then 'unexpected' when abs(emitted - configured) > 0.005 then 'mismatch' else 'ok' end as status from e full join c using (category)",
-    "k5_corpus_status": f"with {PARAS}, {GATE}, g as (select count(*) as files, count(*) filter (where score > 30) as failed, max(score) as max_score from gt) select *, case when max_score <= 15 then 'brightgreen' when max_score <= 30 then 'green' when max_score <= 50 then 'yellow' else 'red' end as badge from g",
+    "k5_corpus_status": f"with {PARAS}, {GATE}, g as (select count(*) as files, count(*) filter (where score > 30) as failed, max(score) as max_score from gt) select *, floor(coalesce(max_score, 0) + 0.5)::bigint || '% · ' || case when max_score <= 30 then 'human-ish' when max_score <= 50 then 'mixed' else 'ai-like' end as message, case when max_score <= 30 then 'brightgreen' when max_score <= 50 then 'yellow' else 'red' end as badge from g",
     "f6_skip_reason": f"with {SCORES} select coalesce(skip_reason, 'none') as reason, count(*) as n from sc group by 1",
     "f10_already_clean": f"with {SCORES} select doc_id, n_paragraphs, signal_score from sc where n_paragraphs >= 3 and n_hot = 0 and signal_score <= 10",
 }

@@ -3,21 +3,73 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
+import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parent.parent)
+PACKAGE = Path(__file__).resolve().parent
+ROOT = str(PACKAGE.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package even where the driver's folder is not on their path."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    """Let Python workers import this package: from its folder in a local session, on a cluster from a zip that Spark ships."""
+    context = spark.sparkContext
+    if re.fullmatch(r"local(\[.*\])?", context.master):
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if ROOT not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    elif not getattr(context, "_lexiscope_shipped", False):
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "lexiscope.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(PACKAGE.rglob("*.py")):
+                z.write(f, f.relative_to(PACKAGE.parent))
+        context.addPyFile(path)
+        context._lexiscope_shipped = True
     return spark
 
 
+#: Bytes of input for each core below which a table of texts is dealt out to all cores; larger tables have splits enough.
+SPREAD = 8 << 20
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; a small one of texts may lie in a single split, so its rows are spread."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD * cores:
+        return df.repartition(cores)
+    return df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, as a whole URI. Where that setting is absent, a local session (as in tests) gets a temporary one and any other an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = own_dir()
+    return whole_uri(spark, f"{base.rstrip('/')}/lexiscope/{uuid.uuid4().hex}")
+
+
+def whole_uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers and writers take it, with the scheme of the default file system where it has none."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
+@cache
+def own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there, its size is known to the planner, and an executor that is lost takes nothing along."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
