@@ -3,38 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.session import prepare
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, as a whole URI. Where that setting is absent, a local session (as in tests) gets a temporary one and any other an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = own_dir()
-    return whole_uri(spark, f"{base.rstrip('/')}/lexiscope/{uuid.uuid4().hex}")
-
-
-def whole_uri(spark: SparkSession, path: str) -> str:
-    """A path as Spark's readers and writers take it, with the scheme of the default file system where it has none."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
-
-
-@cache
-def own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+from lexiscope.session import materialise, prepare
 
 
 def open_fs(uri: str):
@@ -44,13 +20,6 @@ def open_fs(uri: str):
     return FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and an executor that is lost takes nothing along."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many marks before it as it takes to be none of df's columns."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors.
 
-Documents are sets of hashed n-grams: words, and runs of one to three word shapes (case, digits, marks,
+Documents are sets of hashed n-grams: words, pairs of words, and runs of one to three word shapes (case, digits, marks,
 whether a word repeats the one before, line ends), each shape also by how large a share of the words it
 has. Indicators are scaled by the log ratio of their class frequencies and a linear hinge loss is
 minimised over them by dual coordinate descent. Margins become probabilities by a logistic fit over
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import per_document
+from lexiscope.llm.common import per_document, rolling
 from lexiscope.llm.fitting import platt, remainder, sample, sigmoid
 
-BITS = 18
+BITS = 20
 PER_CLASS = 3000
 TOKEN = re.compile(r"\n|[^\s]+")
 RUNS = re.compile(r"([a-zß-öø-ÿ]+)|([A-ZÀ-ÖØ-Þ]+)|(\d+)|([^\W\d_]+)|(.)", re.S)
@@ -30,10 +30,10 @@ def shape(token: str) -> str:
     if token == "\n":
         return token
     out: list[str] = []
-    for low, up, digit, other, mark in RUNS.findall(token[:64]):
+    for low, up, digit, other, mark in RUNS.findall(token):
         out.append("a" if low else "A" if up else "0" if digit else "x" if other else mark)
     text = re.sub(r"(.)\1{2,}", r"\1\1\1", "".join(out))
-    return text[:12] + (">" if len(token) > 24 else "")
+    return text + (">" if len(token) > 24 else "")
 
 
 class Features:
@@ -62,7 +62,7 @@ class Features:
         at = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
         form = self.form[at].copy()
         form[1:][at[1:] == at[:-1]] = np.uint64(0x0123456789ABCDEF)  # the same word again
-        grams = [self.word[at]]
+        grams = [self.word[at], rolling(self.word[at], 2)]
         for n in (1, 2, 3):
             if len(form) >= n:
                 h = np.full(len(form) - n + 1, n, np.uint64)

@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed base rules reject very short and very repetitive texts. On top, each rule compares one statistic
-with a cutoff. A cutoff is used in a stratum only if the labelled holdout proves it: with k of n good
-documents rejected, the exact (Clopper-Pearson) upper bound on the rate of false rejections must not
-exceed the rule's share of `risk`. All cutoffs of all rules in all strata are tested, so the
-bounds are taken at delta / (rules x cutoffs x strata) (Bonferroni). Of the cutoffs that hold, the one
-that rejects most bad documents is chosen."""
+with a cutoff, and a stratum uses a set of cutoffs only if the labelled holdout proves it.
+
+The holdout is split by a hash. One part proposes: quantiles of each statistic are the candidates, and
+steps (a rule, a cutoff) are put in an order in which each rejects many bad documents for each good
+one; the first n steps together are the n-th set of rules. The other part certifies: sets are tested
+in that order, and the last one holds for which, with k of n good documents rejected, the exact
+(Clopper-Pearson) upper bound on the rate of false rejections is within `risk`. As the order is fixed
+before the test and the test ends at the first failure, no correction is needed for the number of
+sets; the bounds are taken at delta / strata (Bonferroni), so that with a chance of 1 - delta all strata hold."""
 
 from __future__ import annotations
 
@@ -16,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from lexiscope.llm.common import materialise, per_document, slices
+from lexiscope.llm.common import materialise, slices, unused
 from lexiscope.session import prepare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,8 +36,9 @@ RULES = {
     "stutter_ratio": ("n_stutter_words", "n_words", 1.0),
     "word_length": ("word_chars", "n_words", 40.0),
 }
-CUTOFFS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)
-RISK, DELTA = 0.02, 0.05
+#: Quantiles of good and of bad documents that are candidates; bad documents a step must reject for each good one.
+GOOD_AT, BAD_AT, GAIN = (0.9, 0.95, 0.98, 0.99, 0.995, 1.0), (0.05, 0.1, 0.25, 0.5, 0.75, 0.9), 3
+RISK, DELTA = 0.03, 0.05
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_shout_words long, n_stutter_words long"
 NAMES = [x.split()[0] for x in COUNTS.split(", ")]
 
@@ -60,25 +66,30 @@ def measure(text: str | None) -> tuple[int, ...]:
     return n, sum(map(len, words)), len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeats, len(lines), shout, stutter
 
 
-def measured(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, the counts, and any extra columns asked for."""
-    extra = extra or []
-    kinds = dict(docs.dtypes)
+def measured(docs: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """The columns `keep` of docs(text) and a struct of the counts, of each row."""
+    prepare(docs.sparkSession)
+    kinds = docs.select(*keep).schema.fields
+    counts = StructType.fromDDL(COUNTS)
+    at = len(keep)
 
-    def run(i, t, *more):
-        rows = [measure(x) for x in t]
-        return {"doc_id": i} | {n: [r[k] for r in rows] for k, n in enumerate(NAMES)} | dict(zip(extra, more, strict=True))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                rows = [measure(t) for t in part.column(at).to_pylist()]
+                columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(NAMES))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.StructArray.from_arrays(columns, NAMES)], [*keep, name])
 
-    return per_document(docs, ["doc_id", "text", *extra], run, f"doc_id long, {COUNTS}" + "".join(f", {c} {kinds[c]}" for c in extra))
+    return docs.select(*keep, F.col("text").alias(unused(docs, "text")[0])).mapInArrow(run, StructType([*kinds, StructField(name, counts)]))
 
 
-def with_ratios(df: DataFrame) -> DataFrame:
-    """Adds each rule's statistic; no words or lines: zero."""
-    return df.withColumns({name: F.coalesce(F.try_divide(F.col(a).cast("double"), b) / d, F.lit(0.0)) for name, (a, b, d) in RULES.items()})
+def statistics(m: str) -> F.Column:
+    """Each rule's statistic, in their order, from a struct of counts; no words or lines: zero."""
+    return F.array(*[F.coalesce(F.try_divide(F.col(m)[a].cast("double"), F.col(m)[b]) / d, F.lit(0.0)) for a, b, d in RULES.values()])
 
 
-def base_failed() -> F.Column:
-    return F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+def base_failed(m: str) -> F.Column:
+    return (F.col(m)["n_words"] < 50) | (100 * F.col(m)["n_repeat_words"] > 50 * F.col(m)["n_words"])
 
 
 # --- exact binomial bounds -------------------------------------------------------------------
@@ -103,87 +114,114 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return high
 
 
-def most_allowed(n: int, risk: float, alpha: float) -> int:
-    """The most false rejections of n whose upper bound stays within risk; -1 if none does."""
-    if n <= 0 or upper_bound(0, n, alpha) > risk:
-        return -1
-    low, high = 0, n
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if upper_bound(mid, n, alpha) <= risk else (low, mid)
-    return low
-
-
-def calibrate(holdout: DataFrame, risk: float = RISK, delta: float = DELTA, cutoffs: tuple[float, ...] = CUTOFFS) -> list[dict]:
-    """holdout(stratum, good, statistics) -> the certified cutoffs: stratum, rule, cutoff, n, rejected, bound.
-
-    Only counts leave Spark: a row for each stratum, with a number for each rule and cutoff."""
-    cells = [(r, c) for r in RULES for c in cutoffs]
-    counts = [F.count_if(F.col("good") & (F.col(r) >= c)).alias(f"g{i}") for i, (r, c) in enumerate(cells)]
-    counts += [F.count_if(~F.col("good") & (F.col(r) >= c)).alias(f"b{i}") for i, (r, c) in enumerate(cells)]
-    rows = holdout.groupBy("stratum").agg(F.count_if("good").alias("n"), *counts).collect()
+# --- proposing and certifying ----------------------------------------------------------------
+
+Step = tuple[int, float]  # a rule's number and a cutoff
+
+
+def path(counts: dict[Step, tuple[int, int]], gain: float = GAIN) -> list[Step]:
+    """Steps in the order in which they are tested, from the (bad, good) documents each would reject: the fewest good ones for a bad one first."""
+    out: list[Step] = []
+    now = dict.fromkeys({r for r, _ in counts}, (math.inf, 0, 0))
+    while True:
+        best = None
+        for (rule, cutoff), (bad, good) in counts.items():
+            high, b, g = now[rule]
+            more, lost = bad - b, good - g
+            if cutoff < high and more > 0 and gain * lost <= more:
+                key = (lost / more, -more, rule, -cutoff)
+                best = min(best, (key, rule, cutoff)) if best else (key, rule, cutoff)
+        if best is None:
+            return out
+        _, rule, cutoff = best
+        now[rule] = (cutoff, *counts[rule, cutoff])
+        out.append((rule, cutoff))
+
+
+def last_certified(first: dict[int, int], n: int, steps: int, risk: float, alpha: float) -> int:
+    """How many steps hold, from the number of good documents of n that each step is the first to reject."""
+    k = held = 0
+    for step in range(steps):
+        k += first.get(step, 0)
+        if n <= 0 or upper_bound(k, n, alpha) > risk:
+            break
+        held = step + 1
+    return held
+
+
+def calibrate(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[dict]:
+    """holdout(stratum, good, proposes, stats) -> the certified cutoffs: stratum, rule, cutoff, n, rejected (by all rules of the stratum), bound.
+
+    Only counts leave Spark: for each stratum one for each rule and candidate, and one for each step."""
+    spark = holdout.sparkSession
+    propose, certify = holdout.filter("proposes"), holdout.filter("not proposes and good")
+    at = lambda r, good, q: F.percentile_approx(F.when(F.col("good") == F.lit(good), F.col("stats")[r]), list(q), 1000)
+    quantiles = propose.groupBy("stratum").agg(*[F.concat(F.coalesce(at(r, True, GOOD_AT), F.expr("array()")), F.coalesce(at(r, False, BAD_AT), F.expr("array()"))).alias(f"q{r}") for r in range(len(RULES))])
+    candidates = [(row["stratum"], [(r, c) for r in range(len(RULES)) for c in sorted({x for x in row[f"q{r}"] if x > 0})]) for row in quantiles.collect()]
+    steps = "stratum string, steps array<struct<rule:int,cutoff:double>>"
+    rejects = lambda s: F.get("stats", s["rule"]) >= s["cutoff"]
+    met = propose.join(spark.createDataFrame(candidates, steps), "stratum").select("stratum", "good", F.explode(F.filter("steps", rejects)).alias("s"))
+    counts: dict[str, dict[Step, tuple[int, int]]] = {}
+    for row in met.groupBy("stratum", "s").agg(F.count_if(~F.col("good")).alias("bad"), F.count_if("good").alias("g")).collect():
+        counts.setdefault(row["stratum"], {})[row["s"]["rule"], row["s"]["cutoff"]] = (row["bad"], row["g"])
+    paths = {stratum: p for stratum, c in counts.items() if (p := path(c))}
+    numbered = F.transform("steps", lambda s, i: F.when(rejects(s), i))
+    tested = certify.join(spark.createDataFrame(list(paths.items()), steps), "stratum").select("stratum", F.array_min(F.array_compact(numbered)).alias("first"))
+    first: dict[str, dict[int | None, int]] = {}
+    for row in tested.groupBy("stratum", "first").count().collect():
+        first.setdefault(row["stratum"], {})[row["first"]] = row["count"]
     out = []
-    alpha = delta / max(1, len(cells) * len(rows))
-    for row in rows:
-        allowed = most_allowed(row["n"], risk / len(RULES), alpha)
-        for rule in RULES:
-            found = [(row[f"b{i}"], c, row[f"g{i}"]) for i, (r, c) in enumerate(cells) if r == rule and row[f"b{i}"] and row[f"g{i}"] <= allowed]
-            if found:
-                best = max(found)  # most bad documents; then the highest cutoff
-                out.append({"stratum": row["stratum"], "rule": rule, "cutoff": best[1], "n": row["n"], "rejected": best[2], "bound": upper_bound(best[2], row["n"], alpha)})
+    alpha, names = delta / max(1, len(candidates)), list(RULES)
+    for stratum, found in sorted(first.items()):
+        n, p = sum(found.values()), paths[stratum]
+        held = last_certified(found, n, len(p), risk, alpha)
+        rejected = sum(found.get(i, 0) for i in range(held))
+        for rule, cutoff in dict(p[:held]).items():  # the lowest, as a rule's steps only go down
+            out.append({"stratum": stratum, "rule": names[rule], "cutoff": cutoff, "n": n, "rejected": rejected, "bound": upper_bound(rejected, n, alpha)})
     return out
 
 
-def certified(docs: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> tuple[DataFrame, list[dict]]:
-    """(doc_id, __stratum, counts, statistics and base_failed of every document; the certified cutoffs)."""
-    rows = materialise(with_ratios(measured(docs.withColumn("__stratum", stratum_of(stratum)), ["__stratum"])).withColumn("base_failed", base_failed()))
-    known = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.max("quality") == 1).alias("good"))
-    holdout = rows.filter("not base_failed").dropDuplicates(["doc_id"]).join(known, F.col("doc_id") == F.col("__id")).withColumn("stratum", F.col("__stratum"))
-    return rows, calibrate(holdout, risk, delta)
-
-
 def stratum_of(column: str) -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def marked(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str, risk: float, delta: float) -> tuple[DataFrame, str, str]:
+    """(the columns `keep` of docs, a struct of counts, and the rules that reject each; the names of the last two)."""
+    spark = docs.sparkSession
+    m, s, rejected, known = unused(docs, "measures", "stratum", "rejected_by", "id")
+    rows = materialise(measured(docs.withColumn(s, stratum_of(stratum)), [*keep, s], m))
+    labelled = labels.filter("quality is not null").groupBy(F.col("doc_id").alias(known)).agg((F.max("quality") == 1).alias("good"))
+    # any one row of a repeated doc_id
+    once = rows.filter(~base_failed(m)).groupBy("doc_id").agg(F.min(F.struct(F.col(s).alias("stratum"), statistics(m).alias("stats"))).alias("x"))
+    proposes = (F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(3)) == 0).alias("proposes")
+    holdout = materialise(once.join(labelled, F.col("doc_id") == F.col(known)).select("x.stratum", "x.stats", "good", proposes))
+    cuts: dict[str, list[float | None]] = {}
+    for c in calibrate(holdout, risk, delta):
+        cuts.setdefault(c["stratum"], [None] * len(RULES))[list(RULES).index(c["rule"])] = c["cutoff"]
+    high, over = unused(rows, "cutoffs", "over")
+    table = spark.createDataFrame(list(cuts.items()), f"`{over}` string, `{high}` array<double>")
+    if len(cuts) <= 10_000:  # a row of a few numbers for each
+        table = F.broadcast(table)
+    names = F.array(*map(F.lit, RULES))
+    which = F.array_compact(F.transform(F.arrays_zip(statistics(m).alias("x"), F.col(high).alias("c"), names.alias("r")), lambda z: F.when(z["x"] >= z["c"], z["r"])))
+    out = rows.join(table, F.col(s) == F.col(over), "left").withColumn(rejected, F.coalesce(F.when(F.col(high).isNotNull(), which), F.expr("cast(array() as array<string>)")))
+    return out.select(*keep, m, rejected), m, rejected
+
+
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """docs(doc_id, text, stratum) and labels(doc_id, quality) -> a row per document: doc_id, the counts, base_failed, kept, rejected_by.
 
-    Every labelled document that passes the base rules is in the holdout (no model is fitted, so
-    none is needed for fitting). A null stratum is a stratum of its own; one with too few labelled
-    documents for any bound has the base rules alone, as has a table without labels. A null text has
+    Every labelled document that passes the base rules is in the holdout: a third of them proposes and the
+    others certify. A null stratum is a stratum of its own; one with too few labelled
+    documents for any bound has the base rules alone, as has a table without labels. Strata are taken
+    to be few: the driver gets some sixty counts for each. A null text has
     no words and fails. Labels that repeat a doc_id count once, and as good if any says so. Repeated
     documents and null doc_ids stay; other columns are ignored."""
-    rows, cuts = certified(docs, labels, stratum, risk, delta)
-    rejects = [F.when((F.col("__stratum") == c["stratum"]) & (F.col(c["rule"]) >= c["cutoff"]), F.lit(c["rule"])) for c in cuts]
-    out = rows.withColumn("rejected_by", F.array_compact(F.array(*rejects)) if rejects else F.expr("cast(array() as array<string>)"))
-    return out.select("doc_id", *NAMES, "base_failed", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
-
-
-def passes(text: str | None, stratum: str, cuts: dict[str, list[tuple[str, float]]]) -> bool:
-    """The verdict on one text, as judge() gives it."""
-    got = dict(zip(NAMES, measure(text), strict=True))
-    if got["n_words"] < 50 or 100 * got["n_repeat_words"] > 50 * got["n_words"]:
-        return False
-    return all(got[RULES[r][0]] / got[RULES[r][1]] / RULES[r][2] < cut for r, cut in cuts.get(stratum, ()))
+    rows, m, rejected = marked(docs.select("doc_id", "text", F.col(stratum).alias("stratum")), labels, ["doc_id"], "stratum", risk, delta)
+    return rows.select("doc_id", f"{m}.*", base_failed(m).alias("base_failed"), (~base_failed(m) & (F.size(rejected) == 0)).alias("kept"), F.col(rejected).alias("rejected_by"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The documents that judge() keeps, with all their columns, those without a doc_id included.
-
-    Texts are measured once for the cutoffs and again where they are kept or dropped, so no text is shuffled."""
-    cuts: dict[str, list[tuple[str, float]]] = {}
-    for c in certified(docs, labels, stratum, risk, delta)[1]:
-        cuts.setdefault(c["stratum"], []).append((c["rule"], c["cutoff"]))
-
-    columns = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                texts, strata = part.column("__text").to_pylist(), part.column("__stratum").to_pylist()
-                kept = [passes(t, s, cuts) for t, s in zip(texts, strata, strict=True)]
-                yield part.filter(pa.array(kept, pa.bool_())).select(columns)
-
-    prepare(docs.sparkSession)
-    return docs.withColumn("__text", F.col("text")).withColumn("__stratum", stratum_of(stratum)).mapInArrow(run, docs.schema)
+    """The documents that judge() keeps, with all their columns, those without a doc_id included; each text is measured once and none is shuffled."""
+    rows, m, rejected = marked(docs, labels, docs.columns, stratum, risk, delta)
+    return rows.filter(~base_failed(m) & (F.size(rejected) == 0)).select(*docs.columns)

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.llm.bpe import SPACE
-from lexiscope.llm.common import materialise, open_fs, per_document, shared_dir, whole_uri
-from lexiscope.session import prepare
+from lexiscope.llm.common import open_fs, per_document
+from lexiscope.session import materialise, prepare, shared_dir, whole_uri
 
 END = 1
 FILE_BYTES = 512 << 20

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import components, materialise, per_document
+from lexiscope.llm.common import components, materialise, per_document, unused
 from lexiscope.session import prepare
 
 BITS = 4
@@ -243,9 +243,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFr
     marked = materialise(fingerprints(docs, words))
     firsts = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), bits))
-    placed = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    placed = materialise(firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    ids = materialise(placed.groupBy("root").agg(F.min("first").alias("component_id")))
+    # written, so that each join is of plain shuffles and Spark can split a hot fingerprint
+    found = materialise(placed.join(ids, "root").select("fp", "component_id"))
+    return marked.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, bits: int = BITS) -> DataFrame:
@@ -259,9 +261,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, bits: int = BITS) -> D
 
 def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """docs without the documents that marked(doc_id, component_id) places under another id; a repeated doc_id stays once."""
-    keep = materialise(marked.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
-    again = keep.filter("__n > 1")
-    out = docs.join(keep.filter("__n = 1"), F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    at, n = unused(docs, "id", "n")
+    keep = materialise(marked.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(at)).agg(F.count("*").alias(n)))
+    again = keep.filter(F.col(n) > 1)
+    out = docs.join(keep.filter(F.col(n) == 1), F.col("doc_id") == F.col(at), "left_semi").unionByName(docs.filter("doc_id is null"))
     if not again.isEmpty():
-        out = out.unionByName(docs.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
+        out = out.unionByName(docs.join(again, F.col("doc_id") == F.col(at), "left_semi").dropDuplicates(["doc_id"]))
     return out
