@@ -75,9 +75,9 @@ def select_fixture_rows(df: DataFrame) -> DataFrame:
 
 
 def clean_messages(df: DataFrame) -> DataFrame:
-    """Chat lines of four characters or more without links, addresses or log stamps."""
+    """Chat lines of four characters or more without links, that open with no mention and no log stamp."""
     t = T.trim("text")
-    return df.filter((F.char_length(t) >= 4) & ~t.rlike(r"https?://") & ~F.contains(t, F.lit("@")) & ~t.rlike(r"^\[?\d{4}[-./]\d{1,2}[-./]\d{1,2}|^\d{1,2}:\d{2}"))
+    return df.filter((F.char_length(t) >= 4) & ~t.rlike(r"https?://|www\.") & ~F.startswith(t, F.lit("@")) & ~F.startswith(t, F.lit("[20")))
 
 
 #: What a manifest row must hold and may say.

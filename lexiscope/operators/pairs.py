@@ -4,90 +4,49 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.functions import text as T
 from lexiscope.functions.text import round_half_up as r6
+from lexiscope.operators.numbers import claims_of, safety
 
 # --- numbers ---------------------------------------------------------------------------------
 
-#: Number words, magnitudes and units that a claim can be made of.
-WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
-SCALES = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9, "trillion": 10**12, "백": 100, "천": 1000, "만": 10**4, "억": 10**8, "조": 10**12}
-CURRENCIES = {"$": "usd", "€": "eur", "£": "gbp", "₩": "krw", "¥": "jpy", "원": "krw", "달러": "usd", "dollars": "usd", "dollar": "usd", "euros": "eur", "euro": "eur", "usd": "usd", "eur": "eur", "krw": "krw"}
-DIGITS = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-CLAIMS = [
-    ("date", re.compile(r"\b(\d{4})[-./](\d{1,2})[-./](\d{1,2})\b|(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일")),
-    ("time", re.compile(r"\b(\d{1,2}):(\d{2})(?::\d{2})?\b")),
-    ("percent", re.compile(rf"({DIGITS})\s*(?:%|percent\b|per cent\b|퍼센트)", re.I)),
-    ("money", re.compile(rf"([$€£₩¥])\s*({DIGITS})(?:\s*(hundred|thousand|million|billion|trillion)\b)?|({DIGITS})\s*(백|천|만|억|조)?\s*(원|달러|dollars?\b|euros?\b|usd\b|eur\b|krw\b)", re.I)),
-    ("number", re.compile(rf"({DIGITS})\s*(hundred\b|thousand\b|million\b|billion\b|trillion\b|백|천|만|억|조)?", re.I)),
-    ("word", re.compile(r"\b(?:" + "|".join(WORDS) + r")\b(?:[- ](?:" + "|".join(WORDS) + r"|hundred|thousand|million|billion)\b)*", re.I)),
-]
-
-
-def value_of(digits: str, scale: str | None = None) -> Fraction:
-    return Fraction(digits.replace(",", "")) * (SCALES[scale.lower()] if scale else 1)
-
-
-def claims_of(text: str | None) -> list[str]:
-    """The numeric claims of a text, each as kind:numerator/denominator or the like, most particular kind first; no character serves twice."""
-    text = unicodedata.normalize("NFC", text or "")
-    used, out = bytearray(len(text)), []
-    for kind, pattern in CLAIMS:
-        for m in pattern.finditer(text):
-            if any(used[m.start() : m.end()]):
-                continue
-            g = m.groups()
-            if kind == "date":
-                y, mo, d = (int(x) for x in (g[:3] if g[0] else g[3:]))
-                claim = f"date:{y:04d}-{mo:02d}-{d:02d}"
-            elif kind == "time":
-                claim = f"time:{int(g[0]):02d}:{g[1]}"
-            elif kind == "percent":
-                claim = f"percent:{value_of(g[0])}"
-            elif kind == "money":
-                claim = f"money:{CURRENCIES[g[0]]}:{value_of(g[1], g[2])}" if g[0] else f"money:{CURRENCIES[g[5].lower()]}:{value_of(g[3], g[4])}"
-            elif kind == "number":
-                claim = f"number:{value_of(g[0], g[1])}"
-            else:
-                total = part = 0
-                for w in re.split("[- ]", m.group().lower()):
-                    if w in WORDS:
-                        part += WORDS[w]
-                    elif w == "hundred":
-                        part = max(part, 1) * 100
-                    else:
-                        total, part = total + max(part, 1) * SCALES[w], 0
-                claim = f"number:{total + part}"
-            used[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-            out.append(claim)
-    return out
-
 
 def numeric_claims(texts: DataFrame, key: list[str], column: str = "text") -> DataFrame:
-    """key, claim: a row for each claim of each text."""
-    kinds = dict(texts.dtypes)
+    """texts(key, lang, column) -> key, claims, reason: the numeric claims of each text in order, or why it can't be read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.assign(claim=[claims_of(x) for x in b[column]])[[*key, "claim"]].explode("claim")
-            yield b[b["claim"].notna()]
+    @F.pandas_udf("struct<claims:array<string>,reason:string>")
+    def run(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([claims_of(t, g) for t, g in zip(text, lang, strict=True)], columns=["claims", "reason"])
+
+    return texts.select(*key, run(column, F.coalesce("lang", F.lit("en"))).alias("c")).select(*key, "c.claims", "c.reason")
+
+
+def numbers_kept() -> Column:
+    """A struct of missing, added, safe and reason from pairs(lang, original, rewrite)."""
 
-    return texts.select(*key, column).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", claim string")
+    @F.pandas_udf("struct<missing:int,added:int,safe:boolean,reason:string>")
+    def run(original: pd.Series, rewrite: pd.Series, lang: pd.Series) -> pd.DataFrame:
+        rows = []
+        for o, r, g in zip(original, rewrite, lang, strict=True):
+            safe, reason = safety(o, r, g)
+            a, b = (Counter(claims_of(t, g)[0]) for t in (o, r))
+            rows.append(((a - b).total(), (b - a).total(), safe, reason))
+        return pd.DataFrame(rows, columns=["missing", "added", "safe", "reason"])
+
+    return run("original", "rewrite", F.coalesce("lang", F.lit("en")))
 
 
 def number_safety(pairs: DataFrame, key: str) -> DataFrame:
-    """pairs(key, original, rewrite) -> key, missing, added, safe: both sides must make the same claims equally often."""
-    side = lambda c, s: numeric_claims(pairs.select(key, F.col(c).alias("text")), [key]).groupBy(key, "claim").agg((F.count("*") * s).alias("n"))
-    net = side("original", 1).unionByName(side("rewrite", -1)).groupBy(key, "claim").agg(F.sum("n").alias("n"))
-    g = net.groupBy(key).agg(F.sum(F.greatest("n", F.lit(0))).alias("missing"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("added"))
-    return pairs.select(key).join(g, key, "left").na.fill(0, ["missing", "added"]).withColumn("safe", (F.col("missing") == 0) & (F.col("added") == 0))
+    """pairs(key, lang, original, rewrite) -> key, missing, added, safe, reason: both sides must be readable and make the same claims equally often."""
+    return pairs.select(key, numbers_kept().alias("n")).select(key, "n.*")
 
 
 def numbers_in(c: str | Column) -> Column:
@@ -102,6 +61,7 @@ def dropped_numbers(pairs: DataFrame) -> DataFrame:
 # --- terms, negations, length ----------------------------------------------------------------
 
 SCRIPT = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+HAN_KANA = re.compile(r"[\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fd-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003134f]")
 
 
 def content_tokens(c: str | Column, lang: Column) -> Column:
@@ -109,13 +69,25 @@ def content_tokens(c: str | Column, lang: Column) -> Column:
     return F.filter(low, lambda t: (F.char_length(t) >= 2) | t.rlike(SCRIPT))
 
 
+def recall_of() -> Column:
+    """A struct of rare and survived from pairs(lang, original, rewrite): of tokens that the original has once or twice, those that the rewrite has too, or, if long or Chinese or Japanese, contains."""
+
+    @F.pandas_udf("struct<rare:int,survived:int>")
+    def run(original: pd.Series, rewrite: pd.Series, text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for o, t, r in zip(original, rewrite, text, strict=True):
+            rare = [w for w, n in Counter(o).items() if n <= 2]
+            have, r = set(t), unicodedata.normalize("NFC", r or "")
+            rows.append((len(rare), sum(w in have or (len(w) >= 5 or bool(HAN_KANA.search(w))) and w in r for w in rare)))
+        return pd.DataFrame(rows, columns=["rare", "survived"])
+
+    tokens = lambda c: F.coalesce(content_tokens(c, F.col("lang")), F.expr("cast(array() as array<string>)"))
+    return run(tokens("original"), tokens("rewrite"), F.lower("rewrite"))
+
+
 def rare_token_recall(pairs: DataFrame, key: str) -> DataFrame:
     """pairs(key, lang, original, rewrite) -> key, rare, survived, recall of words that the original has once or twice; null under three of them."""
-    x = pairs.select(key, F.lower("rewrite").alias("r"), content_tokens("original", F.col("lang")).alias("o"), content_tokens("rewrite", F.col("lang")).alias("t"))
-    rare = x.select(key, F.explode("o").alias("w")).groupBy(key, "w").agg(F.count("*").alias("n")).filter("n <= 2").groupBy(key).agg(F.collect_list("w").alias("ws"))
-    j = x.join(rare, key, "left").withColumn("ws", F.coalesce("ws", F.expr("cast(array() as array<string>)")))
-    alive = F.size(F.filter("ws", lambda w: F.array_contains("t", w) | ((w.rlike(SCRIPT) | (F.char_length(w) >= 5)) & F.contains("r", w))))
-    return j.select(key, F.size("ws").alias("rare"), alive.alias("survived")).withColumn("recall", F.when(F.col("rare") >= 3, r6(F.col("survived") / F.col("rare"))))
+    return pairs.select(key, recall_of().alias("n")).select(key, "n.*").withColumn("recall", F.when(F.col("rare") >= 3, r6(F.col("survived") / F.col("rare"))))
 
 
 #: Words that deny.
@@ -138,18 +110,21 @@ def length_ratio(original: Column, rewrite: Column) -> Column:
     return F.when(original > 0, rewrite / original).otherwise(F.when(rewrite == 0, 1.0).otherwise(float("inf")))
 
 
-def meaning_proxy(pairs: DataFrame, key: str, with_numbers: bool = True) -> DataFrame:
+def meaning_proxy(pairs: DataFrame, key: str) -> DataFrame:
     """pairs(key, lang, original, rewrite) -> the four signals, reasons, and the worst severity: pass, warn or fail."""
-    x = pairs.select(key, F.size(F.array_except(numbers_in("original"), numbers_in("rewrite"))).alias("dropped"), (negations("rewrite", F.col("lang")) - negations("original", F.col("lang"))).alias("negation_delta"), length_ratio(F.size(T.tokenize("original", F.col("lang"))), F.size(T.tokenize("rewrite", F.col("lang")))).alias("ratio"))
-    x = x.join(rare_token_recall(pairs, key).select(key, "recall"), key)
-    x = x.join(number_safety(pairs, key).select(key, "safe"), key) if with_numbers else x.withColumn("safe", F.lit(True))
+    n = lambda c: F.size(T.tokenize(F.coalesce(c, F.lit("")), F.col("lang")))
+    x = pairs.select(
+        key, F.size(F.array_except(numbers_in("original"), numbers_in("rewrite"))).alias("dropped"), (negations("rewrite", F.col("lang")) - negations("original", F.col("lang"))).alias("negation_delta"),
+        length_ratio(n("original"), n("rewrite")).alias("ratio"), recall_of().alias("r"), numbers_kept().alias("s"),
+    )
+    x = x.select(key, "dropped", "negation_delta", "ratio", F.when(F.col("r.rare") >= 3, r6(F.col("r.survived") / F.col("r.rare"))).alias("recall"), "s.safe", F.col("s.reason").alias("number_reason"))
     codes = {
         "numbers": F.when(~F.col("safe"), 2).when(F.col("dropped") > 0, 1).otherwise(0), "terms": F.when(F.col("recall") < 0.3, 2).when(F.col("recall") < 0.5, 1).otherwise(0),
         "negation": F.least(F.abs("negation_delta"), F.lit(2)), "length": F.when((F.col("ratio") < 0.4) | (F.col("ratio") > 2.5), 2).otherwise(0),
     }
     worst = F.greatest(*codes.values())
     reasons = F.array_join(F.array_compact(F.array(*[F.when(c > 0, n) for n, c in codes.items()])), ",")
-    return x.select(key, "dropped", "negation_delta", r6(F.col("ratio"), 4).alias("ratio"), "recall", "safe", F.when(worst == 2, "fail").when(worst == 1, "warn").otherwise("pass").alias("severity"), reasons.alias("reasons"))
+    return x.select(key, "dropped", "negation_delta", r6(F.col("ratio"), 4).alias("ratio"), "recall", "safe", "number_reason", F.when(worst == 2, "fail").when(worst == 1, "warn").otherwise("pass").alias("severity"), reasons.alias("reasons"))
 
 
 def anchor_mps(pairs: DataFrame, key: str) -> DataFrame:
@@ -160,12 +135,13 @@ def anchor_mps(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def rewrite_quality(df: DataFrame) -> DataFrame:
-    """df(before, after, facts, kept, ratio): meaning safety from facts and length, the safe gain, and pass, warn or fail."""
-    length = F.when(F.col("ratio").between(0.5, 1.5), 1.0).when(F.col("ratio").between(0.35, 2.0), 0.5).otherwise(0.0)
-    safety = F.coalesce(F.try_divide(F.col("kept").cast("double"), "facts"), F.lit(1.0)) * length
-    gain = (F.col("before") - F.col("after")) * safety
-    x = df.withColumns({"safety": r6(safety, 4), "gain": r6(gain, 4)})
-    return x.withColumn("quality", F.when(F.col("safety") < 0.5, "fail").when((F.col("safety") < 0.9) | (F.col("gain") <= 0), "warn").otherwise("pass"))
+    """df(before, after, facts, kept, ratio): meaning safety (0 to 100) as the lesser of the facts kept and the length's points, the safe gain, and pass, warn or fail."""
+    length = F.when(F.col("ratio").between(0.7, 1.3), 100.0).when(F.col("ratio").between(0.5, 1.5), 80.0).when(F.col("ratio").between(0.3, 2.0), 60.0).when(F.col("ratio") > 0, 30.0).otherwise(0.0)
+    facts = F.coalesce(F.try_divide(F.col("kept") * 100.0, "facts"), F.lit(100.0))
+    gain = F.greatest(r6(F.col("before") - F.col("after"), 1), F.lit(0.0))
+    x = df.withColumn("safety", r6(F.least(facts, length), 1)).withColumn("gain", r6(gain * F.col("safety") / 100, 1))
+    safe = (F.col("safety") >= 70) & (F.col("gain") > 0)
+    return x.withColumn("quality", F.when(safe & (F.col("after") <= 30), "pass").when(safe, "warn").otherwise("fail"))
 
 
 # --- churn and diffs -------------------------------------------------------------------------
@@ -186,11 +162,8 @@ def lcs(a: list, b: list) -> int:
     return len(a) - s.bit_count()
 
 
-CAP = 400_000_000
-
-
 def edit_churn(original: str | Column, rewrite: str | Column, variant: str = "max") -> Column:
-    """1 - LCS / longer text, or with "sum" (n + m - 2 LCS) / (n + m); null where the product of lengths is above CAP."""
+    """1 - LCS / longer text, or with "sum" (n + m - 2 LCS) / (n + m)."""
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -198,8 +171,6 @@ def edit_churn(original: str | Column, rewrite: str | Column, variant: str = "ma
             p, q = (TOKEN.findall(unicodedata.normalize("NFC", t or "")) for t in (x, y))
             if not p and not q:
                 return 0.0
-            if len(p) * len(q) > CAP:
-                return None
             k = lcs(p, q)
             return 1 - k / max(len(p), len(q)) if variant == "max" else (len(p) + len(q) - 2 * k) / (len(p) + len(q))
 
@@ -266,35 +237,82 @@ def diff(pairs: DataFrame, key: str, unit: str) -> DataFrame:
     return pairs.select(key, "original", "rewrite").mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, seq int, kind string, before string, after string")
 
 
-def dice_of(a: str, b: str) -> float:
-    from collections import Counter
+def similarity(a: list[str], b: list[str]) -> np.ndarray:
+    """Dice similarity of each block with each, over bags of neighbouring characters without white space."""
+    holders: dict[str, list[tuple[int, int]]] = {}
+    size = np.zeros(len(b))
+    bags = [[Counter(x[i : i + 2] for i in range(len(x) - 1)) for x in ("".join(t.split()) for t in side)] for side in (a, b)]
+    for j, bag in enumerate(bags[1]):
+        size[j] = bag.total()
+        for g, n in bag.items():
+            holders.setdefault(g, []).append((j, n))
+    out = np.zeros((len(a), len(b)))
+    for i, bag in enumerate(bags[0]):
+        for g, n in bag.items():
+            for j, m in holders.get(g, ()):
+                out[i, j] += min(n, m)
+        out[i] *= 2 / np.maximum(size + bag.total(), 1)
+    return out
+
+
+CELLS = 4_000_000
+
+
+def best_rows(sim: np.ndarray, least: float) -> np.ndarray:
+    """The best sums of similarities of monotonic pairings, for each row and column (one more of both)."""
+    out = np.zeros((sim.shape[0] + 1, sim.shape[1] + 1))
+    for i, row in enumerate(sim, 1):
+        pair = np.where(row >= least, out[i - 1, :-1] + row, -np.inf)
+        out[i, 1:] = np.maximum.accumulate(np.maximum(out[i - 1, 1:], pair))
+    return out
+
 
-    x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a.lower(), b.lower()))
-    n = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / n if n else float(a.lower() == b.lower())
+def last_row(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """The last row of best_rows(), some rows at a time."""
+    low = np.zeros(len(b) + 1)
+    step = max(1, CELLS // (len(b) + 1))
+    for at in range(0, len(a), step):
+        for row in similarity(a[at : at + step], b):
+            pair = np.where(row >= least, low[:-1] + row, -np.inf)
+            low = np.concatenate([[0.0], np.maximum.accumulate(np.maximum(low[1:], pair))])
+    return low
+
+
+def paired(a: list[str], b: list[str], least: float, i0: int = 0, j0: int = 0) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of the monotonic pairing with the largest sum; large tables are halved, so memory stays bounded."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > CELLS and len(a) > 1:
+        half = len(a) // 2
+        at = int(np.argmax(last_row(a[:half], b, least) + last_row(a[half:][::-1], b[::-1], least)[::-1]))
+        return paired(a[:half], b[:at], least, i0, j0) + paired(a[half:], b[at:], least, i0 + half, j0 + at)
+    sim = similarity(a, b)
+    best = best_rows(sim, least)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        s = sim[i - 1, j - 1]
+        if s >= least and best[i, j] == best[i - 1, j - 1] + s:
+            out.append((i0 + i - 1, j0 + j - 1, float(s)))
+            i, j = i - 1, j - 1
+        elif best[i, j] == best[i - 1, j]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
 
 
 def align_blocks(pairs: DataFrame, key: str, least: float = 0.25) -> DataFrame:
-    """pairs(key, original, rewrite) -> key, i, first, last, dice: each block of the original with the run of rewrite blocks most like it, in order and without reuse."""
+    """pairs(key, original, rewrite) -> key, i, j, dice: blocks of the original with their partners in the rewrite, in order and without reuse, so that the sum of similarities is largest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, o, r in zip(b[key], b["original"], b["rewrite"], strict=True):
                 old, new = ([x.strip() for x in (t or "").split("\n") if x.strip()] for t in (o, r))
-                at = 0
-                for i, x in enumerate(old):
-                    best = (least, -1, -1)
-                    for j in range(at, min(len(new), at + 6)):
-                        for n in range(1, 4):
-                            if j + n <= len(new) and (s := dice_of(x, "\n".join(new[j : j + n]))) > best[0]:
-                                best = (s, j, j + n - 1)
-                    if best[1] >= 0:
-                        rows.append((k, i, best[1], best[2], round(best[0], 6)))
-                        at = best[2] + 1
-            yield pd.DataFrame(rows, columns=[key, "i", "first", "last", "dice"])
+                rows += [(k, i, j, round(s, 6)) for i, j, s in paired(old, new, least)]
+            yield pd.DataFrame(rows, columns=[key, "i", "j", "dice"])
 
-    return pairs.select(key, "original", "rewrite").mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, i int, first int, last int, dice double")
+    return pairs.select(key, "original", "rewrite").mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, i int, j int, dice double")
 
 
 def size_delta(pairs: DataFrame) -> DataFrame:
@@ -306,17 +324,33 @@ def size_delta(pairs: DataFrame) -> DataFrame:
 
 
 def persona_match(features: DataFrame, names: list[str], targets: DataFrame, key: str = "doc_id") -> DataFrame:
-    """features(key, names), targets(persona_id, feature, target, tolerance, weight) -> key, persona_id, score.
-
-    80 points fall with the weighted distance (at most three tolerances), 20 follow the weighted cosine."""
-    long = features.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("x")) for n in names])))
-    j = long.join(targets.filter("weight > 0 and tolerance > 0"), "feature")
+    """features(key, names, churn if known), targets(persona_id, feature, target, tolerance, weight) -> key, persona_id, score.
+
+    80 points fall with the weighted distance (at most three tolerances), 20 follow the weighted cosine. Up to 20
+    each are taken off for more avoided phrases than the target of lexicon_density_avoid allows, and for more
+    churn than the target of overEditChurn."""
+    churn = F.col("churn").cast("double") if "churn" in features.columns else F.lit(None).cast("double")
+    long = features.select(key, churn.alias("churn"), F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("x")) for n in names])))
+    avoid = F.col("feature") == "lexicon_density_avoid"
+    bounds = targets.groupBy("persona_id").agg(
+        F.max(F.when(avoid, F.col("target"))).alias("avoid_target"), F.max(F.when(avoid, F.col("tolerance"))).alias("avoid_tolerance"), F.max(F.when(F.col("feature") == "overEditChurn", F.col("target"))).alias("churn_max")
+    )
+    j = long.join(targets.filter("weight > 0 and tolerance > 0 and feature <> 'overEditChurn'"), "feature")
     z = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (F.col("x") - F.col("target")) / F.col("tolerance")))
     wx, wt = F.col("x") * F.col("weight"), F.col("target") * F.col("weight")
-    g = j.groupBy(key, "persona_id").agg(F.sqrt(F.try_divide(F.sum(F.col("weight") * z * z), F.sum("weight"))).alias("d"), F.sum(wx * wt).alias("dot"), F.sum(wx * wx).alias("xx"), F.sum(wt * wt).alias("tt"))
+    g = j.groupBy(key, "persona_id").agg(F.sqrt(F.try_divide(F.sum(F.col("weight") * z * z), F.sum("weight"))).alias("d"), F.sum(wx * wt).alias("dot"), F.sum(wx * wx).alias("xx"), F.sum(wt * wt).alias("tt"), F.first("churn").alias("churn"))
+    if "lexicon_density_avoid" in names:
+        g = g.join(features.select(key, F.coalesce(F.col("lexicon_density_avoid").cast("double"), F.lit(0.0)).alias("avoid")), key)
+    else:
+        g = g.withColumn("avoid", F.lit(0.0))
+    g = g.join(bounds, "persona_id")
     cos = F.when((F.col("xx") > 0) & (F.col("tt") > 0), F.col("dot") / (F.sqrt("xx") * F.sqrt("tt"))).otherwise(0.0)
     score = 80 * (1 - F.least(F.coalesce("d", F.lit(0.0)), F.lit(3.0)) / 3) + 20 * F.greatest(cos, F.lit(0.0))
-    return g.select(key, "persona_id", r6(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 4).alias("score"))
+    spare = F.coalesce("avoid_tolerance", F.lit(1.0))
+    excess = F.greatest(F.lit(0.0), F.col("avoid") - F.coalesce("avoid_target", F.lit(0.0)) - spare)
+    too_many = F.least(F.lit(20.0), excess / F.greatest(spare, F.lit(1.0)) * 5)
+    over = F.when(F.col("churn") > F.col("churn_max"), F.least(F.lit(20.0), (F.col("churn") - F.col("churn_max")) / F.greatest(F.col("churn_max"), F.lit(0.01)) * 20)).otherwise(0.0)
+    return g.select(key, "persona_id", r6(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score - too_many - over)), 4).alias("score"))
 
 
 def persona_gate(df: DataFrame, match: float = 70.0, churn: float = 0.45) -> DataFrame:
@@ -325,10 +359,14 @@ def persona_gate(df: DataFrame, match: float = 70.0, churn: float = 0.45) -> Dat
     return df.withColumn("advice", F.array_join(advice, ",")).withColumn("passed", F.col("advice") == "")
 
 
-def derive_targets(features: DataFrame, names: list[str], tolerance: float = 0.15, weight: float = 1.0) -> DataFrame:
+#: Tolerances of targets that come from a sample.
+TOLERANCES = {"sentence_opener_diversity": 0.2, "burstiness_cv": 0.15, "comma_per_sentence": 0.5, "mattr": 0.1}
+
+
+def derive_targets(features: DataFrame, tolerances: dict[str, float] = TOLERANCES, weight: float = 0.1) -> DataFrame:
     """feature, target, tolerance, weight from the means of sample texts."""
-    means = features.agg(*[r6(F.avg(n), 5).alias(n) for n in names])
-    return means.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("target")) for n in names]))).withColumns({"tolerance": F.lit(tolerance), "weight": F.lit(weight)})
+    means = features.agg(*[r6(F.avg(n), 5).alias(n) for n in tolerances])
+    return means.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("target"), F.lit(t).alias("tolerance")) for n, t in tolerances.items()]))).withColumn("weight", F.lit(weight))
 
 
 def ablation_aggregate(df: DataFrame, by: list[str]) -> DataFrame:
@@ -351,11 +389,16 @@ def ablation_decision(rounds: DataFrame, by: list[str], order: str) -> DataFrame
     return g.select(*by, F.when(F.col("t"), "fallback-bridge-only").when(~F.col("f"), "promote-thresholds").otherwise("keep-placeholder").alias("decision"))
 
 
-def recommend_thresholds(df: DataFrame, by: str, value: str) -> DataFrame:
-    """by, n, threshold: the value at a quarter of the way up the sorted ones."""
-    w = Window.partitionBy(by)
-    x = df.filter(F.col(value).isNotNull()).withColumns({"__r": F.row_number().over(w.orderBy(value)) - 1, "n": F.count("*").over(w)})
-    return x.filter(F.col("__r") == F.floor(F.col("n") * 0.25)).select(by, "n", F.col(value).alias("threshold"))
+def recommend_thresholds(df: DataFrame, by: str, value: str, least: float = 70.0) -> DataFrame:
+    """by, n, threshold: the last value of the lowest quarter (the lowest of fewer than eight), rounded down, `least` at least.
+
+    The order statistic is found in counts of distinct values, so no task sorts a whole group of rows."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    total = counts.groupBy(by).agg(F.sum("c").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
+    at = F.greatest(F.floor(F.col("n") * 0.25) - 1, F.lit(0))
+    x = counts.withColumn("upto", upto).join(total, by).filter(F.col("upto") > at)
+    return x.groupBy(by, "n").agg(F.min(value).alias("v")).select(by, "n", F.greatest(F.lit(least), F.floor("v").cast("double")).alias("threshold"))
 
 
 def pick_winner(df: DataFrame, item: str, mps: float = 70.0, fidelity: float = 70.0) -> DataFrame:

@@ -97,8 +97,11 @@ def hapax(tokens: str | Column) -> Column:
 
 
 def mattr(u: DataFrame, keys: list[str], window: int = 50) -> DataFrame:
-    """keys, n_tokens, mattr of units with tokens; each row for itself."""
-    return u.filter(F.size("tokens") > 0).select(*keys, F.size("tokens").alias("n_tokens"), T.round_half_up(moving_types("tokens", window)).alias("mattr"))
+    """keys, n_tokens, mattr of units with tokens; each row for itself.
+
+    Units without tokens go by an empty list, as a filter would be pushed below the tokens and cut them twice."""
+    row = F.struct(F.size("tokens").alias("n_tokens"), T.round_half_up(moving_types("tokens", window)).alias("mattr"))
+    return u.select(*keys, F.inline(F.filter(F.array(row), lambda r: r["n_tokens"] > 0)))
 
 
 def comma_density(d: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ ORACLES = {
     "f3_classify_segments": f"with {SEG}, r as (select case when translate = 'no' then 'locked' when state <> 'final' then 'state_not_allowlisted' when regexp_matches(target, '<[A-Za-z/]') then 'inline_markup' when {Q.trim('target')} = '' then 'empty_target' when {Q.trim('target')} = {Q.trim('source')} then 'untranslated' when not {PROSE('target')} then 'not_prose' else '-' end as reason from sg) select reason, reason = '-' as select, count(*) as n from r group by 1",
     "f4_can_redistribute": f"select doc_id, {OK} as ok from documents",
     "f5_select_fixture_rows": f"with {SCORED}, x as (select case when trim(coalesce(text, '')) = '' then 'errors' when not {OK} then 'refused' when not expected and predicted then 'selected' else 'skipped' end as route from s) select route, count(*) as n from x group by 1",
-    "f7_clean_messages": rf"with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) as text from documents) select doc_id, count(*) as n from l where length({Q.trim('text')}) >= 4 and not regexp_matches({Q.trim('text')}, 'https?://') and not contains(text, '@') and not regexp_matches({Q.trim('text')}, '^\[?\d{{4}}[-./]\d{{1,2}}[-./]\d{{1,2}}|^\d{{1,2}}:\d{{2}}') group by doc_id",
+    "f7_clean_messages": rf"with l as (select doc_id, {Q.trim('x')} as t from (select doc_id, unnest(string_split_regex(text, '\r?\n')) as x from documents)) select doc_id, count(*) as n from l where length(t) >= 4 and not regexp_matches(t, 'https?://|www\.') and not starts_with(t, '@') and not starts_with(t, '[20') group by doc_id",
     "f8_validate_manifest": f"""with m as (select doc_id, lower(lang) as language, case when doc_id % 9 = 0 then '' when doc_id % 2 = 0 then 'human' else 'ai-like' end as class, source as register, doc_id % 4 as fam, doc_id % 13 = 0 as late, {LIC} as lic, {OK} as ok, trim({TEXT}) <> '' as has, doc_id % 3 = 0 as badhash from documents),
 e as (select doc_id, list_filter([case when class = '' then 'missing required field: class' end, case when language not in ('ko', 'en', 'zh', 'ja') then 'language is unknown' end, case when not regexp_matches(register, '^src([0-9]|1[0-7])$') then 'register is unknown' end, case when late then 'generated_at is no time' end, case when has and not ok then 'text may not be passed on' end, case when badhash then 'text_hash is malformed' end, case when has and badhash then 'text_hash differs' end], lambda x: x is not null) as e, (fam = 3)::int + (trim(lower(lic)) = 'unknown')::int as n_warnings from m)
 select doc_id, len(e) as n_errors, n_warnings, array_to_string(e, ';') as errors from e""",

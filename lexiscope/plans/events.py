@@ -75,7 +75,7 @@ QUERIES = {
     "d5_histogram_p95": lambda s, d: hist(s, d).select("channel", "tier", "quarter", "n", "rank", "bound", "tail"),
     "d6_alert_triggers": lambda s, d: D.alert_triggers(hist(s, d)),
     "d7_failure_streaks": lambda s, d: D.failure_streaks(ev(s, d), "user_id", "event_id", F.col("event_type").isin("error", "signup"), 2).filter("streak > 0").select("event_id", "user_id", "streak", "alert"),
-    "d8_cool_down": lambda s, d: D.cool_down(ticks(s, d).filter("n_triggers > 0"), "key"),
+    "d8_cool_down": lambda s, d: D.cool_down(D.alert_triggers(hist(s, d)).withColumnRenamed("quarter", "ts").withColumn("delivered", F.col("count") % 5 != 0), ["channel", "tier", "trigger"]),
     "d9_recovery": lambda s, d: D.recovery(ticks(s, d), "key"),
     "d10_failure_ratio": lambda s, d: D.failure_ratio(counts(s, d)),
     "d11_funnel_daily": lambda s, d: D.funnel_daily(funnel(s, d), 20),

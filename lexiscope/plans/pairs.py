@@ -11,13 +11,13 @@ from lexiscope.operators import similarity as Y
 from lexiscope.operators import style as S
 from lexiscope.plans import sql as Q
 from lexiscope.plans.evaluation import SCORED, scored
+from lexiscope.plans.style import WORDS
 from lexiscope.plans.verdicts import TURNS, turns
 from lexiscope.session import table
 
 r6 = Q.r6
 MODEL = M.Model((0.4, -0.02, 0.01, 1.5, -2.0, 0.7, 0.1, -0.3, 2.0, -0.5, 0.0, 3.0), -0.2, (0.5, 10.0, 5.0, 0.6, 0.8, 0.7, 5.0, 0.5, 0.05, 0.8, 0.1, 0.01), (0.2, 5.0, 3.0, 0.2, 0.1, 0.2, 1.0, 0.5, 0.03, 0.2, 1.0, 0.02), 0.6)
-TARGETS = [("p1", "burstiness_cv", 0.5, 0.2, 1.0), ("p1", "mattr", 0.8, 0.1, 2.0), ("p2", "sentence_opener_diversity", 0.9, 0.2, 1.0), ("p2", "comma_per_sentence", 0.3, 0.3, 0.5)]
-NAMES = ["burstiness_cv", "mattr", "sentence_opener_diversity", "comma_per_sentence"]
+TARGETS = [("p1", "burstiness_cv", 0.5, 0.2, 1.0), ("p1", "mattr", 0.8, 0.1, 2.0), ("p1", "overEditChurn", 0.45, 0.0, 0.0), ("p2", "sentence_opener_diversity", 0.9, 0.2, 1.0), ("p2", "comma_per_sentence", 0.3, 0.3, 0.5), ("p2", "lexicon_density_avoid", 20.0, 5.0, 0.3), ("p2", "lexicon_density_preferred", 40.0, 30.0, 0.2)]
 
 
 def talk(spark, d):
@@ -38,7 +38,7 @@ def numbered(spark, d):
 
 
 def claims(spark, d):
-    return P.numeric_claims(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("claim").alias("kinds"))
+    return P.numeric_claims(table(spark, d, "documents"), ["doc_id"]).select("doc_id", F.size("claims").alias("n"), F.size(F.array_distinct("claims")).alias("kinds"), "reason")
 
 
 def quality(spark, d):
@@ -47,7 +47,7 @@ def quality(spark, d):
 
 
 def anchors(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.slice(F.split("text", r"[ \n]+", -1), 1, 6).alias("anchors"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 20, 100000)).alias("rewrite"))
+    x = table(spark, d, "documents").select("doc_id", F.slice(F.split("text", r"[ \n]+", -1), 1, 6).alias("anchors"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.expr("substring(text, 20)")).alias("rewrite"))
     return P.anchor_mps(x, "doc_id")
 
 
@@ -81,15 +81,16 @@ def grader(spark, d):
 
 def matched(spark, d):
     t = spark.createDataFrame(TARGETS, "persona_id string, feature string, target double, tolerance double, weight double")
-    return P.persona_match(S.persona_features(table(spark, d, "documents")), NAMES, t)
+    x = S.persona_features(table(spark, d, "documents"), *WORDS).withColumn("churn", F.pmod("doc_id", F.lit(10)) / 10.0)
+    return P.persona_match(x, list(S.PERSONA), t)
 
 
 def messages(spark, d):
-    return table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.lower(F.substring("text", 1, 400)).alias("text"))
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.lower("text").alias("text"))
 
 
 def found(spark, d):
-    """Nearest first turns of every benchmark item."""
+    """Nearest turns of every benchmark item."""
     m = messages(spark, d)
     w = Y.idf(m, "doc_id")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.lower("text").alias("text"))
@@ -126,16 +127,17 @@ QUERIES = {
     "p4_rare_token_recall": lambda s, d: P.rare_token_recall(edited(s, d), "doc_id"),
     "p5_negations": lambda s, d: talk(s, d).select("id", P.negations("original").alias("before"), P.negations("rewrite").alias("after")),
     "p6_length_ratio": lambda s, d: talk(s, d).select("id", F.round(P.length_ratio(F.size(T.tokenize("original")), F.size(T.tokenize("rewrite"))), 5).alias("ratio")),
-    "p7_meaning_proxy": lambda s, d: P.meaning_proxy(edited(s, d), "doc_id", with_numbers=False),
+    "p7_meaning_proxy": lambda s, d: P.meaning_proxy(edited(s, d), "doc_id"),
+    "p7_meaning_signals": lambda s, d: P.meaning_proxy(edited(s, d), "doc_id").select("doc_id", "dropped", "negation_delta", "ratio", "recall"),
     "p8_anchor_mps": anchors,
     "p9_rewrite_quality": quality,
     "p10_edit_churn": lambda s, d: talk(s, d).select("id", F.round(P.edit_churn("original", "rewrite"), 6).alias("churn"), F.round(P.edit_churn("original", "rewrite", "sum"), 6).alias("churn_sum")),
     "p12_persona_match": matched,
     "p13_persona_gate": lambda s, d: P.persona_gate(matched(s, d).withColumn("churn", F.pmod("doc_id", F.lit(10)) / 10.0)).groupBy("advice", "passed").agg(F.count("*").alias("n")),
-    "p14_derive_targets": lambda s, d: P.derive_targets(features(s, d), ["ttr", "mean_tok_len", "digit_ratio"]),
+    "p14_derive_targets": lambda s, d: P.derive_targets(S.persona_features(table(s, d, "documents"), *WORDS)),
     "p15_ablation_aggregate": rounds,
     "p16_ablation_decision": lambda s, d: P.ablation_decision(rounds(s, d), ["study"], "round"),
-    "p17_recommend_thresholds": lambda s, d: P.recommend_thresholds(entries(s, d), "config", "score").select("config", "n", "threshold").distinct(),
+    "p17_recommend_thresholds": lambda s, d: P.recommend_thresholds(entries(s, d), "config", "score"),
     "p18_pick_winner": lambda s, d: P.pick_winner(entries(s, d), "item").select("item", "config", "score"),
     "p19_ab_summary": lambda s, d: P.ab_summary(entries(s, d), "item"),
     "p20_select_iteration": trace,
@@ -170,7 +172,7 @@ ROUNDS = f"""rd as (select l_orderkey % 20 as study, l_linenumber as round, l_qu
 rg as (select study, round, avg(tm - bm) as delta, avg((tm > bm)::int) as wins, avg((bmps >= 70)::int) - avg((tmps >= 70)::int) as lm, 1 - avg((tc <= 0.45)::int) as lc from rd group by all),
 ag as (select study, round, {r6('delta', 4)} as delta, {r6('wins', 4)} as wins, {r6('greatest(lm, lc, 0)', 4)} as safety_drop, delta >= 5 and wins >= 0.55 and lm <= 0.01 and lc <= 0.03 as passes from rg)"""
 TERMS = r"list_concat(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), list_filter(list_transform(range(1, length(text)), lambda i: substr(text, i, 2)), lambda b: not regexp_matches(b, '^\s+$')))"
-INDEX = f"""ms as (select conv_id as doc_id, lower(left(text, 400)) as text from conversations where turn = 0), mt as (select doc_id, unnest({TERMS}) as term from ms),
+INDEX = f"""ms as (select conv_id * 1000 + turn as doc_id, lower(text) as text from conversations), mt as (select doc_id, unnest({TERMS}) as term from ms),
 df as (select term, count(distinct doc_id) as df from mt group by term), wt as (select term, ln(((select count(*) from ms) + 1) / (df + 1)::double) + 1 as idf from df),
 mf as (select doc_id, term, count(*) as f from mt group by all), mv as (select doc_id, term, (1 + ln(f)) * idf as v from mf join wt using (term)), mw as (select doc_id, term, v / sqrt(sum(v * v) over (partition by doc_id)) as w from mv)"""
 Z = " + ".join(f"{w} * (({n}) - {m}) / {s}" for n, w, m, s in zip(S.FEATURES, MODEL.weights, MODEL.mu, MODEL.sigma, strict=True))
@@ -186,11 +188,19 @@ def persona() -> str:
     from lexiscope.plans.style import ORACLES as style
 
     t = ", ".join(f"('{a}', '{b}', {c}::double, {e}::double, {w}::double)" for a, b, c, e, w in TARGETS)
-    long = " union all ".join(f"select doc_id, '{n}' as feature, {n} as x from pf" for n in NAMES)
+    long = " union all ".join(f"select doc_id, '{n}' as feature, {n} as x from pf" for n in S.PERSONA)
     return f"""pf as ({style['a17_persona_features']}), lg as ({long}), tg as (select * from (values {t}) v(persona_id, feature, target, tolerance, weight)),
-pj as (select doc_id, persona_id, x, target, weight, greatest(-3, least(3, (x - target) / tolerance)) as z from lg join tg using (feature)),
+pj as (select doc_id, persona_id, x, target, weight, greatest(-3, least(3, (x - target) / nullif(tolerance, 0))) as z from lg join tg using (feature) where weight > 0 and tolerance > 0),
 pg as (select doc_id, persona_id, sqrt(sum(weight * z * z) / sum(weight)) as d, sum(x * weight * target * weight) as dot, sum(x * weight * x * weight) as xx, sum(target * weight * target * weight) as tt from pj group by all),
-ps as (select doc_id, persona_id, {r6('greatest(0, least(100, 80 * (1 - least(d, 3) / 3) + 20 * greatest(case when xx > 0 and tt > 0 then dot / (sqrt(xx) * sqrt(tt)) else 0 end, 0)))', 4)} as score from pg)"""
+pb as (select persona_id, max(target) filter (where feature = 'lexicon_density_avoid') as goal, max(tolerance) filter (where feature = 'lexicon_density_avoid') as al, max(target) filter (where feature = 'overEditChurn') as cm from tg group by 1),
+pq as (select pg.*, greatest(0, lexicon_density_avoid - coalesce(goal, 0) - coalesce(al, 1)) / greatest(coalesce(al, 1), 1) * 5 as ap, case when (doc_id % 10) / 10.0 > cm then ((doc_id % 10) / 10.0 - cm) / greatest(cm, 0.01) * 20 else 0 end as cp from pg join pb using (persona_id) join pf using (doc_id)),
+ps as (select doc_id, persona_id, {r6('greatest(0, least(100, 80 * (1 - least(d, 3) / 3) + 20 * greatest(case when xx > 0 and tt > 0 then dot / (sqrt(xx) * sqrt(tt)) else 0 end, 0) - least(20, ap) - least(20, cp)))', 4)} as score from pq)"""
+
+
+def derived() -> str:
+    from lexiscope.plans.style import ORACLES as style
+
+    return f"with pf as ({style['a17_persona_features']}) " + " union all ".join(f"select '{n}' as feature, {r6(f'avg({n})', 5)} as target, {t} as tolerance, 0.1 as weight from pf" for n, t in P.TOLERANCES.items())
 
 
 ORACLES = {
@@ -198,17 +208,16 @@ ORACLES = {
     "p4_rare_token_recall": f"with {RARE} select * from ra",
     "p5_negations": f"with {TALK} select id, {NEG.format('original')} as before, {NEG.format('rewrite')} as after from tk",
     "p6_length_ratio": f"with {TALK}, n as (select id, len({Q.tokens('original')}) as a, len({Q.tokens('rewrite')}) as b from tk) select id, round(case when a > 0 then b::double / a when b = 0 then 1 else 'inf'::double end, 5) as ratio from n",
-    "p7_meaning_proxy": f"""with {RARE}, x as (select doc_id, len(list_filter({NUMS.format('original')}, lambda v: not list_contains({NUMS.format('rewrite')}, v))) as dropped, {NEG.format('rewrite')} - {NEG.format('original')} as negation_delta, case when no > 0 then nr::double / no when nr = 0 then 1 else 'inf'::double end as ratio, recall from rx join ra using (doc_id)),
-c as (select *, (dropped > 0)::int as c1, case when recall < 0.3 then 2 when recall < 0.5 then 1 else 0 end as c2, least(abs(negation_delta), 2) as c3, case when ratio < 0.4 or ratio > 2.5 then 2 else 0 end as c4 from x)
-select doc_id, dropped, negation_delta, {r6('ratio', 4)} as ratio, recall, true as safe, case greatest(c1, c2, c3, c4) when 2 then 'fail' when 1 then 'warn' else 'pass' end as severity, array_to_string(list_filter([case when c1 > 0 then 'numbers' end, case when c2 > 0 then 'terms' end, case when c3 > 0 then 'negation' end, case when c4 > 0 then 'length' end], lambda v: v is not null), ',') as reasons from c""",
+    "p7_meaning_signals": f"""with {RARE}, x as (select doc_id, len(list_filter({NUMS.format('original')}, lambda v: not list_contains({NUMS.format('rewrite')}, v))) as dropped, {NEG.format('rewrite')} - {NEG.format('original')} as negation_delta, case when no > 0 then nr::double / no when nr = 0 then 1 else 'inf'::double end as ratio, recall from rx join ra using (doc_id))
+select doc_id, dropped, negation_delta, {r6('ratio', 4)} as ratio, recall from x""",
     "p8_anchor_mps": rf"with x as (select doc_id, string_split_regex(text, '[ \n]+')[1:6] as a, lower({Q.trim(r'''regexp_replace(case when doc_id % 2 = 0 then text else substr(text, 20) end, '\s+', ' ', 'g')''')}) as r from documents), y as (select doc_id, len(a) as anchors, len(list_filter(a, lambda v: contains(r, lower(trim(v))))) as passed from x) select *, {r6('passed * 100.0 / nullif(anchors, 0)', 4)} as mps from y",
-    "p9_rewrite_quality": f"with {SCORED}, x as (select doc_id, score as before, score * 0.7 as after, doc_id % 5 as facts, least(doc_id % 5, doc_id % 4) as kept, (n_chars % 250) / 100.0 as ratio from s), y as (select *, coalesce(kept::double / nullif(facts, 0), 1) * case when ratio between 0.5 and 1.5 then 1 when ratio between 0.35 and 2 then 0.5 else 0 end as sf from x), z as (select doc_id, before, after, facts, kept, ratio, {r6('sf', 4)} as safety, {r6('(before - after) * sf', 4)} as gain from y) select *, case when safety < 0.5 then 'fail' when safety < 0.9 or gain <= 0 then 'warn' else 'pass' end as quality from z",
+    "p9_rewrite_quality": f"with {SCORED}, x as (select doc_id, score as before, score * 0.7 as after, doc_id % 5 as facts, least(doc_id % 5, doc_id % 4) as kept, (n_chars % 250) / 100.0 as ratio from s), y as (select *, {r6('least(coalesce(kept * 100.0 / nullif(facts, 0), 100), case when ratio between 0.7 and 1.3 then 100 when ratio between 0.5 and 1.5 then 80 when ratio between 0.3 and 2 then 60 when ratio > 0 then 30 else 0 end)', 1)} as safety from x), z as (select *, {r6(f"greatest({r6('before - after', 1)}, 0) * safety / 100", 1)} as gain from y) select *, case when safety >= 70 and gain > 0 then case when after <= 30 then 'pass' else 'warn' end else 'fail' end as quality from z",
     "p12_persona_match": f"with {persona()} select * from ps",
     "p13_persona_gate": f"with {persona()}, g as (select array_to_string(list_filter([case when score < 70 then 'match' end, case when (doc_id % 10) / 10.0 > 0.45 then 'churn' end], lambda v: v is not null), ',') as advice from ps) select advice, advice = '' as passed, count(*) as n from g group by 1",
-    "p14_derive_targets": f"with {feats()} " + " union all ".join(f"select '{n}' as feature, {r6(f'avg({n})', 5)} as target, 0.15 as tolerance, 1.0 as weight from ft" for n in ("ttr", "mean_tok_len", "digit_ratio")),
+    "p14_derive_targets": derived(),
     "p15_ablation_aggregate": f"with {ROUNDS} select * from ag",
     "p16_ablation_decision": f"with {ROUNDS}, f as (select *, not passes or delta < 3 or wins < 0.52 or safety_drop > 0.03 as fail from ag), t as (select *, fail and coalesce(lag(fail) over (partition by study order by round), false) as twice from f) select study, case when bool_or(twice) then 'fallback-bridge-only' when bool_or(not fail) then 'promote-thresholds' else 'keep-placeholder' end as decision from t group by study",
-    "p17_recommend_thresholds": f"with {ENT}, r as (select config, score, row_number() over (partition by config order by score) - 1 as r, count(*) over (partition by config) as n from en) select distinct config, n, score as threshold from r where r = floor(n * 0.25)",
+    "p17_recommend_thresholds": f"with {ENT}, r as (select config, score, row_number() over (partition by config order by score) - 1 as r, count(*) over (partition by config) as n from en) select config, n, greatest(70, floor(score))::double as threshold from r where r = greatest(floor(n * 0.25) - 1, 0)",
     "p18_pick_winner": f"with {ENT} select item, config, score from wn",
     "p19_ab_summary": f"with {ENT}, b as (select item, score as base from en where config = (select min(config) from en)), g as (select config, count(*) as n, {r6('avg(score)', 4)} as score, {r6('avg(churn)', 4)} as churn, {r6('avg(score - base)', 4)} as delta from en left join b using (item) group by config), w as (select config, count(*) as wins from wn group by config) select g.*, coalesce(wins, 0) as wins from g left join w using (config)",
     "p20_select_iteration": """with x as (select l_orderkey as item, l_linenumber as iteration, 100.0 - 12 * l_linenumber + l_partkey % 9 as after, l_suppkey % 40 + 64 as fidelity, case when l_partkey % 17 <> 0 then l_partkey % 40 + 65 end as mps from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey from lineitem group by all)),

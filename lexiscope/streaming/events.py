@@ -107,27 +107,28 @@ def failure_streaks(df: DataFrame, key: str, order: str, failed: Column, least:
     return x.withColumn("streak", streak).withColumn("alert", F.col("streak") >= least).drop("__f", "__g")
 
 
-def cool_down(df: DataFrame, key: str, seconds: int = 3600) -> DataFrame:
-    """Batch: df(key, ts) with sent: an alert goes out if none of its key went out within `seconds` before.
+def cool_down(df: DataFrame, keys: list[str], seconds: int = 3600) -> DataFrame:
+    """Batch: df(keys, ts, delivered) with sent: an alert goes out if none with the same keys went out within `seconds` before.
 
-    Each depends on the one before, so rows of a key pass in order through one task, a batch at a time."""
+    One that could not be delivered (`delivered` false; no such column: all can) is not sent and keeps no later
+    one back. Each decision depends on the one before, so rows of a key pass in order through one task, a batch at a time."""
+    x = df if "delivered" in df.columns else df.withColumn("delivered", F.lit(True))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {}
-        current = None
+        current = last = None
         for b in batches:
             sent = []
-            for k, t in zip(b[key], b["ts"], strict=True):
+            for k, t, fine in zip(b[keys].itertuples(index=False, name=None), b["ts"], b["delivered"], strict=True):
                 if k != current:
-                    current, last = k, {}
-                ok = "t" not in last or (t - last["t"]).total_seconds() >= seconds
+                    current, last = k, None
+                ok = bool(fine) and (last is None or (t - last).total_seconds() >= seconds)
                 if ok:
-                    last["t"] = t
+                    last = t
                 sent.append(ok)
             yield b.assign(sent=sent)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.repartition(key).sortWithinPartitions(key, "ts").mapInPandas(fold, f"{fields}, sent boolean")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
+    return x.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInPandas(fold, f"{fields}, sent boolean").select(*df.columns, "sent")
 
 
 def recovery(ticks: DataFrame, key: str) -> DataFrame:
@@ -219,28 +220,57 @@ def entitlement_counts(counts: DataFrame, tier: str = "pro") -> DataFrame:
 
 # --- deliveries and free log text ------------------------------------------------------------
 
-FIELDS = ("schemaVersion", "schema", "channel", "evidenceClass", "tier", "outcome", "latencyBucket", "statusClass", "sampling")
+#: The nine fields of an event in their order, with what each may say.
+STATUSES = ("1xx", "2xx", "3xx", "4xx", "5xx", "unknown")
+FIELDS = {
+    "schemaVersion": "v1", "schema": r"(?:[a-z0-9_-]+\.)*web\.v1", "channel": "|".join(CHANNELS), "evidenceClass": "aggregate_only", "tier": "|".join(TIERS), "outcome": "|".join(OUTCOMES),
+    "latencyBucket": "|".join((*LATENCIES, "unknown")), "statusClass": "|".join(STATUSES), "sampling": "full|sampled_1_of_20",
+}
+EVENT = r",?\s*".join(rf"[{{,\s\"']{name}[\"']?\s*:\s*[\"'](?:{values})[\"']\s*" for name, values in FIELDS.items())
+#: Fixed value: characters of the longest message that is looked at.
+MESSAGE = 65_536
+
+
+def events_in(message: str | Column) -> Column:
+    """The complete events of a log message, as written as JSON or by an inspector; none of a message that is too long."""
+    c = F.col(message) if isinstance(message, str) else message
+    found = F.regexp_extract_all(c, F.lit(EVENT), F.lit(0))
+    return F.when(c.isNull() | (F.char_length(c) > MESSAGE), F.expr("cast(array() as array<string>)")).otherwise(found)
+
 
+def parse_deliveries(df: DataFrame, now: Column | None = None, body: str = "body") -> DataFrame:
+    """df(delivery_id, body) -> delivery_id, pos, message, ts of the entries that hold events.
 
-def parse_deliveries(df: DataFrame, body: str = "body") -> DataFrame:
-    """df(delivery_id, body) -> delivery_id, pos, message, ts: bodies are JSON arrays or lines of JSON. One bad entry rejects its delivery."""
-    kind = "struct<message:string,timestamp:long>"
+    A body is a JSON array or lines of JSON. It is rejected whole if it is empty or malformed, if an entry is
+    no object, or if one with events has no positive whole number of milliseconds as its timestamp. Entries
+    without events need none. With `now`, entries of more than two hours ago or fifteen minutes ahead are dropped."""
     text = F.trim(F.col(body))
-    listed = F.when(text.startswith("["), F.from_json(text, f"array<{kind}>"))
-    lines = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, kind))
-    x = df.withColumn("e", F.coalesce(listed, lines))
-    good = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda e: e["message"].isNotNull() & e["timestamp"].isNotNull())
-    return x.filter(good).select("delivery_id", F.posexplode("e").alias("pos", "e")).select("delivery_id", "pos", "e.message", F.timestamp_millis(F.col("e.timestamp")).alias("ts"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    parsed = F.when(F.startswith(text, F.lit("[")), F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")).otherwise(F.transform(lines, lambda x: F.try_parse_json(F.trim(x))))
+
+    def entry(v: Column) -> Column:
+        message, time = F.try_variant_get(v, "$.message", "variant"), F.try_variant_get(v, "$.timestamp", "variant")
+        said = F.when(F.schema_of_variant(message) == "STRING", F.try_variant_get(message, "$", "string"))
+        number = F.when(F.schema_of_variant(time).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(time, "$", "double"))
+        whole = F.when((number == F.floor(number)) & (number > 0) & (number < 2.0**53), number.cast("long"))
+        return F.struct(F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)).alias("object"), said.alias("message"), whole.alias("ms"), (F.size(events_in(said)) > 0).alias("bears"))
+
+    x = df.select("delivery_id", F.transform(parsed, entry).alias("e"))
+    good = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda e: e["object"] & (~e["bears"] | e["ms"].isNotNull()))
+    out = x.filter(good).select("delivery_id", F.posexplode("e").alias("pos", "e")).filter("e.bears").select("delivery_id", "pos", "e.message", F.timestamp_millis(F.col("e.ms")).alias("ts"))
+    return out if now is None else guard_time(out, now)
 
 
 def extract_events(df: DataFrame, column: str = "message") -> DataFrame:
-    """All events in free text whose fields come in their order, with channel, tier, outcome and latency of the closed enums; others go."""
-    pattern = r"\{[^{}]*" + r",\s*".join(f'"{f}"\\s*:\\s*"[^"]*"' for f in FIELDS) + r"[^{}]*\}"
-    raw = F.explode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0)))
-    kind = "struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">"
-    x = df.withColumn("__raw", raw).withColumn("__e", F.from_json("__raw", kind))
-    ok = F.col("__e.channel").isin(*CHANNELS) & F.col("__e.tier").isin(*TIERS) & F.col("__e.outcome").isin(*OUTCOMES) & F.col("__e.latencyBucket").isin(*LATENCIES)
-    return x.filter(ok).select(*[c for c in df.columns if c != column], F.col("__e.channel").alias("channel"), F.col("__e.tier").alias("tier"), F.col("__e.outcome").alias("outcome"), F.col("__e.latencyBucket").alias("latency"))
+    """All events in free text whose nine fields come in their order, each with a value it may have: channel, tier, outcome and latency."""
+    x = df.withColumn("__e", F.explode(events_in(column)))
+    said = lambda name: F.regexp_extract("__e", rf"[{{,\s\"']{name}[\"']?\s*:\s*[\"']([^\"']*)[\"']", 1)
+    return x.select(*[c for c in df.columns if c != column], said("channel").alias("channel"), said("tier").alias("tier"), said("outcome").alias("outcome"), said("latencyBucket").alias("latency"))
+
+
+def live_counters(counts: DataFrame, now: Column, seconds: int = LATE_S) -> DataFrame:
+    """Counters of quarters that ended at most `seconds` ago; what is older has expired."""
+    return counts.filter(now.cast("double") - F.col("quarter").cast("double") - QUARTER <= seconds)
 
 
 # --- keyed state -----------------------------------------------------------------------------

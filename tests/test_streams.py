@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiscope.streaming import events as D
@@ -75,7 +76,10 @@ def test_streaks_and_cool_down(spark):
     last = D.failure_streaks(df, "key", "ts", F.col("failed")).orderBy(F.desc("ts")).first()
     assert (last["streak"], last["alert"]) == (3, True)
     alerts = spark.createDataFrame([(k, at(m)) for k in "ab" for m in (0, 15, 59, 60, 61, 200)], "key string, ts timestamp")
-    assert sorted((r["key"], r["ts"]) for r in D.cool_down(alerts, "key").filter("sent").collect()) == [(k, at(m)) for k in "ab" for m in (0, 60, 200)]
+    assert sorted((r["key"], r["ts"]) for r in D.cool_down(alerts, ["key"]).filter("sent").collect()) == [(k, at(m)) for k in "ab" for m in (0, 60, 200)]
+    failing = spark.createDataFrame([("a", t, at(m), ok) for t in "xy" for m, ok in ((0, t == "x"), (15, True), (30, True), (80, True))], "key string, trigger string, ts timestamp, delivered boolean")
+    got = sorted((r["trigger"], r["ts"]) for r in D.cool_down(failing, ["key", "trigger"]).filter("sent").collect())
+    assert got == [("x", at(0)), ("x", at(80)), ("y", at(15)), ("y", at(80))]
 
 
 def test_time_guard(spark):
@@ -97,16 +101,40 @@ def test_quota(spark):
 
 
 def test_deliveries_of_logs(spark):
-    good = json.dumps({"message": "x " + json.dumps(EVENT) + " y", "timestamp": 1704110400000})
-    rows = [(1, f"[{good}, {good}]"), (2, f"{good}\n\n{good}\n{good}"), (3, f"{good}\nnot json"), (4, '[{"message": "m"}]'), (5, "")]
-    parsed = D.parse_deliveries(spark.createDataFrame(rows, "delivery_id int, body string"))
-    assert sorted((r["delivery_id"], r["pos"]) for r in parsed.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+    ms = 1704110400000
+    entry = lambda t=ms, **more: json.dumps({"message": "x " + json.dumps(EVENT | more) + " y", "timestamp": t})
+    good, plain = entry(), json.dumps({"message": "no event here"})
+    rows = {
+        1: f"[{good}, {good}]", 2: f"{good}\n\n{plain}\n{good}", 3: f"{good}\nnot json", 4: '[{"message": "m"}]', 5: "", 6: f"[{entry(-5)}]", 7: f"[{good}, 3]", 8: f"[{good}, {entry(None)}]",
+        9: f"[{entry(1.5)}]", 10: entry(str(ms)), 11: json.dumps({"timestamp": ms}), 12: f"{{}}\n{good}", 13: entry(ms - 8_000_000), 14: json.dumps([json.loads(good), {"message": 7, "timestamp": None}]),
+    }
+    df = spark.createDataFrame(list(rows.items()), "delivery_id int, body string")
+    parsed = D.parse_deliveries(df)
+    assert sorted((r["delivery_id"], r["pos"]) for r in parsed.collect()) == [(1, 0), (1, 1), (2, 0), (2, 2), (12, 1), (13, 0), (14, 0)]
+    assert {r["delivery_id"] for r in D.parse_deliveries(df, F.timestamp_millis(F.lit(ms))).collect()} == {1, 2, 12, 14}
     out = D.extract_events(parsed).collect()
-    assert len(out) == 5 and {(r["channel"], r["tier"], r["outcome"], r["latency"]) for r in out} == {("production", "pro", "completed", "<=30s")}
-    bad = spark.createDataFrame([(json.dumps(EVENT | {"tier": "gold"}),)], "message string")
+    assert len(out) == 7 and {(r["channel"], r["tier"], r["outcome"], r["latency"]) for r in out} == {("production", "pro", "completed", "<=30s")}
+
+
+@pytest.mark.parametrize("change", [{"tier": "gold"}, {"schemaVersion": "v9"}, {"evidenceClass": "raw_text"}, {"statusClass": "9xx"}, {"sampling": "half"}, {"latencyBucket": "5s"}, {"channel": "dev"}, {"outcome": "fine"}])
+def test_events_have_closed_fields(spark, change):
+    bad = spark.createDataFrame([(json.dumps(EVENT | change),)], "message string")
     assert D.extract_events(bad).count() == 0
 
 
+def test_events_as_an_inspector_writes_them(spark):
+    text = "{\n  " + ",\n  ".join(f"{k}: '{v}'" for k, v in EVENT.items()) + "\n}"
+    missing = json.dumps({k: v for k, v in EVENT.items() if k != "sampling"})
+    swapped = json.dumps(dict(sorted(EVENT.items())))
+    df = spark.createDataFrame([(1, text), (2, missing), (3, swapped), (4, None), (5, json.dumps(EVENT) * 2), (6, "x" * 70_000 + json.dumps(EVENT))], "id int, message string")
+    assert sorted(r["id"] for r in D.extract_events(df).collect()) == [1, 5, 5]
+
+
+def test_counters_expire(spark):
+    df = spark.createDataFrame([(at(m),) for m in (0, -120, -135, -136)], "quarter timestamp")
+    assert D.live_counters(df, F.lit(START)).count() == 3
+
+
 def test_funnel(spark):
     rows = [("Input Started", {"surface": "hero", "lang": "en"}), ("Input Started", {"surface": "hero"}), ("Input Started", {"surface": "hero", "lang": "xx"}), ("Input Started", {"surface": "hero", "lang": "en", "more": "1"}), ("Other", {"surface": "hero", "lang": "en"}), (None, None)]
     df = spark.createDataFrame(rows, "name string, data map<string,string>")
