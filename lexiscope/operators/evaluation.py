@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import round_half_up as r6
+from lexiscope.operators.ordering import running
 
 Z = 1.959963984540054
 
@@ -99,24 +100,24 @@ def threshold_sweep(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     ends = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     ends = ends.withColumn("score", F.explode(F.array(F.lit(0.0), F.lit(101.0)))).withColumns({"pos": F.lit(0).cast("long"), "neg": F.lit(0).cast("long")})
     points = by_score(df, by).unionByName(ends).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    above = part.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = points.select(*by, F.col("score").alias("threshold"), F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(part).alias("p"), F.sum("neg").over(part).alias("q"))
+    whole = points.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    x = running(points, by, "score", {"tp0": F.col("pos"), "fp0": F.col("neg")}, descending=True)
+    x = x.join(whole, by) if by else x.crossJoin(F.broadcast(whole))  # one row
+    out = x.select(*by, F.col("score").alias("threshold"), (F.col("tp0") + F.col("pos")).alias("tp"), (F.col("fp0") + F.col("neg")).alias("fp"), "p", "q")
     return with_metrics(out.select(*by, "threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("q") - F.col("fp")).alias("tn")))
 
 
 def best_f1(sweep: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The threshold of the best F1; ties: precision, recall, then the lower false-positive rate, then the higher threshold."""
-    order = [F.col(c).desc_nulls_last() for c in ("f1", "precision", "recall")] + [F.col("fpr").asc_nulls_last(), F.col("threshold").desc()]
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)
-    return sweep.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    # the greatest of (f1, precision, recall, -fpr, threshold), by partial aggregation; nulls come last
+    rank = F.struct(*[F.coalesce(c, F.lit(float("-inf"))) for c in (F.col("f1"), F.col("precision"), F.col("recall"), -F.col("fpr"), F.col("threshold"))])
+    return sweep.groupBy(*(by or [])).agg(F.max_by(F.struct(*[c for c in sweep.columns if c not in (by or [])]), rank).alias("x")).select(*(by or []), "x.*").select(*sweep.columns)
 
 
-def roc_auc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, pos, neg, auc: mid-rank form, a tie counts half; null without both classes."""
+def roc_auc(df: DataFrame | None, by: list[str] | None = None, points: DataFrame | None = None) -> DataFrame:
+    """by, pos, neg, auc: mid-rank form, a tie counts half; null without both classes. points(by, score, pos, neg) may be given instead of rows."""
     by = by or []
-    below = Window.partitionBy(*(by or [F.lit(1)])).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    points = by_score(df, by).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    points = running(by_score(df, by) if points is None else points, by, "score", {"under": F.col("neg")})
     out = points.groupBy(*by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") * (2 * F.col("under") + F.col("neg"))).alias("u2"))
     return out.select(*by, "pos", "neg", r6(F.try_divide(F.col("u2").cast("double"), 2.0 * F.col("pos") * F.col("neg"))).alias("auc"))
 
@@ -124,8 +125,8 @@ def roc_auc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 def average_precision(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, ap: the precision at each score, weighted by the recall that it adds."""
     by = by or []
-    above = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    points = by_score(df, by).withColumns({"tp": F.sum("pos").over(above), "all": F.sum(F.col("pos") + F.col("neg")).over(above)})
+    x = running(by_score(df, by), by, "score", {"tp0": F.col("pos"), "all0": F.col("pos") + F.col("neg")}, descending=True)
+    points = x.withColumns({"tp": F.col("tp0") + F.col("pos"), "all": F.col("all0") + F.col("pos") + F.col("neg")})
     return points.groupBy(*by).agg(r6(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos"))).alias("ap"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import round_half_up as r6
+from lexiscope.operators.ordering import running
 from lexiscope.operators.style import FEATURES
 
 
@@ -54,10 +55,13 @@ def predict(model: Model, names: tuple[str, ...] = FEATURES) -> Column:
 def threshold_for_fpr(df: DataFrame, share: float, by: list[str] | None = None) -> DataFrame:
     """df(score, expected) -> by, threshold: the negative score at rank ceil((1 - share) n), 0.5 at least."""
     by = by or []
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    x = df.filter(~F.col("expected")).withColumns({"__r": F.row_number().over(w.orderBy("score")), "__n": F.count("*").over(w)})
-    at = F.least(F.greatest(F.ceil((1 - F.lit(share)) * F.col("__n")), F.lit(1)), F.col("__n"))
-    return x.filter(F.col("__r") == at).select(*by, F.greatest(F.lit(0.5), F.col("score")).alias("threshold"))
+    points = df.filter(~F.col("expected")).groupBy(*by, "score").agg(F.count("*").alias("c"))
+    whole = points.groupBy(*by).agg(F.sum("c").alias("n"))
+    x = running(points, by, "score", {"before": F.col("c")})
+    x = x.join(whole, by) if by else x.crossJoin(F.broadcast(whole))  # one row
+    at = F.least(F.greatest(F.ceil((1 - F.lit(share)) * F.col("n")), F.lit(1)), F.col("n"))
+    x = x.filter((F.col("before") < at) & (F.col("before") + F.col("c") >= at))
+    return x.select(*by, F.greatest(F.lit(0.5), F.col("score")).alias("threshold"))
 
 
 def verdict(df: DataFrame, model: Model | None) -> DataFrame:

@@ -112,7 +112,8 @@ def length_ratio(original: Column, rewrite: Column) -> Column:
 
 def meaning_proxy(pairs: DataFrame, key: str) -> DataFrame:
     """pairs(key, lang, original, rewrite) -> the four signals, reasons, and the worst severity: pass, warn or fail."""
-    n = lambda c: F.size(T.tokenize(F.coalesce(c, F.lit("")), F.col("lang")))
+    pairs = pairs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("original", "rewrite")})
+    n = lambda c: F.size(T.tokenize(c, F.col("lang")))
     x = pairs.select(
         key, F.size(F.array_except(numbers_in("original"), numbers_in("rewrite"))).alias("dropped"), (negations("rewrite", F.col("lang")) - negations("original", F.col("lang"))).alias("negation_delta"),
         length_ratio(n("original"), n("rewrite")).alias("ratio"), recall_of().alias("r"), numbers_kept().alias("s"),

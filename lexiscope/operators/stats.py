@@ -7,30 +7,48 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions.text import round_half_up as r6
 from lexiscope.operators.evaluation import roc_auc
+from lexiscope.operators.ordering import running
 
 
-def bootstrap_ci(df: DataFrame, value: str, iterations: int = 200, seed: int = 7, by: list[str] | None = None, key: str = "id") -> DataFrame:
-    """by, n, mean, low, high: the 95 % percentile interval of the mean under a Poisson bootstrap.
+#: Cumulative shares of a Poisson distribution of mean 1.
+STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+GRAIN = 1 << 40
 
-    Each row's weight in a replicate comes from a hash of (row key, replicate, seed), so no row is drawn twice
-    or moved, and runs repeat."""
-    by = by or []
-    u = lambda b: F.pmod(F.xxhash64(F.col(key), b, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+
+def weights(key: str, iterations: int, seed: int) -> Column:
+    """How often a row is drawn in each replicate, from a hash of (row key, replicate, seed): no row is moved, and runs repeat."""
 
     def weight(b: Column) -> Column:
-        x = u(b)
-        return sum(((x >= s).cast("int") for s in steps), F.lit(0))
+        x = F.pmod(F.xxhash64(F.col(key), b, F.lit(seed)), F.lit(GRAIN)) / F.lit(float(GRAIN))
+        return sum(((x >= s).cast("int") for s in STEPS), F.lit(0))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(iterations)), weight)
+
+
+def interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, low, high: the 95 % percentile interval of the replicates' values."""
+    rank = lambda q: F.element_at(F.array_sort(F.collect_list(value)), F.greatest(F.lit(1), F.least(F.floor(F.count(value) * q).cast("int") + 1, F.count(value).cast("int"))))
+    return replicates.groupBy(*by).agg(rank(0.025).alias("low"), rank(0.975).alias("high"))
+
 
-    w = F.transform(F.sequence(F.lit(1), F.lit(iterations)), weight)
-    rows = df.select(*by, F.col(value).alias("v"), F.posexplode(w).alias("b", "w")).filter("w > 0")
+def bootstrap_ci(df: DataFrame, value: str, iterations: int = 200, seed: int = 7, by: list[str] | None = None, key: str = "id") -> DataFrame:
+    """by, n, mean, low, high: the 95 % percentile interval of the mean under a Poisson bootstrap."""
+    by = by or []
+    rows = df.select(*by, F.col(value).alias("v"), F.posexplode(weights(key, iterations, seed)).alias("b", "w")).filter("w > 0")
     means = rows.groupBy(*by, "b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
-    rank = lambda q: F.element_at(F.array_sort(F.collect_list("m")), F.greatest(F.lit(1), F.least(F.floor(F.count("m") * q).cast("int") + 1, F.count("m").cast("int"))))
-    ci = means.groupBy(*by).agg(rank(0.025).alias("low"), rank(0.975).alias("high"))
+    ci = interval(means, by, "m")
     base = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     return base.join(ci, by) if by else base.crossJoin(ci)
 
 
+def bootstrap_auc_ci(df: DataFrame, by: list[str], iterations: int = 200, seed: int = 11, key: str = "id") -> DataFrame:
+    """df(by, key, score, expected) -> by, low, high: the 95 % percentile interval of the AUC under a Poisson bootstrap."""
+    rows = df.select(*by, "score", "expected", F.posexplode(weights(key, iterations, seed)).alias("b", "w")).filter("w > 0")
+    drawn = lambda on: F.sum(F.when(on, F.col("w")).otherwise(0)).alias
+    points = rows.groupBy(*by, "b", "score").agg(drawn(F.col("expected"))("pos"), drawn(~F.col("expected"))("neg"))
+    return interval(roc_auc(None, [*by, "b"], points), by, "auc")
+
+
 def krippendorff(df: DataFrame, unit: str, value: str) -> DataFrame:
     """One row: units, ratings, alpha (interval). Units with one rating are left out; null under two units or without spread."""
     u = df.filter(F.col(value).isNotNull()).groupBy(unit).agg(F.count("*").alias("m"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).filter("m >= 2")
@@ -40,14 +58,16 @@ def krippendorff(df: DataFrame, unit: str, value: str) -> DataFrame:
     return a.select("units", "ratings", F.when((F.col("units") >= 2) & (chance != 0), r6(1 - observed / chance, 5)).alias("alpha"))
 
 
-def mid_rank(value: str, by: list[str]) -> Column:
-    part = Window.partitionBy(*(by or [F.lit(1)]))
-    return F.rank().over(part.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def mid_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """by, value, name: the average rank of each distinct value, from counts of values."""
+    points = df.groupBy(*by, value).agg(F.count("*").alias("__c"))
+    return running(points, by, value, {"__before": F.col("__c")}).select(*by, value, (F.col("__before") + (F.col("__c") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """by, n, rho with average ranks; null without spread. Groups should not hold the whole corpus: each is ranked in one sort."""
-    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, mid_rank(x, by).alias("rx"), mid_rank(y, by).alias("ry"))
+    """by, n, rho with average ranks; null without spread."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    r = rows.join(mid_ranks(rows, x, by, "rx"), [*by, x]).join(mid_ranks(rows, y, by, "ry"), [*by, y])
     return r.groupBy(*by).agg(F.count("*").alias("n"), r6(F.corr("rx", "ry"), 5).alias("rho"))
 
 
@@ -74,20 +94,19 @@ def cohesion(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
 def cohesion_test(df: DataFrame, vector: str, group: Column, key: str, iterations: int = 50, seed: int = 3) -> DataFrame:
     """One row: cohesion inside and outside the group, their gap, and the share of seeded permutations with a gap as large.
 
-    A replicate draws as many keys as the group has by the order of a hash. Only keys are ranked; the drawn
-    ones then meet their vectors, and the outside is the total less the inside."""
-    base = unit_vectors(df, vector).select(F.col(key).alias("k"), group.alias("g"), "has", "u")
-    all_ = base.agg(F.count("*").alias("rows"), F.count_if("has").alias("longs"), F.count_if("g").alias("size"))  # one row
-    reps = base.select("k", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("rep"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("k", "rep", F.lit(seed)), "k"))
-    drawn = reps.withColumn("r", rank).crossJoin(F.broadcast(all_)).filter("r <= size").select("k", "rep")
-    members = drawn.unionByName(base.filter("g").select("k", F.lit(0).alias("rep")))
-    long = base.select("k", "has", F.posexplode("u").alias("i", "x"))
-    inside = members.join(long, "k").groupBy("rep", "i").agg(F.sum("x").alias("s"), F.count_if("has").alias("kin"), F.count("*").alias("nin"))
-    total = long.groupBy("i").agg(F.sum("x").alias("t"))
-    q = inside.join(total, "i").groupBy("rep").agg(F.sum(F.col("s") * F.col("s")).alias("qi"), F.sum((F.col("t") - F.col("s")) * (F.col("t") - F.col("s"))).alias("qo"), F.max("kin").alias("kin"), F.max("nin").alias("nin")).crossJoin(F.broadcast(all_))
+    In a replicate each row is drawn by its own hash, with a chance of the group's share of all rows. So draws
+    need no ranking and no join: a row adds its vector to the sums of the replicates it is drawn in, and
+    the outside is the total less the inside."""
+    base = unit_vectors(df, vector).select(F.col(key).alias("k"), F.coalesce(group, F.lit(False)).alias("g"), "has", "u")
+    size = base.agg(F.count("*").alias("rows"), F.count_if("has").alias("longs"), F.avg(F.col("g").cast("double")).alias("share")).first()
+    chance = int((size["share"] or 0.0) * GRAIN)
+    drawn = lambda rep: F.when(rep == 0, F.col("g")).otherwise(F.pmod(F.xxhash64(F.col("k"), rep, F.lit(seed)), F.lit(GRAIN)) < chance)
+    reps = F.explode(F.filter(F.sequence(F.lit(0), F.lit(iterations)), drawn))
+    inside = base.select("has", "u", reps.alias("rep")).select("rep", "has", F.posexplode("u").alias("i", "x")).groupBy("rep", "i").agg(F.sum("x").alias("s"), F.count_if("has").alias("kin"), F.count("*").alias("nin"))
+    total = base.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("t"))
+    q = inside.join(total, "i").groupBy("rep").agg(F.sum(F.col("s") * F.col("s")).alias("qi"), F.sum((F.col("t") - F.col("s")) * (F.col("t") - F.col("s"))).alias("qo"), F.max("kin").alias("kin"), F.max("nin").alias("nin"))
     mean = lambda q2, has, n: F.when(n >= 2, r6((q2 - has) / (n * (n - 1)), 5))
-    every = q.select("rep", mean(F.col("qi"), F.col("kin"), F.col("nin")).alias("inside"), mean(F.col("qo"), F.col("longs") - F.col("kin"), F.col("rows") - F.col("nin")).alias("outside")).withColumn("gap", F.col("inside") - F.col("outside"))
+    every = q.select("rep", mean(F.col("qi"), F.col("kin"), F.col("nin")).alias("inside"), mean(F.col("qo"), size["longs"] - F.col("kin"), size["rows"] - F.col("nin")).alias("outside")).withColumn("gap", F.col("inside") - F.col("outside"))
     real = every.filter("rep = 0").select("inside", "outside", "gap")
     return every.filter("rep > 0").select(F.col("gap").alias("other")).crossJoin(F.broadcast(real)).groupBy("inside", "outside", "gap").agg(((F.count_if(F.col("other") >= F.col("gap")) + 1) / (F.count("*") + 1)).alias("p"))
 
@@ -108,15 +127,21 @@ def agreement(df: DataFrame, item: str, a: str, b: str) -> DataFrame:
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(item, a, b)
     long = both.select(item, F.explode(F.array(a, b)).alias("v"))
     gap = both.agg(r6(F.avg(F.abs(F.col(a) - F.col(b))), 4).alias("mean_gap"))
-    return krippendorff(long, item, "v").crossJoin(spearman(both.withColumn("__all", F.lit(1)), a, b, ["__all"]).select("n", "rho")).crossJoin(gap)
+    return krippendorff(long, item, "v").crossJoin(spearman(both, a, b, []).select("n", "rho")).crossJoin(gap)
+
 
+def paired_study(df: DataFrame, quorum: int = 2, least: float = 5.0, iterations: int = 200, seed: int = 5) -> DataFrame:
+    """df(item, class, before, before_judges, after, after_judges) -> for each class: pairs with a quorum on both sides, what was lost, the mean paired change with its bootstrap interval, and the decision.
 
-def paired_study(df: DataFrame, quorum: int = 2, margin: float = 1.0) -> DataFrame:
-    """df(item, before, before_judges, after, after_judges): the paired change over items with a quorum on both sides, what was lost, and the decision."""
+    Of class `ai` the change is supported if its interval lies below 0 and its mean is at most -least, else rejected;
+    for other classes it is a guard against over-editing: violated if the interval lies above 0, else held."""
     ok = (F.col("before_judges") >= quorum) & (F.col("after_judges") >= quorum)
-    delta = F.when(ok, F.col("after") - F.col("before"))
-    out = df.agg(F.count_if(ok).alias("pairs"), F.count_if(~ok).alias("lost"), r6(F.avg(delta), 4).alias("delta"))
-    return out.withColumn("decision", F.when(F.col("pairs") == 0, "no-data").when(F.col("delta") <= -margin, "improved").when(F.col("delta") >= margin, "worse").otherwise("no-change"))
+    x = df.withColumn("delta", F.when(F.coalesce(ok, F.lit(False)), F.col("after") - F.col("before")))
+    out = x.groupBy("class").agg(F.count("delta").alias("pairs"), (F.count("*") - F.count("delta")).alias("lost"), r6(F.avg("delta"), 4).alias("delta"))
+    ci = bootstrap_ci(x.filter("delta is not null"), "delta", iterations, seed, ["class"], "item").select("class", r6(F.col("low"), 4).alias("low"), r6(F.col("high"), 4).alias("high"))
+    ai = F.when((F.col("high") < 0) & (F.col("delta") <= -least), "supported").otherwise("rejected")
+    decision = F.when(F.col("pairs") == 0, "no-data").when(F.col("class") == "ai", ai).otherwise(F.when(F.col("low") > 0, "violated").otherwise("held"))
+    return out.join(ci, "class", "left").withColumn("decision", decision)
 
 
 def classify_cues(df: DataFrame, text: str, rubric: list[tuple[str, str]], default: str = "other") -> DataFrame:
@@ -126,11 +151,22 @@ def classify_cues(df: DataFrame, text: str, rubric: list[tuple[str, str]], defau
     return g.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 5))
 
 
-def judge_calibration(df: DataFrame, threshold: float = 50.0, repeats: int = 5) -> DataFrame:
-    """df(judge, item, score, expected): accuracy at the threshold, AUC, bias, and the median spread of an item's repeats."""
-    base = df.groupBy("judge").agg(F.count("*").alias("n"), r6(F.avg(((F.col("score") >= threshold) == F.col("expected")).cast("double")), 5).alias("accuracy"), r6(F.avg(F.col("score") - F.when(F.col("expected"), 100.0).otherwise(0.0)), 4).alias("bias"))
+def judge_calibration(df: DataFrame, repeats: int = 5, iterations: int = 200, seed: int = 11) -> DataFrame:
+    """df(judge, judge_family, item, repeat, score, called, expected, family) -> for each judge, over first judgements of texts that its own family did not write: n, accuracy of its
+    calls, AUC with its bootstrap interval, mean scores of both classes; the median spread of an item's repeats; how much higher it scores its own family's texts; and the verdict.
+
+    PASS: an AUC of 0.75 or more and a spread of at most 12; DEMOTE: an AUC under 0.65 or a spread over 20; else WATCH."""
+    first = df.filter("repeat = 0")
+    own = F.col("family") == F.col("judge_family")
+    cross = first.filter(~F.col("expected") | ~F.coalesce(own, F.lit(False)))
+    mean = lambda on: F.avg(F.when(on, F.col("score")))
+    base = cross.groupBy("judge").agg(F.count("*").alias("n"), r6(F.avg((F.col("called") == F.col("expected")).cast("double")), 5).alias("accuracy"), r6(mean(~F.col("expected")), 4).alias("bias_human"), r6(mean(F.col("expected")), 4).alias("bias_ai"))
+    mine = first.filter(F.col("expected") & own).groupBy("judge").agg(F.avg("score").alias("own"))
     spread = df.groupBy("judge", "item").agg(F.count("*").alias("k"), F.stddev_samp("score").alias("sd")).filter(F.col("k") >= repeats).groupBy("judge").agg(r6(F.median("sd"), 4).alias("repeat_sd"))
-    return base.join(roc_auc(df, ["judge"]).select("judge", "auc"), "judge").join(spread, "judge", "left")
+    ci = bootstrap_auc_ci(cross, ["judge"], iterations, seed, "item").select("judge", F.col("low").alias("auc_low"), F.col("high").alias("auc_high"))
+    x = base.join(roc_auc(cross, ["judge"]).select("judge", "auc"), "judge").join(ci, "judge", "left").join(spread, "judge", "left").join(mine, "judge", "left")
+    verdict = F.when((F.col("auc") < 0.65) | (F.col("repeat_sd") > 20), "DEMOTE").when((F.col("auc") >= 0.75) & (F.col("repeat_sd") <= 12), "PASS").otherwise("WATCH")
+    return x.select("judge", "n", "accuracy", "auc", "auc_low", "auc_high", "bias_human", "bias_ai", "repeat_sd", r6(F.col("own") - F.col("bias_ai"), 4).alias("self_preference"), verdict.alias("verdict"))
 
 
 def merge_repeats(df: DataFrame, item: str, value: str, status: str, order: list[str]) -> DataFrame:

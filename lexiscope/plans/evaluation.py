@@ -110,9 +110,16 @@ def pairs_of(spark, d):
     return a.join(b, "item")
 
 
+def paired(spark, d):
+    return X.paired_study(pairs_of(spark, d).withColumn("class", F.when(F.col("item") % 2 == 0, "ai").otherwise("human")))
+
+
 def calibrated(spark, d):
     x = judged(spark, d)
-    return X.judge_calibration(x.select(F.col("l_returnflag").alias("judge"), F.pmod("item", F.lit(50)).alias("item"), (F.col("value") * 10).cast("double").alias("score"), (F.col("l_linestatus") == "O").alias("expected")))
+    score = (F.col("value") * 10).cast("double")
+    x = x.select(F.col("l_returnflag").alias("judge"), F.when(F.col("l_returnflag") == "A", "f1").otherwise("f2").alias("judge_family"), "item", F.col("judge").alias("line"), score.alias("score"), (score >= 50).alias("called"), (F.col("l_linestatus") == "O").alias("expected"), F.concat(F.lit("f"), F.pmod("item", F.lit(3))).alias("family"))
+    # an item's lines are its repeats; the keys of the bootstrap are items
+    return X.judge_calibration(x.withColumn("repeat", F.when(F.col("line") % 2 == 1, 0).otherwise(1)).withColumn("item", F.floor(F.col("item") / 10)), iterations=40)
 
 
 CUES = [("license", r"licen[sc]e"), ("mail", r"@"), ("table", r"\|"), ("shout", r"!!")]
@@ -153,9 +160,11 @@ QUERIES = {
     "x6_panel_score": lambda s, d: X.panel_score(judged(s, d), "item", "judge", "value"),
     "x7_efficacy": lambda s, d: X.efficacy(pairs_of(s, d).withColumn("block", F.pmod("item", F.lit(3))), ["block"]),
     "x8_agreement": lambda s, d: X.agreement(pairs_of(s, d), "item", "before", "after"),
-    "x9_paired_study": lambda s, d: X.paired_study(pairs_of(s, d)),
+    "x9_paired_study": paired,
+    "x9_paired_delta": lambda s, d: paired(s, d).select("class", "pairs", "lost", "delta"),
     "x10_classify_cues": lambda s, d: X.classify_cues(table(s, d, "documents"), "text", CUES),
     "x11_judge_calibration": calibrated,
+    "x11_judge_measures": lambda s, d: calibrated(s, d).drop("auc_low", "auc_high"),
     "x12_merge_repeats": lambda s, d: X.merge_repeats(judged(s, d), "item", "value", "l_returnflag", ["N", "R", "A"]),
 }
 
@@ -217,8 +226,12 @@ ORACLES = {
     "x6_panel_score": f"with {J} {PANEL('true', 2)}",
     "x7_efficacy": f"with {PAIRS} select item % 3 as block, count(*) as n, {R('avg(before)', 4)} as before, {R('avg(after)', 4)} as after, {R('avg(after - before)', 4)} as delta, {R('avg((after < before)::int)', 4)} as fell from pr group by 1",
     "x8_agreement": f"with {PAIRS}, lg as (select item, unnest([before, after]) as value from pr), {KRIPP('lg')}, r as (select {MID('before', '1')} as rx, {MID('after', '1')} as ry from pr) select units, ratings, alpha, (select count(*) from r) as n, (select {R('corr(rx, ry)', 5)} from r) as rho, (select {R('avg(abs(before - after))', 4)} from pr) as mean_gap from kk",
-    "x9_paired_study": f"with {PAIRS}, o as (select before_judges >= 2 and after_judges >= 2 as ok, after - before as dl from pr), g as (select count(*) filter (where ok) as pairs, count(*) filter (where not ok) as lost, {R('avg(case when ok then dl end)', 4)} as delta from o) select *, case when pairs = 0 then 'no-data' when delta <= -1 then 'improved' when delta >= 1 then 'worse' else 'no-change' end as decision from g",
+    "x9_paired_delta": f"with {PAIRS}, o as (select case when item % 2 = 0 then 'ai' else 'human' end as class, before_judges >= 2 and after_judges >= 2 as ok, after - before as dl from pr) select class, count(*) filter (where ok) as pairs, count(*) filter (where not ok) as lost, {R('avg(case when ok then dl end)', 4)} as delta from o group by class",
     "x10_classify_cues": f"with c as (select case {' '.join(f'''when regexp_matches(lower(text), '{p}') then '{c}' ''' for c, p in CUES)} else 'other' end as cue from documents), g as (select cue, count(*) as n from c group by cue) select *, {R('n::double / (select sum(n) from g)', 5)} as share from g",
-    "x11_judge_calibration": f"with {J}, s as (select l_returnflag as judge, item % 50 as item, value * 10.0 as score, l_linestatus = 'O' as expected from j), b as (select judge, count(*) as n, {R('avg(((score >= 50) = expected)::int)', 5)} as accuracy, {R('avg(score - case when expected then 100 else 0 end)', 4)} as bias from s group by judge), {AUC('judge')}, sd as (select judge, {R('median(sd)', 4)} as repeat_sd from (select judge, item, count(*) as k, stddev_samp(score) as sd from s group by all having count(*) >= 5) group by judge) select b.*, auc, repeat_sd from b join a using (judge) left join sd using (judge)",
+    "x11_judge_measures": f"""with {J}, r as (select l_returnflag as judge, case when l_returnflag = 'A' then 'f1' else 'f2' end as jf, item // 10 as item, judge % 2 = 1 as first, value * 10.0 as score, value * 10.0 >= 50 as called, l_linestatus = 'O' as expected, 'f' || (item % 3) as family from j),
+s as (select * from r where first and (not expected or family <> jf)), b as (select judge, count(*) as n, {R('avg((called = expected)::int)', 5)} as accuracy, {R('avg(score) filter (where not expected)', 4)} as bias_human, {R('avg(score) filter (where expected)', 4)} as bias_ai from s group by judge), {AUC('judge')},
+sd as (select judge, {R('median(sd)', 4)} as repeat_sd from (select judge, item, count(*) as k, stddev_samp(score) as sd from r group by all having count(*) >= 5) group by judge), own as (select judge, avg(score) as own from r where first and expected and family = jf group by judge),
+x as (select b.*, auc, repeat_sd, {R('own - bias_ai', 4)} as self_preference from b join a using (judge) left join sd using (judge) left join own using (judge))
+select *, case when auc < 0.65 or repeat_sd > 20 then 'DEMOTE' when auc >= 0.75 and repeat_sd <= 12 then 'PASS' else 'WATCH' end as verdict from x""",
     "x12_merge_repeats": f"with {J} select item, count(*) as n, {R('median(value)', 4)} as median, {R('max(value) - min(value)', 4)} as spread, max_by(l_returnflag, case l_returnflag when 'N' then 1 when 'R' then 2 when 'A' then 3 end) as worst from j group by item",
 }
