@@ -145,7 +145,6 @@ QUERIES = {
     "k4_report_cells": lambda s, d: C.report_tables(scored(s, d))["cells"],
     "s14_html_to_paragraphs": lambda s, d: paragraphs(s, d).select("page_id", "idx", F.md5(F.col("text").cast("binary")).alias("digest")),
     "s15_html_prose_blocks": lambda s, d: P.html_prose_blocks(table(s, d, "pages")).select("page_id", "idx", "tag", F.char_length("text").alias("chars"), "rank"),
-    "s16_page_images": lambda s, d: P.page_images(table(s, d, "pages")),
     "s17_pages_to_documents": lambda s, d: P.pages_to_documents(docs(s, d).select(F.col("doc_id").alias("page_id"), F.posexplode(T.split_paragraphs("text", "line")).alias("idx", "text")), 1500, 300, 3).select("page_id", "n", F.char_length("text").alias("chars")),
     "w1_balanced_take": lambda s, d: C.balanced_take(docs(s, d).select("doc_id", "lang"), 50, "lang", ["doc_id"]),
     "w2_quota_sample": quota,

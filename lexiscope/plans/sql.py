@@ -35,13 +35,13 @@ p6 as (select *, list_transform(sentences, lambda s: {tokens('s')}) as st from p
 u as (select doc_id, lang, source, para_idx, text, sentences, list_transform(st, lambda t: len(t)) as counts, flatten(st) as tokens from p6)"""
 
 
-def whole() -> str:
+def whole(source: str = "documents") -> str:
     """CTEs up to d(doc_id, lang, source, text, sentences, counts, tokens): documents as one unit."""
     return (
-        units("paragraph")
-        + """,
+        units("paragraph", source)
+        + f""",
 d0 as (select doc_id, flatten(list(sentences order by para_idx)) as sentences, flatten(list(counts order by para_idx)) as counts, flatten(list(tokens order by para_idx)) as tokens from u group by doc_id),
-d as (select x.doc_id, x.lang, x.source, coalesce(x.text, '') as text, coalesce(d0.sentences, []) as sentences, coalesce(d0.counts, []) as counts, coalesce(d0.tokens, []) as tokens from documents x left join d0 using (doc_id))"""
+d as (select x.doc_id, x.lang, x.source, coalesce(x.text, '') as text, coalesce(d0.sentences, []) as sentences, coalesce(d0.counts, []) as counts, coalesce(d0.tokens, []) as tokens from {source} x left join d0 using (doc_id))"""
     )
 
 

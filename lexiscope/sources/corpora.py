@@ -101,7 +101,7 @@ def read_lexicon(spark: SparkSession, path: str, priority: int = 0) -> DataFrame
     kind = F.when(F.lower(line).contains("strict matches"), "strict").when(F.lower(line).contains("multi-word phrases"), "phrase").otherwise("none")
     section = F.last(F.when(line.startswith("## "), kind), ignorenulls=True).over(Window.partitionBy("lang").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     x = files.withColumns({"kind": section, "line": line}).filter(F.col("kind").isin("strict", "phrase") & F.col("line").startswith("- "))
-    return x.select("lang", "kind", T.trim(F.substring("line", 3, 10_000)).alias("entry"), F.lit(priority).alias("priority")).filter(F.col("entry") != "")
+    return x.select("lang", "kind", T.trim(F.expr("substring(line, 3)")).alias("entry"), F.lit(priority).alias("priority")).filter(F.col("entry") != "")
 
 
 def shadow(*lexicons: DataFrame) -> DataFrame:

@@ -305,11 +305,11 @@ def write_counters(stream: DataFrame, path: str, checkpoint: str):
     return quarter_counts(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def score_stream(stream: DataFrame, lexicon: DataFrame, path: str, checkpoint: str):
+def score_stream(stream: DataFrame, lexicon: DataFrame, path: str, checkpoint: str, window: int = 50):
     """Paragraph verdicts of arriving documents, a micro-batch at a time."""
     from lexiscope.operators.verdicts import paragraph_verdicts
 
     def each(batch: DataFrame, n: int) -> None:
-        paragraph_verdicts(batch, lexicon, "line").withColumn("batch", F.lit(n)).write.mode("append").parquet(path)
+        paragraph_verdicts(batch, lexicon, "line", window).withColumn("batch", F.lit(n)).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
