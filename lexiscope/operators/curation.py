@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.functions import text as T
+from lexiscope.operators.ordering import running
 
 # --- filters ---------------------------------------------------------------------------------
 
@@ -237,9 +238,10 @@ def trim_context(df: DataFrame, turns: int = 6, budget: int = 12_288) -> DataFra
 
 
 def assign_ids(df: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
-    """Numbers new rows of each key from one above the largest existing number."""
+    """Numbers new rows of each key, in an order that tells them apart, from one above the largest existing number."""
     top = existing.groupBy(key).agg(F.max("number").alias("__top"))
-    return df.join(top, key, "left").withColumn("number", F.coalesce("__top", F.lit(0)) + F.row_number().over(Window.partitionBy(key).orderBy(order))).drop("__top")
+    x = running(df, [key], order, {"__before": F.lit(1)})
+    return x.join(top, key, "left").select(*df.columns, (F.coalesce("__top", F.lit(0)) + F.col("__before") + 1).alias("number"))
 
 
 def systematic_sample(df: DataFrame, every: int, bucket: Column, order: list[str]) -> DataFrame:

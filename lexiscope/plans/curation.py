@@ -98,7 +98,7 @@ def priority(spark, d):
 
 def ids(spark, d):
     old = docs(spark, d).filter("doc_id % 10 = 0").select("lang", (F.col("doc_id") % 40).alias("number"))
-    return C.assign_ids(docs(spark, d).filter("doc_id % 10 = 1").select("doc_id", "lang"), old, "lang", "doc_id")
+    return C.assign_ids(docs(spark, d).filter("doc_id % 10 <> 0").select("doc_id", "lang"), old, "lang", "doc_id")
 
 
 def study(spark, d):
@@ -137,7 +137,7 @@ QUERIES = {
     "j9_unseen_keys": lambda s, d: C.unseen_keys(docs(s, d).select("doc_id", "lang", "text"), docs(s, d).filter("doc_id % 3 = 0").select("lang", "text"), ["lang", "text"]).select("doc_id"),
     "j10_pair_by_id": lambda s, d: C.pair_by_id(docs(s, d).filter("doc_id % 2 = 0"), docs(s, d).filter("doc_id % 3 = 0"), "doc_id", "n_chars"),
     "j11_not_exported": lambda s, d: C.not_exported(hashed(s, d), hashed(s, d).filter("doc_id % 50 = 0")).select("doc_id"),
-    "j12_exclude_seen": lambda s, d: C.exclude_seen(hashed(s, d).withColumn("url", F.concat("source", F.lit("/"), F.col("doc_id") % 30)), [hashed(s, d).filter("doc_id % 7 = 0")], [docs(s, d).filter("doc_id % 11 = 0").select(F.concat("source", F.lit("/"), F.col("doc_id") % 30).alias("url"))]).select("doc_id"),
+    "j12_exclude_seen": lambda s, d: C.exclude_seen(hashed(s, d).withColumn("url", F.concat("source", F.lit("/"), F.col("doc_id") % 30)), [hashed(s, d).filter("doc_id % 7 = 0")], [docs(s, d).filter("doc_id % 12 = 0").select(F.concat("source", F.lit("/"), F.col("doc_id") % 30).alias("url"))]).select("doc_id"),
     "n10_normalize_lang": langs,
     "q4_pattern_overlap": overlap,
     "k1_split_public_private": public,
@@ -201,7 +201,7 @@ select doc_id, len(e) as n_errors, n_warnings, array_to_string(e, ';') as errors
     "j9_unseen_keys": "select doc_id from documents d where not exists (select 1 from documents e where e.doc_id % 3 = 0 and e.lang = d.lang and e.text = d.text)",
     "j10_pair_by_id": "select doc_id, n_chars as before, n_chars as after from documents where doc_id % 6 = 0",
     "j11_not_exported": "select doc_id from documents d where text not in (select text from documents where doc_id % 50 = 0) and source not in (select source from documents where doc_id % 50 = 0)",
-    "j12_exclude_seen": "select doc_id from documents where text not in (select text from documents where doc_id % 7 = 0) and source || '/' || (doc_id % 30) not in (select source || '/' || (doc_id % 30) from documents where doc_id % 11 = 0)",
+    "j12_exclude_seen": "select doc_id from documents where text not in (select text from documents where doc_id % 7 = 0) and source || '/' || (doc_id % 30) not in (select source || '/' || (doc_id % 30) from documents where doc_id % 12 = 0)",
     "n10_normalize_lang": "select doc_id, case when lang = 'es' then null else lang end as tag from documents",
     "q4_pattern_overlap": f"with {PAT}, s as (select lang, pattern, count(*) as k from pt group by all), x as (select co.*, s.k as ka, t.k as kb, n::double / (s.k + t.k - n) as j from co join s on co.lang = s.lang and co.a = s.pattern join s t on co.lang = t.lang and co.b = t.pattern) select lang, a, b, n, {Q.r6('j')} as jaccard, {Q.r6('n::double / least(ka, kb)')} as overlap, case when j < 0.3 then 'below' when a = 'bang' and b = 'dash' then 'documented' else 'undocumented' end as status from x",
     "k1_split_public_private": f"with x as (select {TEXT} as text, {OK} as ok from documents) select 'public' as side, count(*) as n, count(case when ok then text end) as texts, count(distinct text) as hashes from x union all select 'private', count(*), count(text), count(distinct text) from x where not ok",
@@ -215,7 +215,7 @@ select doc_id, len(e) as n_errors, n_warnings, array_to_string(e, ';') as errors
     "w5_top_suspects": f"with {SCORED} select doc_id, score from s order by score desc, doc_id limit 25",
     "w5_suspect_summary": f"with {SCORED} select count(*) as n, {Q.r6('avg(score)', 4)} as mean, count(*) filter (where score > 50) as over_50, count(*) filter (where score = 0) as at_0 from s",
     "w6_trim_context": "with x as (select conv_id, turn, row_number() over (partition by conv_id order by turn desc) as n, sum(octet_length(encode(coalesce(text, '')))) over (partition by conv_id order by turn desc rows unbounded preceding) as b from conversations) select conv_id, turn from x where n <= 6 and b <= 1500",
-    "w7_assign_ids": "with t as (select lang, max(doc_id % 40) as m from documents where doc_id % 10 = 0 group by lang) select doc_id, lang, coalesce(m, 0) + row_number() over (partition by lang order by doc_id) as number from documents left join t using (lang) where doc_id % 10 = 1",
+    "w7_assign_ids": "with t as (select lang, max(doc_id % 40) as m from documents where doc_id % 10 = 0 group by lang) select doc_id, lang, coalesce(m, 0) + row_number() over (partition by lang order by doc_id) as number from documents left join t using (lang) where doc_id % 10 <> 0",
     "w8_sample_hits": "with a as (select doc_id, regexp_extract_all(text, '[0-9]+') as h from documents), b as (select doc_id, h, list_filter(range(1, len(h) + 1), lambda i: list_position(h, h[i]) = i) as f from a) select doc_id, array_to_string(list_transform(f[1:3], lambda i: h[i]), ',') as hits from b",
     "w9_systematic_sample": "select event_id, user_id from events qualify row_number() over (order by event_id) % 20 = 0",
     "w11_study_sample": "with x as (select doc_id, lang as register, doc_id // 2 as prompt_id from documents), hu as (select * from x where doc_id % 2 = 0 and doc_id % 6 <> 4), ma as (select * from x where doc_id % 2 = 1 and doc_id % 5 <> 0), r as (select *, row_number() over (partition by register order by doc_id) as rn from hu), h as (select doc_id, register, prompt_id from r order by rn, register limit 12) select *, 'human' as side from h union all select *, 'paired' from ma where prompt_id in (select prompt_id from h) union all select *, 'control' from ma where prompt_id not in (select prompt_id from h) and register in (select register from h where prompt_id not in (select prompt_id from ma))",
