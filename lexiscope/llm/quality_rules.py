@@ -185,27 +185,29 @@ def stratum_of(column: str) -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def marked(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str, risk: float, delta: float) -> tuple[DataFrame, str, str]:
-    """(the columns `keep` of docs, a struct of counts, and the rules that reject each; the names of the last two)."""
-    spark = docs.sparkSession
-    m, s, rejected, known = unused(docs, "measures", "stratum", "rejected_by", "id")
-    rows = materialise(measured(docs.withColumn(s, stratum_of(stratum)), [*keep, s], m))
+def cutoffs(rows: DataFrame, labels: DataFrame, m: str, stratum: str, risk: float, delta: float) -> DataFrame:
+    """rows(doc_id, stratum, a struct of counts) -> over, high: for each stratum its certified cutoff of each rule, null for none."""
+    spark = rows.sparkSession
+    known = unused(rows, "id")[0]
     labelled = labels.filter("quality is not null").groupBy(F.col("doc_id").alias(known)).agg((F.max("quality") == 1).alias("good"))
     # any one row of a repeated doc_id
-    once = rows.filter(~base_failed(m)).groupBy("doc_id").agg(F.min(F.struct(F.col(s).alias("stratum"), statistics(m).alias("stats"))).alias("x"))
+    once = rows.filter(~base_failed(m)).groupBy("doc_id").agg(F.min(F.struct(F.col(stratum).alias("stratum"), statistics(m).alias("stats"))).alias("x"))
     proposes = (F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(3)) == 0).alias("proposes")
     holdout = materialise(once.join(labelled, F.col("doc_id") == F.col(known)).select("x.stratum", "x.stats", "good", proposes))
     cuts: dict[str, list[float | None]] = {}
     for c in calibrate(holdout, risk, delta):
         cuts.setdefault(c["stratum"], [None] * len(RULES))[list(RULES).index(c["rule"])] = c["cutoff"]
-    high, over = unused(rows, "cutoffs", "over")
-    table = spark.createDataFrame(list(cuts.items()), f"`{over}` string, `{high}` array<double>")
-    if len(cuts) <= 10_000:  # a row of a few numbers for each
-        table = F.broadcast(table)
+    table = spark.createDataFrame(list(cuts.items()), "over string, high array<double>")
+    return F.broadcast(table) if len(cuts) <= 10_000 else table  # a row of a few numbers for each
+
+
+def rejected_by(rows: DataFrame, cuts: DataFrame, m: str, stratum: str, name: str) -> DataFrame:
+    """rows with the rules of their stratum that reject them."""
+    over, high = unused(rows.withColumn(name, F.lit(0)), "over", "high")
     names = F.array(*map(F.lit, RULES))
     which = F.array_compact(F.transform(F.arrays_zip(statistics(m).alias("x"), F.col(high).alias("c"), names.alias("r")), lambda z: F.when(z["x"] >= z["c"], z["r"])))
-    out = rows.join(table, F.col(s) == F.col(over), "left").withColumn(rejected, F.coalesce(F.when(F.col(high).isNotNull(), which), F.expr("cast(array() as array<string>)")))
-    return out.select(*keep, m, rejected), m, rejected
+    x = rows.join(cuts.toDF(over, high), F.col(stratum) == F.col(over), "left")
+    return x.select(*rows.columns, F.coalesce(F.when(F.col(high).isNotNull(), which), F.expr("cast(array() as array<string>)")).alias(name))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -217,11 +219,19 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     to be few: the driver gets some sixty counts for each. A null text has
     no words and fails. Labels that repeat a doc_id count once, and as good if any says so. Repeated
     documents and null doc_ids stay; other columns are ignored."""
-    rows, m, rejected = marked(docs.select("doc_id", "text", F.col(stratum).alias("stratum")), labels, ["doc_id"], "stratum", risk, delta)
-    return rows.select("doc_id", f"{m}.*", base_failed(m).alias("base_failed"), (~base_failed(m) & (F.size(rejected) == 0)).alias("kept"), F.col(rejected).alias("rejected_by"))
+    own = docs.select("doc_id", "text", stratum_of(stratum).alias("stratum"))
+    rows = materialise(measured(own, ["doc_id", "stratum"], "m"))
+    out = rejected_by(rows, cutoffs(rows, labels, "m", "stratum", risk, delta), "m", "stratum", "rejected_by")
+    return out.select("doc_id", "m.*", base_failed("m").alias("base_failed"), (~base_failed("m") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The documents that judge() keeps, with all their columns, those without a doc_id included; each text is measured once and none is shuffled."""
-    rows, m, rejected = marked(docs, labels, docs.columns, stratum, risk, delta)
-    return rows.filter(~base_failed(m) & (F.size(rejected) == 0)).select(*docs.columns)
+    """The documents that judge() keeps, with all their columns, those without a doc_id included.
+
+    Texts are measured once for the cutoffs and again where they are kept or dropped, so none is shuffled or written on the way."""
+    own = docs.select("doc_id", "text", stratum_of(stratum).alias("stratum"))
+    cuts = cutoffs(materialise(measured(own, ["doc_id", "stratum"], "m")), labels, "m", "stratum", risk, delta)
+    m, s, rejected = unused(docs, "measures", "stratum", "rejected_by")
+    rows = measured(docs.withColumn(s, stratum_of(stratum)), [*docs.columns, s], m)
+    out = rejected_by(rows.filter(~base_failed(m)), cuts, m, s, rejected)
+    return out.filter(F.size(rejected) == 0).select(*docs.columns)
