@@ -212,9 +212,9 @@ def test_toxicity_held_out_and_misspelt(spark):
     assert {r["doc_id"] for r in held} == {i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1}
     pos, neg = [r["score"] for r in held if r["toxic"]], [r["score"] for r in held if not r["toxic"]]
     assert sum(p > q for p in pos for q in neg) / len(pos) / len(neg) > 0.95
-    bags = [toxicity.bag(r["text"]) for r in docs.orderBy("doc_id").collect()]
+    bags = toxicity.bags([sorted(toxicity.words_of(r["text"])) for r in docs.orderBy("doc_id").collect()])
     value, _ = toxicity.train(bags, np.array([y for _, y in labels]))
-    assert value[toxicity.grams("idiott")].mean() > value[toxicity.grams("therand")].mean()
+    assert value[toxicity.grams(["idiott"])[0]].mean() > value[toxicity.grams(["therand"])[0]].mean()
 
 
 def test_quality_model_held_out(spark):
@@ -233,9 +233,27 @@ def test_toxicity_takes_the_whole_of_long_words():
         pieces = toxicity.words_of(run)
         assert max(map(len, pieces)) <= toxicity.LONG
         assert all(any(run[i : i + 5] in p for p in pieces) for i in range(n - 4))
-    inner = set(toxicity.grams("罵倒罵倒罵")) - set(toxicity.grams("罵倒罵倒罵")[:1])
-    inner = {g for g in inner if g in toxicity.grams("字罵倒罵倒罵字")}
-    assert len(inner) >= 3 and inner <= set(toxicity.bag("字" * 50 + "罵倒罵倒罵" + "字" * 5)[0].tolist())
+    inner = set(toxicity.grams(["罵倒罵倒罵"])[0][1:]) & set(toxicity.grams(["字罵倒罵倒罵字"])[0])
+    assert len(inner) >= 3 and inner <= set(toxicity.bags([sorted(toxicity.words_of("字" * 50 + "罵倒罵倒罵" + "字" * 5))])[0][0].tolist())
+
+
+def test_toxicity_grams_and_scores_in_bulk():
+    words = ["a", "ab", "abc", "idiot", "idiots", "ünï", "é" * 40]
+    together, of = toxicity.grams(words)
+    for n, w in enumerate(words):
+        size = len(w) + 2
+        assert sorted(together[of == n]) == sorted(toxicity.grams([w])[0])
+        assert (of == n).sum() == 1 + sum(size - k + 1 for k in (3, 4, 5) if k < size)
+    shared = set(toxicity.grams(["idiot"])[0]) & set(toxicity.grams(["xidiotx"])[0])
+    assert len(shared) >= 6 and toxicity.grams([])[0].size == 0
+    value = np.random.default_rng(2).standard_normal(1 << toxicity.BITS).astype(np.float32)
+    texts = [None, "", *mixed(), "a-b c..d e,f it's; a-b C", "字" * 90 + " x"]
+    scorer = toxicity.Scorer({"value": value, "a": 3.0, "b": -0.5})
+    for _ in range(2):
+        for t, got in zip(texts, scorer(texts), strict=True):
+            words = sorted(toxicity.words_of(t))
+            want = np.mean([value[toxicity.grams([w])[0]].mean() for w in words]) if words else 0.0
+            assert got == pytest.approx(1 / (1 + math.exp(-(3.0 * want - 0.5))), abs=1e-5)
 
 
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality_model, "quality")])
@@ -315,24 +333,54 @@ def test_binomial_bound_is_exact():
         p = quality_rules.upper_bound(k, n, alpha)
         assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) == pytest.approx(alpha, rel=1e-6)
     assert quality_rules.upper_bound(5, 5, 0.1) == 1.0
-    n = 3000
-    k = quality_rules.most_allowed(n, 0.01, 0.001)
-    assert quality_rules.upper_bound(k, n, 0.001) <= 0.01 < quality_rules.upper_bound(k + 1, n, 0.001)
+
+
+def test_certified_rules_keep_their_promise():
+    """Over many holdouts, the chance that the certified set rejects more than `risk` of good documents is within alpha."""
+    rng, risk, alpha, n = np.random.default_rng(3), 0.05, 0.1, 200
+    rates = np.array([0.0, 0.01, 0.03, 0.045, 0.055, 0.06, 0.1, 0.3])  # of good documents that each set would reject
+    broken = held = 0
+    for _ in range(1500):
+        u = rng.random(n)
+        first = Counter(int(x) for x in np.searchsorted(rates, u, side="left") if x < len(rates))
+        last = quality_rules.last_certified(first, n, len(rates), risk, alpha)
+        held += last > 0
+        broken += last > 0 and rates[last - 1] > risk
+    assert held == 1500 and 0 < broken / 1500 <= alpha
+
+
+def test_steps_reject_many_bad_documents_for_a_good_one():
+    counts = {(0, 3.0): (50, 0), (0, 2.0): (80, 1), (0, 1.0): (90, 60), (1, 0.5): (40, 2), (1, 0.9): (0, 0)}
+    assert quality_rules.path(counts, gain=3) == [(0, 3.0), (0, 2.0), (1, 0.5)]
+    assert quality_rules.path({}, gain=3) == [] and quality_rules.last_certified({}, 0, 3, 0.5, 0.5) == 0
 
 
 def test_rules_are_certified_and_reject(spark):
     rng = random.Random(8)
-    good = [prose(rng, 60) for _ in range(40)]
-    bad = [" ".join(w + "###" for w in prose(rng, 60).split()) for _ in range(40)]
+    good = [prose(rng, 60) for _ in range(120)]
+    bad = [" ".join(w + "###" for w in prose(rng, 60).split()) for _ in range(80)]
     texts = good + bad
-    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int")
-    out = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, texts), labels, risk=0.99, delta=0.5).collect()}
-    assert all(out[i]["kept"] for i in range(40)) and not any(out[i]["kept"] for i in range(40, 80))
-    assert all(r["kept"] for r in quality_rules.judge(frame(spark, texts), labels, risk=0.001).collect())  # too few labels for the bound
-    kept = quality_rules.keep_good(frame(spark, texts + ["short", None]), labels)
-    assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and kept.count() == 80
-    again = quality_rules.keep_good(frame(spark, texts + ["short", None]), labels, risk=0.99, delta=0.5)
-    assert sorted(r["doc_id"] for r in again.collect()) == list(range(40))
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(200)], "doc_id long, quality int")
+    docs = frame(spark, texts).withColumn("measures", F.lit("m")).withColumn("stratum", F.lit(3)).withColumn("rejected_by", F.lit(4)).withColumn("__text", F.lit(5))
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs, labels, risk=0.1, delta=0.1).collect()}
+    assert all(out[i]["kept"] for i in range(120)) and not any(out[i]["kept"] for i in range(120, 200))
+    assert {x for i in range(120, 200) for x in out[i]["rejected_by"]} >= {"symbol_ratio"}
+    assert all(r["kept"] for r in quality_rules.judge(docs, labels, risk=0.001).collect())  # too few labels for the bound
+    more = docs.unionByName(docs.filter("doc_id = 3")).unionByName(docs.filter("doc_id in (5, 150)").withColumns({"doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string")}))
+    kept = quality_rules.keep_good(more, labels, risk=0.1, delta=0.1)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows) == sorted([-1, -1, 3, *range(120)])  # a null language has no labels of its own
+    assert {(r["measures"], r["stratum"], r["rejected_by"], r["__text"]) for r in rows} == {("m", 3, 4, 5)}
+    assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] is not None} == dict(enumerate(good))
+
+
+def test_rules_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_rules.judge(frame(spark, []), none).count() == 0 and quality_rules.keep_good(frame(spark, []), none).count() == 0
+    odd = spark.createDataFrame([(None, None, None), (1, "", "en"), (1, "a " * 60, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    assert [r["kept"] for r in quality_rules.judge(odd, labels).collect()] == [False] * 3
 
 
 # --- 5 ---------------------------------------------------------------------------------------
@@ -344,7 +392,7 @@ def items_of(spark, texts):
 
 def test_decontamination_finds_copies_and_leaves_clean_text(spark):
     rng = random.Random(10)
-    items = [prose(rng, 30).capitalize() + "." for _ in range(5)] + ["too short", None, ""]
+    items = [prose(rng, 30).capitalize() + "." for _ in range(5)] + [None, ""]
     docs = [prose(rng, 200) for _ in range(10)] + [f"{prose(rng, 50)} {items[2].upper()} {prose(rng, 40)}", items[3], None, "", items[4][: len(items[4]) // 4], " ".join(items[0].split()[:20])]
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(frame(spark, docs), items_of(spark, items)).collect()}
     assert got == {(10, 2): "verbatim", (11, 3): "verbatim", (15, 0): "verbatim"}
@@ -384,8 +432,107 @@ def test_decontamination_passes_over_lone_marks(spark):
     dashed = " - ".join(item.split()) + " *"
     got = {(r["doc_id"], r["item_id"]): (r["kind"], r["share"]) for r in decontam.contaminated(frame(spark, [spaced, dashed, item]), items_of(spark, [item, spaced])).collect()}
     assert got == {(d, i): ("verbatim", 1.0) for d in range(3) for i in range(2)}
-    for a, b in zip(decontam.canonical(item, decontam.Memo()), decontam.canonical(". " + spaced, decontam.Memo()), strict=True):
-        assert a.tolist() == b.tolist()
+    a, b = decontam.Canon([item], decontam.Memo()), decontam.Canon([". " + spaced], decontam.Memo())
+    assert a.template.tolist() == b.template.tolist() and a.slot.tolist() == b.slot.tolist()
+
+
+def test_short_items_are_found_whole(spark):
+    items = ["Who wrote the famous book?", "Why not?", "Yes", "where is the old town", None]
+    docs = ["They asked who wrote the famous book, then left.", "who wrote the famous", "why not", "and why not now", "yes!", "yes yes", "Where is the old town", "where is town old the", "", None]
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["first_word"], r["last_word"]) for r in decontam.contaminated(frame(spark, docs), items_of(spark, items)).collect()}
+    assert got == {(0, 0): ("verbatim", 2, 6), (2, 1): ("verbatim", 0, 1), (4, 2): ("verbatim", 0, 0), (6, 3): ("verbatim", 0, 4)}
+
+
+def found_by_hand(docs, items, k=6, share=0.4, literals=3, slack=4):
+    """doc, item -> kind, by plain loops over windows."""
+
+    def words(text):
+        out, end = [], True
+        for c in (text or "").split():
+            bare = re.sub(r"^\W+|\W+$", "", c)
+            if bare:
+                low = bare.lower()
+                kind = "<n>" if low in decontam.NUMBER_WORDS or decontam.NUMBER.fullmatch(low) else "<u>" if low in decontam.UNITS else "<c>" if bare[0].isupper() and len(bare) > 1 and not end else None
+                out.append((low, kind))
+                end = False
+            if c[-1] in ".!?:;" and out:
+                end = True
+        return out
+
+    def windows(ws, n):
+        for p in range(len(ws) - n + 1):
+            part = ws[p : p + n]
+            yield p, False, tuple(w for w, _ in part), part
+            if n == k and any(t for _, t in part) and sum(t is None for _, t in part) >= literals:
+                yield p, True, tuple(t or w for w, t in part), part
+
+    found = {}
+    for d, text in enumerate(docs):
+        dw = words(text)
+        for i, item in enumerate(items):
+            iw = words(item)
+            if not iw or (len(iw) < 3 and len(dw) != len(iw)):
+                continue
+            n = min(k, len(iw))
+            total = max(len(iw) - k + 1, 1)
+            own = {}
+            for pos, shaped, key, part in windows(iw, n):
+                own.setdefault((shaped, key), []).append((pos, part))
+            hits = [(p, shaped, pos, part, want) for p, shaped, key, part in windows(dw, n) for pos, want in own.get((shaped, key), ())]
+            lanes = sorted({p - pos for p, _, pos, _, _ in hits})
+            groups = [[*lanes]] + [[x] for x in lanes]
+            for gap in (total, slack):
+                run = []
+                for x in lanes:
+                    if run and x - run[-1] > gap:
+                        groups.append(run)
+                        run = []
+                    run.append(x)
+                groups.append(run)
+            enough = lambda c: c >= 2 and c >= share * total or c == total
+            for g in groups:
+                inside = [h for h in hits if h[0] - h[2] in g]
+                maps = {(w[0], x[0]) for _, shaped, _, part, want in inside if shaped for w, x in zip(want, part, strict=True) if w[1]}
+                if g == lanes and enough(len({h[2] for h in inside if not h[1]})):
+                    found[d, i] = "verbatim"
+                elif enough(len({h[2] for h in inside})) and len(maps) == len({a for a, _ in maps}):
+                    found.setdefault((d, i), "reparameterised")
+    return found
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(31)
+    base = ["A train with 12 cars leaves the old town and meets Alice after 30 minutes while 12 people wait for Alice", "If Bob has 3 apples and buys 5 kg more then how many apples does Bob have left", "The capital of France is the city of Paris and it lies on a river", "when did it start"]
+    items = [*base, base[1].replace("apples", "pears"), None, ""]
+
+    def change(t):
+        for a, b in rng.sample([("12", "7"), ("30", "45"), ("Alice", "Robert"), ("Bob", "Ann"), ("3 ", "9 "), ("5 ", "9 "), ("Paris", "Lyon"), ("the ", "the very "), ("and ", "- and , ")], 3):
+            t = t.replace(a, b, rng.choice([1, 5]))
+        return t
+
+    docs = [None, "", "Start."]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            t = change(rng.choice(base))
+            if rng.random() < 0.3:
+                w = t.split()
+                t = " ".join(w[rng.randrange(len(w)) :])
+            parts += [t + rng.choice([".", "", " !"]), prose(rng, rng.choice([0, 3, 40]))]
+        docs.append(" ".join(parts))
+    docs += docs[5:8]
+    for share in (0.4, 0.7):
+        got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(frame(spark, docs).withColumn("w", F.lit(1)).withColumn("item_id", F.lit("x")), items_of(spark, items), share=share).collect()}
+        assert got == found_by_hand(docs, items, share=share)
+        assert len(set(got.values())) == 2
+
+
+def test_decontamination_takes_repeated_rows_and_equal_items(spark):
+    text = "the quick old dog of the house sleeps near the warm fire all day"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, text), (4, text), (None, "nothing of it at all in here today")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()] == [(1, 4)]
+    assert sorted(str(r["doc_id"]) for r in decontam.drop_contaminated(docs, items).collect()) == ["2", "None"]
 
 
 def test_decontamination_of_empty_tables(spark):
@@ -431,8 +578,34 @@ def test_runs_are_compacted(spark):
     runs = line_dedup.Runs(spark, 2)
     for i in range(7):
         runs.add(spark.createDataFrame([(i, i, i)], "h long, g long, owner long"))
-    assert {k: len(v) for k, v in runs.levels.items()} == {0: 1, 1: 2}
+    assert {k: len(v) for k, v in runs.levels.items()} == {0: 1, 1: 2} and runs.merges == 2
     assert sorted(r["h"] for t in runs.tables() for r in t.collect()) == list(range(7))
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lexiscope_run")]
+
+
+def test_runs_are_read_as_they_lie(spark):
+    """No shuffle and no sort between the hashes of a batch and the runs, nor when runs are merged."""
+    runs = line_dedup.Runs(spark, 4)
+    rows = [spark.range(2000 * i, 2000 * i + 3000).select(F.lit(i).cast("long").alias("doc_id"), F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("g")) for i in range(3)]
+    runs.add(spark.table(runs.hashes(rows[0])))
+    runs.add(runs.fresh(spark.table(runs.hashes(rows[1]))))
+    found = spark.table(runs.hashes(rows[2]))
+    with line_dedup.sorted_buckets(spark):
+        for df in (runs.fresh(found), runs.seen(found)[1], line_dedup.merged(runs.tables())):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert runs.fresh(found).count() == 2000 and [x.count() for x in runs.seen(found)] == [0, 1000]
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+    runs.close()
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "a line of some length\nx", 5, 6, 7, "p"), (2, "A LINE of some length\ny", 5, 6, 7, "q"), (2, None, 5, 6, 7, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int, th int, n_lines int, kept string")
+    out = line_dedup.dedup_lines(docs, counts=False)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a line of some length\nx", 5, 6, 7, "p"), (2, "", 5, 6, 7, "r"), (2, "y", 5, 6, 7, "q")]
 
 
 # --- 8 ---------------------------------------------------------------------------------------
@@ -500,20 +673,59 @@ def test_byte_bpe_query_columns(spark):
 # --- 10 --------------------------------------------------------------------------------------
 
 
+def word_file():
+    import public_tokenizers as P
+
+    return P.path("word_bpe_49k.json")
+
+
+def ids_of(coder, texts, end=None):
+    import pyarrow as pa
+
+    return [np.frombuffer(x, "<u2").tolist() for x in coder.encode(pa.array(texts, pa.string()), end).to_pylist()]
+
+
 def library_ids(text):
     return records.word_coder().tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_chunks_equal_the_library():
-    for t in odd_texts() + ["<|endoftext|> x<|startoftext|>!", "It's a TEST, isn't it?!..."]:
-        assert np.frombuffer(records.word_coder().encode(t), "<u4").tolist() == library_ids(t)
+    texts = odd_texts() + ["<|endoftext|> x<|startoftext|>!", "It's a TEST, isn't it?!...", "a<|endoftext|>b. <|end <|endoftext|>... a<|startoftext|>.", "new-ish%%% newish%%% é&&& ***x***", None]
+    own = records.WordCoder(word_file())
+    for some in (texts, texts[::-1]):  # with an empty and a full memo
+        assert ids_of(own, some) == [library_ids(t) for t in some]
+    plain = [t for t in texts if not t or not any(c in t for c in records.SEPARATORS)]
+    assert ids_of(own, plain) == [library_ids(t) for t in plain]
+    assert ids_of(own, plain, 1) == [[*library_ids(t), 1] for t in plain] and ids_of(own, []) == [] and ids_of(own, [None, ""], 1) == [[1], [1]]
+
+
+def test_word_memo_starts_anew(monkeypatch):
+    monkeypatch.setattr(records, "KEPT", 50)
+    own = records.WordCoder(word_file())
+    for t in mixed() * 2:
+        assert ids_of(own, [t]) == [library_ids(t)]
+
+
+def test_a_tokenizer_that_cuts_otherwise_gets_whole_texts(tmp_path):
+    import json
+
+    with open(word_file(), encoding="utf-8") as f:
+        whole = json.load(f)
+    whole["normalizer"] = None  # upper case is no longer folded, so neither may the memo
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(whole), encoding="utf-8")
+    own = records.WordCoder(str(path))
+    texts = ["A TEST of Case", "a test of case", ""]
+    assert not own.chunked and ids_of(own, texts) == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_records_round_trip(spark, tmp_path):
     texts = mixed()
     docs = frame(spark, texts).unionByName(spark.createDataFrame([(None, "no id", "en", "s", 5), (3, "again", "en", "s", 5)], SCHEMA)).repartition(4)
-    written = records.write_records(docs, str(tmp_path / "out"), file_bytes=2000)
-    assert written.count() > 3
+    written = records.write_records(docs, str(tmp_path / "out"), file_bytes=2000, least=20_000)
+    files = written.collect()
+    assert len({r["part"] for r in files}) > 1 and max(r["seq"] for r in files) > 0
+    assert records.read_records(written, str(tmp_path / "out")).rdd.getNumPartitions() == len(files)
     got = sorted(records.read_records(written, str(tmp_path / "out")).collect(), key=lambda r: r["start"])
     at = 0
     for r in got:
@@ -528,8 +740,8 @@ def test_records_round_trip(spark, tmp_path):
 def test_records_tell_damage_and_read_in_any_order(tmp_path):
     w = records.Writer(str(tmp_path), "part", "0")
     rows = [(i, np.arange(i, i + 5, dtype="<u4").tobytes()) for i in range(4)] + [(None, np.array([70000], "<u4").tobytes())]
-    for r in rows:
-        w.add(*r)
+    for i, ids in rows:
+        w.add(i, np.frombuffer(ids, "<u4"))
     w.close()
     assert list(records.read_file(str(tmp_path), "part")) == rows
     assert list(records.read_file(str(tmp_path), "part", np.array([4, 0, 2]))) == [rows[4], rows[0], rows[2]]
@@ -541,5 +753,12 @@ def test_records_tell_damage_and_read_in_any_order(tmp_path):
         list(records.read_file(str(tmp_path), "part"))
 
 
+def test_records_of_many_equal_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(7, "the same words", "x", 1, 2)] * 300 + [(8, "others", "y", 1, 2)], "doc_id long, text string, ids string, wide int, tie int")
+    got = records.round_trip(docs).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == {(7, 4): 300, (8, 2): 1}
+    assert sorted(r["start"] for r in got) == list(range(0, 1201, 4))
+
+
 def test_records_of_an_empty_table(spark):
     assert records.round_trip(frame(spark, [])).count() == 0
