@@ -14,7 +14,7 @@ from lexiscope.catalog import ORACLES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["a13_structural_features", "n8_tokens", "v4_document_scores", "e15_low_fpr_report", "x8_agreement", "d13_quota_decisions", "w2_quota_sample", "j3_audit_provenance", "p7_meaning_proxy", "q2_retrieve", "s14_html_to_paragraphs", "m5_verdict"]
+SOME = ["a13_structural_features", "n8_tokens", "v4_document_scores", "e15_low_fpr_report", "x8_agreement", "d13_quota_decisions", "w2_quota_sample", "j3_audit_provenance", "p7_meaning_signals", "q2_retrieve", "a8_diagnostics", "s12_log_events", "x11_judge_measures", "d15_score_stream", "s14_html_to_paragraphs", "m5_verdict"]
 
 
 def plain(v):
