@@ -15,16 +15,18 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.llm.bpe import SPACE
-from lexiscope.llm.common import open_fs, per_document
+from lexiscope.llm.common import open_fs, slices
 from lexiscope.session import materialise, prepare, shared_dir, whole_uri
 
 END = 1
@@ -79,7 +81,8 @@ class WordCoder:
     The public tokenizer's merges never cross white space, so a text's ids are those of its chunks in turn. A
     chunk is lower-cased in ASCII, as the tokenizer does anyway, and one that ends in a letter and then
     marks is looked up in two parts, as a run of marks is always a word of its own. Chunks not met
-    before are encoded together, with the tokenizer's own mark for an end between them. A tokenizer
+    before are encoded together, with the tokenizer's own mark for an end between them, or, if they are one
+    word of ASCII letters, by the tokenizer's model alone. A tokenizer
     that cuts text in another way gets whole texts."""
 
     def __init__(self, path: str):
@@ -108,6 +111,11 @@ class WordCoder:
                         new.add(part)
             else:
                 new.add(c)
+        # a run of ASCII letters is one word to the tokenizer, so its merges can be asked for as they are
+        word, code = self.tokenizer.model.tokenize, "I" if self.wide else "H"
+        for c in [c for c in new if c.isascii() and c.isalpha()]:
+            new.discard(c)
+            memo[c] = array(code, [x.id for x in word(c)]).tobytes()
         alone = [c for c in new if GAP in c]
         for c, ids in zip(alone, self.raw(alone), strict=True):
             memo[c] = ids.tobytes()
@@ -121,23 +129,52 @@ class WordCoder:
         for c, core, tail in halves:
             memo[c] = memo[core] + memo[tail]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, little-endian, of two bytes each where the vocabulary allows, else four."""
-        if not self.chunked:
-            return [x.tobytes() for x in self.raw([t or "" for t in texts])]
+    def known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk."""
         memo = self.memo
         memo.turn()
-        chunks = []
-        for t in texts:
-            low = (t or "").encode().lower().decode()
-            chunks.append(CHUNK.findall(low) if any(c in low for c in SEPARATORS) else low.split())
-        found = [list(map(memo.__getitem__, c)) for c in chunks]
+        found = list(map(memo.__getitem__, chunks))
         if memo.fresh:
             fresh, memo.fresh = memo.fresh, set()
             self.learn(fresh)
             memo.fresh = set()
-            found = [[memo[c] if x is None else x for c, x in zip(own, xs, strict=True)] if None in xs else xs for own, xs in zip(chunks, found, strict=True)]
-        return [b"".join(x) for x in found]
+            found = [memo[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
+        return found
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.BinaryArray:
+        """The ids of each text (null: empty), little-endian, of two bytes each where the vocabulary allows, else four; `end` after each.
+
+        A slice of texts is cut into its distinct chunks by Arrow; only those are looked up one by one."""
+        texts = texts.cast(pa.string()).fill_null("")
+        low = pc.ascii_lower(texts)
+        if not self.chunked:
+            parts = [x.tobytes() for x in self.raw(texts.to_pylist())]
+            sizes, of, per_text = np.array([len(x) for x in parts], np.int64), np.arange(len(parts)), np.ones(len(parts), np.int64)
+        else:
+            if pc.any(pc.match_substring_regex(low, f"[{SEPARATORS}]")).as_py():
+                chunks = pa.array([CHUNK.findall(t) for t in low.to_pylist()], pa.list_(pa.string()))
+            else:
+                chunks = pc.utf8_split_whitespace(low)  # empty strings at the ends have no ids
+            coded = chunks.flatten().dictionary_encode()
+            parts = self.known(coded.dictionary.to_pylist())
+            sizes, of, per_text = np.fromiter(map(len, parts), np.int64, len(parts)), coded.indices.to_numpy(zero_copy_only=False), chunks.value_lengths().to_numpy(zero_copy_only=False)
+        kind = np.dtype(self.type)
+        sizes = sizes // kind.itemsize
+        blob = np.frombuffer(b"".join(parts), kind)
+        n = sizes[of]  # ids of each chunk of the slice in turn
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = blob[np.repeat((np.cumsum(sizes) - sizes)[of] - upto[:-1], n) + np.arange(upto[-1])]
+        lengths = np.diff(upto[np.concatenate([[0], np.cumsum(per_text)])])
+        if end is not None:
+            lengths = lengths + 1
+            last = np.cumsum(lengths) - 1
+            out = np.empty(len(ids) + len(last), kind)
+            inner = np.ones(len(out), bool)
+            inner[last] = False
+            out[inner], out[last] = ids, end
+            ids = out
+        offsets = (np.concatenate([[0], np.cumsum(lengths)]) * kind.itemsize).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 @cache
@@ -247,17 +284,19 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, file_by
 
     spark = prepare(docs.sparkSession)
     folder = whole_uri(spark, folder)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     ranges = int(total // min(max(total / RANGES, least), MOST)) + 1
     cuts = spark.sparkContext.broadcast(splitters(keyed, ranges))
 
-    def encode(i, t, tie, row):
+    def encode(batches):
         c = word_coder(path)
-        end = np.array([END], c.type).tobytes()
         bounds = [tuple(x) for x in cuts.value.tolist()]
-        part = [bisect_right(bounds, (int(d is not None), d or 0, h, r)) for d, h, r in zip(i, tie, row, strict=True)]
-        return {"doc_id": i, "wide": [c.wide] * len(i), "ids": [x + end for x in c.encode(t)], "tie": tie, "row": row, "part": part}
+        for batch in batches:
+            for piece in slices(batch, 4 << 20):
+                i, t, tie, row = piece.columns
+                part = [bisect_right(bounds, (int(d is not None), d or 0, h, r)) for d, h, r in zip(i.to_pylist(), tie.to_pylist(), row.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([i, pa.array([c.wide] * len(i)), c.encode(t, END), tie, row, pa.array(part, pa.int32())], ["doc_id", "wide", "ids", "tie", "row", "part"])
 
     def write(batches):
         from pyspark import TaskContext
@@ -283,7 +322,7 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, file_by
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "seq", "name", "records", "tokens"])
 
-    ids = per_document(keyed, ["doc_id", "text", "tie", "row"], encode, "doc_id long, wide boolean, ids binary, tie long, row long, part int")
+    ids = keyed.mapInArrow(encode, "doc_id long, wide boolean, ids binary, tie long, row long, part int")
     dealt = ids.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "doc_id", "tie", "row")
     return materialise(dealt.select("part", "doc_id", "wide", "ids").mapInArrow(write, "part int, seq int, name string, records long, tokens long"))
 
