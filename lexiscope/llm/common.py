@@ -51,8 +51,8 @@ def per_document(docs: DataFrame, columns: list[str], f: Callable[..., Iterator[
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice holds some megabytes of text, and one row at least."""
+def slices(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a slice holds about two megabytes of text, and one row at least."""
     if not batch.num_rows:
         return
     step = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))

@@ -25,7 +25,7 @@ from lexiscope.llm.common import materialise, unused
 FAN = 3
 MIN_CHARS = 10
 #: Lines of a batch and of a bucket, which set the number of both; the least and the most of each.
-BATCH_LINES, BATCHES = 50_000_000, (5, 64)
+BATCH_LINES, BATCHES = 50_000_000, (4, 64)
 BUCKET_LINES, BUCKETS = 2_000_000, (8, 20_000)
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
