@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from lexiscope.llm.common import materialise
 
 OVERHEAD = 8
+#: Records of a range (some tens of bytes each), and the most ranges.
+RANGE_ROWS, MOST = 1_000_000, 4096
+#: Boundaries that a table of 16 rows holds.
+SHORT = 256
 LAW = "bytes"
 
 
@@ -28,25 +32,30 @@ def splitters(keyed: DataFrame, total: int, ranges: int, per_range: int, salt: i
     return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
 
-def range_of(bounds: list[tuple[str, int]]) -> F.Column:
-    """The number of boundaries at or below a record's key, looked up in blocks of about the root of their number."""
-    if not bounds:
-        return F.lit(0)
+def below(bounds: F.Column, key: F.Column) -> F.Column:
+    """How many boundaries of a sorted list are at or below a key."""
+    return F.size(F.filter(bounds, lambda b: b <= key))
+
 
-    def literal(part):
-        return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).cast("long").alias("d")) for k, d in part])
+def ranged(keyed: DataFrame, bounds: list[tuple[str, int]]) -> DataFrame:
+    """keyed with r, the number of boundaries at or below a record's key.
 
-    key = F.struct(F.col("k"), F.col("d"))
-    below = lambda part: F.size(F.filter(literal(part), lambda b: b <= key))
-    step = max(8, int(len(bounds) ** 0.5))
-    if len(bounds) <= 2 * step:
-        return below(bounds)
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    out = below(blocks[0])
-    for n, block in enumerate(blocks[1:], 1):
-        first = F.struct(F.lit(block[0][0]).alias("k"), F.lit(block[0][1]).cast("long").alias("d"))
-        out = F.when(first <= key, n * step + below(block)).otherwise(out)
-    return out
+    Boundaries are looked up by the first digits of the key in a table of at most 4,096 rows, each with the
+    number of boundaries before it and those that begin alike; so no plan holds them as literals."""
+    if not bounds:
+        return keyed.withColumn("r", F.lit(0))
+    digits = 1 if len(bounds) <= SHORT else 3
+    rows, at = [], 0
+    for n in range(16**digits):
+        prefix = f"{n:0{digits}x}"
+        end = at
+        while end < len(bounds) and bounds[end][0].startswith(prefix):
+            end += 1
+        rows.append((prefix, at, bounds[at:end]))
+        at = end
+    table = keyed.sparkSession.createDataFrame(rows, "prefix string, base int, own array<struct<k:string,d:bigint>>")
+    x = keyed.join(F.broadcast(table), F.substring("k", 1, digits) == F.col("prefix"))
+    return x.withColumn("r", F.col("base") + below(F.col("own"), F.struct("k", "d"))).select(*keyed.columns, "r")
 
 
 def shards(docs: DataFrame, n: int = 24, ranges: int | None = None, per_range: int = 64, overfull: float = 2.0) -> DataFrame:
@@ -57,21 +66,22 @@ def shards(docs: DataFrame, n: int = 24, ranges: int | None = None, per_range: i
     record at most. slot counts a shard's records in that order. The law is `bytes`, so grown_shard is null.
     A null text is ordered as the empty one, a null doc_id before all others. Rows that repeat are each
     a record. An empty table gives an empty result. Other columns are ignored."""
-    ranges = ranges or 4 * n
     text = F.coalesce("text", F.lit(""))
     keyed = materialise(docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.md5(text.cast("binary")).alias("k"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
-    total = keyed.agg(F.sum("size")).first()[0] or 0
+    whole = keyed.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    total = whole["bytes"] or 0
+    ranges = ranges or min(MOST, max(4 * n, whole["rows"] // RANGE_ROWS + 1))
     bounds = splitters(keyed, total, ranges, per_range, 0)
-    ranged = keyed.withColumn("r", range_of(bounds))
-    sizes = {r["r"]: r["b"] for r in ranged.groupBy("r").agg(F.sum("size").alias("b")).collect()}
+    dealt = ranged(keyed, bounds)
+    sizes = {r["r"]: r["b"] for r in dealt.groupBy("r").agg(F.sum("size").alias("b")).collect()}
     large = [r for r, b in sizes.items() if b > overfull * total / ranges]
     if large:  # at most as many as there are ranges, cut into as many pieces as all ranges together
-        more = splitters(ranged.filter(F.col("r").isin(large)), sum(sizes[r] for r in large), max(2, sum(int(ranges * sizes[r] / total) + 1 for r in large)), 4 * per_range, 1)
+        more = splitters(dealt.filter(F.col("r").isin(large)), sum(sizes[r] for r in large), max(2, sum(int(ranges * sizes[r] / total) + 1 for r in large)), 4 * per_range, 1)
         bounds = sorted({*bounds, *more})
-        ranged = keyed.withColumn("r", range_of(bounds))
+        dealt = ranged(keyed, bounds)
     within = Window.partitionBy("r").orderBy("k", "d")
     upto = within.rowsBetween(Window.unboundedPreceding, -1)
-    placed = materialise(ranged.withColumns({"before": F.coalesce(F.sum("size").over(upto), F.lit(0)), "row": F.row_number().over(within) - 1}))
+    placed = materialise(dealt.withColumns({"before": F.coalesce(F.sum("size").over(upto), F.lit(0)), "row": F.row_number().over(within) - 1}))
     # the totals of the ranges: a row for each, so a single task for their running sums is enough
     sums = placed.groupBy("r").agg(F.sum("size").alias("b"))
     offset = sums.select("r", F.coalesce(F.sum("b").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
