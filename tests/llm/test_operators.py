@@ -622,8 +622,9 @@ def shards_by_hand(rows, n):
     return out
 
 
-@pytest.mark.parametrize("ranges", [1, 8, 60])
-def test_shards_match_brute_force(spark, ranges):
+@pytest.mark.parametrize("ranges, short", [(1, 256), (8, 256), (60, 256), (60, 3)])
+def test_shards_match_brute_force(spark, monkeypatch, ranges, short):
+    monkeypatch.setattr(sharding, "SHORT", short)
     rows = [(i, t) for i, t in enumerate(mixed() + ["hot"] * 90)] + [(None, "x"), (3, "again"), (3, "again")]
     got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24, ranges, 4).collect()
     key = lambda r: tuple(-1 if v is None else v for v in r)
@@ -762,3 +763,11 @@ def test_records_of_many_equal_rows_and_clashing_columns(spark):
 
 def test_records_of_an_empty_table(spark):
     assert records.round_trip(frame(spark, [])).count() == 0
+
+
+def test_each_license_template_is_told_from_the_others(spark):
+    texts = [f"{prose(random.Random(n), 40)} {text} {prose(random.Random(n + 99), 40)}" for n, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {r["doc_id"]: {x["label"] for x in r["spans"]} for r in licenses.scan(frame(spark, texts)).collect()}
+    families = ({"gpl", "lgpl", "agpl"}, {"cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd"})
+    for n, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[n] and all(x == label or any({x, label} <= f for f in families) for x in got[n]), (label, got[n])
