@@ -262,9 +262,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, bits: int = BITS) -> D
 def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """docs without the documents that marked(doc_id, component_id) places under another id; a repeated doc_id stays once."""
     at, n = unused(docs, "id", "n")
-    keep = materialise(marked.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(at)).agg(F.count("*").alias(n)))
-    again = keep.filter(F.col(n) > 1)
-    out = docs.join(keep.filter(F.col(n) == 1), F.col("doc_id") == F.col(at), "left_semi").unionByName(docs.filter("doc_id is null"))
+    ids = marked.filter("doc_id is not null").groupBy(F.col("doc_id").alias(at)).agg(F.count("*").alias(n), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    # those that go are fewer than those that stay; written, so that their size is known when the join is planned
+    some = materialise(ids.filter(~F.col("stays") | (F.col(n) > 1)))
+    out = docs.join(some.select(at), F.col("doc_id") == F.col(at), "left_anti")
+    again = some.filter("stays").select(at)
     if not again.isEmpty():
         out = out.unionByName(docs.join(again, F.col("doc_id") == F.col(at), "left_semi").dropDuplicates(["doc_id"]))
     return out
