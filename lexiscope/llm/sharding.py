@@ -11,6 +11,8 @@ DataFrame operations only; what comes to the driver is bounded by the number of
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,8 @@ def ranged(keyed: DataFrame, bounds: list[tuple[str, int]]) -> DataFrame:
     """keyed with r, the number of boundaries at or below a record's key.
 
     Boundaries are looked up by the first digits of the key in a table of at most 4,096 rows, each with the
-    number of boundaries before it and those that begin alike; so no plan holds them as literals."""
+    number of boundaries before it and those that begin alike. The table comes as one piece of JSON, so the plan
+    stays small and no Python worker is started."""
     if not bounds:
         return keyed.withColumn("r", F.lit(0))
     digits = 1 if len(bounds) <= SHORT else 3
@@ -51,9 +54,10 @@ def ranged(keyed: DataFrame, bounds: list[tuple[str, int]]) -> DataFrame:
         end = at
         while end < len(bounds) and bounds[end][0].startswith(prefix):
             end += 1
-        rows.append((prefix, at, bounds[at:end]))
+        rows.append({"prefix": prefix, "base": at, "own": [{"k": k, "d": d} for k, d in bounds[at:end]]})
         at = end
-    table = keyed.sparkSession.createDataFrame(rows, "prefix string, base int, own array<struct<k:string,d:bigint>>")
+    kind = "array<struct<prefix:string,base:int,own:array<struct<k:string,d:bigint>>>>"
+    table = keyed.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
     x = keyed.join(F.broadcast(table), F.substring("k", 1, digits) == F.col("prefix"))
     return x.withColumn("r", F.col("base") + below(F.col("own"), F.struct("k", "d"))).select(*keyed.columns, "r")
 
