@@ -149,6 +149,11 @@ def last_certified(first: dict[int, int], n: int, steps: int, risk: float, alpha
     return held
 
 
+def small(table: DataFrame, strata: int) -> DataFrame:
+    """A table with a row of some numbers for each stratum: sent to all tasks if it has at most 10,000 rows (some megabytes), so that no stratum has to meet in one."""
+    return F.broadcast(table) if strata <= 10_000 else table
+
+
 def calibrate(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[dict]:
     """holdout(stratum, good, proposes, stats) -> the certified cutoffs: stratum, rule, cutoff, n, rejected (by all rules of the stratum), bound.
 
@@ -160,13 +165,13 @@ def calibrate(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> l
     candidates = [(row["stratum"], [(r, c) for r in range(len(RULES)) for c in sorted({x for x in row[f"q{r}"] if x > 0})]) for row in quantiles.collect()]
     steps = "stratum string, steps array<struct<rule:int,cutoff:double>>"
     rejects = lambda s: F.get("stats", s["rule"]) >= s["cutoff"]
-    met = propose.join(spark.createDataFrame(candidates, steps), "stratum").select("stratum", "good", F.explode(F.filter("steps", rejects)).alias("s"))
+    met = propose.join(small(spark.createDataFrame(candidates, steps), len(candidates)), "stratum").select("stratum", "good", F.explode(F.filter("steps", rejects)).alias("s"))
     counts: dict[str, dict[Step, tuple[int, int]]] = {}
     for row in met.groupBy("stratum", "s").agg(F.count_if(~F.col("good")).alias("bad"), F.count_if("good").alias("g")).collect():
         counts.setdefault(row["stratum"], {})[row["s"]["rule"], row["s"]["cutoff"]] = (row["bad"], row["g"])
     paths = {stratum: p for stratum, c in counts.items() if (p := path(c))}
     numbered = F.transform("steps", lambda s, i: F.when(rejects(s), i))
-    tested = certify.join(spark.createDataFrame(list(paths.items()), steps), "stratum").select("stratum", F.array_min(F.array_compact(numbered)).alias("first"))
+    tested = certify.join(small(spark.createDataFrame(list(paths.items()), steps), len(paths)), "stratum").select("stratum", F.array_min(F.array_compact(numbered)).alias("first"))
     first: dict[str, dict[int | None, int]] = {}
     for row in tested.groupBy("stratum", "first").count().collect():
         first.setdefault(row["stratum"], {})[row["first"]] = row["count"]
@@ -198,7 +203,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, m: str, stratum: str, risk: floa
     for c in calibrate(holdout, risk, delta):
         cuts.setdefault(c["stratum"], [None] * len(RULES))[list(RULES).index(c["rule"])] = c["cutoff"]
     table = spark.createDataFrame(list(cuts.items()), "over string, high array<double>")
-    return F.broadcast(table) if len(cuts) <= 10_000 else table  # a row of a few numbers for each
+    return small(table, len(cuts))
 
 
 def rejected_by(rows: DataFrame, cuts: DataFrame, m: str, stratum: str, name: str) -> DataFrame:
