@@ -12,13 +12,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PACKAGE = Path(__file__).resolve().parent
 ROOT = str(PACKAGE.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package: from its folder in a local session, on a cluster from a zip that Spark ships."""
+    """Let Python workers import this package: from its folder in a local session, on a cluster from a zip that Spark ships.
+
+    Texts go to them in smaller batches than by default, which would be some tens of megabytes for each task on either side."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == "10000":  # no choice of the user's
+        spark.conf.set(BATCH, "2000")
     if re.fullmatch(r"local(\[.*\])?", context.master):
         paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
         if ROOT not in paths:
