@@ -77,4 +77,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, its size is known to the planner, and an executor that is lost takes nothing along."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder that materialise() wrote df to. Only for a df that no later plan reads: what came of it has been written itself."""
+    spark = df.sparkSession
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
