@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bpe, decontam, licenses, line_dedup, quality_model, quality_rules, records, sharding, simhash, toxicity
+from lexiscope.llm import bpe, decontam, licenses, line_dedup, quality_model, quality_rules, records, sharding, simhash, toxicity, vector_codes
 from lexiscope.session import table
 
 
@@ -50,6 +50,10 @@ def op10_records(spark, sf_dir):
     return records.round_trip(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_records": op10_records,
+    "op11_vector_codes": op11_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.oracle()}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.oracle(), "op11_vector_codes": vector_codes.oracle()}
