@@ -12,10 +12,14 @@ Sets are cut a second time from the texts, only for nodes that share a bucket: a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexiscope.llm.common import components, in_bitmap, key_bitmap, materialise, per_document, rolling
 from lexiscope.llm.licenses import Words
@@ -38,12 +42,41 @@ def shingles(text: str | None, words: int, memo: Words) -> np.ndarray:
     return np.unique(rolling(memo.hashes(parts), min(words, len(parts)))) if parts else np.zeros(0, np.uint64)
 
 
-def node_of(values: np.ndarray) -> int:
-    """A signed 64-bit digest of a set; 0 for the empty one."""
-    from xxhash import xxh3_64_intdigest
+def node_of(values: np.ndarray, clash: dict[int, int], bits: int = 64) -> tuple[int, int]:
+    """(node, check) of a set: two halves of a 128-bit digest, the first cut to `bits` bits.
+
+    `clash` has the first halves that several sets share, each with the check of the set that keeps it; others get
+    a node from both halves instead."""
+    whole = blake2b(values.tobytes(), digest_size=16)
+    node, check = np.frombuffer(whole.digest(), np.int64).tolist()
+    node = node & ((1 << bits) - 1) if bits < 64 else node
+    if clash.get(node, check) != check:
+        node = int(np.frombuffer(blake2b(whole.digest(), digest_size=8, salt=b"again").digest(), np.int64)[0])
+    return node, check
+
+
+def marked_nodes(docs: DataFrame, cut: Callable[[str | None], np.ndarray], more: Callable[[np.ndarray, int], dict], schema: str, bits: int = 64) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """docs(doc_id, text) -> (doc_id, node and what `more` says of its set) for every row, (node, first doc_id, ...) for every
+    distinct set, and the clashes of nodes.
 
-    x = xxh3_64_intdigest(values.tobytes()) if len(values) else 0
-    return x - (1 << 64) if x >> 63 else x
+    Two different sets get one node only if 128 bits agree. If 64 do, which befalls one pair of 6 x 10^9 sets on average,
+    rows are marked again and the second gets another node; so the clashes that come to the driver are few at any size."""
+    clash: dict[int, int] = {}
+    names = [x.name for x in StructType.fromDDL(schema)]
+    while True:
+
+        def run(ids, texts, clash=clash):
+            sets = [cut(t) for t in texts]
+            nodes = [node_of(s, clash, bits) for s in sets]
+            said = [more(s, n) for s, (n, _) in zip(sets, nodes, strict=True)]
+            return {"doc_id": ids, "node": [n for n, _ in nodes], "check": [c for _, c in nodes]} | {c: [x[c] for x in said] for c in names}
+
+        marked = materialise(per_document(docs, ["doc_id", "text"], run, f"doc_id long, node long, check long, {schema}"))
+        firsts = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("check").alias("check"), F.max("check").alias("other"), *[F.first(c).alias(c) for c in names]))
+        again = {r["node"]: r["check"] for r in firsts.filter("check <> other").select("node", "check").collect()}
+        if not again:
+            return marked.drop("check"), firsts.drop("check", "other"), clash
+        clash = clash | again
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -103,7 +136,7 @@ def stars(nodes: np.ndarray, sets: list[np.ndarray], share: float) -> tuple[list
     return left, right
 
 
-def in_blocks(members: DataFrame, sets: DataFrame, share: float, block: int) -> DataFrame:
+def in_blocks(members: DataFrame, sets: DataFrame, share, block: int, stars: Callable = stars) -> DataFrame:
     """members(key, node) of buckets in blocks of about `block` bytes of sets; a task for each two blocks of a key."""
 
     def both(table: pa.Table) -> pa.Table:
@@ -119,7 +152,7 @@ def in_blocks(members: DataFrame, sets: DataFrame, share: float, block: int) ->
     return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(both, "a long, b long")
 
 
-def links(docs: DataFrame, keyed: DataFrame, words: int, share: float, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, keyed: DataFrame, words: int, share: float, block: int = BLOCK, clash: dict[int, int] | None = None, bits: int = 64) -> DataFrame:
     """docs(text), keyed(node, keys) of distinct nodes -> the components of verified links: node, root."""
     prepare(docs.sparkSession)
     rows = keyed.select("node", F.explode("keys").alias("key"))
@@ -132,7 +165,7 @@ def links(docs: DataFrame, keyed: DataFrame, words: int, share: float, block: in
         out = {"node": [], "items": []}
         for t in texts:
             s = shingles(t, words, memo)
-            node = node_of(s)
+            node = node_of(s, clash or {}, bits)[0]
             if len(s) and in_bitmap(bitmap.value, np.array([node]).view(np.uint64))[0]:
                 out["node"].append(node)
                 out["items"].append(s.tobytes())
@@ -151,22 +184,16 @@ def links(docs: DataFrame, keyed: DataFrame, words: int, share: float, block: in
     return components(edges.unionByName(in_blocks(wide, sets, share, block)))
 
 
-def near_duplicates(docs: DataFrame, words: int = K, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = K, share: float = SHARE, block: int = BLOCK, bits: int = 64) -> DataFrame:
     """docs(doc_id, text) -> one row per document: doc_id, node, component_id.
 
     component_id is the smallest doc_id reachable over links of a similarity of `share` or more, the
     document's own included. Texts without words (null, empty, blank) are equal to each other and to
     nothing else. Repeated rows stay. A null doc_id stays and counts for no minimum; a component of nulls
-    has a null id. An empty table gives an empty result. Other columns are ignored."""
+    has a null id. An empty table gives an empty result. Other columns are ignored. `bits` is for tests of clashing digests."""
     memo = Words()
-
-    def run(ids, texts):
-        sets = [shingles(t, words, memo) for t in texts]
-        return {"doc_id": ids, "node": [node_of(s) for s in sets], "keys": [band_keys(s).tolist() for s in sets]}
-
-    marked = materialise(per_document(docs, ["doc_id", "text"], run, "doc_id long, node long, keys array<long>"))
-    firsts = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
-    roots = links(docs, firsts.select("node", "keys"), words, share, block)
+    marked, firsts, clash = marked_nodes(docs, lambda text: shingles(text, words, memo), lambda s, node: {"keys": band_keys(s).tolist()}, "keys array<long>", bits)
+    roots = links(docs, firsts.select("node", "keys"), words, share, block, clash, bits)
     placed = materialise(firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     ids = materialise(placed.groupBy("root").agg(F.min("first").alias("component_id")))
     # written, so that each join is of plain shuffles and Spark can split a hot node

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bpe, decontam, licenses, line_dedup, quality_model, quality_rules, records, resample, sharding, simhash, toxicity, vector_codes
+from lexiscope.llm import bottomk, bpe, decontam, licenses, line_dedup, quality_model, quality_rules, records, resample, sharding, simhash, toxicity, vector_codes
 from lexiscope.session import table
 
 
@@ -54,6 +54,10 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_bottomk(spark, sf_dir):
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_resample(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,7 +74,8 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_records": op10_records,
     "op11_vector_codes": op11_vector_codes,
+    "op12_bottomk": op12_bottomk,
     "op13_resample": op13_resample,
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.oracle(), "op11_vector_codes": vector_codes.oracle()}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.oracle(), "op11_vector_codes": vector_codes.oracle(), "op12_bottomk": bottomk.oracle()}
