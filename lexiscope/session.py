@@ -82,8 +82,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the folder that materialise() wrote df to. Only for a df that no later plan reads: what came of it has been written itself."""
-    spark = df.sparkSession
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote below the shared one."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df. Only for a df that no later plan reads: what came of it has been written itself."""
+    delete(df.sparkSession, df.written_to)
