@@ -13,7 +13,7 @@ from lexiscope.plans import sql as Q
 from lexiscope.plans.evaluation import SCORED, scored
 from lexiscope.plans.style import WORDS
 from lexiscope.plans.verdicts import TURNS, turns
-from lexiscope.session import table
+from lexiscope.session import materialise, table
 
 r6 = Q.r6
 MODEL = M.Model((0.4, -0.02, 0.01, 1.5, -2.0, 0.7, 0.1, -0.3, 2.0, -0.5, 0.0, 3.0), -0.2, (0.5, 10.0, 5.0, 0.6, 0.8, 0.7, 5.0, 0.5, 0.05, 0.8, 0.1, 0.01), (0.2, 5.0, 3.0, 0.2, 0.1, 0.2, 1.0, 0.5, 0.03, 0.2, 1.0, 0.02), 0.6)
@@ -92,14 +92,16 @@ def messages(spark, d):
 def found(spark, d):
     """Nearest turns of every benchmark item."""
     m = messages(spark, d)
-    w = Y.idf(m, "doc_id")
+    counted = Y.frequencies(m, "doc_id")
+    w = materialise(Y.idf(m, "doc_id", counted=counted))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.lower("text").alias("text"))
-    return Y.retrieve(Y.tfidf(q, w, "query"), Y.tfidf(m, w, "doc_id"), 3)
+    return Y.retrieve(Y.tfidf(q, w, "query"), Y.tfidf(m, w, "doc_id", counted=counted), 3)
 
 
 def index(spark, d):
     m = messages(spark, d)
-    return Y.tfidf(m, Y.idf(m, "doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 5).alias("top"))
+    counted = Y.frequencies(m, "doc_id")
+    return Y.tfidf(m, Y.idf(m, "doc_id", counted=counted), "doc_id", counted=counted).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 5).alias("top"))
 
 
 def features(spark, d):
