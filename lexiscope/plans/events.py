@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiscope.plans import sql as Q
-from lexiscope.session import table
+from lexiscope.session import shared_dir, table
 from lexiscope.streaming import events as D
+from lexiscope.streaming import monitor as M
 
 OUTCOME = {"click": "completed", "view": "completed", "purchase": "entitlement_denied", "signup": "quota_denied", "error": "terminal_failed"}
 
@@ -26,9 +27,9 @@ def wall(f):
     return run
 
 
-def raw(spark, d):
-    """The event table in the shape of web events: the type gives the outcome, the value the latency, the user the tier."""
-    e = ev(spark, d)
+def raw(spark, d, e=None):
+    """The event table (or a stream of its rows) in the shape of web events: the type gives the outcome, the value the latency, the user the tier."""
+    e = ev(spark, d) if e is None else e
     return e.select(
         "event_id", "ts", "user_id", F.when(F.col("user_id") % 7 == 0, "staging").when(F.col("user_id") % 7 == 1, "elsewhere").otherwise("production").alias("channel"),
         F.element_at(F.array(F.lit("free"), F.lit("byok"), F.lit("pro"), F.lit("trial")), (F.col("user_id") % 4 + 1).cast("int")).alias("tier"),
@@ -67,6 +68,37 @@ def ticks(spark, d):
     return j.select(F.concat_ws("/", "channel", "tier").alias("key"), F.col("quarter").alias("ts"), F.coalesce("k", F.lit(0)).alias("n_triggers"))
 
 
+def replayed(spark, rows, end, query):
+    """What a stream over rows(ts, ...) writes in two runs, with a restart between: the earlier half of the time comes first.
+
+    end: the values of a last row, a day after all others, which lets the watermark pass them."""
+    ends = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    source, out, mark = (shared_dir(spark) for _ in range(3))
+    middle = ends["low"] and ends["low"] + (ends["high"] - ends["low"]) / 2
+    last = rows.limit(1).withColumns({"ts": F.lit(ends["high"]) + F.expr("interval 1 day")} | {c: F.lit(v).cast(dict(rows.dtypes)[c]) for c, v in end.items()})
+    for part in (rows.filter(F.col("ts") <= F.lit(middle)), rows.filter(F.col("ts") > F.lit(middle)).unionByName(last)):
+        part.write.mode("append").parquet(source)
+        M.write_batches(query(spark.readStream.schema(rows.schema).parquet(source)), out, mark).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def over_stream(spark, d, query):
+    """The result of a query over the stream of events."""
+    last = {"event_id": -1, "user_id": 2, "event_type": "click", "value": 1}  # of a known channel and tier, as a filter may come before the watermark
+    return replayed(spark, ev(spark, d), last, lambda e: query(D.normalize_events(raw(spark, d, e))))
+
+
+def fired(spark, d):
+    """The rules that fire at a quarter, of which every fifth count can't be delivered."""
+    x = D.alert_triggers(hist(spark, d))
+    return x.select(F.concat_ws("/", "channel", "tier").alias("key"), F.col("quarter").alias("ts"), "trigger", (F.col("count") % 5 != 0).alias("delivered"))
+
+
+def alert_stream(spark, d):
+    M.with_rocksdb(spark)
+    return replayed(spark, fired(spark, d), {"key": "~"}, M.alerts_on_stream)
+
+
 QUERIES = {
     "d1_normalize_events": lambda s, d: D.normalize_events(raw(s, d)).groupBy("channel", "tier", "outcome", "latency", "status_class", "sampling").agg(F.count("*").alias("n")),
     "d2_quarter_counts": counts,
@@ -82,6 +114,13 @@ QUERIES = {
     "d12_dedup_deliveries": lambda s, d: D.dedup_deliveries(ev(s, d).select((F.col("event_id") % 1000).alias("id"), "event_type"), "id").groupBy(F.substring("digest", 1, 1).alias("d")).agg(F.count("*").alias("n")),
     "d13_quota_decisions": quota,
     "d14_entitlement_counts": lambda s, d: D.entitlement_counts(counts(s, d)),
+    "d3_trailing_stream": lambda s, d: over_stream(s, d, lambda e: D.trailing_on_stream(e, 2, ["channel", "tier", "outcome"])),
+    "d5_histogram_stream": lambda s, d: over_stream(s, d, lambda e: D.histogram_p95(D.snapshot_on_stream(e, 16)).select("channel", "tier", "quarter", "n", "rank", "bound", "tail")),
+    "d6_alert_triggers_stream": lambda s, d: over_stream(s, d, lambda e: D.alert_triggers(D.histogram_p95(D.snapshot_on_stream(e, 16)))),
+    "d14_entitlement_stream": lambda s, d: over_stream(s, d, D.entitlement_counts),
+    "d8_alerts": lambda s, d: M.alerts(fired(s, d)).filter("kind <> 'recovered'").select("key", "ts", "trigger", "kind"),
+    "d8_alert_stream": lambda s, d: alert_stream(s, d).filter("kind <> 'recovered'").select("key", "ts", "trigger", "kind"),
+    "d9_recovery_stream": lambda s, d: alert_stream(s, d).filter("kind = 'recovered'").select("key", "ts", "n"),
     "f9_validate_events": lambda s, d: D.validate_events(funnel(s, d)).groupBy("name", "valid").agg(F.count("*").alias("n")),
 }
 QUERIES = {name: wall(f) for name, f in QUERIES.items()}
@@ -109,6 +148,12 @@ union all select channel, tier, quarter, 'entitlement_pro', {DENIED}::bigint fro
 union all select channel, tier, quarter, 'p95_latency', n::bigint from hb where n >= 10 and bound = '>120s'
 union all select channel, tier, quarter, 'latency_tail', l3::bigint from hb where n >= 10 and l3 > 0.05 * n
 union all select channel, tier, quarter, 'monitor_blind', monitor_drop::bigint from hb where n = 0 or monitor_drop >= 3)"""
+#: Alerts that went out, each the first that can an hour or more after the one before.
+SENT = f"""{TRIG}, d as (select channel || '/' || tier as key, quarter as ts, trigger, count, count % 5 <> 0 as delivered from tr),
+s(key, trigger, ts) as (select key, trigger, min(ts) from d where delivered group by all
+  union all select s.key, s.trigger, min(d.ts) from s join d on d.key = s.key and d.trigger = s.trigger where d.delivered and d.ts >= s.ts + interval 1 hour group by all),
+k as (select d.*, exists (select 1 from s where s.key = d.key and s.trigger = d.trigger and s.ts = d.ts) as sent, exists (select 1 from s where s.key = d.key and s.trigger = d.trigger and s.ts < d.ts and d.ts < s.ts + interval 1 hour) as held from d)"""
+KINDS = f"with recursive {SENT} select key, ts, trigger, case when sent then 'alert' when held then 'held' else 'failed' end as kind from k"
 FUN = "fu as (select event_id, ts, case when event_type = 'click' then 'Input Started' else upper(event_type[1]) || lower(event_type[2:]) end as name, event_id % 5 = 0 as bare, ['en', 'ko', 'xx'][user_id % 3 + 1] as lang from events)"
 
 ORACLES = {
@@ -119,6 +164,9 @@ ORACLES = {
     "d5_histogram_p95": f"with {HIST} select channel, tier, quarter, n::bigint as n, rank, bound, tail from hb",
     "d6_alert_triggers": f"with {TRIG} select * from tr",
     "d7_failure_streaks": "with f as (select *, event_type in ('error', 'signup') as f from events), g as (select *, sum((not f)::int) over (partition by user_id order by event_id) as g from f), s as (select event_id, user_id, case when f then sum(f::int) over (partition by user_id, g order by event_id) else 0 end as streak from g) select event_id, user_id, streak::bigint as streak, streak >= 2 as alert from s where streak > 0",
+    "d8_cool_down": f"with recursive {SENT} select key.split('/')[1] as channel, key.split('/')[2] as tier, trigger, ts, count, delivered, sent from k",
+    "d8_alerts": KINDS,
+    "d8_alert_stream": KINDS,
     "d9_recovery": f"with {TRIG}, k as (select hb.channel || '/' || hb.tier as key, hb.quarter as ts, (select count(*) from tr where tr.channel = hb.channel and tr.tier = hb.tier and tr.quarter = hb.quarter) as n from hb), w as (select *, lag(n) over (partition by key order by ts) as before, max(case when n > 0 then ts end) over (partition by key order by ts rows between unbounded preceding and 1 preceding) as last_alert from k) select key, ts, last_alert from w where n = 0 and before > 0 and epoch(ts) - epoch(last_alert) <= 7200",
     "d10_failure_ratio": f"with {RAW}, g as (select channel, tier, sum(n)::bigint as total, sum(case when outcome in ('completed', 'quota_denied') then 0 else n end)::bigint as failed from qc group by all) select *, total >= 5 and failed > 0.5 * total as fires from g",
     "d11_funnel_daily": f"with {FUN}, r as (select *, ts::date as day, row_number() over (partition by ts::date order by ts, event_id) as rn from fu) select day, name, case when bare then 'surface=hero' else 'lang=' || lang || ',surface=chat' end as dims, count(*) as n from r where rn <= 20 group by all",
@@ -134,3 +182,4 @@ select tier, reason, count(*) as n, sum(event_id)::bigint as ids from z group by
     "d14_entitlement_counts": f"with {RAW}, qp as (select * from qc where tier = 'pro'), {snap(1, 'qp')} select channel, quarter, number_safety_failed::bigint as number_safety, {DENIED}::bigint as refused, ({DENIED} + completed)::bigint as total, monitor_drop::bigint as dropped from sn",
     "f9_validate_events": f"with {FUN} select name, name = 'Input Started' and not bare and lang <> 'xx' as valid, count(*) as n from fu group by all",
 }
+ORACLES |= {f"{name}_stream": ORACLES[of] for name, of in (("d3_trailing", "d3_trailing"), ("d5_histogram", "d5_histogram_p95"), ("d6_alert_triggers", "d6_alert_triggers"), ("d14_entitlement", "d14_entitlement_counts"))}

@@ -47,13 +47,17 @@ def guard_time(df: DataFrame, now: Column) -> DataFrame:
     return df.filter((age <= LATE_S) & (age >= -AHEAD_S))
 
 
-def quarter_counts(df: DataFrame) -> DataFrame:
-    """Counts by quarter hour, channel, tier, outcome and latency; rows of no known channel, tier, outcome or latency are left out."""
+def in_quarters(df: DataFrame) -> DataFrame:
+    """Counts by quarter hour (a window w), channel, tier, outcome and latency; rows of no known channel, tier, outcome or latency are left out."""
     known = df.filter(F.col("channel").isin(*CHANNELS) & F.col("tier").isin(*TIERS) & F.col("outcome").isin(*OUTCOMES) & F.col("latency").isin(*LATENCIES))
     if df.isStreaming:
         known = known.withWatermark("ts", f"{LATE_S} seconds")
-    g = known.groupBy(F.window("ts", "15 minutes").alias("w"), "channel", "tier", "outcome", "latency").agg(F.count("*").alias("n"))
-    return g.select(F.col("w.start").alias("quarter"), "channel", "tier", "outcome", "latency", "n")
+    return known.groupBy(F.window("ts", "15 minutes").alias("w"), "channel", "tier", "outcome", "latency").agg(F.count("*").alias("n"))
+
+
+def quarter_counts(df: DataFrame) -> DataFrame:
+    """in_quarters() with the start of each quarter as `quarter`."""
+    return in_quarters(df).select(F.col("w.start").alias("quarter"), "channel", "tier", "outcome", "latency", "n")
 
 
 def trailing(counts: DataFrame, quarters: int, keys: list[str]) -> DataFrame:
@@ -63,15 +67,41 @@ def trailing(counts: DataFrame, quarters: int, keys: list[str]) -> DataFrame:
     return g.select(*keys, "quarter", F.sum("n").over(w).alias("n"))
 
 
+def cells() -> list[Column]:
+    """The count of each latency class and outcome."""
+    of = lambda c, v, name: F.sum(F.when(F.col(c) == v, F.col("n")).otherwise(0)).alias(name)
+    return [of("latency", b, f"l{i}") for i, b in enumerate(LATENCIES)] + [of("outcome", o, o) for o in OUTCOMES]
+
+
 def snapshot(counts: DataFrame, quarters: int = 2) -> DataFrame:
     """Batch: a row per channel, tier and quarter with the trailing count of each latency class and outcome."""
-    cells = [F.sum(F.when(F.col("latency") == b, F.col("n")).otherwise(0)).alias(f"l{i}") for i, b in enumerate(LATENCIES)]
-    cells += [F.sum(F.when(F.col("outcome") == o, F.col("n")).otherwise(0)).alias(o) for o in OUTCOMES]
-    g = counts.groupBy("channel", "tier", "quarter").agg(*cells)
+    g = counts.groupBy("channel", "tier", "quarter").agg(*cells())
     w = Window.partitionBy("channel", "tier").orderBy(F.col("quarter").cast("long")).rangeBetween(-quarters * QUARTER, 0)
     return g.select("channel", "tier", "quarter", *[F.sum(c).over(w).alias(c) for c in (*[f"l{i}" for i in range(4)], *OUTCOMES)])
 
 
+def over_quarters(df: DataFrame, quarters: int, keys: list[str], sums: list[Column]) -> DataFrame:
+    """Stream: normalised events -> keys, quarter and sums over a quarter with counts and the `quarters` before it.
+
+    Two stateful steps: counts by quarter, then windows that slide by a quarter over the time of those. A window
+    stands for its last quarter, so one without counts there gives no row. State ends with the watermark of two hours."""
+    counts = in_quarters(df).withColumn("at", F.window_time("w"))
+    g = counts.groupBy(F.window("at", f"{(quarters + 1) * 15} minutes", "15 minutes").alias("span"), *keys).agg(*sums, F.max("w.start").alias("quarter"))
+    last = F.col("quarter").cast("long") == F.col("span.end").cast("long") - QUARTER
+    return g.filter(last).drop("span")
+
+
+def trailing_on_stream(df: DataFrame, quarters: int, keys: list[str]) -> DataFrame:
+    """Stream: the rows of trailing() from normalised events."""
+    return over_quarters(df, quarters, keys, [F.sum("n").alias("n")]).select(*keys, "quarter", "n")
+
+
+def snapshot_on_stream(df: DataFrame, quarters: int = 2) -> DataFrame:
+    """Stream: the rows of snapshot() from normalised events; histogram_p95() and alert_triggers() take them as they are."""
+    names = [*[f"l{i}" for i in range(4)], *OUTCOMES]
+    return over_quarters(df, quarters, ["channel", "tier"], cells()).select("channel", "tier", "quarter", *names)
+
+
 def histogram_p95(df: DataFrame) -> DataFrame:
     """df(l0..l3) with n, the rank of the 95th percentile, its bucket's upper bound and the share above 120 s."""
     n = F.col("l0") + F.col("l1") + F.col("l2") + F.col("l3")
@@ -111,14 +141,19 @@ def cool_down(df: DataFrame, keys: list[str], seconds: int = 3600) -> DataFrame:
     """Batch: df(keys, ts, delivered) with sent: an alert goes out if none with the same keys went out within `seconds` before.
 
     One that could not be delivered (`delivered` false; no such column: all can) is not sent and keeps no later
-    one back. Each decision depends on the one before, so rows of a key pass in order through one task, a batch at a time."""
+    one back. Each decision depends on the one before, but none on what lies `seconds` or more before its
+    neighbour: rows of a key are cut into islands there, and an island passes in order through one task."""
     x = df if "delivered" in df.columns else df.withColumn("delivered", F.lit(True))
+    order = Window.partitionBy(*keys).orderBy("ts")
+    island = "_" * (1 + max(map(len, x.columns))) + "i"  # longer than any name there is
+    far = F.coalesce(F.col("ts").cast("double") - F.lag("ts").over(order).cast("double") >= seconds, F.lit(False)).cast("int")
+    x = x.withColumn(island, far).withColumn(island, F.sum(island).over(order))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = last = None
         for b in batches:
             sent = []
-            for k, t, fine in zip(b[keys].itertuples(index=False, name=None), b["ts"], b["delivered"], strict=True):
+            for k, t, fine in zip(b[[*keys, island]].itertuples(index=False, name=None), b["ts"], b["delivered"], strict=True):
                 if k != current:
                     current, last = k, None
                 ok = bool(fine) and (last is None or (t - last).total_seconds() >= seconds)
@@ -128,7 +163,7 @@ def cool_down(df: DataFrame, keys: list[str], seconds: int = 3600) -> DataFrame:
             yield b.assign(sent=sent)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
-    return x.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInPandas(fold, f"{fields}, sent boolean").select(*df.columns, "sent")
+    return x.repartition(*keys, island).sortWithinPartitions(*keys, island, "ts").mapInPandas(fold, f"{fields}, sent boolean").select(*df.columns, "sent")
 
 
 def recovery(ticks: DataFrame, key: str) -> DataFrame:
@@ -190,11 +225,15 @@ LIMITS = {"free": {"day": 20, "hour": 10}, "pro": {"day": 200, "month": 100, "ch
 def quota_decisions(df: DataFrame, limits: dict | None = None) -> DataFrame:
     """Batch: df(event_id, ts, tier, subject, chars) with allowed and reason.
 
-    Counters are taken in order of time. Each counts a request unless an earlier limit denied it: day,
+    What has no known tier, no limit or no subject is decided by itself and meets no counter. Counters are taken in order of time. Each counts a request unless an earlier limit denied it: day,
     then hour for `free`; day, then month, then characters for `pro`; `byok` has no limit."""
     lim = LIMITS if limits is None else limits
     day, hour, month = F.floor(F.col("ts").cast("long") / 86400), F.floor(F.col("ts").cast("long") / 3600), F.date_format("ts", "yyyy-MM")
-    x = df.withColumns({"d": day, "h": hour, "m": month, "has": F.coalesce(F.col("subject") != "", F.lit(False))})
+    tier, has = F.coalesce("tier", F.lit("")), F.coalesce(F.col("subject") != "", F.lit(False))
+    alone = F.when(~tier.isin(*TIERS), "unsupported").when((tier != "byok") & ~has, F.when(tier == "pro", "license").otherwise("address"))
+    free = alone.isNotNull() | (tier == "byok")
+    decided = df.filter(free).withColumns({"reason": alone}).withColumn("allowed", F.col("reason").isNull()).select(*df.columns, "allowed", "reason")
+    x = df.filter(~free).withColumns({"d": day, "h": hour, "m": month})
     run = lambda part, c: F.sum(c).over(Window.partitionBy("tier", "subject", part).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     cap = lambda name: F.when(F.col("tier") == "free", lim["free"].get(name)).when(F.col("tier") == "pro", lim["pro"].get(name))
     over = lambda c, name: F.coalesce(F.col(c) > cap(name), F.lit(False))
@@ -203,17 +242,14 @@ def quota_decisions(df: DataFrame, limits: dict | None = None) -> DataFrame:
     x = x.withColumn("n_month", run("m", (~F.col("x_day")).cast("int"))).withColumn("x_month", ~F.col("x_day") & over("n_month", "month"))
     size = F.when(~F.col("x_day") & ~F.col("x_month") & (F.coalesce("chars", F.lit(0)) > 0), F.col("chars")).otherwise(0)
     x = x.withColumn("n_chars", run("m", size)).withColumn("x_chars", (size > 0) & over("n_chars", "chars"))
-    reason = (
-        F.when(~F.col("tier").isin(*TIERS) | F.col("tier").isNull(), "unsupported").when(F.col("tier") == "byok", None)
-        .when(~F.col("has"), F.when(F.col("tier") == "pro", "license").otherwise("address")).when(F.col("x_day"), "daily")
-        .when((F.col("tier") == "free") & F.col("x_hour"), "hourly").when((F.col("tier") == "pro") & F.col("x_month"), "monthly").when((F.col("tier") == "pro") & F.col("x_chars"), "characters")
-    )
-    return x.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull()).select(*df.columns, "allowed", "reason")
+    reason = F.when(F.col("x_day"), "daily").when((F.col("tier") == "free") & F.col("x_hour"), "hourly").when((F.col("tier") == "pro") & F.col("x_month"), "monthly").when((F.col("tier") == "pro") & F.col("x_chars"), "characters")
+    return x.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull()).select(*df.columns, "allowed", "reason").unionByName(decided)
 
 
 def entitlement_counts(counts: DataFrame, tier: str = "pro") -> DataFrame:
-    """Batch: trailing quarter counts of one tier: number safety, refusals and their base, dropped monitor events."""
-    s = snapshot(counts.filter(F.col("tier") == tier), 1)
+    """Trailing counts of one tier: number safety, refusals and their base, dropped monitor events. Batch: from quarter counts. Stream: from normalised events."""
+    own = counts.filter(F.col("tier") == tier)
+    s = snapshot_on_stream(own, 1) if counts.isStreaming else snapshot(own, 1)
     refused = F.col("entitlement_denied") + F.col("entitlement_unavailable")
     return s.select("channel", "quarter", F.col("number_safety_failed").alias("number_safety"), refused.alias("refused"), (refused + F.col("completed")).alias("total"), F.col("monitor_drop").alias("dropped"))
 

@@ -129,51 +129,61 @@ class Monitor(StatefulProcessor):
         self.leases = handle.getMapState("leases", "trigger string", "s long")
         self.active = handle.getMapState("active", "trigger string", "s long")
         self.recovered = handle.getValueState("recovered", "s long")
+        self.read: dict[tuple, tuple[Desk, dict[int, dict[str, bool]]]] = {}  # of this task; every change is written through
+
+    def of(self, key: tuple) -> tuple[Desk, dict[int, dict[str, bool]]]:
+        """The desk of a key and its waiting triggers by quarter, read once for a task."""
+        if key not in self.read:
+            held = [{k[0]: v[0] for k, v in m.iterator()} for m in (self.leases, self.active, self.waiting)]
+            desk = Desk(held[0], held[1], self.recovered.get()[0] if self.recovered.exists() else None)
+            self.read[key] = desk, {s: json.loads(fired) for s, fired in held[2].items()}
+        return self.read[key]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came: dict[int, dict[str, bool]] = {}
+        waiting, came = self.of(key)[1], set()
         for b in rows:
             for t, trigger, ok in zip(b["ts"], b["trigger"], b["delivered"], strict=True):
                 if trigger is not None:
-                    of = came.setdefault(int(t.timestamp()), {})
-                    of[trigger] = of.get(trigger, False) or bool(ok)
-        for s, fired in came.items():
-            if self.waiting.containsKey((s,)):
-                before = json.loads(self.waiting.getValue((s,))[0])
-                fired = {t: before.get(t, False) or fired.get(t, False) for t in before | fired}
-            self.waiting.updateValue((s,), (json.dumps(fired),))
+                    s = int(t.timestamp())
+                    fired = waiting.setdefault(s, {})
+                    fired[trigger] = fired.get(trigger, False) or bool(ok)
+                    came.add(s)
+        for s in came:
+            self.waiting.updateValue((s,), (json.dumps(waiting[s]),))
             self.handle.registerTimer(s * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = expiredTimerInfo.getExpiryTimeInMs() // 1000
         now = timerValues.getCurrentWatermarkInMs() // 1000
-        held = [dict((k[0], v[0]) for k, v in m.iterator()) for m in (self.leases, self.active)]
-        desk = Desk(dict(held[0]), dict(held[1]), self.recovered.get()[0] if self.recovered.exists() else None)
-        fired = []
-        if self.waiting.containsKey((s,)):
-            fired = list(json.loads(self.waiting.getValue((s,))[0]).items())
+        desk, waiting = self.of(key)
+        held, recovered = [dict(desk.leases), dict(desk.active)], desk.recovered
+        fired = waiting.pop(s, {})
+        if fired:
             self.waiting.removeKey((s,))
-        out = desk.quarter(s, fired)
+        out = desk.quarter(s, list(fired.items()))
         # quiet quarters that the watermark has passed already: a timer that is set for one now would wait for the next batch
-        until = min([now + 1, *[k[0] for k in self.waiting.keys()]])
+        until = min([now + 1, *waiting])
         wake = desk.next(s)
         while wake is not None and wake < until:
             out += desk.quarter(wake, [])
             wake = desk.next(wake)
+        if wake is None:
+            desk.recovered = None
+        elif wake not in waiting:
+            self.handle.registerTimer(wake * 1000)
         for state, old, new in ((self.leases, held[0], desk.leases), (self.active, held[1], desk.active)):
             for t in old.keys() - new.keys():
                 state.removeKey((t,))
             for t in new:
                 if old.get(t) != new[t]:
                     state.updateValue((t,), (new[t],))
-        if wake is None:
+        if desk.recovered is None and recovered is not None:
             self.recovered.clear()
-        else:
-            self.handle.registerTimer(wake * 1000)
-            if desk.recovered is not None:
-                self.recovered.update((desk.recovered,))
-        yield frame(key[0], out)
+        elif desk.recovered != recovered:
+            self.recovered.update((desk.recovered,))
+        if out:
+            yield frame(key[0], out)
 
     def close(self) -> None:
         pass
