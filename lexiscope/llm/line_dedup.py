@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.llm.common import materialise, unused
+from lexiscope.session import delete, discard, shared_dir
 
 FAN = 3
 MIN_CHARS = 10
@@ -41,10 +42,15 @@ def lines_in(text: str | F.Column) -> F.Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def line_hashes(key: F.Column) -> list[F.Column]:
+    """h and g, 128 bits of a key together: the number comes before the key, so it is hashed under another seed and g doesn't follow from h."""
+    return [F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")]
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, th (which of several texts), pos, h, g (128 bits of hash) for each line whose key is long enough."""
+    """docs(doc_id, text) -> doc_id, th (which of several texts), pos, h, g for each line whose key is long enough."""
     keys = F.transform(lines_in("text"), line_key)
-    hashes = F.transform(keys, lambda k: F.when(F.char_length(k) >= MIN_CHARS, F.struct(F.xxhash64(k).alias("h"), F.xxhash64(k, F.lit(1)).alias("g"))))
+    hashes = F.transform(keys, lambda k: F.when(F.char_length(k) >= MIN_CHARS, F.struct(*line_hashes(k))))
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(hashes).alias("pos", "k")).filter("k is not null")
     return rows.select("doc_id", "th", "pos", "k.h", "k.g")
 
@@ -69,20 +75,29 @@ class Runs:
     def __init__(self, spark: SparkSession, buckets: int = BUCKETS[0]):
         self.spark, self.buckets = spark, buckets
         self.levels: dict[int, list[str]] = {}
+        self.folders: dict[str, str] = {}
         self.merges = 0
 
+    def __enter__(self) -> Runs:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for runs in self.levels.values() for name in runs]
 
     def write(self, rows: DataFrame) -> str:
-        """A table in buckets of one sorted file each, if the rows come in the partitions of the buckets."""
+        """A table below the shared folder, in buckets of one sorted file each if the rows come in the partitions of the buckets."""
         name = f"lexiscope_run_{uuid.uuid4().hex}"
-        rows.write.format("parquet").bucketBy(self.buckets, "h", "g").sortBy("h", "g").saveAsTable(name)
+        self.folders[name] = shared_dir(self.spark)
+        rows.write.format("parquet").option("path", self.folders[name]).bucketBy(self.buckets, "h", "g").sortBy("h", "g").saveAsTable(name)
         return name
 
     def drop(self, *names: str) -> None:
         for name in names:
             self.spark.sql(f"drop table if exists {name}")
+            delete(self.spark, self.folders.pop(name))
 
     def hashes(self, lines: DataFrame) -> str:
         """The table of a batch's hashes: h, g, the smallest doc_id as owner, and whether there are many."""
@@ -109,7 +124,8 @@ class Runs:
             self.drop(*old)
 
     def close(self) -> None:
-        self.drop(*[name for runs in self.levels.values() for name in runs])
+        """All tables go, those that an error left too."""
+        self.drop(*list(self.folders))
         self.levels = {}
 
 
@@ -133,7 +149,9 @@ def drops(lines: DataFrame, runs: Runs) -> DataFrame:
     runs.add(runs.fresh(found))
     runs.drop(name)
     lost = lines.join(shared, ["h", "g"]).filter("doc_id <> owner")
-    return materialise(lost.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")))
+    out = materialise(lost.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")))
+    discard(shared)
+    return out
 
 
 def bounds(docs: DataFrame, batches: int) -> list[int]:
@@ -160,16 +178,16 @@ def dedup_lines(docs: DataFrame, batches: int | None = None, buckets: int | None
     last = F.lit((1 << 63) - 1)
     every = materialise(lines_of(docs.select(F.coalesce("doc_id", last).alias("doc_id"), "text")))
     n = every.count()
-    runs, gone = Runs(spark, buckets or by_volume(n, BUCKET_LINES, BUCKETS)), []
-    cuts = bounds(every, by_volume(n, BATCH_LINES, BATCHES) if batches is None else batches)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = every
-        if low is not None:
-            batch = batch.filter(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.filter(F.col("doc_id") <= high)
-        gone.append(drops(batch, runs))
-    runs.close()
+    cuts, gone = bounds(every, by_volume(n, BATCH_LINES, BATCHES) if batches is None else batches), []
+    with Runs(spark, buckets or by_volume(n, BUCKET_LINES, BUCKETS)) as runs:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            batch = every
+            if low is not None:
+                batch = batch.filter(F.col("doc_id") > low)
+            if high is not None:
+                batch = batch.filter(F.col("doc_id") <= high)
+            gone.append(drops(batch, runs))
+    discard(every)
     at, th, drop, lost, kept = unused(docs, "at", "th", "drop", "lost", "kept")
     rest = reduce(DataFrame.unionByName, gone).select(F.col("doc_id").alias(at), F.col("th").alias(th), F.col("drop").alias(drop))
     joined = docs.join(rest, (F.coalesce("doc_id", last) == F.col(at)) & (F.xxhash64("text") == F.col(th)), "left")
