@@ -8,7 +8,9 @@ value of the item stands for one value in the document, as in a re-parameterised
 apart by the offset of a hit in the document against its place in the item; a document may hold many.
 
 A bitmap of fixed size spares windows that are in no item from the join, so nothing that grows with the
-benchmark is broadcast, and the join itself is an ordinary one of hits with item windows."""
+benchmark is broadcast, and the joins are ordinary ones. The first finds candidates: an item's windows that the
+fewest items share, so many that one of them must be met. Only for these pairs are all windows joined, so an
+opening that hundreds of items and documents share makes no pairs by itself."""
 
 from __future__ import annotations
 
@@ -169,6 +171,19 @@ def item_windows(items: DataFrame, k: int, literals: int) -> DataFrame:
     return per_document(once, ["item_id", "text"], run, "item_id long, pos int, n int, total int, shaped boolean, w long, wants array<long>")
 
 
+def telling(windows: DataFrame, share: float) -> DataFrame:
+    """The (w, shaped, item_id) by which a document can become a candidate for an item: windows at the places of the item that
+    the fewest items share.
+
+    Of n places at least `least` must be met, so one of any n - least + 1 of them is, and the rarest do."""
+    least = F.least(F.col("total"), F.greatest(F.lit(2), F.ceil(share * F.col("total") - 1e-9)))
+    held = windows.groupBy("w", "shaped").agg(F.count_distinct("item_id").alias("items"))
+    places = windows.join(held, ["w", "shaped"]).groupBy("item_id", "pos", "total").agg(F.max("items").alias("items"))
+    order = Window.partitionBy("item_id").orderBy("items", "pos")  # the places of one item
+    rare = places.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= F.col("total") - least + 1)
+    return windows.join(rare.select("item_id", "pos"), ["item_id", "pos"]).select("w", "shaped", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, k: int = K, share: float = SHARE, literals: int = LITERALS) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> a row for each document and item found in it:
     doc_id, item_id, share (of the item's windows), kind (verbatim or reparameterised), first_word, last_word.
@@ -190,8 +205,11 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, share: float = S
         got = windows_of(ids, texts, memo, k, literals, short, lambda w: in_bitmap(bitmap.value, w))
         return {"doc_id": got.pop("id")} | got
 
-    hits = per_document(docs.filter("doc_id is not null"), ["doc_id", "text"], run, "doc_id long, p int, n int, shaped boolean, w long, vals array<long>")
-    met = materialise(hits.join(windows.drop("n"), ["w", "shaped"]).withColumn("lane", F.col("p") - F.col("pos")))
+    hits = materialise(per_document(docs.filter("doc_id is not null"), ["doc_id", "text"], run, "doc_id long, p int, n int, shaped boolean, w long, vals array<long>"))
+    # candidates by telling windows, then all windows of the candidates' items: what many items share makes no pairs by itself
+    pairs = materialise(hits.select("doc_id", "w", "shaped").distinct().join(telling(windows, share), ["w", "shaped"]).select("doc_id", "item_id").distinct())
+    wanted = pairs.join(windows.drop("n"), "item_id")
+    met = materialise(hits.join(wanted, ["doc_id", "w", "shaped"]).withColumn("lane", F.col("p") - F.col("pos")))
     # occurrences: the whole document, runs of lanes no further apart than the item is long or than a few words, and each lane alone
     order = Window.partitionBy("doc_id", "item_id").orderBy("lane")
     gap = F.col("lane") - F.lag("lane").over(order)
