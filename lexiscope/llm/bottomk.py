@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexiscope.llm.common import components, in_bitmap, key_bitmap, materialise, per_document, rolling
 from lexiscope.llm.licenses import Words
 from lexiscope.llm.minhash import BLOCK, in_blocks, marked_nodes, node_of, shingles
-from lexiscope.session import prepare
+from lexiscope.session import discard, prepare
 
 WORDS, SHARE, K, RUN = 2, (80, 100), 96, 4
 #: How far below the bound an estimate may fall: six standard deviations of a share of 0.8 among K.
@@ -83,7 +83,18 @@ def stars(nodes: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], k:
     held = np.minimum(size, k)
     top = np.array([s[-1] if len(s) < n else np.iinfo(np.uint64).max for s, n in zip(sketch, size, strict=True)], np.uint64)
     values, owner = np.concatenate(sketch), np.repeat(np.arange(len(sets)), held)
+    whole, start = np.concatenate(sets), np.cumsum(size) - size
     left, right, rest = [], [], np.ones(len(nodes), bool)
+
+    def linked(at: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others whose whole sets are linked with one."""
+        n = size[others]
+        place = np.repeat(start[others] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        among = whole[place]
+        found = np.minimum(np.searchsorted(sets[at], among), size[at] - 1)
+        both = np.bincount(np.repeat(np.arange(len(others)), n)[sets[at][found] == among], minlength=len(others))
+        return others[share[1] * both >= share[0] * (n + size[at] - both)]
+
     for root in range(len(nodes)):
         queue = [root] if rest[root] else []
         rest[root] = False
@@ -97,9 +108,9 @@ def stars(nodes: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], k:
             both = np.bincount(owner[mine[place] == values], minlength=len(nodes))
             below = np.bincount(owner[values <= limit[owner]], minlength=len(nodes)) + np.searchsorted(mine, limit, "right")
             fits = (share[1] * np.minimum(size, size[at]) >= share[0] * np.maximum(size, size[at])) & (both >= least(share) * np.maximum(below - both, 1))
-            hit = [i for i in np.flatnonzero(rest & fits).tolist() if near(sets[at], sets[i], share)]
+            hit = linked(at, np.flatnonzero(rest & fits))
             rest[hit] = False
-            queue += hit
+            queue += hit.tolist()
             left += [int(nodes[root])] * len(hit)
             right += nodes[hit].tolist()
     return left, right
@@ -152,6 +163,8 @@ def links(docs: DataFrame, firsts: DataFrame, clash: dict[int, int], words: int,
     rows = materialise(rows)
     shared = materialise(rows.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("size")).filter("size > 1"))
     members = materialise(rows.join(shared, "key"))
+    discard(rows)
+    discard(shared)
     near_low = materialise(proposed(members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), firsts, share))
     wanted = members.filter("size > 2").select("node").unionByName(near_low.select(F.col("a").alias("node"))).unionByName(near_low.select(F.col("b").alias("node")))
     bitmap = spark.sparkContext.broadcast(key_bitmap(wanted, "node"))
