@@ -32,8 +32,8 @@ def edited(spark, d):
 
 
 def numbered(spark, d):
-    """Documents with numbers worth comparing: a document against itself with sevens turned to eights in every third one."""
-    x = table(spark, d, "documents").filter(F.col("text").rlike("[0-9]"))
+    """Documents and their rewrites: a document against itself with sevens turned to eights in every third one."""
+    x = table(spark, d, "documents")
     return x.select("doc_id", "lang", F.col("text").alias("original"), F.when(F.col("doc_id") % 3 == 0, F.translate("text", "7", "8")).otherwise(F.col("text")).alias("rewrite"))
 
 
@@ -206,7 +206,7 @@ def derived() -> str:
 
 
 ORACLES = {
-    "p3_dropped_numbers": f"with x as (select doc_id, text as o, case when doc_id % 3 = 0 then translate(text, '7', '8') else text end as r from documents where regexp_matches(text, '[0-9]')) select doc_id, len(list_filter({NUMS.format('o')}, lambda v: not list_contains({NUMS.format('r')}, v))) as n from x",
+    "p3_dropped_numbers": f"with x as (select doc_id, text as o, case when doc_id % 3 = 0 then translate(text, '7', '8') else text end as r from documents) select doc_id, len(list_filter({NUMS.format('o')}, lambda v: not list_contains({NUMS.format('r')}, v))) as n from x",
     "p4_rare_token_recall": f"with {RARE} select * from ra",
     "p5_negations": f"with {TALK} select id, {NEG.format('original')} as before, {NEG.format('rewrite')} as after from tk",
     "p6_length_ratio": f"with {TALK}, n as (select id, len({Q.tokens('original')}) as a, len({Q.tokens('rewrite')}) as b from tk) select id, round(case when a > 0 then b::double / a when b = 0 then 1 else 'inf'::double end, 5) as ratio from n",

@@ -109,7 +109,7 @@ def coverage(spark, d):
 
 def lifted(spark, d):
     x = S.document_units(docs(spark, d)).join(table(spark, d, "labels"), "doc_id").withColumn("hot", F.col("quality") == 0)
-    entries = x.select(F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("entry")).groupBy("entry").agg(F.count("*").alias("n")).filter("n >= 5").select("entry")
+    entries = x.select(F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("entry")).distinct()
     return R.lexicon_lift(x, entries)
 
 
@@ -209,7 +209,7 @@ ORACLES = {
     "l3_lexicon_density": f"with {BASE}, {DENSITY} select * from dn",
     "l4_watch_hits": f"with {Q.whole()}, {LEX}, t as (select distinct lang, lower(entry) as term from lex where kind = 'strict'), h as (select doc_id, count(*) as hits from documents join t using (lang) where contains(lower(text), term) group by doc_id) select doc_id, coalesce(hits, 0) as hits from documents left join h using (doc_id)",
     "l5_term_coverage": f"with {Q.whole()}, {LEX}, t as (select distinct lang, lower(entry) as term from lex where kind = 'strict'), x as (select doc_id, lang, lower(text) as p from documents), c as (select distinct doc_id from x join t using (lang) where term = p or (length(term) >= 3 and contains(p, term))) select lang, count(*) as n, count(c.doc_id) as covered from x left join c using (doc_id) group by lang",
-    "l6_lexicon_lift": f"with {Q.whole()}, x as (select d.*, quality = 0 as hot from d join labels using (doc_id)), tt as (select count(*) filter (where hot) as hh, count(*) filter (where not hot) as cc from x), tk as (select doc_id, hot, unnest(list_distinct(list_transform(tokens, lambda t: lower(t)))) as entry from x), g as (select entry, count(*) filter (where hot) as hot_docs, count(*) filter (where not hot) as cold_docs from tk group by entry having count(*) >= 5), l as (select entry, hot_docs, cold_docs, case when cold_docs > 0 then {r6('(hot_docs::double / hh) / (cold_docs::double / cc)', 4)} end as lift, coalesce(cold_docs::double / cc, 0) as cold from g, tt) select entry, hot_docs, cold_docs, lift, hot_docs > 0 and (lift is null or lift >= 4) and cold <= 0.05 as keep from l",
+    "l6_lexicon_lift": f"with {Q.whole()}, x as (select d.*, quality = 0 as hot from d join labels using (doc_id)), tt as (select count(*) filter (where hot) as hh, count(*) filter (where not hot) as cc from x), tk as (select doc_id, hot, unnest(list_distinct(list_transform(tokens, lambda t: lower(t)))) as entry from x), g as (select entry, count(*) filter (where hot) as hot_docs, count(*) filter (where not hot) as cold_docs from tk group by entry), l as (select entry, hot_docs, cold_docs, case when cold_docs > 0 then {r6('(hot_docs::double / hh) / (cold_docs::double / cc)', 4)} end as lift, coalesce(cold_docs::double / cc, 0) as cold from g, tt) select entry, hot_docs, cold_docs, lift, hot_docs > 0 and (lift is null or lift >= 4) and cold <= 0.05 as keep from l",
     "l6_lift_readiness": "with x as (select d.source, quality = 0 as hot from documents d join labels using (doc_id)), g as (select count(*) filter (where hot) as hot_docs, count(*) filter (where not hot) as cold_docs, count(distinct case when hot then source end) as hot_registers, count(distinct case when not hot then source end) as cold_registers from x) select *, least(hot_docs, cold_docs) >= 25 and least(hot_registers, cold_registers) >= 2 as ready from g",
     "v1_paragraph_verdicts": f"with {PARAS} select doc_id, para_idx, lang, n_sentences, n_tokens, cv, cv_band, mattr, mattr_band, matches, density, lexicon_hot, candour_hot, break_hot, false as diagnostic_hot, false as ending_hot, divider, hot, strength from pv",
     "a18_trigger_counts": f"with {PARAS} select doc_id, count(*) as n_paragraphs, count(*) filter (where hot) as n_hot, count(*) filter (where cv_band = 'low') as cv_low, count(*) filter (where cv_band = 'high') as cv_high, count(*) filter (where mattr_band = 'low') as mattr_low, count(*) filter (where mattr_band = 'high') as mattr_high, count(*) filter (where lexicon_hot) as lexicon_hot from pv group by doc_id",
