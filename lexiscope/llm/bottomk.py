@@ -167,12 +167,17 @@ def links(docs: DataFrame, firsts: DataFrame, clash: dict[int, int], words: int,
     discard(shared)
     near_low = materialise(proposed(members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), firsts, share))
     wanted = members.filter("size > 2").select("node").unionByName(near_low.select(F.col("a").alias("node"))).unionByName(near_low.select(F.col("b").alias("node")))
-    bitmap = spark.sparkContext.broadcast(key_bitmap(wanted, "node"))
+    wanted = wanted.distinct().join(firsts.select("node", F.xxhash64("first").alias("of")), "node")
+    bitmap, ids_of = (spark.sparkContext.broadcast(key_bitmap(wanted, c)) for c in ("node", "of"))
     memo = Words()
 
-    def run(texts):
+    def run(ids, texts):
+        from xxhash import xxh64_intdigest
+
         out = {"node": [], "items": []}
-        for t in texts:
+        # xxhash64() of a long is that of its eight bytes; of a null it is the seed, so texts without an id are cut if there is such a node
+        hashes = np.array([42 if i is None else xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) for i in ids], np.uint64)
+        for t in [texts[i] for i in np.flatnonzero(in_bitmap(ids_of.value, hashes)).tolist()]:
             s = shingles(t, words, memo)
             node = node_of(s, clash, bits)[0]
             if len(s) and in_bitmap(bitmap.value, np.array([node]).view(np.uint64))[0]:
@@ -180,7 +185,7 @@ def links(docs: DataFrame, firsts: DataFrame, clash: dict[int, int], words: int,
                 out["items"].append(s.tobytes())
         return out
 
-    sets = materialise(per_document(docs, ["text"], run, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")))
+    sets = materialise(per_document(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], run, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")))
     edges = materialise(verified(near_low, sets, share))
     roots = components(edges)
     placed = members.filter("size > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
