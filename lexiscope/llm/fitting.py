@@ -49,5 +49,29 @@ def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a / scale), float(b)
 
 
+def monotone(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(margins, shares): the weighted share of class 1 as a rising function of the margin, by pooling adjacent violators.
+
+    Unlike a logistic curve it isn't bent by a few margins far out. A pool's share is drawn a little to the share of all."""
+    if not len(y):
+        return np.zeros(1), np.full(1, 0.5)
+    whole = float((weight * y).sum() / weight.sum())
+    pools: list[list[float]] = []  # weight of class 1, weight, weighted sum of margins
+    for i in np.argsort(margin, kind="stable").tolist():
+        pools.append([weight[i] * y[i], weight[i], weight[i] * margin[i]])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    one, n, m = np.array(pools).T
+    return m / n, np.maximum.accumulate((one + whole) / (n + 1))
+
+
+def share_at(x: np.ndarray, curve: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The curve of monotone() between its pools, with a slight slope throughout, so that different margins differ in their scores."""
+    at, share = curve
+    spread = float(at[-1] - at[0]) or 1.0
+    return 0.99 * np.interp(x, at, share) + 0.01 / (1 + np.exp(-np.clip(4 * (x - at.mean()) / spread, -35, 35)))
+
+
 def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))

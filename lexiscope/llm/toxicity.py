@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.llm.common import per_document, rolling
-from lexiscope.llm.fitting import platt, remainder, sample, sigmoid
+from lexiscope.llm.fitting import monotone, remainder, sample, share_at
 
 BITS, DIM = 17, 8
 PER_CLASS = 2000
@@ -75,7 +75,7 @@ def bags(texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 15, batch: int = 64, rate: float = 0.3, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 15, batch: int = 64, rate: float = 1.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(value of each bucket, bias): the difference of the two logits that each bucket adds for a weight of one."""
     rng = np.random.default_rng(seed)
     full = [i for i in range(len(bags)) if len(bags[i][0])]
@@ -119,10 +119,12 @@ FOLDS = 3
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rates: dict[int, float]) -> dict:
-    """The mean of models that each leave a fold of documents out, with a logistic fit over the margins of the documents left out."""
+    """The mean of models that each leave a fold of documents out, and the share of toxic documents as a rising function of the margin,
+    from the documents left out. none: the share of all, for texts without words."""
+    weight = np.array([1 / rates.get(t, 1.0) for t in y.tolist()])
+    share = float((weight * y).sum() / weight.sum()) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
-        share = float(y.mean()) if len(y) else 0.5
-        return {"value": np.zeros(1 << BITS, np.float32), "a": 0.0, "b": float(np.log((share + 0.01) / (1.01 - share)))}
+        return {"value": np.zeros(1 << BITS, np.float32), "curve": (np.zeros(1), np.full(1, share)), "none": share}
     fold = np.empty(len(y), np.int64)
     for t in (0, 1):  # each class is dealt out by itself
         fold[y == t] = np.arange((y == t).sum()) % FOLDS
@@ -132,8 +134,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rates: dict[in
         values.append(train([bags[i] for i in inside], y[inside], seed=5 + k)[0])
         for i in np.flatnonzero(fold == k):
             margin[i] = float(values[-1][bags[i][0]] @ bags[i][1])
-    a, b = platt(margin, y, np.array([1 / rates.get(t, 1.0) for t in y]))
-    return {"value": np.mean(values, axis=0), "a": a, "b": b}
+    return {"value": np.mean(values, axis=0), "curve": monotone(margin, y, weight), "none": share}
 
 
 def learn(docs: DataFrame, labels: DataFrame, keep: F.Column, per_class: int = PER_CLASS, label: str = "toxic") -> dict:
@@ -173,7 +174,7 @@ class Scorer:
         fresh = set().union(*split).difference(self.chunks)
         if fresh:
             self.learn(fresh)
-        margins = np.zeros(len(texts))
+        margins = np.full(len(texts), np.nan)
         for i, chunks in enumerate(split):
             words = set(map(self.chunks.__getitem__, chunks))
             for several in [w for w in words if isinstance(w, tuple)]:
@@ -181,14 +182,14 @@ class Scorer:
                 words.update(several)
             if words:
                 margins[i] = sum(map(self.words.__getitem__, words)) / len(words)
-        return [sigmoid(self.model["a"] * m + self.model["b"]) for m in margins]
+        return np.where(np.isnan(margins), self.model["none"], share_at(np.nan_to_num(margins), self.model["curve"])).tolist()
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, per_class: int = PER_CLASS, label: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, toxic) -> doc_id, held_out, score, predicted for every row.
 
     Labels are read only of rows whose crc32(doc_id) mod `mod` is not `held`. A text without words
-    (null, empty) has the bias alone. Without labels of both classes the score is their share, 0.5
+    (null, empty) has the share of toxic labels. Without labels of both classes the score is that share, 0.5
     without any. Repeated rows stay; a null doc_id is not held out; other columns are ignored; an
     empty table gives an empty result."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, remainder("doc_id", mod) != held, per_class, label))

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiscope.llm import bpe, decontam, licenses, line_dedup, minhash, quality_model, quality_rules, records, sharding, simhash, toxicity
+from lexiscope.llm import bpe, decontam, fitting, licenses, line_dedup, minhash, quality_model, quality_rules, records, sharding, simhash, toxicity
 from lexiscope.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -248,12 +248,26 @@ def test_toxicity_grams_and_scores_in_bulk():
     assert len(shared) >= 6 and toxicity.grams([])[0].size == 0
     value = np.random.default_rng(2).standard_normal(1 << toxicity.BITS).astype(np.float32)
     texts = [None, "", *mixed(), "a-b c..d e,f it's; a-b C", "字" * 90 + " x"]
-    scorer = toxicity.Scorer({"value": value, "a": 3.0, "b": -0.5})
+    curve = (np.array([-0.4, 0.0, 0.1, 0.5]), np.array([0.1, 0.2, 0.7, 0.9]))
+    scorer = toxicity.Scorer({"value": value, "curve": curve, "none": 0.25})
     for _ in range(2):
         for t, got in zip(texts, scorer(texts), strict=True):
             words = sorted(toxicity.words_of(t))
-            want = np.mean([value[toxicity.grams([w])[0]].mean() for w in words]) if words else 0.0
-            assert got == pytest.approx(1 / (1 + math.exp(-(3.0 * want - 0.5))), abs=1e-5)
+            margin = np.mean([value[toxicity.grams([w])[0]].mean() for w in words]) if words else 0.0
+            slope = 1 / (1 + math.exp(-4 * (margin - 0.05) / 0.9))
+            want = 0.99 * np.interp(margin, *curve) + 0.01 * slope if words else 0.25
+            assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_shares_by_pools():
+    """Shares rise with the margin, and few margins far out don't bend them."""
+    margin = np.array([-3.0, -2.0, -1.0, 0.0, 1.0, 2.0, 500.0, 900.0])
+    y = np.array([0, 0, 1, 0, 1, 1, 1, 1])
+    at, share = fitting.monotone(margin, y, np.ones(8))
+    assert at.tolist() == [-2.5, -0.5, 350.75]  # no toxic one, one of two, all
+    assert (np.diff(share) >= 0).all() and (np.diff(fitting.share_at(np.linspace(-9, 950, 400), (at, share))) > 0).all()
+    weighted = fitting.monotone(np.zeros(4), np.array([1, 0, 0, 0]), np.array([3.0, 1, 1, 1]))
+    assert weighted[1].tolist() == [0.5]
 
 
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality_model, "quality")])
