@@ -167,7 +167,14 @@ def coverage(df: DataFrame, dims: dict[str, list[str]], target: int = 25) -> Dat
 
 
 def unseen_keys(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(done, keys, "left_anti")
+    """Rows whose keys are in no row of `done`; a null key is never found there.
+
+    Rows meet by the SHA-256 of all their keys, each with its length before it, so long texts aren't join keys and go
+    through an exchange only if the result holds them. Two different keys don't share such a digest."""
+    name = "_" * (1 + max(map(len, df.columns))) + "h"  # longer than any name there is
+    said = [F.col(k).cast("string") for k in keys]
+    digest = F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in said]), F.sha2(F.concat(*[x for c in said for x in (F.char_length(c).cast("string"), F.lit(":"), c)]), 256)).alias(name)
+    return df.select("*", digest).join(done.select(digest).filter(F.col(name).isNotNull()).distinct(), name, "left_anti").select(*df.columns)
 
 
 def pair_by_id(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions.text import round_half_up as r6
 from lexiscope.operators.ordering import running
+from lexiscope.session import materialise
 
 Z = 1.959963984540054
 
@@ -91,15 +92,17 @@ def claim_gate(df: DataFrame, family: str, least: int = 100, langs: int = 2, fam
 
 
 def by_score(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by, "score").agg(F.count_if("expected").alias("pos"), F.count_if(~F.col("expected")).alias("neg"))
+    """by, score, pos, neg, rows of every distinct score, written once: what is made of them reads them several times, and the scores may be dear."""
+    return materialise(df.groupBy(*by, "score").agg(F.count_if("expected").alias("pos"), F.count_if(~F.col("expected")).alias("neg"), F.count("*").alias("rows")))
 
 
-def threshold_sweep(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, threshold, tp, fp, fn, tn and rates at every score, and at 0 and 101."""
+def threshold_sweep(df: DataFrame, by: list[str] | None = None, points: DataFrame | None = None) -> DataFrame:
+    """by, threshold, tp, fp, fn, tn and rates at every score, and at 0 and 101. points of by_score() may be given."""
     by = by or []
-    ends = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    points = (by_score(df, by) if points is None else points).select(*by, "score", "pos", "neg")
+    ends = points.select(*by).distinct() if by else df.sparkSession.range(1).select()
     ends = ends.withColumn("score", F.explode(F.array(F.lit(0.0), F.lit(101.0)))).withColumns({"pos": F.lit(0).cast("long"), "neg": F.lit(0).cast("long")})
-    points = by_score(df, by).unionByName(ends).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    points = points.unionByName(ends).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     whole = points.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     x = running(points, by, "score", {"tp0": F.col("pos"), "fp0": F.col("neg")}, descending=True)
     x = x.join(whole, by) if by else x.crossJoin(F.broadcast(whole))  # one row
@@ -122,10 +125,10 @@ def roc_auc(df: DataFrame | None, by: list[str] | None = None, points: DataFrame
     return out.select(*by, "pos", "neg", r6(F.try_divide(F.col("u2").cast("double"), 2.0 * F.col("pos") * F.col("neg"))).alias("auc"))
 
 
-def average_precision(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def average_precision(df: DataFrame, by: list[str] | None = None, points: DataFrame | None = None) -> DataFrame:
     """by, ap: the precision at each score, weighted by the recall that it adds."""
     by = by or []
-    x = running(by_score(df, by), by, "score", {"tp0": F.col("pos"), "all0": F.col("pos") + F.col("neg")}, descending=True)
+    x = running(by_score(df, by) if points is None else points, by, "score", {"tp0": F.col("pos"), "all0": F.col("pos") + F.col("neg")}, descending=True)
     points = x.withColumns({"tp": F.col("tp0") + F.col("pos"), "all": F.col("all0") + F.col("pos") + F.col("neg")})
     return points.groupBy(*by).agg(r6(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos"))).alias("ap"))
 
@@ -150,10 +153,11 @@ def low_fpr_report(df: DataFrame, targets: list[float], family: str, least: int
 
 def ranking_summary(df: DataFrame) -> DataFrame:
     """One row: range of the scores, AUC, average precision, best F1 and its threshold."""
-    span = df.agg(F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.count("*").alias("n"))
-    best = best_f1(threshold_sweep(df)).select(F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1"))
+    points = by_score(df, [])
+    span = points.agg(F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+    best = best_f1(threshold_sweep(df, points=points)).select(F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1"))
     # each side is one row
-    return span.crossJoin(roc_auc(df)).crossJoin(average_precision(df)).crossJoin(best)
+    return span.crossJoin(roc_auc(df, points=points)).crossJoin(average_precision(df, points=points)).crossJoin(best)
 
 
 # --- comparison ------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions.text import round_half_up as r6
 from lexiscope.operators.ordering import running
+from lexiscope.session import materialise
 from lexiscope.operators.style import FEATURES
 
 
@@ -55,7 +56,7 @@ def predict(model: Model, names: tuple[str, ...] = FEATURES) -> Column:
 def threshold_for_fpr(df: DataFrame, share: float, by: list[str] | None = None) -> DataFrame:
     """df(score, expected) -> by, threshold: the negative score at rank ceil((1 - share) n), 0.5 at least."""
     by = by or []
-    points = df.filter(~F.col("expected")).groupBy(*by, "score").agg(F.count("*").alias("c"))
+    points = materialise(df.filter(~F.col("expected")).groupBy(*by, "score").agg(F.count("*").alias("c")))  # read twice
     whole = points.groupBy(*by).agg(F.sum("c").alias("n"))
     x = running(points, by, "score", {"before": F.col("c")})
     x = x.join(whole, by) if by else x.crossJoin(F.broadcast(whole))  # one row

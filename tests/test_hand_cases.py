@@ -335,3 +335,13 @@ def test_model(spark):
     m = M.train(df.select(*[F.col("x").alias(f) for f in S.FEATURES], "y"), "y")
     p = df.select(*[F.col("x").alias(f) for f in S.FEATURES], "y").select(M.predict(m).alias("p"), "y").collect()
     assert all((r["p"] > 0.5) == r["y"] for r in p) and all(math.isfinite(r["p"]) for r in p)
+
+
+def test_unseen_keys_by_digest(spark):
+    df = spark.createDataFrame([(1, "a", "bc"), (2, "ab", "c"), (3, None, "x"), (4, "a", "b"), (4, "a", "b")], "id int, k string, text string")
+    done = spark.createDataFrame([("ab", "c"), (None, "x"), ("a", "b"), ("a", "b")], "k string, text string")
+    out = C.unseen_keys(df, done, ["k", "text"])
+    assert sorted(r["id"] for r in out.collect()) == [1, 3] and out.columns == df.columns
+    plan = C.unseen_keys(df, done, ["k", "text"]).select("id")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
+    assert exchanges and not any("text" in line for line in exchanges)
