@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,28 +29,84 @@ def weights(key: str, iterations: int, seed: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(iterations)), weight)
 
 
-def interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, low, high: the 95 % percentile interval of the replicates' values."""
-    rank = lambda q: F.element_at(F.array_sort(F.collect_list(value)), F.greatest(F.lit(1), F.least(F.floor(F.count(value) * q).cast("int") + 1, F.count(value).cast("int"))))
-    return replicates.groupBy(*by).agg(rank(0.025).alias("low"), rank(0.975).alias("high"))
+def drawn_sums(df: DataFrame, by: list[str], key: str, iterations: int, seed: int, values: dict[str, Column]) -> DataFrame:
+    """by and, for each name, one array with the sum of its column times the weight of the row, replicate by replicate.
+
+    A row keeps its place and is never copied: its weights are one array, and tasks send one row for each group."""
+    w, names = "_" * (1 + max(map(len, df.columns))) + "w", list(values)  # longer than any name there is
+    x = df.select(*by, *[v.alias(f"{w}_{n}") for n, v in values.items()], weights(key, iterations, seed).alias(w))
+    sums = [F.sum(F.get(w, F.lit(i)) * F.col(f"{w}_{n}")).alias(f"{w}_{n}_{i}") for n in names for i in range(iterations)]
+    return x.groupBy(*by).agg(*sums).select(*by, *[F.array(*[F.col(f"{w}_{n}_{i}") for i in range(iterations)]).alias(n) for n in names])
+
+
+def interval(values: str | Column) -> list[Column]:
+    """low, high: the 95 % percentile interval of an array of replicates' values; those that are null don't count."""
+    sorted_ = F.array_sort(F.array_compact(values))
+    n = F.size(sorted_)
+    rank = lambda q: F.get(sorted_, F.least(F.floor(n * F.lit(q)).cast("int"), n - 1))
+    return [rank(0.025).alias("low"), rank(0.975).alias("high")]
 
 
 def bootstrap_ci(df: DataFrame, value: str, iterations: int = 200, seed: int = 7, by: list[str] | None = None, key: str = "id") -> DataFrame:
     """by, n, mean, low, high: the 95 % percentile interval of the mean under a Poisson bootstrap."""
-    by = by or []
-    rows = df.select(*by, F.col(value).alias("v"), F.posexplode(weights(key, iterations, seed)).alias("b", "w")).filter("w > 0")
-    means = rows.groupBy(*by, "b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
-    ci = interval(means, by, "m")
-    base = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    return base.join(ci, by) if by else base.crossJoin(ci)
+    by, there = by or [], F.col(value).isNotNull()
+    sums = drawn_sums(df, by, key, iterations, seed, {"s": F.col(value).cast("double"), "n": there.cast("int")})
+    ci = sums.select(*by, F.zip_with("s", "n", lambda s, n: F.try_divide(s, n)).alias("m")).select(*by, *interval("m"))
+    base = df.groupBy(*by).agg(F.count_if(there).alias("n"), F.avg(value).alias("mean"))
+    if not by:
+        return base.crossJoin(ci)
+    same = ci.select(*[F.col(c).alias(f"{c} of ci") for c in by], "low", "high")
+    return base.join(same, [F.col(c).eqNullSafe(F.col(f"{c} of ci")) for c in by]).select(*by, "n", "mean", "low", "high")
 
 
 def bootstrap_auc_ci(df: DataFrame, by: list[str], iterations: int = 200, seed: int = 11, key: str = "id") -> DataFrame:
-    """df(by, key, score, expected) -> by, low, high: the 95 % percentile interval of the AUC under a Poisson bootstrap."""
-    rows = df.select(*by, "score", "expected", F.posexplode(weights(key, iterations, seed)).alias("b", "w")).filter("w > 0")
-    drawn = lambda on: F.sum(F.when(on, F.col("w")).otherwise(0)).alias
-    points = rows.groupBy(*by, "b", "score").agg(drawn(F.col("expected"))("pos"), drawn(~F.col("expected"))("neg"))
-    return interval(roc_auc(None, [*by, "b"], points), by, "auc")
+    """df(by, key, score, expected) -> by, low, high: the 95 % percentile interval of the AUC under a Poisson bootstrap.
+
+    A distinct score has one vector of drawn positives and one of negatives. Scores are dealt out by ranges; a range
+    adds up its own pairs for all replicates and its totals, and the ranges of a group, a row for each, are put together."""
+    one = lambda on: F.coalesce(on, F.lit(False)).cast("int")
+    points = drawn_sums(df.filter(F.col("score").isNotNull()), [*by, "score"], key, iterations, seed, {"pos": one(F.col("expected")), "neg": one(~F.col("expected"))})
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*by).schema)
+    head = f"{kinds}, " if by else ""
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of (by, score) -> for each run of a group: its drawn positives, negatives, and pairs won twice over."""
+        held, out, schema = None, [], None
+        for b in batches:
+            groups = list(zip(*[b.column(c).to_pylist() for c in range(len(by))], strict=True)) if by else [()] * b.num_rows
+            pos, neg = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, iterations) for c in ("pos", "neg"))
+            schema = b.schema
+            for g, p, q in zip(groups, pos, neg, strict=True):
+                if held is None or held[0] != g:
+                    if held is not None:
+                        out.append(held)
+                    held = [g, np.zeros(iterations), np.zeros(iterations), np.zeros(iterations)]
+                held[3] += p * (2 * held[2] + q)
+                held[1] += p
+                held[2] += q
+        if held is not None:
+            out.append(held)
+        if schema is not None:
+            from pyspark import TaskContext
+
+            own = TaskContext.get().partitionId()
+            columns = [pa.array([o[0][c] for o in out], schema.field(c).type) for c in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([own] * len(out), pa.int32()), *[pa.array([o[k].tolist() for o in out], pa.list_(pa.float64())) for k in (1, 2, 3)]], [*by, "part", "pos", "neg", "won"])
+
+    parts = points.repartitionByRange(*by, "score").sortWithinPartitions(*by, "score").mapInArrow(ranges, f"{head}part int, pos array<double>, neg array<double>, won array<double>")
+    folded = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("part", "pos", "neg", "won"))).alias("r"))  # a row for each range
+    zero = F.array_repeat(F.lit(0.0), iterations)
+    start = F.struct(zero.alias("pos"), zero.alias("neg"), zero.alias("won"))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+
+    def put(a: Column, x: Column) -> Column:
+        across = F.zip_with(x["pos"], a["neg"], lambda p, n: 2 * p * n)
+        return F.struct(plus(a["pos"], x["pos"]).alias("pos"), plus(a["neg"], x["neg"]).alias("neg"), plus(plus(a["won"], x["won"]), across).alias("won"))
+
+    whole = folded.select(*by, F.aggregate("r", start, put).alias("t"))
+    pairs = F.zip_with("t.pos", "t.neg", lambda p, n: 2 * p * n)
+    auc = F.zip_with("t.won", pairs, lambda w, n: r6(F.try_divide(w, n)))
+    return whole.select(*by, auc.alias("auc")).select(*by, *interval("auc"))
 
 
 def krippendorff(df: DataFrame, unit: str, value: str) -> DataFrame:
