@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions import text as T
 from lexiscope.functions.text import round_half_up as r6
+from lexiscope.operators import grams as G
 from lexiscope.session import materialise
 
 B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"  # ASCII word borders
@@ -151,8 +152,14 @@ def phrase_regex(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(escaped, r"\s+", r"\\s+"), "~", r"[\\s\\S]{0,40}")
 
 
-#: Words of a language that a row can hold as a list; a lexicon with more goes by a join.
+#: Words, and patterns, of a language that a row can hold as a list; a lexicon with more goes by a join.
 LISTED = 2000
+NONE = "cast(array() as array<string>)"
+
+
+def listed_or_not(entries: DataFrame, listed: int) -> bool:
+    """Whether a language has more entries than a list may hold."""
+    return (entries.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > listed
 
 
 def matched(u: DataFrame, lexicon: DataFrame, keys: list[str], name: str = "entries", listed: int = LISTED) -> DataFrame:
@@ -161,7 +168,8 @@ def matched(u: DataFrame, lexicon: DataFrame, keys: list[str], name: str = "entr
     Single words match by token, with -s and -ing forms outside Chinese, Japanese and Korean. Phrases,
     entries of several words, and entries of those languages are tested by pattern. A lexicon of
     editorial size meets the units as one row of lists for each language, and nothing is shuffled; a larger
-    one meets their tokens in a hash join on (lang, token)."""
+    one meets their tokens in a hash join on (lang, token). Likewise patterns: a short list is tried on each text,
+    of a long one only those whose rarest run of characters a text has (grams.candidates)."""
     cjk = F.col("lang").isin("ko", "zh", "ja")
     word = (F.col("kind") == "strict") & ~cjk & ~F.col("entry").rlike(r"[^\p{L}\p{N}]")
     low = F.lower("entry")
@@ -172,19 +180,33 @@ def matched(u: DataFrame, lexicon: DataFrame, keys: list[str], name: str = "entr
     lists = materialise(lexicon.groupBy("lang").agg(
         F.collect_list(F.when(F.col("forms").isNotNull(), F.struct("entry", "forms"))).alias("words"), F.collect_list(F.when(F.col("p").isNotNull(), F.struct("entry", "p"))).alias("ps")
     ).withColumn("every", F.array_distinct(F.flatten("words.forms"))))
-    large = (lists.agg(F.max(F.size("words"))).first()[0] or 0) > listed
+    most = lists.agg(F.max(F.size("words")).alias("words"), F.max(F.size("ps")).alias("ps")).first()
+    large, many_patterns = (most["words"] or 0) > listed, (most["ps"] or 0) > listed
     tokens = F.array_distinct(F.transform("tokens", F.lower))
     text = F.lower("text")
-    rows = u.join(lists if not large else lists.withColumns({"words": F.slice("words", 1, 0), "every": F.slice("every", 1, 0)}), "lang", "left")
+    if large:
+        lists = lists.withColumns({"words": F.slice("words", 1, 0), "every": F.slice("every", 1, 0)})
+    if many_patterns:
+        lists = lists.withColumn("ps", F.filter("ps", lambda x: F.regexp_replace(x["entry"], r"[~\s]+", "") == ""))  # what has no character to go by
+    rows = u.join(lists, "lang", "left")
     single = T.bind(F.array_intersect(tokens, "every"), lambda hit: F.when(F.size(hit) > 0, F.transform(F.filter("words", lambda w: F.arrays_overlap(w["forms"], hit)), lambda w: w["entry"])).otherwise(F.expr("cast(array() as array<string>)")))
     many = F.transform(F.filter("ps", lambda p: F.regexp_like(text, p["p"])), lambda p: p["entry"])
     found = F.coalesce(F.array_union(single, many), F.expr("cast(array() as array<string>)"))
-    if not large:
-        return rows.withColumn(name, found).select(*u.columns, name)
-    by_token = lexicon.filter("forms is not null").select("lang", "entry", F.explode("forms").alias("token"))
-    hits = u.select(*keys, "lang", F.explode(tokens).alias("token")).join(by_token, ["lang", "token"]).groupBy(*keys).agg(F.collect_set("entry").alias("__hits"))
-    rows = rows.withColumn(name, found).select(*u.columns, name).join(hits, keys, "left")
-    return rows.withColumn(name, F.array_union(name, F.coalesce("__hits", F.expr("cast(array() as array<string>)")))).select(*u.columns, name)
+    out = rows.withColumn(name, found).select(*u.columns, name)
+    more = f"more {name}"
+    if large:
+        by_token = lexicon.filter("forms is not null").select("lang", "entry", F.explode("forms").alias("token"))
+        hits = u.select(*keys, "lang", F.explode(tokens).alias("token")).join(by_token, ["lang", "token"]).groupBy(*keys).agg(F.collect_set("entry").alias(more))
+        out = out.join(hits, keys, "left").withColumn(name, F.array_union(name, F.coalesce(F.col(more), F.expr(NONE)))).select(*u.columns, name)
+    if many_patterns:
+        pieces = F.array_distinct(T.non_empty(F.split(low, r"[~\s]+", -1)))
+        literals = lexicon.filter("p is not null").select("lang", "entry", "p", pieces.alias("pieces")).dropDuplicates(["lang", "entry", "p"])
+        # a strict entry and a phrase of the same words are two patterns
+        literals = literals.withColumns({"name": F.col("entry"), "entry": F.concat("entry", F.lit(" "), F.col("p"))})
+        met = G.candidates(u.select(*keys, "lang", text.alias("low")), keys, "low", literals).groupBy(*keys).agg(F.collect_set(F.struct("name", "p")).alias(more))
+        held = F.transform(F.filter(F.col(more), lambda x: F.regexp_like(text, x["p"])), lambda x: x["name"])
+        out = out.join(met, keys, "left").withColumn(name, F.array_union(name, F.coalesce(held, F.expr(NONE)))).select(*u.columns, name)
+    return out
 
 
 def match_terms(u: DataFrame, lexicon: DataFrame, keys: list[str], listed: int = LISTED) -> DataFrame:
@@ -206,19 +228,34 @@ def lexicon_density(u: DataFrame, lexicon: DataFrame, keys: list[str], threshold
     return j.select(*keys, "matches", density.alias("density"), hot.alias("lexicon_hot"))
 
 
-def watch_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, hits: how many of the language's watch terms a text contains."""
-    lists = terms.groupBy("lang").agg(F.collect_set(F.lower("term")).alias("ts"))
+def watch_hits(docs: DataFrame, terms: DataFrame, listed: int = LISTED) -> DataFrame:
+    """doc_id, hits: how many of the language's watch terms a text contains. A long list goes by an index of the terms; doc_ids are then distinct."""
+    terms = terms.filter("term is not null").select("lang", F.lower("term").alias("entry")).distinct()
     text = F.lower(F.coalesce("text", F.lit("")))
-    return docs.join(lists, "lang", "left").select("doc_id", F.coalesce(F.size(F.filter("ts", lambda t: F.contains(text, t))), F.lit(0)).alias("hits"))
+    if not listed_or_not(terms, listed):
+        lists = terms.groupBy("lang").agg(F.collect_list("entry").alias("ts"))
+        return docs.join(lists, "lang", "left").select("doc_id", F.coalesce(F.size(F.filter("ts", lambda t: F.contains(text, t))), F.lit(0)).alias("hits"))
+    met = G.candidates(docs.select("doc_id", "lang", text.alias("low")), ["doc_id"], "low", terms.withColumn("pieces", F.array("entry")))
+    found = met.groupBy("doc_id").agg(F.collect_set("entry").alias("ts"))
+    empty = terms.filter("entry = ''").select("lang", F.lit(1).alias("bare"))  # the empty term is in every text
+    x = docs.join(found, "doc_id", "left").join(empty, "lang", "left")
+    return x.select("doc_id", (F.coalesce(F.size(F.filter("ts", lambda t: F.contains(text, t))), F.lit(0)) + F.coalesce("bare", F.lit(0))).alias("hits"))
 
 
-def term_coverage(phrases: DataFrame, terms: DataFrame) -> DataFrame:
+def term_coverage(phrases: DataFrame, terms: DataFrame, listed: int = LISTED) -> DataFrame:
     """phrases(lang, phrase), terms(lang, term) -> lang, n, covered: the phrase is a term or contains one of three characters or more."""
-    lists = terms.groupBy("lang").agg(F.collect_set(F.lower("term")).alias("ts"))
+    terms = terms.filter("term is not null").select("lang", F.lower("term").alias("entry")).distinct()
     p = F.lower("phrase")
-    hit = F.exists("ts", lambda t: (t == p) | ((F.char_length(t) >= 3) & F.contains(p, t)))
-    return phrases.join(lists, "lang", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.coalesce(hit, F.lit(False))).alias("covered"))
+    if not listed_or_not(terms, listed):
+        lists = terms.groupBy("lang").agg(F.collect_list("entry").alias("ts"))
+        hit = F.exists("ts", lambda t: (t == p) | ((F.char_length(t) >= 3) & F.contains(p, t)))
+        return phrases.join(lists, "lang", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.coalesce(hit, F.lit(False))).alias("covered"))
+    x = materialise(phrases.select("lang", p.alias("low"), F.monotonically_increasing_id().alias("row")))
+    met = G.candidates(x, ["row"], "low", terms.filter(F.char_length("entry") >= 3).withColumn("pieces", F.array("entry"))).groupBy("row").agg(F.collect_set("entry").alias("ts"))
+    short = terms.filter(F.char_length("entry") < 3).select("lang", F.col("entry").alias("low"), F.lit(True).alias("same"))
+    y = x.join(met, "row", "left").join(short, ["lang", "low"], "left")
+    hit = F.coalesce(F.exists("ts", lambda t: F.contains("low", t)), F.lit(False)) | F.coalesce("same", F.lit(False))
+    return y.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(hit).alias("covered"))
 
 
 def lexicon_lift(docs: DataFrame, entries: DataFrame, lift: float = 4.0, cold_rate: float = 0.05) -> DataFrame:
