@@ -10,9 +10,9 @@ lose no link of sets up to K shingles. Of a larger one the runs of its sketch se
 four among K = 96 values is shared with a probability of some 0.8^96, 5e-10.
 
 Lists propose, and the pairs of a list are never listed:
-* each member against the smallest one: the sketch of the union estimates their similarity (for small sets exactly), what comes
-  within six deviations of the bound is verified by the whole sets, and what holds becomes a component;
-* lists that are still in several components are searched whole, in blocks of a bounded size."""
+* each member against the smallest one: the sketch of the union estimates their similarity (for small sets exactly), and what comes
+  within six deviations of the bound is verified by the whole sets;
+* lists whose members these links don't hold together are searched whole, in blocks of a bounded size."""
 
 from __future__ import annotations
 
@@ -187,13 +187,16 @@ def links(docs: DataFrame, firsts: DataFrame, clash: dict[int, int], words: int,
 
     sets = materialise(per_document(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], run, "node long, items binary").groupBy("node").agg(F.first("items").alias("items")))
     edges = materialise(verified(near_low, sets, share))
-    roots = components(edges)
-    placed = members.filter("size > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # a label is the smallest node two links away: nodes of one label are connected, which is all that is needed to leave a list out
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).select("of", F.least("of", "m").alias("m"))
+    labels = both.join(one, F.col("b") == F.col("of")).groupBy(F.col("a").alias("node")).agg(F.min("m").alias("root"))
+    placed = members.filter("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     still = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("tag")).filter("low <> high")
     once = still.groupBy("n", "tag").agg(F.min("key").alias("key"))  # several lists often hold the same sets
     wide = materialise(placed.join(once.select("key"), "key").select("key", "node"))
     if wide.isEmpty():
-        return roots
+        return components(edges)
     return components(edges.unionByName(in_blocks(wide, sets, share, block, stars)))
 
 
