@@ -107,7 +107,9 @@ def stars(nodes: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], k:
             place = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
             both = np.bincount(owner[mine[place] == values], minlength=len(nodes))
             below = np.bincount(owner[values <= limit[owner]], minlength=len(nodes)) + np.searchsorted(mine, limit, "right")
-            fits = (share[1] * np.minimum(size, size[at]) >= share[0] * np.maximum(size, size[at])) & (both >= least(share) * np.maximum(below - both, 1))
+            # between sets that are whole in their sketches the estimate is the similarity itself
+            enough = np.where(np.maximum(size, size[at]) <= k, share[0] / share[1] - 1e-9, least(share))
+            fits = (share[1] * np.minimum(size, size[at]) >= share[0] * np.maximum(size, size[at])) & (both >= enough * np.maximum(below - both, 1))
             hit = linked(at, np.flatnonzero(rest & fits))
             rest[hit] = False
             queue += hit.tolist()
