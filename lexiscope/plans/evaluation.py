@@ -19,11 +19,16 @@ def measured(text):
     return words
 
 
+def repeated(w):
+    """The percentage of repeated words to one digit, halves up; the product comes before the quotient, so a half is exact."""
+    return F.coalesce(F.floor(F.try_divide(1000.0 * (F.size(w) - F.size(F.array_distinct(w))), F.size(w)) + 0.5) / 10, F.lit(0.0))
+
+
 def scored(spark, d):
     """Labelled documents: expected = low quality; the score is the percentage of repeated words."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     x = docs.join(labels, "doc_id").select("doc_id", "lang", "source", "text", "n_chars", (F.col("quality") == 0).alias("expected"), measured("text").alias("w"))
-    x = x.select("*", F.size("w").alias("n_words"), F.coalesce(F.floor(1000 * F.try_divide(F.size("w") - F.size(F.array_distinct("w")), F.size("w")) + 0.5) / 10, F.lit(0.0)).alias("score"))
+    x = x.select("*", F.size("w").alias("n_words"), repeated("w").alias("score"))
     return x.select(
         "doc_id", "lang", "source", "text", "n_chars", "expected", "score", "n_words", (F.col("score") >= 60).alias("predicted"), F.concat(F.lit("f"), F.pmod("doc_id", F.lit(4)).cast("string")).alias("family"),
         (F.col("score") >= 75).alias("sig_repeat"), (F.col("n_words") < 60).alias("sig_short"), (F.regexp_count("text", F.lit("[|*]")) >= 5).alias("sig_marks"),
@@ -70,7 +75,7 @@ def robust(spark, d):
     forms = F.array(*[F.struct(F.lit(n).alias("transform"), f("text").alias("t2")) for n, f in T.TRANSFORMS.items()])
     x = x.select("doc_id", "lang", "expected", F.col("predicted").alias("before"), F.inline(forms))
     w = measured("t2")
-    x = x.select("*", w.alias("w")).withColumn("after", F.coalesce(F.floor(1000 * F.try_divide(F.size("w") - F.size(F.array_distinct("w")), F.size("w")) + 0.5) / 10, F.lit(0.0)) >= 60)
+    x = x.select("*", w.alias("w")).withColumn("after", repeated("w") >= 60)
     return E.robustness(x)
 
 
