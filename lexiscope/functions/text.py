@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 #: White space as the measures mean it, with no-break and ideographic spaces and the byte-order mark.
 WS = r"[\s\x0B   -     　﻿]"
-#: Sentence ends, list lines, edge punctuation, list of closers after a full-width stop.
+#: The same as characters.
+BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Sentence ends, list lines, words from their first to their last letter or digit, list of closers after a full-width stop.
 CLOSERS = "」』】〕）》〉｝\"'”’"
 SENTENCE_END = rf"[.!?]+{WS}+|(?<=[。！？])(?![{CLOSERS}])|\n+"
 LIST_LINE = rf"^{WS}*(?:[-*+]{WS}+|\d+[.)]{WS}+)"
-EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+LETTERS = r"a-z\p{L}\p{N}"  # the commonest first, as a class is tried in order
+WORD = rf"[{LETTERS}]++(?:{WS.replace('[', '[^' + LETTERS, 1)}++[{LETTERS}]++)*+"
+STOPS = ".!?。！？…"
 CJK_TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]|[A-Za-z0-9]+"
 CJK = ("zh", "ja")
 
@@ -29,7 +33,7 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def trim(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def round_half_up(c: Column, digits: int = 6) -> Column:
@@ -68,7 +72,7 @@ def strip_lists(c: str | Column) -> Column:
 
 def split_sentences(c: str | Column) -> Column:
     parts = F.split(col(c), SENTENCE_END, -1)
-    return non_empty(F.transform(parts, lambda s: F.regexp_replace(trim(s), r"[.!?。！？…]+$", "")))
+    return non_empty(F.transform(parts, lambda s: F.rtrim(trim(s), F.lit(STOPS))))
 
 
 def prose_sentences(c: str | Column) -> Column:
@@ -77,7 +81,7 @@ def prose_sentences(c: str | Column) -> Column:
 
 def tokenize(c: str | Column, lang: Column | None = None) -> Column:
     """Words with their edge punctuation off; single characters for Chinese and Japanese."""
-    words = non_empty(F.transform(F.split(col(c), rf"{WS}+", -1), lambda w: F.regexp_replace(w, EDGE, "")))
+    words = F.regexp_extract_all(col(c), F.lit(WORD), F.lit(0))
     if lang is None:
         return words
     return F.when(lang.isin(*CJK), F.regexp_extract_all(col(c), F.lit(CJK_TOKEN), F.lit(0))).otherwise(words)

@@ -58,13 +58,14 @@ def class_diversity(c: str | Column) -> Column:
     """Classes of known suffixes for each eojeol that ends in one; null without any."""
     classes = F.create_map(*[F.lit(x) for g, words in SUFFIXES.items() for w in words for x in (w, g)])
     kinds = F.filter(F.transform(eojeols(c), lambda w: F.element_at(classes, suffix_of(w))), lambda k: k.isNotNull())
-    return T.bind(kinds, lambda k: F.try_divide(F.size(F.array_distinct(k)), F.size(k)))
+    return F.when(T.col(c).rlike(HANGUL), T.bind(kinds, lambda k: F.try_divide(F.size(F.array_distinct(k)), F.size(k))))
 
 
 def register_ratios(sentences: str | Column) -> tuple[Column, Column]:
     """(plain, polite and formal) shares of classified sentence ends: to two digits over three or more Korean ones, else of all sentences' last words."""
-    kinds = F.transform(F.transform(T.col(sentences), lambda s: F.try_element_at(eojeols(s), F.lit(-1))), kind_of)
-    words = F.transform(F.transform(T.col(sentences), lambda s: F.element_at(F.split(F.regexp_replace(T.trim(s), LAST_MARKS, ""), rf"{T.WS}+", -1), -1)), kind_of)
+    own = F.filter(T.col(sentences), lambda s: s.rlike(HANGUL))  # no other sentence is classified
+    kinds = F.transform(F.transform(own, lambda s: F.try_element_at(eojeols(s), F.lit(-1))), kind_of)
+    words = F.transform(F.transform(own, lambda s: F.element_at(F.split(F.regexp_replace(T.trim(s), LAST_MARKS, ""), rf"{T.WS}+", -1), -1)), kind_of)
     named = F.struct(F.filter(kinds, lambda k: k.isNotNull()).alias("k"), F.filter(words, lambda k: k.isNotNull()).alias("w"))
     many = lambda a, *names: F.size(F.filter(a, lambda v: v.isin(*names)))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ LEAKAGE = (
     ("explicit-self-identification", rf"(?i){B}as an? (?:AI|artificial intelligence) language model{E}|{B}as a large language model{E}|{B}as a language model,? I{E}|{B}as an AI assistant{E}|{B}I(?: am|'?m) an AI(?:\s+(?:assistant|chatbot|language model|model))?(?:\s+(?:created|developed|trained|designed|built|made)\s+by{E}|(?![-/]|\s+\w))", False),
     ("model-nav-token", rf"(?i){B}navlist{E}", True),
 )
+#: For each of them, what any match holds in lower case; the patterns are tried on such texts only.
+HINTS = (("contentreference", "oaicite", "oai_citation"), ("turn", "grok_card"), ("\ufffc",), ("utm_source=", "=chatgpt"), ("language model", "ai assistant", " an ai"), ("navlist",))
 #: Openers that claim candour.
 CANDOUR = (r"here'?s the thing", r"here'?s the kicker", r"let'?s be honest", r"let'?s be real", r"the truth is", r"i'?ll be honest(?: with you)?", r"real talk")
 CANDOUR_MIN, BREAK_MIN = 2, 3
@@ -34,7 +39,11 @@ NO_PARENT = r"^[ \t]*(?:[-*+][ \t]|\d+[.)][ \t]|>)"
 def leaks(c: str | Column) -> Column:
     """(rule, m: its matches) of each leakage rule that fires; one that needs company counts only beside another."""
     text = F.coalesce(T.col(c), F.lit(""))
-    found = F.array(*[F.struct(F.lit(i).alias("rule"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m"), F.lit(company).alias("company")) for i, p, company in LEAKAGE])
+
+    def hits(low: Column, pattern: str, hints: tuple[str, ...]) -> Column:
+        return F.when(reduce(or_, [F.contains(low, F.lit(x)) for x in hints]), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.expr(NONE))
+
+    found = T.bind(F.lower(text), lambda low: F.array(*[F.struct(F.lit(i).alias("rule"), hits(low, p, x).alias("m"), F.lit(company).alias("company")) for (i, p, company), x in zip(LEAKAGE, HINTS, strict=True)]))
     fired = F.filter(found, lambda h: F.size(h["m"]) > 0)
     return T.bind(fired, lambda f: F.filter(f, lambda h: ~h["company"] | F.exists(f, lambda o: ~o["company"])))
 

@@ -68,7 +68,7 @@ def moving_types(tokens: str | Column, window: int) -> Column:
 
     A token adds its type to the windows that hold it and not the place before where the type was; the
     places before come from one sort of the row's own tokens."""
-    placed = F.array_sort(F.transform(T.col(tokens), lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i"))))
+    placed = F.sort_array(F.transform(T.col(tokens), lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i"))))
 
     def mean(s: Column) -> Column:
         n = F.size(s)
@@ -93,7 +93,7 @@ def hapax(tokens: str | Column) -> Column:
         same = F.coalesce(x == a["t"], F.lit(False))
         return F.struct(x.alias("t"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), (a["once"] + (~same & (a["run"] == 1)).cast("int")).alias("once"))
 
-    return F.aggregate(F.array_sort(T.col(tokens)), start, step, lambda a: a["once"] + (a["run"] == 1).cast("int"))
+    return F.aggregate(F.sort_array(T.col(tokens)), start, step, lambda a: a["once"] + (a["run"] == 1).cast("int"))
 
 
 def mattr(u: DataFrame, keys: list[str], window: int = 50) -> DataFrame:
@@ -179,7 +179,7 @@ def opener_diversity(u: DataFrame) -> DataFrame:
 
 
 def openers(sentences: str | Column) -> Column:
-    first = F.transform(T.col(sentences), lambda s: F.element_at(F.split(T.trim(s), rf"{T.WS}+", -1), 1))
+    first = F.transform(T.col(sentences), lambda s: F.regexp_extract(T.trim(s), rf"\A{T.WS.replace('[', '[^', 1)}*", 0))
     return T.bind(first, lambda o: F.coalesce(F.try_divide(F.size(F.array_distinct(o)), F.size(o)), F.lit(0.0)))
 
 
@@ -229,7 +229,7 @@ def sentence_zoom(u: DataFrame, hot: DataFrame) -> DataFrame:
 
 def ngram_redundancy(u: DataFrame, n: int) -> DataFrame:
     """1 - distinct / all n-grams of a unit's lower-case tokens; null without any."""
-    low = F.transform("tokens", F.lower)
-    grams = F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.array_join(F.slice("low", i, F.lit(n)), " "))).otherwise(F.expr("cast(array() as array<string>)"))
-    out = u.withColumn("low", low).withColumn("g", grams)
-    return out.withColumn("redundancy", T.round_half_up(1 - F.try_divide(F.size(F.array_distinct("g")), F.size("g")))).drop("g", "low")
+    # the lower-case tokens are bound: named as a column, Spark would put their expression into the lambda and lower all of them for each n-gram
+    grams = lambda low: F.transform(F.sequence(F.lit(1), F.size(low) - n + 1), lambda i: F.array_join(F.slice(low, i, F.lit(n)), " "))
+    share = lambda g: T.round_half_up(1 - F.size(F.array_distinct(g)) / F.size(g))
+    return u.withColumn("redundancy", T.bind(F.transform("tokens", F.lower), lambda low: F.when(F.size(low) >= n, T.bind(grams(low), share))))

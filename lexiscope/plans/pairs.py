@@ -113,8 +113,8 @@ def labelled(spark, d):
 
 
 def trained(spark, d):
-    m = M.train(labelled(spark, d), "bad")
-    return labelled(spark, d).select("doc_id", F.col("bad").alias("expected"), F.round(M.predict(m), 3).alias("score"))
+    x = materialise(labelled(spark, d).select("doc_id", "bad", *S.FEATURES))  # the scaler, the fit and the scores read it
+    return x.select("doc_id", F.col("bad").alias("expected"), F.round(M.predict(M.train(x, "bad")), 3).alias("score"))
 
 
 def verdicts(spark, d):

@@ -11,6 +11,7 @@ from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PACKAGE = Path(__file__).resolve().parent
@@ -38,20 +39,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Bytes of input for each core below which a table of texts is dealt out to all cores; larger tables have splits enough.
-SPREAD = 8 << 20
-TEXTS = ("documents", "pages")
+#: Bytes of input for each core below which a table of texts is dealt out to all cores, and bytes of a part of a larger one whose splits are uneven.
+SPREAD, PART = 8 << 20, 32 << 20
+TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; a small one of texts may lie in a single split, so its rows are spread."""
+    """One of the given tables. A small one of texts may lie in a single split, and a large one in a few row groups, which no split
+    cuts: its rows are spread."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD * cores:
+    if name not in TEXTS:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < SPREAD * cores:
         return df.repartition(cores)
+    if uneven(df, cores):
+        # by a hash of the row, so that a task that is run again deals alike and nothing is sorted for it
+        return df.repartition(max(2 * cores, size // PART), F.xxhash64(*df.columns))
     return df
 
 
+def uneven(df: DataFrame, cores: int) -> bool:
+    """Whether a split has more than twice a core's share of the rows; only the files' footers are read."""
+    rows = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    return (rows["most"] or 0) * cores > 2 * (rows["n"] or 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, as a whole URI. Where that setting is absent, a local session (as in tests) gets a temporary one and any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
