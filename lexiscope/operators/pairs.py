@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.functions import text as T
 from lexiscope.functions.text import round_half_up as r6
-from lexiscope.operators.numbers import claims_of, safety
+from lexiscope.operators.numbers import claims_of, compared
 
 # --- numbers ---------------------------------------------------------------------------------
 
@@ -36,8 +36,10 @@ def numbers_kept() -> Column:
     def run(original: pd.Series, rewrite: pd.Series, lang: pd.Series) -> pd.DataFrame:
         rows = []
         for o, r, g in zip(original, rewrite, lang, strict=True):
-            safe, reason = safety(o, r, g)
-            a, b = (Counter(claims_of(t, g)[0]) for t in (o, r))
+            read = claims_of(o, g)
+            other = read if o == r else claims_of(r, g)
+            safe, reason = compared(read, other)
+            a, b = Counter(read[0]), Counter(other[0])
             rows.append(((a - b).total(), (b - a).total(), safe, reason))
         return pd.DataFrame(rows, columns=["missing", "added", "safe", "reason"])
 
