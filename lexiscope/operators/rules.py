@@ -271,7 +271,7 @@ def lexicon_lift(docs: DataFrame, entries: DataFrame, lift: float = 4.0, cold_ra
     """docs(doc_id, hot, tokens), entries(entry) -> entry, hot_docs, cold_docs, lift (null: endless), keep."""
     total = docs.agg(F.count_if("hot").alias("h"), F.count_if(~F.col("hot")).alias("c"))
     tokens = docs.select("doc_id", "hot", F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("entry"))
-    seen = tokens.join(entries, "entry").groupBy("entry").agg(F.count_if("hot").alias("hot_docs"), F.count_if(~F.col("hot")).alias("cold_docs"))
+    seen = tokens.groupBy("entry").agg(F.count_if("hot").alias("hot_docs"), F.count_if(~F.col("hot")).alias("cold_docs"))
     x = entries.join(seen, "entry", "left").na.fill(0, ["hot_docs", "cold_docs"]).crossJoin(F.broadcast(total))  # total is one row
     hr, cr = F.try_divide(F.col("hot_docs").cast("double"), "h"), F.try_divide(F.col("cold_docs").cast("double"), "c")
     x = x.withColumns({"lift": r6(F.when(F.col("cold_docs") > 0, F.try_divide(hr, cr)), 4), "cold": F.coalesce(cr, F.lit(0.0))})
