@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,9 +160,15 @@ def scored_blocks(queries: DataFrame, index: DataFrame, k: int, least: float, qu
 
 def dice(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """key, dice: twice the shared character bigrams (as bags, case aside) over all of both; equal texts without bigrams have 1, others 0."""
-    grams = lambda c: F.when(F.char_length(c) >= 2, F.transform(F.sequence(F.lit(1), F.char_length(c) - 1), lambda i: F.substr(F.lower(c), i, F.lit(2)))).otherwise(F.expr("cast(array() as array<string>)"))
-    x = pairs.select(key, grams(F.col(a)).alias("ga"), grams(F.col(b)).alias("gb"), (F.lower(a) == F.lower(b)).alias("same"))
-    side = lambda c, n: x.select(key, F.explode(c).alias("g")).groupBy(key, "g").agg(F.count("*").alias(n))
-    shared = side("ga", "na").join(side("gb", "nb"), [key, "g"]).groupBy(key).agg(F.sum(F.least("na", "nb")).alias("n"))
-    total = F.size("ga") + F.size("gb")
-    return x.join(shared, key, "left").select(key, r6(F.when(total > 0, 2.0 * F.coalesce("n", F.lit(0)) / total).otherwise(F.col("same").cast("double"))).alias("dice"))
+
+    @F.pandas_udf("struct<n:long,total:long>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            ga, gb = (Counter(map("".join, zip(t or "", (t or "")[1:], strict=False))) for t in (x, y))
+            rows.append(((ga & gb).total(), ga.total() + gb.total()))
+        return pd.DataFrame(rows, columns=["n", "total"])
+
+    low_a, low_b = F.lower(a), F.lower(b)
+    x = pairs.select(key, run(low_a, low_b).alias("g"), (low_a == low_b).alias("same"))
+    return x.select(key, r6(F.when(F.col("g.total") > 0, 2.0 * F.col("g.n") / F.col("g.total")).otherwise(F.col("same").cast("double"))).alias("dice"))
