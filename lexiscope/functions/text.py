@@ -15,6 +15,7 @@ BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) +
 #: Sentence ends, list lines, words from their first to their last letter or digit, list of closers after a full-width stop.
 CLOSERS = "」』】〕）》〉｝\"'”’"
 SENTENCE_END = rf"[.!?]+{WS}+|(?<=[。！？])(?![{CLOSERS}])|\n+"
+PLAIN_END = rf"[.!?]+{WS}+|\n+"  # the same for texts without full-width stops
 LIST_LINE = rf"^{WS}*(?:[-*+]{WS}+|\d+[.)]{WS}+)"
 LETTERS = r"a-z\p{L}\p{N}"  # the commonest first, as a class is tried in order
 WORD = rf"[{LETTERS}]++(?:{WS.replace('[', '[^' + LETTERS, 1)}++[{LETTERS}]++)*+"
@@ -47,12 +48,13 @@ def non_empty(c: Column) -> Column:
 
 def split_paragraphs(c: str | Column, unit: str = "paragraph") -> Column:
     """Paragraphs end at blank lines, or, with unit="line", at each line end; trimmed, empty ones dropped."""
-    pattern = {"paragraph": rf"\n{WS}*\n", "line": r"\r?\n"}[unit]
+    pattern = {"paragraph": rf"\n{WS}*\n", "line": "\n"}[unit]  # a carriage return before a line end is trimmed off
     return non_empty(F.transform(F.split(F.coalesce(col(c), F.lit("")), pattern, -1), trim))
 
 
 def split_lines(c: str | Column) -> Column:
-    return F.split(F.coalesce(col(c), F.lit("")), r"\r?\n", -1)
+    # split at a single character, a text needs no pattern
+    return bind(F.coalesce(col(c), F.lit("")), lambda t: F.when(F.contains(t, F.lit("\r")), F.split(t, r"\r?\n", -1)).otherwise(F.split(t, "\n", -1)))
 
 
 def strip_list_blocks(c: str | Column) -> Column:
@@ -62,7 +64,11 @@ def strip_list_blocks(c: str | Column) -> Column:
         colon = F.array_position(F.transform(plain, lambda x: F.endswith(trim(x), F.lit(":"))), True)
         return bind(colon, lambda at: F.array_join(F.when((at > 0) & (F.size(plain) - at >= 2), F.slice(plain, F.lit(1), F.greatest(at, F.lit(1)).cast("int"))).otherwise(plain), "\n"))
 
-    return bind(F.filter(split_lines(c), lambda x: ~x.rlike(LIST_LINE)), cut)
+    def prose(t: Column) -> Column:
+        lines = bind(F.filter(split_lines(t), lambda x: ~x.rlike(LIST_LINE)), cut)
+        return F.when(F.contains(t, F.lit("\n")), lines).when(t.rlike(LIST_LINE), "").otherwise(t)  # a single line introduces nothing
+
+    return bind(F.coalesce(col(c), F.lit("")), prose)
 
 
 def strip_lists(c: str | Column) -> Column:
@@ -71,7 +77,8 @@ def strip_lists(c: str | Column) -> Column:
 
 
 def split_sentences(c: str | Column) -> Column:
-    parts = F.split(col(c), SENTENCE_END, -1)
+    full = lambda t: F.regexp_instr(t, F.lit("[。！？]")) > 0
+    parts = bind(col(c), lambda t: F.when(full(t), F.split(t, SENTENCE_END, -1)).otherwise(F.split(t, PLAIN_END, -1)))
     return non_empty(F.transform(parts, lambda s: F.rtrim(trim(s), F.lit(STOPS))))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,26 +66,38 @@ def burstiness(u: DataFrame) -> DataFrame:
     return out.withColumn("cv_band", F.when(F.col("n_sentences") >= 3, band(F.col("cv"), CV_LOW, CV_HIGH)))
 
 
+def ranked(tokens: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of a batch of token lists: for each token in order of (row, type, place) its row, its place in it and its type's place before (-1 for none); and the length of each list."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+    codes = pc.dictionary_encode(pc.list_flatten(tokens), null_encoding="encode").indices
+    codes = np.asarray(codes, dtype=np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = row * (codes.max(initial=0) + 1) + codes
+    order = np.argsort(key, kind="stable")
+    key, row, place = key[order], row[order], place[order]
+    before = np.full(len(key), -1)
+    again = key[1:] == key[:-1]
+    before[1:][again] = place[:-1][again]
+    return row, place, before, lengths
+
+
 def moving_types(tokens: str | Column, window: int) -> Column:
     """The mean share of types over all windows of lower-case tokens, over all of them if they are fewer; null for none.
 
     A token adds its type to the windows that hold it and not the place before where the type was; the
-    places before come from one sort of the row's own tokens."""
-    placed = F.sort_array(F.transform(T.col(tokens), lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i"))))
-
-    def mean(s: Column) -> Column:
-        n = F.size(s)
-        start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(-1).alias("i"), F.lit(0).cast("long").alias("adds"), F.lit(0).cast("long").alias("types"))
-
-        def step(a: Column, x: Column) -> Column:
-            before = F.when(x["t"] == a["t"], a["i"]).otherwise(F.lit(-1))
-            first = F.greatest(F.lit(0), x["i"] - window + 1, before + 1)
-            adds = F.greatest(F.lit(0), F.least(x["i"], n - window) - first + 1)
-            return F.struct(x["t"].alias("t"), x["i"].alias("i"), (a["adds"] + adds).alias("adds"), (a["types"] + (before == -1).cast("long")).alias("types"))
+    places before come from one sort of a batch's tokens by row and type."""
 
-        return F.aggregate(s, start, step, lambda a: F.when(n >= window, a["adds"] / (F.lit(window) * (n - window + 1))).otherwise(F.try_divide(a["types"], n)))
+    @F.arrow_udf("double")
+    def mean(tokens: pa.Array) -> pa.Array:
+        row, i, before, n = ranked(tokens)
+        adds = np.maximum(0, np.minimum(i, n[row] - window) - np.maximum(i - window, before))
+        total, types = np.zeros(len(n), np.int64), np.bincount(row[before < 0], minlength=len(n))
+        np.add.at(total, row, adds)
+        share = np.where(n >= window, total / np.maximum(window * (n - window + 1), 1), types / np.maximum(n, 1))
+        return pa.array(share, mask=n == 0)
 
-    return T.bind(placed, mean)
+    return mean(F.transform(T.col(tokens), F.lower))
 
 
 def hapax(tokens: str | Column) -> Column:
@@ -100,8 +115,8 @@ def mattr(u: DataFrame, keys: list[str], window: int = 50) -> DataFrame:
     """keys, n_tokens, mattr of units with tokens; each row for itself.
 
     Units without tokens go by an empty list, as a filter would be pushed below the tokens and cut them twice."""
-    row = F.struct(F.size("tokens").alias("n_tokens"), T.round_half_up(moving_types("tokens", window)).alias("mattr"))
-    return u.select(*keys, F.inline(F.filter(F.array(row), lambda r: r["n_tokens"] > 0)))
+    x = u.select(*keys, F.size("tokens").alias("n_tokens"), T.round_half_up(moving_types("tokens", window)).alias("mattr"))
+    return x.select(*keys, F.inline(F.filter(F.array(F.struct("n_tokens", "mattr")), lambda r: r["n_tokens"] > 0)))
 
 
 def comma_density(d: DataFrame) -> DataFrame:
@@ -195,15 +210,18 @@ def persona_features(docs: DataFrame, prefer: list[str] = (), avoid: list[str] =
     from lexiscope.operators import korean as K
 
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("text", text).withColumn("s", document_sentences("text"))
+    d = docs.withColumn("text", text).select(*UNIT, "text", F.transform(T.split_paragraphs("text", unit), T.prose_sentences).alias("parts"), F.size(T.tokenize("text", F.col("lang"))).alias("nt"), F.col("text").rlike(K.HANGUL).alias("ko"))
+    d = d.withColumn("s", document_sentences("text") if unit != "paragraph" else F.flatten("parts"))
     places = lambda words: sum((F.size(F.split("text", f"\\Q{w}\\E", -1)) - 1 for w in words if w), F.lit(0))
-    density = lambda words: F.try_divide(places(words) * 1000.0, F.greatest(F.size(T.tokenize("text", F.col("lang"))), F.lit(1)))
-    plain, polite = K.register_ratios("s")
+    density = lambda words: F.try_divide(places(words) * 1000.0, F.greatest(F.col("nt"), F.lit(1)))
+    plain, polite = (F.when(F.col("ko"), c).otherwise(0.0) for c in K.register_ratios("s"))
     whole = {
-        "sentence_opener_diversity": openers("s"), "comma_per_sentence": F.try_divide(F.regexp_count("text", F.lit("[,，]")), F.size("s")), "suffix_class_diversity": K.class_diversity("text"),
+        "sentence_opener_diversity": openers("s"), "comma_per_sentence": F.try_divide(F.regexp_count("text", F.lit("[,，]")), F.size("s")), "suffix_class_diversity": F.when(F.col("ko"), K.class_diversity("text")),
         "ko_register_plain_ratio": plain, "ko_register_polite_ratio": polite, "lexicon_density_preferred": density(prefer), "lexicon_density_avoid": density(avoid),
     }
-    u = units(d.select(*UNIT, "text", *[c.alias(n) for n, c in whole.items()]), unit, tuple(whole), outer=True)
+    # paragraphs are the document's own, each cut into sentences once
+    base = d.select(*UNIT, "parts", *[c.alias(n) for n, c in whole.items()]).select(*UNIT, *whole, F.explode_outer("parts").alias("part"))
+    u = cut(base, ["doc_id", "lang", *whole], F.coalesce("part", F.expr("cast(array() as array<string>)")))
     parts = u.select("doc_id", *whole, T.round_half_up(cv("counts")).alias("cv"), T.round_half_up(moving_types("tokens", window)).alias("m"))
     means = parts.groupBy("doc_id").agg(F.avg("cv").alias("burstiness_cv"), F.avg("m").alias("mattr"), *[F.first(n).alias(n) for n in whole])
     return means.select("doc_id", *[T.round_half_up(F.coalesce(n, F.lit(0.0)), 5).alias(n) for n in PERSONA])
