@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -162,6 +164,16 @@ def longest_run(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFr
     return runs.groupBy(*keys).agg(F.max("n").alias("longest_run"))
 
 
+def longest_stretch(c: str | Column, holds: Callable[[Column], Column]) -> Column:
+    """The longest stretch of neighbouring elements of an array for which `holds` is true (0 for none); each row for itself."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+
+    def step(a: Column, x: Column) -> Column:
+        return T.bind(F.when(holds(x), a["now"] + 1).otherwise(0), lambda now: F.struct(now.alias("now"), F.greatest(a["best"], now).alias("best")))
+
+    return F.aggregate(T.col(c), start, step, lambda a: a["best"])
+
+
 def dominant_class(sentences: DataFrame, keys: list[str], rules: list[tuple[str, str]], share: float = 0.6, least: int = 3) -> DataFrame:
     """keys, n_classed, dominant, share: the class most sentences end in, null under `least` classed sentences or below `share`.
 

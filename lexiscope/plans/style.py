@@ -33,8 +33,9 @@ def first_slice(spark, d):
 
 
 def long_sentence_runs(spark, d):
-    rows = S.document_units(docs(spark, d)).select("doc_id", F.posexplode("counts").alias("pos", "n")).withColumn("long", F.col("n") > 12)
-    return S.longest_run(rows, ["doc_id"], "pos", "long")
+    x = S.document_units(docs(spark, d)).select("doc_id", F.size("counts").alias("n"), S.longest_stretch("counts", lambda n: n > 12).cast("long").alias("longest_run"))
+    # a text without sentences goes by an empty list, as a filter would be pushed below the counts and cut it twice
+    return x.select("doc_id", F.inline(F.filter(F.array(F.struct("n", "longest_run")), lambda r: r["n"] > 0))).drop("n")
 
 
 def dominant(spark, d):
