@@ -247,14 +247,25 @@ def trigger_counts(paras: DataFrame) -> DataFrame:
     )
 
 
-def sentence_zoom(u: DataFrame, hot: DataFrame) -> DataFrame:
-    """Runs of two or more neighbouring sentences of a hot paragraph whose token counts differ by under a fifth of the smaller: doc_id, para_idx, span."""
-    rows = u.join(hot.filter("hot").select("doc_id", "para_idx"), ["doc_id", "para_idx"], "left_semi").select("doc_id", "para_idx", F.posexplode("counts").alias("i", "n"))
-    w = Window.partitionBy("doc_id", "para_idx").orderBy("i")
-    before = F.lag("n").over(w)
-    close = F.coalesce(F.abs(F.col("n") - before) < 0.2 * F.least("n", before), F.lit(False))
-    runs = rows.withColumn("g", F.sum((~close).cast("int")).over(w)).groupBy("doc_id", "para_idx", "g").agg(F.min("i").alias("a"), F.max("i").alias("b")).filter("b > a")
-    return runs.select("doc_id", "para_idx", F.format_string("P%d.S%d-S%d", "para_idx", F.col("a") + 1, F.col("b") + 1).alias("span"))
+def close_runs(counts: Column) -> Column:
+    """(a, b), places from 0, of each run of two or more neighbours that differ by under a fifth of the smaller."""
+
+    def runs(c: Column) -> Column:
+        apart = lambda i: (i == 0) | ~F.coalesce(F.abs(F.get(c, i) - F.get(c, i - 1)) < 0.2 * F.least(F.get(c, i), F.get(c, i - 1)), F.lit(False))
+        places = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        ends = lambda s: F.transform(s, lambda a, n: F.struct(a.alias("a"), (F.coalesce(F.get(s, n + 1), F.size(c)) - 1).alias("b")))
+        return T.bind(F.filter(places, apart), lambda s: F.filter(ends(s), lambda r: r["b"] > r["a"]))
+
+    return T.bind(counts, runs)
+
+
+def sentence_zoom(u: DataFrame, hot: Column) -> DataFrame:
+    """Runs of two or more neighbouring sentences of a hot paragraph whose token counts differ by under a fifth of the smaller: doc_id, para_idx, span.
+
+    Each row of u for itself: nothing is joined or shuffled, and a paragraph is cut once."""
+    runs = F.when(hot, close_runs(F.col("counts"))).otherwise(F.expr("cast(array() as array<struct<a: int, b: int>>)"))
+    x = u.select("doc_id", "para_idx", F.inline(runs))
+    return x.select("doc_id", "para_idx", F.format_string("P%d.S%d-S%d", "para_idx", F.col("a") + 1, F.col("b") + 1).alias("span"))
 
 
 def ngram_redundancy(u: DataFrame, n: int) -> DataFrame:

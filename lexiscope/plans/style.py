@@ -45,8 +45,7 @@ def dominant(spark, d):
 
 def zoom(spark, d):
     u = lines(spark, d)
-    hot = S.burstiness(u).select("doc_id", "para_idx", (F.col("n_sentences") >= 3).alias("hot"))
-    return S.sentence_zoom(u, hot)
+    return S.sentence_zoom(u, F.size("counts") >= 3)
 
 
 def column(name, expr):
