@@ -197,9 +197,12 @@ def matched(u: DataFrame, lexicon: DataFrame, keys: list[str], name: str = "entr
         lists = lists.withColumns({"words": F.slice("words", 1, 0), "every": F.slice("every", 1, 0)})
     if many_patterns:
         lists = lists.withColumn("ps", F.filter("ps", lambda x: F.regexp_replace(x["entry"], r"[~\s]+", "") == ""))  # what has no character to go by
+    # all patterns of a language as one: most texts match none of them, and Spark keeps a pattern that the row before had, too
+    lists = lists.withColumn("any", F.when(F.size("ps") > 0, F.array_join(F.transform("ps", lambda p: F.concat(F.lit("(?:"), p["p"], F.lit(")"))), "|")))
     rows = u.join(lists, "lang", "left")
-    single = T.bind(F.array_intersect(tokens, "every"), lambda hit: F.when(F.size(hit) > 0, F.transform(F.filter("words", lambda w: F.arrays_overlap(w["forms"], hit)), lambda w: w["entry"])).otherwise(F.expr("cast(array() as array<string>)")))
-    many = F.transform(F.filter("ps", lambda p: F.regexp_like(text, p["p"])), lambda p: p["entry"])
+    single = T.bind(F.array_intersect(F.transform("tokens", F.lower), "every"), lambda hit: F.when(F.size(hit) > 0, F.transform(F.filter("words", lambda w: F.arrays_overlap(w["forms"], hit)), lambda w: w["entry"])).otherwise(F.expr(NONE)))
+    tried = lambda low: F.transform(F.filter("ps", lambda p: F.regexp_like(low, p["p"])), lambda p: p["entry"])
+    many = T.bind(text, lambda low: F.when(F.regexp_instr(low, F.col("any")) > 0, tried(low)).otherwise(F.expr(NONE)))
     found = F.coalesce(F.array_union(single, many), F.expr("cast(array() as array<string>)"))
     out = rows.withColumn(name, found).select(*u.columns, name)
     more = f"more {name}"
@@ -220,7 +223,8 @@ def matched(u: DataFrame, lexicon: DataFrame, keys: list[str], name: str = "entr
 
 def match_terms(u: DataFrame, lexicon: DataFrame, keys: list[str], listed: int = LISTED) -> DataFrame:
     """keys, entry: a row for each entry of each unit."""
-    return matched(u, lexicon, keys, "entries", listed).select(*keys, F.explode("entries").alias("entry"))
+    # an inner explode would be given a filter that matches each unit once more
+    return matched(u, lexicon, keys, "entries", listed).select(*keys, F.explode_outer("entries").alias("entry")).filter("entry is not null")
 
 
 def density_of(matches: Column, tokens: Column, threshold: float = 3.0) -> tuple[Column, Column]:
