@@ -23,6 +23,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches that pieces of the split pattern never cross: all but the last of several spaces, or a space and what follows it.
 CHUNK = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]")
 KEPT = 300_000
+#: Marks of chunks seen once; most never come again, and only those that do are kept.
+MARKS = 1 << 21
 
 
 class Coder:
@@ -41,11 +43,21 @@ class Coder:
         for t, r in ranks.items():
             self.automaton.add_word(t[::-1].decode("latin-1"), r)  # reversed: what ends there starts here
         self.automaton.make_automaton()
+        self.forget()
+
+    def forget(self) -> None:
+        """Start all memos anew. They go together: a few entries left among the others would hold the memory of all."""
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.seen, self.marked = bytearray(MARKS), 0
+
+    def task_over(self) -> None:
+        """What is kept for the next task is under KEPT chunks; small tasks don't start anew each time."""
+        if len(self.cache) + len(self.older) >= KEPT:
+            self.forget()
 
     def split(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t; None for one that merges never make (a single byte)."""
@@ -138,9 +150,16 @@ class Coder:
         if x is None:
             x = self.chunk(text)
         if len(text) <= 64:
-            if len(self.cache) >= KEPT:
-                self.older, self.cache = self.cache, {}
-            self.cache[text] = x
+            at = hash(text) % MARKS
+            if self.seen[at]:
+                if len(self.cache) >= KEPT:
+                    self.older, self.cache = self.cache, {}
+                self.cache[text] = x
+            else:
+                if self.marked >= MARKS // 2:
+                    self.seen, self.marked = bytearray(MARKS), 0
+                self.seen[at] = 1
+                self.marked += 1
         return x
 
     def encode(self, text: str | None) -> bytes:
@@ -189,7 +208,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         ids = [c.encode(x) for x in t]
         return {"doc_id": i, "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [c.decode(x) for x in ids]}
 
-    return per_document(docs, ["doc_id", "text"], run, "doc_id long, ids binary, n_tokens long, decoded binary")
+    return per_document(docs, ["doc_id", "text"], run, "doc_id long, ids binary, n_tokens long, decoded binary", lambda: coder(path, pattern).task_over())
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -201,4 +220,4 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         sha = lambda b: hashlib.sha256(b).hexdigest()
         return {"doc_id": i, "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [*map(sha, ids)], "decoded_sha256": [sha(c.decode(x)) for x in ids]}
 
-    return per_document(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_document(docs, ["doc_id", "text"], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: coder(path, pattern).task_over())

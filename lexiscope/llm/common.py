@@ -31,8 +31,10 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def per_document(docs: DataFrame, columns: list[str], f: Callable[..., Iterator[dict]], schema: str) -> DataFrame:
-    """Run f over slices of the named columns, given as Python lists; f returns one list for each column of the schema."""
+def per_document(docs: DataFrame, columns: list[str], f: Callable[..., Iterator[dict]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """Run f over slices of the named columns, given as Python lists; f returns one list for each column of the schema.
+
+    `done` is called when a task ends: what f keeps for a worker process would stay in its memory for all later tasks."""
     from pyspark.sql.types import StructType
 
     prepare(docs.sparkSession)
@@ -43,10 +45,14 @@ def per_document(docs: DataFrame, columns: list[str], f: Callable[..., Iterator[
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kinds)
-        for batch in batches:
-            for part in slices(batch):
-                out = f(*[part.column(i).to_pylist() for i in range(part.num_columns)])
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    out = f(*[part.column(i).to_pylist() for i in range(part.num_columns)])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        finally:
+            if done:
+                done()
 
     return docs.select(*columns).mapInArrow(run, schema)
 
