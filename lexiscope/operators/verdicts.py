@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiscope.functions import text as T
 from lexiscope.functions.text import round_half_up as r6
 from lexiscope.operators import korean as K
 from lexiscope.operators import rules as R
@@ -62,6 +63,14 @@ def skip_reason(paragraphs: Column, sentences: Column) -> Column:
     return F.when(paragraphs <= 2, "paragraphs<=2").when(sentences <= 2, "sentences<=2")
 
 
+def skip_reasons(docs: DataFrame, unit: str = "paragraph") -> DataFrame:
+    """doc_id, n_paragraphs, n_sentences, skip_reason as document_scores() has them, from the texts alone: no tokens, lexicon or signals."""
+    sentences = F.transform(T.split_paragraphs("text", unit), lambda p: F.size(T.prose_sentences(p)))
+    rows = docs.select("doc_id", sentences.alias("n")).select("doc_id", F.size("n").alias("paragraphs"), S.total("n").alias("sentences"))
+    g = rows.groupBy("doc_id").agg(F.sum("paragraphs").alias("n_paragraphs"), F.sum("sentences").alias("n_sentences"))
+    return g.withColumn("skip_reason", skip_reason(F.col("n_paragraphs"), F.col("n_sentences")))
+
+
 def document_scores(rows: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """rows of paragraph_rows() -> a row per document: counts, hot, hot ratio, floors, overall score and its band, mean signal strength.
 
