@@ -76,9 +76,12 @@ def strip_lists(c: str | Column) -> Column:
     return F.array_join(non_empty(F.transform(split_paragraphs(c), strip_list_blocks)), "\n\n")
 
 
+def full_stops(t: Column) -> Column:
+    return F.contains(t, F.lit("。")) | F.contains(t, F.lit("！")) | F.contains(t, F.lit("？"))
+
+
 def split_sentences(c: str | Column) -> Column:
-    full = lambda t: F.regexp_instr(t, F.lit("[。！？]")) > 0
-    parts = bind(col(c), lambda t: F.when(full(t), F.split(t, SENTENCE_END, -1)).otherwise(F.split(t, PLAIN_END, -1)))
+    parts = bind(col(c), lambda t: F.when(full_stops(t), F.split(t, SENTENCE_END, -1)).otherwise(F.split(t, PLAIN_END, -1)))
     return non_empty(F.transform(parts, lambda s: F.rtrim(trim(s), F.lit(STOPS))))
 
 

@@ -63,14 +63,19 @@ def sample_hits(hits: Column, k: int) -> Column:
 
 
 def candour_count(c: str | Column) -> Column:
-    # no two of the openers can overlap, so one pass counts them all
-    return F.regexp_count(T.col(c), F.lit(rf"(?i){B}(?:{'|'.join(CANDOUR)}){E}"))
+    # no two of the openers can overlap, so one pass counts them all; their first letters are looked at before the border
+    return F.regexp_count(T.col(c), F.lit(rf"(?i)(?=[{''.join(sorted({p[0] for p in CANDOUR}))}]){B}(?:{'|'.join(CANDOUR)}){E}"))
 
 
 def candour(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", candour_count(F.coalesce("text", F.lit(""))).alias("count")).withColumn("hot", F.col("count") >= CANDOUR_MIN)
 
 
+def marked(line: Column, blanks: str = " \t") -> Column:
+    """Whether the first character after blanks is one that a divider line consists of; the pattern itself is tried at every place of a line."""
+    return F.substring(F.ltrim(line, F.lit(blanks)), 1, 1).isin("-", "*", "_")
+
+
 def break_counts(c: str | Column) -> Column:
     """(count, before_heading) of divider lines that underline no heading and fence no front matter; each row for itself."""
     none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("before_heading"))
@@ -101,7 +106,7 @@ def break_counts(c: str | Column) -> Column:
     def look(ls: Column) -> Column:
         full = F.filter(F.transform(ls, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda y: ~blank(y["t"]))
         parts = F.struct(ls.alias("ls"), full.alias("full"), front_of(ls).alias("front"))
-        return F.when(F.exists(ls, lambda t: t.rlike(BREAK_LINE)), T.bind(parts, count)).otherwise(none)
+        return F.when(F.exists(ls, lambda t: marked(t) & t.rlike(BREAK_LINE)), T.bind(parts, count)).otherwise(none)
 
     return T.bind(T.split_lines(c), look)
 
@@ -113,7 +118,8 @@ def thematic_breaks(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def divider_only(c: str | Column) -> Column:
     lines = T.non_empty(F.transform(T.split_lines(c), T.trim))
-    return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(BREAK_LINE))
+    only = T.bind(lines, lambda ls: (F.size(ls) > 0) & F.forall(ls, lambda x: x.rlike(BREAK_LINE)))
+    return F.when(marked(T.col(c), T.BLANKS), only).otherwise(False)  # the first line with text begins where the text does
 
 
 def short_form_tell(docs: DataFrame, doc_type: str = "social", limit: int = 200, most: int = 4) -> DataFrame:
@@ -183,7 +189,7 @@ def matched(u: DataFrame, lexicon: DataFrame, keys: list[str], name: str = "entr
     word = (F.col("kind") == "strict") & ~cjk & ~F.col("entry").rlike(r"[^\p{L}\p{N}]")
     low = F.lower("entry")
     quoted = F.regexp_replace(F.regexp_replace(low, r"([.*+?^$\{\}()|\[\]\\\\])", r"\\$1"), r"\s+", r"\\s+")
-    pattern = F.when(F.col("kind") == "phrase", phrase_regex(F.col("entry"))).when(cjk, quoted).otherwise(F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")))
+    pattern = F.when(F.col("kind") == "phrase", phrase_regex(F.col("entry"))).when(cjk, quoted).otherwise(F.concat(F.lit("(?="), quoted, F.lit(r")(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")))  # the words are looked for first, as few places have them
     forms = F.array(low, F.concat(low, F.lit("s")), F.concat(low, F.lit("ing")))
     lexicon = lexicon.distinct().withColumns({"forms": F.when(word, forms), "p": F.when(~word, pattern)})
     lists = materialise(lexicon.groupBy("lang").agg(

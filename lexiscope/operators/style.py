@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiscope.functions import text as T
+from lexiscope.session import prepare
 
 CV_LOW, CV_HIGH, MATTR_LOW, MATTR_HIGH = 0.30, 0.50, 0.55, 0.70
 
@@ -40,6 +43,45 @@ def document_sentences(c: str | Column) -> Column:
     return F.flatten(F.transform(T.split_paragraphs(c), T.prose_sentences))
 
 
+def plain_words(text: str | Column, lang: Column) -> Column:
+    """A text whose words, cut by T.WORD, are the tokens of its sentences: a sentence ends at white space or a full-width stop, which alone can part a word."""
+    sentences = document_sentences(text)
+    cjk = F.array_join(F.flatten(F.transform(sentences, lambda s: T.tokenize(s, lang))), " ")
+    return F.when(lang.isin(*T.CJK), cjk).when(T.full_stops(T.col(text)), F.array_join(sentences, "\n")).otherwise(T.strip_lists(text))
+
+
+#: T.WORD for Python, whose \s and \w are wider than Java's.
+BLANK = re.escape(T.BLANKS)
+PYTHON_WORD = rf"[^\W_]++(?:(?:[^\w{BLANK}]|_)++[^\W_]++)*+"
+#: Entries that a task counts before it hands them on.
+COUNTED = 200_000
+
+
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """lang, entry, n: how many documents of a language have a lower-case token, at least one.
+
+    A task counts the words of its batches before they are shuffled."""
+    prepare(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, seen = re.compile(PYTHON_WORD), {}
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for lang, held in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "entry", "n"])
+            seen.clear()
+
+        for b in batches:
+            for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                seen.setdefault(lang, Counter()).update({w.lower() for w in word.findall(text)})
+                if sum(map(len, seen.values())) >= COUNTED:
+                    yield from handed()
+        yield from handed()
+
+    words = docs.select("lang", plain_words("text", F.col("lang")).alias("text"))
+    return words.mapInArrow(count, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
+
+
 def document_units(docs: DataFrame) -> DataFrame:
     """A document as one unit: sentences of all its paragraphs in order."""
     return cut(docs, [*UNIT, "text"], document_sentences("text"))
@@ -69,10 +111,12 @@ def burstiness(u: DataFrame) -> DataFrame:
 
 
 def ranked(tokens: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of a batch of token lists: for each token in order of (row, type, place) its row, its place in it and its type's place before (-1 for none); and the length of each list."""
+    """Of a batch of token lists, whose types are lower-case: for each token in order of (row, type, place) its row, its place in it and its type's place before (-1 for none); and the length of each list."""
     lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
-    codes = pc.dictionary_encode(pc.list_flatten(tokens), null_encoding="encode").indices
-    codes = np.asarray(codes, dtype=np.int64)
+    coded = pc.dictionary_encode(pc.list_flatten(tokens), null_encoding="encode")
+    types: dict[str | None, int] = {}
+    lower = [types.setdefault(t and t.lower(), len(types)) for t in coded.dictionary.to_pylist()]
+    codes = np.asarray(lower, np.int64)[np.asarray(coded.indices, np.int64)]
     row = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     key = row * (codes.max(initial=0) + 1) + codes
@@ -99,7 +143,7 @@ def moving_types(tokens: str | Column, window: int) -> Column:
         share = np.where(n >= window, total / np.maximum(window * (n - window + 1), 1), types / np.maximum(n, 1))
         return pa.array(share, mask=n == 0)
 
-    return mean(F.transform(T.col(tokens), F.lower))
+    return mean(T.col(tokens))
 
 
 def hapax(tokens: str | Column) -> Column:

@@ -33,8 +33,8 @@ def paragraph_rows(docs: DataFrame, lexicon: DataFrame, unit: str = "paragraph",
     u = K.signals(S.burstiness(u))
     j = u.select(
         "*", F.size("tokens").alias("n_tokens"), r6(S.moving_types("tokens", window)).alias("mattr"), F.size("entries").cast("long").alias("matches"),
-        R.candour_count("text").alias("n_candour"), R.break_counts("text")["count"].alias("n_breaks"), R.divider_only("text").alias("divider"),
-    )
+        F.when(F.col("candour_doc"), R.candour_count("text")).otherwise(0).alias("n_candour"), F.when(F.col("break_doc"), R.break_counts("text")["count"]).otherwise(0).alias("n_breaks"), R.divider_only("text").alias("divider"),
+    )  # fmt: skip  # both signals need the document's
     density, lexicon_hot = R.density_of(F.col("matches"), F.col("n_tokens"))
     j = j.withColumns({"density": density, "lexicon_hot": lexicon_hot, "mattr_band": S.band(F.col("mattr"), S.MATTR_LOW, S.MATTR_HIGH), "candour_hot": F.col("candour_doc") & (F.col("n_candour") >= 1), "break_hot": F.col("break_doc") & (F.col("n_breaks") >= 1)})
     low = lambda c: F.coalesce(F.col(c) == "low", F.lit(False))
